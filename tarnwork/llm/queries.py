@@ -23,7 +23,19 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_line_dedup": op2_line_dedup}
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwork.llm.topk import exact_top_k, integer_vectors
+
+    return exact_top_k(integer_vectors(_table(spark, sf_dir, "embeddings")), F.col("id") % 100 == 0, k=10)
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwork.llm.media import text_media_report
+
+    return text_media_report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op2_line_dedup": op2_line_dedup, "op8_exact_topk": op8_exact_topk, "op10_media": op10_media}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -43,3 +55,16 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGI
        sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+ORACLE_SQL["op8_exact_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.v::DOUBLE[], d.v::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v d ON q.vec_id % 100 = 0 AND d.vec_id <> q.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
