@@ -29,13 +29,19 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(integer_vectors(_table(spark, sf_dir, "embeddings")), F.col("id") % 100 == 0, k=10)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwork.llm.pii import span_report
+
+    return span_report(_table(spark, sf_dir, "documents"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnwork.llm.media import text_media_report
 
     return text_media_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_line_dedup": op2_line_dedup, "op8_exact_topk": op8_exact_topk, "op10_media": op10_media}
+QUERIES = {"op1_minhash": op1_minhash, "op2_line_dedup": op2_line_dedup, "op8_exact_topk": op8_exact_topk, "op9_pii": op9_pii, "op10_media": op10_media}
 
 ORACLE_SQL: dict[str, str] = {}
 
