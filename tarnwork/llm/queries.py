@@ -23,6 +23,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwork.llm.substrings import repeat_report
+
+    return repeat_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnwork.llm.topk import exact_top_k, integer_vectors
 
@@ -41,7 +47,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_line_dedup": op2_line_dedup, "op8_exact_topk": op8_exact_topk, "op9_pii": op9_pii, "op10_media": op10_media}
+QUERIES = {"op1_minhash": op1_minhash, "op2_line_dedup": op2_line_dedup, "op3_suffix_array": op3_suffix_array, "op8_exact_topk": op8_exact_topk, "op9_pii": op9_pii, "op10_media": op10_media}
 
 ORACLE_SQL: dict[str, str] = {}
 
