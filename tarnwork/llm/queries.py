@@ -29,6 +29,12 @@ def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwork.llm.toxicity import toxicity_report
+
+    return toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnwork.llm.topk import exact_top_k, integer_vectors
 
@@ -47,7 +53,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_line_dedup": op2_line_dedup, "op3_suffix_array": op3_suffix_array, "op8_exact_topk": op8_exact_topk, "op9_pii": op9_pii, "op10_media": op10_media}
+QUERIES = {"op1_minhash": op1_minhash, "op2_line_dedup": op2_line_dedup, "op3_suffix_array": op3_suffix_array, "op5_toxicity": op5_toxicity, "op8_exact_topk": op8_exact_topk, "op9_pii": op9_pii, "op10_media": op10_media}
 
 ORACLE_SQL: dict[str, str] = {}
 
