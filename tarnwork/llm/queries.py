@@ -35,6 +35,18 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwork.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwork.llm.langid import identify, train_text_model
+
+    return identify(_table(spark, sf_dir, "pages"), train_text_model(_table(spark, sf_dir, "documents")))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnwork.llm.topk import exact_top_k, integer_vectors
 
@@ -53,7 +65,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_line_dedup": op2_line_dedup, "op3_suffix_array": op3_suffix_array, "op5_toxicity": op5_toxicity, "op8_exact_topk": op8_exact_topk, "op9_pii": op9_pii, "op10_media": op10_media}
+QUERIES = {"op1_minhash": op1_minhash, "op2_line_dedup": op2_line_dedup, "op3_suffix_array": op3_suffix_array, "op4_packing": op4_packing, "op5_toxicity": op5_toxicity, "op6_language_id": op6_language_id, "op8_exact_topk": op8_exact_topk, "op9_pii": op9_pii, "op10_media": op10_media}
 
 ORACLE_SQL: dict[str, str] = {}
 
