@@ -47,6 +47,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "pages"), train_text_model(_table(spark, sf_dir, "documents")))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwork.llm.pieces import piece_report
+
+    return piece_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnwork.llm.topk import exact_top_k, integer_vectors
 
@@ -65,7 +71,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_line_dedup": op2_line_dedup, "op3_suffix_array": op3_suffix_array, "op4_packing": op4_packing, "op5_toxicity": op5_toxicity, "op6_language_id": op6_language_id, "op8_exact_topk": op8_exact_topk, "op9_pii": op9_pii, "op10_media": op10_media}
+QUERIES = {"op1_minhash": op1_minhash, "op2_line_dedup": op2_line_dedup, "op3_suffix_array": op3_suffix_array, "op4_packing": op4_packing, "op5_toxicity": op5_toxicity, "op6_language_id": op6_language_id, "op7_sentencepiece": op7_sentencepiece, "op8_exact_topk": op8_exact_topk, "op9_pii": op9_pii, "op10_media": op10_media}
 
 ORACLE_SQL: dict[str, str] = {}
 
