@@ -1 +1 @@
-"""TODO"""
+"""Column helpers: text, three-valued labels, vectors and masked scores."""

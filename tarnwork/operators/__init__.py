@@ -1 +1 @@
-"""TODO"""
+"""Operators: functions from DataFrames to DataFrames."""
