@@ -20,7 +20,7 @@ def best_f1_threshold(scored: DataFrame, default: float = 0.5, keys: list[str] =
     f1 = 2 * F.col("tp") / (F.col("n") + F.col("n_pos"))
     first = b.withColumn("f1", f1).withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("f1"), F.desc("score")))).where("__n = 1")
     none = _one_class(F.col("n_pos"), F.col("n_all"))
-    return first.select(*keys, F.when(none, default).otherwise((F.col("score") + F.col("lower")) / 2).alias("threshold"), F.when(none, "default").otherwise("max_f1").alias("source"))
+    return first.select(*keys, F.when(none, default).otherwise((F.col("score") + F.coalesce("lower", F.lit(0.0))) / 2).alias("threshold"), F.when(none, "default").otherwise("max_f1").alias("source"))
 
 
 def recall_target_threshold(scored: DataFrame, target: float, default: float = 0.5, keys: list[str] = []) -> DataFrame:  # noqa: B006
@@ -44,18 +44,14 @@ def choose_tau(scores: DataFrame) -> DataFrame:
     """One row: the tau of best balanced accuracy over (s, inside); the lowest on ties.
 
     Candidates are the midpoints of neighbouring distinct similarities and one beyond
-    each end, so both rates are running counts over distinct values: one sort, no pairs.
+    each end, so both rates are running counts over distinct values, without pairs.
     """
-    each = scores.groupBy("s").agg(F.count_if("inside").alias("n_in"), F.count_if(~F.col("inside")).alias("n_out"))
-    up, every = W.orderBy("s").rowsBetween(W.unboundedPreceding, 0), W.partitionBy()
-    rows = each.select(
-        "s", F.lead("s").over(W.orderBy("s")).alias("after"), F.min("s").over(every).alias("low"),
-        F.sum("n_in").over(up).alias("in_below"), F.sum("n_out").over(up).alias("out_below"), F.sum("n_in").over(every).alias("ins"), F.sum("n_out").over(every).alias("outs"),
-    )
-    above = rows.select(F.coalesce((F.col("s") + F.col("after")) / 2, F.col("s") + 1e-4).alias("tau"), "in_below", "out_below", "ins", "outs")
-    below = rows.where("s = low").select((F.col("s") - 1e-4).alias("tau"), F.lit(0).cast("long").alias("in_below"), F.lit(0).cast("long").alias("out_below"), "ins", "outs")
-    accept, reject = 1 - F.col("in_below") / F.col("ins"), F.col("out_below") / F.col("outs")
-    best = above.unionByName(below).where("ins > 0 AND outs > 0").select("tau", F.round((accept + reject) / 2, 12).alias("balanced_acc"), accept.alias("in_accept_rate"), reject.alias("out_reject_rate"), F.col("ins").alias("n_in"), F.col("outs").alias("n_out"))
+    b = blocks(scores.select(F.col("s").alias("score"), F.col("inside").alias("target")))
+    ins, outs = F.col("n_pos"), F.col("n_all") - F.col("n_pos")
+    tau = F.coalesce((F.col("score") + F.col("lower")) / 2, F.col("score") - 1e-4)
+    below = b.where((ins > 0) & (outs > 0)).select(tau.alias("tau"), (F.col("tp") / ins).alias("acc"), (1 - (F.col("n") - F.col("tp")) / outs).alias("rej"), ins.alias("n_in"), outs.alias("n_out"))
+    over = b.where((F.col("n") == F.col("n_here")) & (ins > 0) & (outs > 0)).select((F.col("score") + 1e-4).alias("tau"), F.lit(0.0).alias("acc"), F.lit(1.0).alias("rej"), ins.alias("n_in"), outs.alias("n_out"))
+    best = below.unionByName(over).select("tau", F.round((F.col("acc") + F.col("rej")) / 2, 12).alias("balanced_acc"), F.col("acc").alias("in_accept_rate"), F.col("rej").alias("out_reject_rate"), "n_in", "n_out")
     return best.orderBy(F.desc("balanced_acc"), "tau").limit(1)
 
 

@@ -12,16 +12,29 @@ from tarnwork.functions.columns import first_argmax, level_mask, ratio, softmax
 def blocks(scored: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """A row a distinct score: (keys, score, n, tp) cumulative from the top, and n_all, n_pos.
 
-    Equal scores are grouped before the running sums, so the window runs over distinct
-    scores, not rows, and is tie-inclusive by construction. ``scored`` has score, target.
+    ``scored`` has score and target; ``lower`` is the next lower score, null at the end.
+    Equal scores are grouped before the running sums, which makes these tie-inclusive.
+    The running sums are two-level, so that no task holds all scores: quantiles cut the
+    scores into as many ranges as the session has shuffle partitions, a window over the
+    range totals gives what lies above, and one inside each range does the rest.
     """
     each = scored.groupBy(*keys, "score").agg(F.count("*").alias("n_here"), F.count_if("target").alias("tp_here"))
-    run = W.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy(*keys)
-    return each.select(
-        *keys, "score", "n_here", "tp_here", F.sum("n_here").over(run).alias("n"), F.sum("tp_here").over(run).alias("tp"),
-        F.sum("n_here").over(every).alias("n_all"), F.sum("tp_here").over(every).alias("n_pos"),
-        F.lead("score", 1, 0.0).over(W.partitionBy(*keys).orderBy(F.desc("score"))).alias("lower"),
+    ranges = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(each.approxQuantile("score", [i / ranges for i in range(1, ranges)], 0.01))) if ranges > 1 else []
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("score"))) if cuts else F.lit(0)
+    each = each.withColumn("part", part)
+    every, above = W.partitionBy(*keys), W.partitionBy(*keys).orderBy("part")
+    before = lambda c: F.coalesce(F.sum(c).over(above.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    totals = each.groupBy(*keys, "part").agg(F.sum("n_here").alias("pn"), F.sum("tp_here").alias("pt"), F.max("score").alias("top"))
+    totals = totals.select(
+        *keys, "part", before("pn").alias("n0"), before("pt").alias("t0"), F.lead("top").over(above).alias("next"),
+        F.sum("pn").over(every).alias("n_all"), F.sum("pt").over(every).alias("n_pos"),
+    )
+    inside = W.partitionBy(*keys, "part").orderBy(F.desc("score"))
+    run = inside.rowsBetween(W.unboundedPreceding, 0)
+    return each.join(totals, [*keys, "part"]).select(
+        *keys, "score", "n_here", "tp_here", (F.col("n0") + F.sum("n_here").over(run)).alias("n"), (F.col("t0") + F.sum("tp_here").over(run)).alias("tp"),
+        "n_all", "n_pos", F.coalesce(F.lead("score").over(inside), "next").alias("lower"),
     )
 
 
