@@ -1 +1 @@
-"""TODO"""
+"""Readers and writers."""

@@ -1 +1 @@
-"""TODO"""
+"""Structured Streaming over the stateless operators."""
