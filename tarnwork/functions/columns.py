@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,6 +26,11 @@ def is_none(s: Column, tokens: Sequence[str] = NONE_TOKENS) -> Column:
     return s.isNull() | strip(s).isin("", *tokens)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also where a lambda uses it for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ratio(num: Column, den: Column) -> Column:
     """num / den, null for an empty denominator (ANSI mode would raise)."""
     return F.when(den > 0, num.cast("double") / den)
@@ -41,9 +46,11 @@ def dot(a: Column, b: Column) -> Column:
 
 def l2_normalised(v: Column) -> Column:
     """v / max(|v|, 1e-12), in doubles."""
-    x = F.transform(v, lambda c: c.cast("double"))
-    norm = F.greatest(F.sqrt(dot(x, x)), F.lit(1e-12))
-    return F.transform(x, lambda c: c / norm)
+
+    def scaled(x: Column) -> Column:
+        return let(F.greatest(F.sqrt(dot(x, x)), F.lit(1e-12)), lambda norm: F.transform(x, lambda c: c / norm))
+
+    return let(F.transform(v, lambda c: c.cast("double")), scaled)
 
 
 def sigmoid(x: Column) -> Column:
@@ -52,8 +59,14 @@ def sigmoid(x: Column) -> Column:
 
 def softmax(logits: Column) -> Column:
     """Shifted by the maximum; masked entries are -infinity and get 0."""
-    shifted = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(shifted, lambda x: x / total(shifted))
+
+    def shifted(v: Column) -> Column:
+        return let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))
+
+    def scaled(e: Column) -> Column:
+        return let(total(e), lambda s: F.transform(e, lambda x: x / s))
+
+    return let(logits, lambda v: let(shifted(v), scaled))
 
 
 def first_argmax(xs: Column) -> Column:

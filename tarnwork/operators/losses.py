@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.functions.columns import dot, l2_normalised, level_mask, total
+from tarnwork.functions.columns import dot, l2_normalised, let, level_mask, total
 
 
 def bce(logit: Column, target: Column, pos_weight: Column | float = 1.0) -> Column:
@@ -32,17 +32,20 @@ def masked_mean(value: Column, valid: Column) -> Column:
 
 def level_cross_entropy(raw: Column, level: Column, rack_count: Column, floor_usable: Column, smooth: float = 0.0) -> Column:
     """Cross entropy of masked level logits; smoothing goes to neighbouring rails only."""
-    masked = level_mask(raw, rack_count, floor_usable)
-    top = F.array_max(masked)
-    norm = top + F.log(total(F.transform(masked, lambda x: F.exp(x - top))))
-    logp = F.transform(masked, lambda x: F.when(x > float("-inf"), x - norm).otherwise(0.0))
 
     def weight(k: Column) -> Column:
         near = (F.abs(k - level) == 1) & (level >= 1) & (k >= 1) & (k <= rack_count)
         return F.when(k == level, 1.0 - smooth).when(near, smooth / 2).otherwise(0.0)
 
-    soft = F.transform(logp, lambda x, k: weight(k))
-    return -total(F.zip_with(soft, logp, lambda w, x: w * x)) / total(soft)
+    def norm(v: Column) -> Column:
+        return let(F.array_max(v), lambda top: top + F.log(total(F.transform(v, lambda x: F.exp(x - top)))))
+
+    def loss(v: Column) -> Column:
+        logp = let(norm(v), lambda n: F.transform(v, lambda x: F.when(x > float("-inf"), x - n).otherwise(0.0)))
+        soft = F.transform(v, lambda x, k: weight(k))
+        return let(soft, lambda w: -total(F.zip_with(w, logp, lambda a, b: a * b)) / total(w))
+
+    return let(level_mask(raw, rack_count, floor_usable), loss)
 
 
 def supcon(rows: DataFrame, temperature: float = 0.1) -> DataFrame:

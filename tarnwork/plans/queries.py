@@ -1,3 +1,421 @@
-"""Named queries bound to the driver's tables."""
+"""Named queries bound to the driver's tables; each reads its tables whole."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnwork.functions import columns
+from tarnwork.functions.columns import first_argmax, level_mask, softmax
+from tarnwork.operators import calibration, decide, encode, losses, metrics, report, retrieval, rules, sampling, split
+from tarnwork.operators.vectors import nearest
+from tarnwork.plans import bindings as b
 
 QUERIES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _r(*cols: str, places: int = 6):
+    return [F.round(c, places).alias(c) for c in cols]
+
+
+# ---------------------------------------------------------------- retrieval
+
+
+@query
+def retrieve_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, refs = b.vectors(spark, sf_dir)
+    return retrieval.match(queries, refs, 10, b.TAU).select("q_id", "model", "cavity_group", *_r("confidence", "top1_sim"))
+
+
+@query
+def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, refs = b.vectors(spark, sf_dir)
+    return nearest(queries, refs, 10).select("q_id", "ref_id", *_r("sim"), "rank")
+
+
+@query
+def top1_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, refs = b.vectors(spark, sf_dir)
+    return retrieval.top1(queries, refs).select("q_id", *_r("s"))
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, refs = b.vectors(spark, sf_dir)
+    truth = queries.select("q_id", F.col("model").alias("true_model"), F.col("cavity_group").alias("true_group"), "external")
+    return retrieval.retrieval_facts(retrieval.match(queries, refs, 10, b.TAU), truth, refs)
+
+
+@query
+def retrieval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = retrieval.retrieval_report(_facts(spark, sf_dir))
+    return out.select("n", "n_external", *_r("top1", "unknown_rate", "unseen_reject_rate", "external_reject_rate", "external_false_accept_rate", "mean_top1_sim"))
+
+
+@query
+def retrieval_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.retrieval_confusion(_facts(spark, sf_dir))
+
+
+@query
+def external_rejection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = _facts(spark, sf_dir).where("external")
+    return facts.groupBy("true_model").agg(F.count("*").alias("n"), F.count_if("rejected").alias("n_rejected"))
+
+
+@query
+def gallery_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.capped(b.vectors(spark, sf_dir)[1], 20, 42).select("ref_id", "model", "cavity_group")
+
+
+# ---------------------------------------------------------------- metrics, calibration
+
+
+@query
+def binary_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.binary_stats(b.event_scores(spark, sf_dir), F.lit(0.5), ["cls"])
+    return out.select("cls", "n", "positives", *_r("acc", "precision", "recall", "f1"))
+
+
+@query
+def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.average_precision(b.event_scores(spark, sf_dir), ["cls"]).select("cls", *_r("ap"), "positives", "n")
+
+
+@query
+def multilabel_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.multilabel_report(b.document_scores(spark, sf_dir), F.lit(0.5))
+    return out.select("cls", *_r("ap", "precision", "recall", "f1"), "support", "negatives")
+
+
+@query
+def multilabel_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.mean_average_precision(metrics.multilabel_report(b.document_scores(spark, sf_dir), F.lit(0.5)))
+    return out.select(*_r("map"), "n_classes")
+
+
+@query
+def weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = metrics.average_precision(b.event_scores(spark, sf_dir), ["cls"]).select(F.col("cls").alias("metric"), F.col("ap").alias("value"))
+    weights = spark.createDataFrame([("click", 2.0), ("purchase", 1.0), ("signup", 0.0), ("absent", 5.0)], "metric string, weight double")
+    return metrics.weighted_score(values, weights).select(*_r("score"))
+
+
+@query
+def best_f1_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibration.best_f1_threshold(b.event_scores(spark, sf_dir), keys=["cls"]).select("cls", *_r("threshold"), "source")
+
+
+@query
+def recall_target_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibration.recall_target_threshold(b.event_scores(spark, sf_dir), 0.95, keys=["cls"]).select("cls", *_r("threshold"), "source")
+
+
+@query
+def confidence_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibration.precision_target_threshold(b.event_scores(spark, sf_dir), 0.34, keys=["cls"]).select("cls", *_r("threshold"), "source")
+
+
+def _tau(scores: DataFrame) -> DataFrame:
+    return calibration.choose_tau(scores).select(*_r("tau", "balanced_acc", "in_accept_rate", "out_reject_rate"), "n_in", "n_out")
+
+
+@query
+def choose_tau_external(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tau(calibration.tau_scores(*b.vectors(spark, sf_dir))[0])
+
+
+@query
+def choose_tau_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tau(calibration.tau_scores(*b.vectors(spark, sf_dir))[1])
+
+
+# ---------------------------------------------------------------- racks
+
+
+@query
+def masked_softmax_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = metrics.masked_levels(b.level_rows(spark, sf_dir))
+    return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "pred", *_r("conf"))
+
+
+@query
+def rack_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.rack_report(metrics.masked_levels(b.level_rows(spark, sf_dir)), 0.5)
+    return out.select("n", *_r("acc", "acc_pm1", "floor_acc", "mean_conf", "low_conf_rate"))
+
+
+@query
+def rack_per_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.rack_by(metrics.masked_levels(b.level_rows(spark, sf_dir)), "model", "level").select("model", "level", "n", *_r("acc"))
+
+
+@query
+def rack_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.rack_confusion(metrics.masked_levels(b.level_rows(spark, sf_dir)))
+
+
+@query
+def cascade_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.when(F.col("l_suppkey") % 9 == 0, None).when(F.col("l_suppkey") % 4 == 0, F.concat(F.lit("Brand#"), (1 + F.col("l_suppkey") % 25).cast("string"))).otherwise(F.col("model"))
+    spec = b.brand_profile(spark, sf_dir).select(F.col("name").alias("found"), F.col("rack_count").alias("rc"), F.col("floor_usable").alias("fu"), F.col("cavity_group").alias("fg"))
+    rows = b.level_rows(spark, sf_dir).withColumn("found", found).join(spec, "found", "left")
+    pred = first_argmax(softmax(level_mask(F.col("raw"), F.col("rc"), F.col("fu"))))
+    rows = rows.select(F.coalesce(F.col("fg") == F.col("cavity_group"), F.lit(False)).alias("device_ok"), F.when(F.col("rc").isNull(), False).otherwise(pred == F.col("level")).alias("rack_ok"))
+    return metrics.cascade_report(rows).select("n", *_r("device_acc", "rack_acc_e2e", "rack_err_given_device_err", "rack_err_given_device_ok"))
+
+
+# ---------------------------------------------------------------- rules, encoding
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.check_labels(b.item_labels(spark, sf_dir), b.brand_profile(spark, sf_dir))
+
+
+@query
+def profile_unknown_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.unknown_models(b.item_labels(spark, sf_dir), b.brand_profile(spark, sf_dir))
+
+
+@query
+def rule_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _checked(spark, sf_dir).select("l_linenumber", "device_model", F.explode("issues").alias("i"))
+    return log.groupBy("l_linenumber", "device_model", "i.level", "i.code").agg(F.count("*").alias("n"))
+
+
+@query
+def issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.issue_counts(rules.issue_log(_checked(spark, sf_dir), "l_orderkey"), "l_orderkey")
+
+
+@query
+def valid_label_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.valid_labels(_checked(spark, sf_dir)).groupBy("is_oven").agg(F.count("*").alias("n"))
+
+
+@query
+def label_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.label_summary(b.item_labels(spark, sf_dir))
+
+
+def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.encode(b.item_labels(spark, sf_dir), b.brand_profile(spark, sf_dir), b.CONTAINERS, b.ACCESSORIES)
+
+
+@query
+def task_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.task_counts(_encoded(spark, sf_dir))
+
+
+@query
+def coverage_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = b.table(spark, sf_dir, "orders")
+    return rules.unseen(orders.where("o_orderstatus = 'F'"), orders.where("o_orderstatus <> 'F'"), "o_custkey")
+
+
+@query
+def multi_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = b.table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("types"))
+    return users.select("user_id", F.array_join(F.transform(columns.multi_hot(F.col("types"), ("click", "error", "purchase", "signup", "view")), lambda x: x.cast("int").cast("string")), "").alias("hot"))
+
+
+@query
+def known_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = ("device_known", "food_known", "container_known", "accessory_known", "rack_known")
+    return _encoded(spark, sf_dir).groupBy("l_linenumber").agg(*[F.count_if(c).alias(c) for c in flags])
+
+
+@query
+def group_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _encoded(spark, sf_dir).groupBy("group_id").agg(F.count("*").alias("n"))
+
+
+@query
+def pos_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.pos_weight(_encoded(spark, sf_dir), "container_hot", "container_known", 3.0).select("cls", "pos", "neg", *_r("weight"))
+
+
+# ---------------------------------------------------------------- content, splits, sampling
+
+
+@query
+def content_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = b.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return split.content_groups(docs, "doc_id", "text").select("doc_id", "size", "image_group")
+
+
+@query
+def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = b.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    train, val, test = split.split_counts(F.col("n"))
+    return sizes.select("o_custkey", "n", train.alias("train"), val.alias("val"), test.alias("test"))
+
+
+@query
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = b.table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("grp"))
+    return split.stratified_split(docs, "grp", "lang").select("doc_id", "stratum", "split")
+
+
+@query
+def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = b.table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 10 < 8, "train").when(F.col("doc_id") % 10 == 8, "val").otherwise("test").alias("split"))
+    return split.split_leakage(docs, "doc_id", "text").select("size", "sha256", "n", "n_splits", "example")
+
+
+@query
+def unique_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.unique_stems(b.table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", "p_name")
+
+
+def _pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = F.col("c_nationkey")
+    return b.table(spark, sf_dir, "customer").select("c_custkey", F.when(nation < 20, nation % 6).when(nation < 23, -1).otherwise(-2).alias("group_id"))
+
+
+@query
+def pk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quota = sampling.plan_quota(*sampling.pool_counts(_pools(spark, sf_dir)))
+    return spark.createDataFrame([(quota.p, quota.n_oven, quota.n_non_oven, quota.n_unknown)], "p int, n_oven int, n_non_oven int, n_unknown int")
+
+
+@query
+def pk_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pools = _pools(spark, sf_dir)
+    return sampling.pk_batches(pools, "c_custkey", sampling.plan_quota(*sampling.pool_counts(pools)), 60, seed=17)
+
+
+@query
+def cyclic_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = b.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("pool"), "c_custkey")
+    demand = pool.select("pool").distinct().select("pool", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(699).cast("long"))).alias("ordinal"))
+    return sampling.cyclic_draw(pool, "c_custkey", demand, 7).select("pool", "ordinal", "c_custkey")
+
+
+@query
+def sequential_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = b.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return sampling.sequential_batches(rows, "c_custkey", 16).select("c_custkey", "batch")
+
+
+@query
+def shuffled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = b.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return sampling.sequential_batches(rows, "c_custkey", 16, shuffle_seed=5, drop_last=True).select("c_custkey", "batch")
+
+
+# ---------------------------------------------------------------- losses
+
+
+def _logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = b.document_labels(spark, sf_dir)
+    return rows.select(F.floor(F.col("doc_id") / 16).alias("batch"), ((F.col("n_chars") % 200 - 100) / 50.0).alias("logit"), F.coalesce(F.col("quality"), F.lit(0)).cast("double").alias("t"), F.col("quality").isNotNull().alias("known"))
+
+
+@query
+def bce_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _logits(spark, sf_dir)
+    return rows.agg(F.round(losses.masked_mean(losses.bce(F.col("logit"), F.col("t"), 2.0), F.col("known")), 6).alias("loss"), F.count_if("known").alias("n"))
+
+
+@query
+def focal_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _logits(spark, sf_dir)
+    return rows.agg(F.round(losses.masked_mean(losses.focal(F.col("logit"), F.col("t")), F.col("known")), 6).alias("loss"), F.count_if("known").alias("n"))
+
+
+@query
+def batch_weighted_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = losses.batch_parts(_logits(spark, sf_dir), losses.bce(F.col("logit"), F.col("t")), F.col("known"))
+    return losses.combine_batches(parts).select(*_r("loss"), "n")
+
+
+@query
+def supcon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = b.table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 16).alias("batch"), F.col("vec_id").alias("item"), F.col("label").alias("grp"), F.col("embedding").alias("v"))
+    return losses.supcon(rows).select("batch", *_r("loss"), "anchors")
+
+
+@query
+def rack_ce_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = b.level_rows(spark, sf_dir)
+    loss = losses.level_cross_entropy(F.col("raw"), F.col("level"), F.col("rack_count"), F.col("floor_usable"), 0.1)
+    return rows.groupBy("model").agg(F.round(F.avg(loss), 6).alias("loss"), F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- decisions, reports
+
+
+def _decided(spark: SparkSession, sf_dir: str, device: str | None = None) -> DataFrame:
+    queries, refs = b.vectors(spark, sf_dir)
+    outputs = b.model_outputs(spark, sf_dir)
+    ovens = queries.join(outputs.where("is_oven_prob >= 0.5").select(F.col("item").alias("q_id")), "q_id", "left_semi")  # before the search
+    found = retrieval.match(ovens, refs, 10, b.TAU).withColumnRenamed("q_id", "item")
+    return decide.decide(outputs.join(found, "item", "left"), b.model_profile(spark, sf_dir), b.CONTAINERS[:2], b.ACCESSORIES[:2], device_model=device)
+
+
+def _flat(results: DataFrame) -> DataFrame:
+    return results.withColumns({c: F.array_join(c, ",") for c in ("container_type", "accessory_type")} | {"rack_level": F.col("rack_level").cast("double")})
+
+
+@query
+def decision_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(_decided(spark, sf_dir))
+
+
+@query
+def decision_known_device(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(_decided(spark, sf_dir, "M5"))
+
+
+@query
+def result_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decide.result_summary(_decided(spark, sf_dir))
+
+
+@query
+def pending_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decide.pending(_decided(spark, sf_dir)).select("item", "device_score")
+
+
+@query
+def json_props_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.expr("try_variant_get(try_parse_json(props), '$.k', 'bigint')")
+    return b.table(spark, sf_dir, "events").withColumn("k", k).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("sum_k"), F.count_if(F.col("k").isNull()).alias("n_missing"))
+
+
+@query
+def history_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = b.table(spark, sf_dir, "events").select(F.col("user_id").alias("epoch"), F.datediff(F.col("ts"), F.lit("2024-01-01").cast("date")).alias("seq"), F.col("event_type").alias("metric"), "value")
+    return report.upsert_history(rows.where("metric <> 'click'"), rows.where("metric = 'click'"))
+
+
+@query
+def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.lr_schedule(spark, 13_650, 455, 1e-3, 1e-6).select("step", *_r("lr", places=9))
+
+
+@query
+def best_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.datediff(F.col("ts"), F.lit("2024-01-01").cast("date")).cast("long")
+    history = b.table(spark, sf_dir, "events").groupBy(day.alias("epoch")).agg(F.round(F.avg("value"), 2).alias("score"), F.min("value").alias("loss"))
+    return report.best_epochs(history)
+
+
+@query
+def parity_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = b.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item"), F.col("c_mktsegment").alias("output"), F.col("c_acctbal").alias("value"))
+    other = rows.withColumn("value", F.floor(F.col("value") * 10) / 10)
+    return report.parity(rows, other, 0.05).select("output", *_r("max_abs"), "n_over", "n")
+
+
+@query
+def dir_eval_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = b.table(spark, sf_dir, "orders")
+    said = orders.select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.array(F.col("o_orderstatus"), F.col("o_orderpriority")).alias("both"))
+    truth = orders.where("o_totalprice > 1000").select("o_orderkey", F.when(F.col("o_custkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")).alias("status"), F.col("o_orderpriority").alias("priority"), F.array(F.col("o_orderpriority"), F.col("o_orderstatus")).alias("both"))
+    return report.field_accuracy(said, truth, ["status", "priority", "both"], "o_orderkey").select("field", "ok", "total", *_r("rate"))
