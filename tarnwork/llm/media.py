@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnwork.llm.common import arrow_batch, text_blocks
 
@@ -308,5 +309,6 @@ def sniff_media(df: DataFrame, content: str = "content", declared: str = "mime")
             new = [pa.array(types, pa.string()), pa.array(fixed, pa.bool_()), pa.array(carved, kind)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "media_type", "corrected", "carved"])
 
-    out = plain.withColumns({"media_type": F.lit("").cast("string"), "corrected": F.lit(True), "carved": F.expr("CAST(NULL AS ARRAY<STRUCT<offset: BIGINT, length: BIGINT, type: STRING>>)")})
-    return plain.mapInArrow(run, out.schema)
+    part = T.StructType().add("offset", "long").add("length", "long").add("type", "string")
+    schema = T.StructType([*plain.schema.fields]).add("media_type", "string").add("corrected", "boolean").add("carved", T.ArrayType(part))
+    return plain.mapInArrow(run, schema)
