@@ -66,7 +66,7 @@ def calibrate(rows: DataFrame, queries: DataFrame, refs: DataFrame, containers:
     precision target; tau real externals if there are any, else one group left out, else
     the default.
     """
-    scores = task_scores(rows, containers, accessories).where("cls NOT LIKE 'accessory_%'")
+    scores = task_scores(rows, containers, accessories).where(~F.col("cls").startswith("accessory_"))
     safe = F.col("cls").isin(*[f"container/{n}" for n in safety])
     default = config.default_threshold
     best = calibration.best_f1_threshold(scores.where(~safe), default, ["cls"]).withColumnRenamed("cls", "name")

@@ -22,7 +22,7 @@ def _some(**names: Column) -> Column:
 def brand_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A device profile of the brands; every seventh is missing."""
     brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("name")).distinct()
-    no = F.regexp_replace("name", "[^0-9]", "").cast("int")
+    no = F.regexp_replace("name", "[^0-9]", "").try_cast("int")
     supported = F.when(no % 3 == 1, F.array(F.lit("tray"))).when(no % 3 == 2, F.array(F.lit("tray"), F.lit("grill")))
     return brands.where(no % 7 != 0).select("name", (1 + no % 8).alias("rack_count"), (no % 2 == 0).alias("floor_usable"), F.concat(F.lit("G"), (no % 5).cast("string")).alias("cavity_group"), supported.alias("accessories"))
 

@@ -255,3 +255,15 @@ ORACLE_SQL["parity_diff"] = """WITH x AS (SELECT c_mktsegment AS output, abs(c_a
 ORACLE_SQL["dir_eval_accuracy"] = """WITH x AS (SELECT o_custkey % 5 <> 0 OR o_orderstatus = 'X' AS same FROM orders WHERE o_totalprice > 1000),
   y AS (SELECT 'status' AS field, same FROM x UNION ALL SELECT 'priority', true FROM x UNION ALL SELECT 'both', true FROM x)
   SELECT field, count(*) FILTER (WHERE same) AS ok, count(*) AS total, round(avg(same::INT), 6) AS rate FROM y GROUP BY field"""
+
+# ---------------------------------------------------------------- whole reports
+
+ORACLE_SQL["preflight_report"] = f"""WITH {ISSUES}, s AS (SELECT *, CASE WHEN l_orderkey % 10 < 8 THEN 'train' WHEN l_orderkey % 10 = 8 THEN 'val' ELSE 'test' END AS split FROM j),
+  f AS (SELECT sha256(text) AS h, CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'val' ELSE 'test' END AS split FROM documents),
+  c AS (SELECT 'label_errors' AS "check", count(*) FILTER (WHERE level = 'error') AS n, 0 AS lo, 0 AS hi FROM log
+    UNION ALL SELECT 'leaked_contents', count(*), 0, 0 FROM (SELECT h FROM f GROUP BY h HAVING count(DISTINCT split) > 1)
+    UNION ALL SELECT 'train_groups', count(DISTINCT cavity_group), 2, 1000000 FROM s WHERE split = 'train' AND is_oven AND in_profile
+    UNION ALL SELECT 'oven_kinds', count(DISTINCT is_oven), 2, 2 FROM s WHERE split = 'train'
+    UNION ALL SELECT 'food_values', count(DISTINCT food_exist), 2, 2 FROM s WHERE split = 'train'
+    UNION ALL SELECT 'models_unseen_in_train', count(*), 0, 0 FROM (SELECT DISTINCT device_model FROM s WHERE split = 'val' AND device_model IS NOT NULL EXCEPT SELECT device_model FROM s WHERE split = 'train'))
+  SELECT "check", n, n BETWEEN lo AND hi AS ok FROM c"""

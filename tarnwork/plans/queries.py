@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.functions import columns
 from tarnwork.functions.columns import first_argmax, level_mask, softmax
-from tarnwork.operators import calibration, decide, encode, losses, metrics, report, retrieval, rules, sampling, split
+from tarnwork.operators import calibration, decide, encode, evaluate, losses, metrics, report, retrieval, rules, sampling, split
 from tarnwork.operators.vectors import nearest
 from tarnwork.plans import bindings as b
 
@@ -419,3 +419,40 @@ def dir_eval_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = orders.select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.array(F.col("o_orderstatus"), F.col("o_orderpriority")).alias("both"))
     truth = orders.where("o_totalprice > 1000").select("o_orderkey", F.when(F.col("o_custkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")).alias("status"), F.col("o_orderpriority").alias("priority"), F.array(F.col("o_orderpriority"), F.col("o_orderstatus")).alias("both"))
     return report.field_accuracy(said, truth, ["status", "priority", "both"], "o_orderkey").select("field", "ok", "total", *_r("rate"))
+
+
+# ---------------------------------------------------------------- whole reports
+
+
+def _output_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model outputs of every embedding row with labels derived from its label number."""
+    n = F.col("label")
+    labels = b.table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("item"), (n != 9).alias("is_oven"), F.when(n != 3, n % 2 == 0).alias("food_exist"),
+        F.when(n != 4, F.array_compact(F.array(F.when(n % 3 == 0, "glass"), F.when(n % 4 == 1, "metal")))).alias("container"),
+        F.when(n != 5, F.array_compact(F.array(F.when(n % 3 == 1, "tray"), F.when(n % 4 == 2, "grill")))).alias("accessory"),
+        (n < 8).alias("device_known"), F.concat(F.lit("M"), n.cast("string")).alias("name"),
+    )
+    spec = b.model_profile(spark, sf_dir).select("name", "rack_count", "floor_usable")
+    rows = labels.join(b.model_outputs(spark, sf_dir), "item").join(spec, "name", "left")
+    return rows.withColumn("rack_level", F.when(F.col("device_known"), 1 + (F.col("item") % F.col("rack_count")).cast("int")))
+
+
+@query
+def full_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, facts = _output_rows(spark, sf_dir), _facts(spark, sf_dir)
+    levels = evaluate.known_levels(rows).select("item", (F.col("pred") == F.col("level")).alias("rack_ok"))
+    cascade = levels.join(facts.select(F.col("q_id").alias("item"), F.col("correct").alias("device_ok")), "item").select("device_ok", (F.col("rack_ok") & F.col("device_ok")).alias("rack_ok"))
+    return evaluate.evaluate(rows, facts, cascade, b.CONTAINERS[:2], b.ACCESSORIES[:2]).select("metric", *_r("value"))
+
+
+@query
+def calibrate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.calibrate(_output_rows(spark, sf_dir), *b.vectors(spark, sf_dir), b.CONTAINERS[:2], b.ACCESSORIES[:2], ("metal",)).select("name", *_r("threshold"), "source")
+
+
+@query
+def preflight_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share = F.when(F.col("l_orderkey") % 10 < 8, "train").when(F.col("l_orderkey") % 10 == 8, "val").otherwise("test")
+    docs = b.table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 10 < 8, "train").when(F.col("doc_id") % 10 == 8, "val").otherwise("test").alias("split"))
+    return evaluate.preflight(b.item_labels(spark, sf_dir).withColumn("split", share), b.brand_profile(spark, sf_dir), docs, "doc_id", "text")

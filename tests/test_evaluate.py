@@ -35,6 +35,7 @@ def test_calibrate(spark):
     got = {r["name"]: (r["threshold"], r["source"]) for r in evaluate.calibrate(frame(spark), q, refs, *args).collect()}
     assert got["tau"] == (pytest.approx(0.4), "external")
     assert got["food"] == (pytest.approx(0.45), "max_f1") and got["container/metal"] == (0.5, "recall_target") and got["is_oven"][1] == "max_f1"
+    assert {"accessory/tray", "accessory/grill"} < set(got) and len(got) == 8
     assert got["rack_conf"][1] == "default(target_unreachable)"
     alone = evaluate.calibrate(frame(spark), q.where("NOT external"), refs, *args).where("name = 'tau'").first()
     assert (alone["threshold"], alone["source"]) == (0.5, "default")
