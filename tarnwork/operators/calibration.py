@@ -49,9 +49,11 @@ def choose_tau(scores: DataFrame) -> DataFrame:
     b = blocks(scores.select(F.col("s").alias("score"), F.col("inside").alias("target")))
     ins, outs = F.col("n_pos"), F.col("n_all") - F.col("n_pos")
     tau = F.coalesce((F.col("score") + F.col("lower")) / 2, F.col("score") - 1e-4)
-    below = b.where((ins > 0) & (outs > 0)).select(tau.alias("tau"), (F.col("tp") / ins).alias("acc"), (1 - (F.col("n") - F.col("tp")) / outs).alias("rej"), ins.alias("n_in"), outs.alias("n_out"))
-    over = b.where((F.col("n") == F.col("n_here")) & (ins > 0) & (outs > 0)).select((F.col("score") + 1e-4).alias("tau"), F.lit(0.0).alias("acc"), F.lit(1.0).alias("rej"), ins.alias("n_in"), outs.alias("n_out"))
-    best = below.unionByName(over).select("tau", F.round((F.col("acc") + F.col("rej")) / 2, 12).alias("balanced_acc"), F.col("acc").alias("in_accept_rate"), F.col("rej").alias("out_reject_rate"), "n_in", "n_out")
+    candidate = lambda t, acc, rej: F.struct(t.alias("tau"), acc.alias("acc"), rej.alias("rej"), ins.alias("n_in"), outs.alias("n_out"))
+    here = candidate(tau, F.col("tp") / ins, 1 - (F.col("n") - F.col("tp")) / outs)
+    over = F.when(F.col("n") == F.col("n_here"), candidate(F.col("score") + 1e-4, F.lit(0.0), F.lit(1.0)))  # beyond the highest
+    tries = b.where((ins > 0) & (outs > 0)).select(F.inline(F.array_compact(F.array(here, over))))
+    best = tries.select("tau", F.round((F.col("acc") + F.col("rej")) / 2, 12).alias("balanced_acc"), F.col("acc").alias("in_accept_rate"), F.col("rej").alias("out_reject_rate"), "n_in", "n_out")
     return best.orderBy(F.desc("balanced_acc"), "tau").limit(1)
 
 
