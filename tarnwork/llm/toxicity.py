@@ -98,16 +98,27 @@ class Dictionaries:
 
 
 def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Dictionaries:
-    docs = {1: [set(words_of(x)) for x in toxic], 0: [set(words_of(x)) for x in ordinary]}
-    words = {y: Counter(w for d in docs[y] for w in d) for y in docs}
-    heads = {y: Counter(p for d in docs[y] for p in _prefixes(d)) for y in docs}
+    words, heads = {1: Counter(), 0: Counter()}, {1: Counter(), 0: Counter()}
+    for text in toxic:
+        found = set(words_of(text))
+        words[1].update(found)
+        heads[1].update(_prefixes(found))
+    heads[1] = Counter({p: k for p, k in heads[1].items() if k > 1})  # one document is no evidence
+    for text in ordinary:
+        found = set(words_of(text))
+        words[0].update(found)
+        heads[0].update(p for p in _prefixes(found) if p in heads[1])
     share = len(toxic) / (len(toxic) + len(ordinary))
 
-    def excess(p: bytes) -> float:
-        k, n = heads[1][p], heads[1][p] + heads[0][p]
-        return (k - n * share) / math.sqrt(n * share * (1 - share))
+    def excess(w: bytes) -> float:
+        best = -math.inf
+        for n in range(4, min(len(w), 12) + 1):
+            if k := heads[1].get(w[:n]):
+                n_all = k + heads[0][w[:n]]
+                best = max(best, (k - n_all * share) / math.sqrt(n_all * share * (1 - share)))
+        return best
 
-    ranked = [(max(excess(w[:n]) for n in range(4, min(len(w), 12) + 1)), k, w) for w, k in words[1].items()]
+    ranked = [(excess(w), k, w) for w, k in words[1].items()]
     bad = [w for z, _, w in sorted(ranked, reverse=True)[:ENTRIES] if z >= Z]
     begin, known = {w[:4] for w in bad}, set(bad)
     common = sorted(words[0].items(), key=lambda x: (-x[1], x[0]))
