@@ -212,6 +212,8 @@ def test_disclosing_terms_and_rewriting(spark):
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
     assert clean[5] == rows[5][1] and "Zarathustra" not in clean[100] and "<EMAIL>" in clean[100] and clean[100].endswith("\n" + filler)
     assert pii.sanitise(docs).columns == docs.columns
+    twice = spark.createDataFrame([(1, "a@b.cc x"), (1, "x a@b.cc"), (None, "+1 (555) 123-4567"), (2, None)], DOCS)
+    assert sorted(r["text"] or "" for r in pii.sanitise(twice).collect()) == ["", "<EMAIL> x", "<PHONE>", "x <EMAIL>"]
     assert pii.span_report(spark.createDataFrame([], DOCS)).count() == 0
 
 
