@@ -9,8 +9,9 @@ one shingle are K neighbouring entries of ``pi``.
 Plan: one Arrow pass makes set fingerprint and band keys; equal sets collapse to
 their smallest doc_id; bands give buckets; each document is first compared with one
 leader of its buckets, and after components are known only members of *different*
-components that share a bucket are still compared. Every link is confirmed on the
-full shingle sets. No bucket is expanded to pairs of documents already known to be
+components that share a bucket are still compared, and of those only the ones whose
+bitmaps leave room for the similarity (an upper bound, so no link is lost). Every link
+is confirmed on the full shingle sets. No bucket is expanded to pairs of documents already known to be
 connected, so a large group of near copies costs one comparison a document.
 
 Edge cases: null or word-less text has an empty set, links with nothing and is kept.
@@ -26,16 +27,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwork.llm.common import IS_SPACE, LOWER, SpanHash, arrow_batch, connected_components, drop_table, mix, text_blocks, write_table
 
 UNIVERSE = 1 << 20
-BANDS, ROWS = 24, 3  # a pair at 0.75 shares no band with probability (1 - 0.75**3)**24, 2e-6
+BANDS, ROWS = 50, 5  # a pair at 0.75 shares no band with probability (1 - 0.75**5)**50, 1e-6
 
 _SIGNATURE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary()), ("bands", pa.list_(pa.int64()))])
-_SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary()), ("sketch", pa.list_(pa.int64()))])
+SKETCH = 16  # 64-bit words of the bitmap that bounds intersections from above
 
 
 class CirculantMinHash:
@@ -106,11 +108,28 @@ def _signature_pass(words: int, bands: int, rows: int):
 def _set_pass(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield arrow_batch(_SETS, [batch.column(0), [s.tobytes() for _, s in shingle_sets(batch, words)]])
+            sets = [s for _, s in shingle_sets(batch, words)]
+            yield arrow_batch(_SETS, [batch.column(0), [s.tobytes() for s in sets], [bitmap(s) for s in sets]])
 
     return run
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """One bit a shingle. A bit set in x but not in y is a shingle that y lacks, so
+    |x and y| <= |x| - popcount(x & ~y), whatever collides."""
+    out = np.zeros(SKETCH, dtype=np.uint64)
+    bit = (shingles >> np.uint64(40)) & np.uint64(64 * SKETCH - 1)
+    np.bitwise_or.at(out, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out.view(np.int64)
+
+
+def _can_reach(percent: int, na: str, nb: str, a: str, b: str) -> Column:
+    """Whether the bitmaps leave room for the wanted similarity: never false for a link."""
+    both = " + ".join(f"bit_count({a}[{i}] & {b}[{i}])" for i in range(SKETCH))
+    most = f"least({na} - p{a}, {nb} - p{b}) + {both}"  # p: bits set in each
+    return F.expr(f"(100 + {percent}) * ({most}) >= {percent} * ({na} + {nb})")
+
+
 def _confirm(percent: int):
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -144,7 +163,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     members = write_table(keyed.join(shared, "h"), "minhash-buckets")
 
     wanted = members.select("doc_id").distinct()
-    sets = write_table(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_pass(words), "doc_id long, shingles binary"), "minhash-sets")
+    sets = write_table(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_pass(words), "doc_id long, shingles binary, sketch array<long>"), "minhash-sets")
     size = members.select("doc_id", "n_shingles").distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -170,9 +189,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
         mixed = here.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.struct("root", "doc_id", "n_shingles")).alias("z")).where("r0 <> r1")
         open_ = here.join(mixed.select("h", "z"), "h")
         if final:
-            x = open_.select("h", F.col("doc_id").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"))
-            y = open_.select("h", F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"))
-            pairs = x.join(y, "h").where(F.col("ra") < F.col("rb")).where(fits("na", "nb")).select("a", "b").distinct()
+            open_ = open_.join(sets.select("doc_id", "sketch"), "doc_id")
+            bits = F.expr(" + ".join(f"bit_count(sketch[{i}])" for i in range(SKETCH)))
+            x = open_.select("h", F.col("doc_id").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"), bits.alias("psa"))
+            y = open_.select("h", F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"), bits.alias("psb"))
+            near = fits("na", "nb") & _can_reach(percent, "na", "nb", "sa", "sb")
+            pairs = x.join(y, "h").where(F.col("ra") < F.col("rb")).where(near).select("a", "b").distinct()
         else:
             pairs = (
                 open_.where(F.col("root") != F.col("z.root")).where(fits("n_shingles", "z.n_shingles"))
