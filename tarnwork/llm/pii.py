@@ -9,8 +9,8 @@ context. Over all documents, with n(.) the number of documents,
 
 and a term whose PMI reaches ``generalise`` of the information content of e gives that
 share of e away: it becomes a ``term`` span near e and is generalised; from ``remove``
-on it is taken out. A term needs ``support`` different contexts with e, so that copies
-of one passage disclose nothing.
+on it is taken out. Every pair is judged by its document counts alone: one joint document
+is evidence enough, and so are many copies of one passage.
 
 Everything is DataFrame functions. Positions come from lengths: the pieces between
 matches (``split``) and the matches (``regexp_extract_all``) interleave. Patterns start
@@ -132,7 +132,7 @@ def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return seen.groupBy("t").agg(F.count("*").alias("n_t")).join(terms, "t", "left_semi")
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float, remove: float, support: int) -> DataFrame:
+def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float, remove: float) -> DataFrame:
     """(doc_id, start, end, gone): term spans near the entities that they disclose."""
     near = found.where("doc_id IS NOT NULL").select("doc_id", "spans", F.explode("contexts").alias("c"))
     near = near.select("doc_id", "spans", "c.e", "c.ctx", F.explode("c.parts").alias("p"))
@@ -143,8 +143,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float, remov
     near = write_table(near.where(~inside).drop("spans"), "pii-context")
 
     pairs = near.groupBy("t", "e", "ctx", "doc_id").agg(F.lit(1).alias("one")).groupBy("t", "e", "ctx").agg(F.count("*").alias("n"))
-    pairs = pairs.groupBy("t", "e").agg(F.count("*").alias("n_ctx"), F.sum("n").alias("n_te")).where(F.col("n_ctx") >= support)
-    pairs = write_table(pairs, "pii-pairs")
+    pairs = write_table(pairs.groupBy("t", "e").agg(F.sum("n").alias("n_te")), "pii-pairs")
     n_docs = docs.where("doc_id IS NOT NULL").count()
     n_e = found.where("doc_id IS NOT NULL").select("doc_id", F.explode(F.array_distinct("contexts.e")).alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
     n_t = document_frequency(docs, pairs.select("t").distinct())
@@ -154,9 +153,9 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float, remov
     return near.join(told, ["t", "e"]).groupBy("doc_id", "start", "end").agg(F.max("gone").alias("gone"))
 
 
-def term_spans(docs: DataFrame, found: DataFrame, generalise: float = 0.75, remove: float = 0.95, support: int = 2) -> DataFrame:
+def term_spans(docs: DataFrame, found: DataFrame, generalise: float = 0.75, remove: float = 0.95) -> DataFrame:
     """(doc_id, terms) of the documents that have disclosing terms."""
-    terms = disclosing_terms(docs, found, generalise, remove, support)
+    terms = disclosing_terms(docs, found, generalise, remove)
     one = F.struct("start", F.lit(4).alias("kind"), "end", F.when(F.col("gone"), "gone").otherwise("kept").alias("value"))
     return terms.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("terms"))
 

@@ -217,6 +217,16 @@ def test_disclosing_terms_and_rewriting(spark):
     assert pii.span_report(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_one_context_is_enough(spark):
+    filler = "some words that everybody uses about nothing in particular"
+    passage = f"Zarathustra wrote to z@mail.example.com\n{filler}"
+    for copies in (1, 60):
+        rows = [(i, f"{filler} {i}") for i in range(100)] + [(100 + i, passage) for i in range(copies)]
+        clean = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, DOCS)).collect()}
+        assert all("Zarathustra" not in clean[100 + i] and clean[100 + i].endswith(" <EMAIL>\n" + filler) for i in range(copies))
+        assert all(clean[i] == t for i, t in rows[:100])
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "a@b.cc")], DOCS)
     plan = pii.find_base(docs)._jdf.queryExecution().toString()
