@@ -2,15 +2,18 @@
 
 Base spans are leftmost non-overlapping pattern matches of each kind, kept if they
 validate. On top of these, information-theoretic sanitisation: every found value is a
-protected entity e; terms within ``WINDOW`` code points of it, on the same line, are its
-context. Over all documents, with n(.) the number of documents,
+protected entity e, and every word of three letters or more of a document that holds e is
+a term t met with it, on whatever line and at whatever distance. Over all documents, with
+n(.) the number of documents,
 
     PMI(t; e) = ln(n(t, e) * N / (n(t) * n(e))),   IC(e) = ln(N / n(e)),
 
 and a term whose PMI reaches ``generalise`` of the information content of e gives that
-share of e away: it becomes a ``term`` span near e and is generalised; from ``remove``
-on it is taken out. Every pair is judged by its document counts alone: one joint document
-is evidence enough, and so are many copies of one passage.
+share of e away: in every document that holds e, all its occurrences outside base spans
+become ``term`` spans and are generalised; from ``remove`` on they are taken out. Every
+pair is judged by its document counts alone: one joint document is evidence enough, and
+so are many copies of one passage. As n(t, e) <= n(e), only terms with
+n(t) <= N * (n(e) / N) ** generalise can reach the share; others make no pair.
 
 Everything is DataFrame functions. Positions come from lengths: the pieces between
 matches (``split``) and the matches (``regexp_extract_all``) interleave. Patterns start
@@ -20,8 +23,8 @@ runs from costing quadratic time or deep recursion.
 
 Edge cases: a null or empty text has no spans (its digest is that of the empty string).
 Overlapping spans of several kinds are all reported; rewriting replaces their union
-once. Rows that repeat a doc_id count as one document and share term spans. A null
-doc_id has base spans only. Extra columns pass through :func:`sanitise`.
+once. Rows that repeat a doc_id count as one document and share its disclosing terms. A
+null doc_id has base spans only. Extra columns pass through :func:`sanitise`.
 """
 
 from __future__ import annotations
@@ -32,8 +35,6 @@ from pyspark.sql import functions as F
 from tarnwork.llm.common import text_or_empty, write_table
 
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW = 200
-BROADCAST_TERMS = 100_000  # terms of some tens of bytes: a few MB at most
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _PATTERN = {
@@ -42,7 +43,7 @@ _PATTERN = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_WORD = r"[\p{L}\p{N}]+"
+_WORD, _GAP = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -94,77 +95,66 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
-def _contexts(text: Column, spans: Column) -> Column:
-    """Of each span: its entity, and the text around it on its line with where that starts."""
+def _is_term(w: Column) -> Column:
+    return w.rlike(r"^\p{L}") & (F.length(w) >= 3)
 
-    def around(s: Column) -> Column:
-        left_at = F.greatest(s["start"] - WINDOW, F.lit(0))
-        left = F.regexp_extract(F.substring(text, left_at + 1, s["start"] - left_at), r"[^\n]*$", 0)
-        left = F.when((left_at > 0) & (F.length(left) == WINDOW), F.regexp_replace(left, r"^[\p{L}\p{N}]+", "")).otherwise(left)
-        right = F.regexp_extract(F.substring(text, s["end"] + 1, F.lit(WINDOW)), r"^[^\n]*", 0)
-        right = F.when(F.length(right) == WINDOW, F.regexp_replace(right, r"[\p{L}\p{N}]+$", "")).otherwise(right)
-        entity = F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"]))
-        return F.struct(
-            F.xxhash64(entity).alias("e"), F.xxhash64(left, right).alias("ctx"),
-            F.array(F.struct((s["start"] - F.length(left)).alias("at"), left.alias("part")), F.struct(s["end"].alias("at"), right.alias("part"))).alias("parts"),
-        )
 
-    return F.transform(spans, around)
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text; each word is lower-cased by itself, as in its span."""
+    return F.array_distinct(F.transform(F.filter(F.array_distinct(F.split(text, _GAP)), _is_term), F.lower))
 
 
 def find_base(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans, contexts) of every row; the one pass over the texts."""
+    """(doc_id, spans, entities, terms) of every row; terms only where spans are."""
     text = text_or_empty()
     one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("string").alias("text")).withColumn("spans", base_spans(F.col("text")))
-    return one.select("doc_id", "spans", _contexts(F.col("text"), F.col("spans")).alias("contexts"))
-
-
-def _is_term(w: Column) -> Column:
-    return w.rlike(r"^\p{L}") & (F.length(w) >= 3)
-
+    entity = F.array_distinct(F.transform("spans", lambda s: F.xxhash64(F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"])))))
+    terms = F.when(F.size("spans") > 0, _terms(F.col("text"))).otherwise(F.expr("CAST(array() AS array<string>)"))
+    return one.select("doc_id", "spans", entity.alias("entities"), terms.alias("terms"))
 
-def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(t, n_t): in how many documents, of all, each of ``terms`` occurs."""
-    words = F.filter(F.array_distinct(F.split(F.lower(text_or_empty()), r"[^\p{L}\p{N}]+")), lambda w: F.length(w) >= 3)
-    seen = docs.where("doc_id IS NOT NULL").select(F.explode(words).alias("t"))
-    if terms.count() <= BROADCAST_TERMS:
-        return seen.join(F.broadcast(terms), "t", "left_semi").groupBy("t").agg(F.count("*").alias("n_t"))
-    return seen.groupBy("t").agg(F.count("*").alias("n_t")).join(terms, "t", "left_semi")
 
+def document_frequency(docs: DataFrame) -> DataFrame:
+    """(t, n_t): in how many documents each term occurs."""
+    seen = docs.where("doc_id IS NOT NULL").select(F.explode(_terms(text_or_empty())).alias("t"))
+    return seen.groupBy("t").agg(F.count("*").alias("n_t"))
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float, remove: float) -> DataFrame:
-    """(doc_id, start, end, gone): term spans near the entities that they disclose."""
-    near = found.where("doc_id IS NOT NULL").select("doc_id", "spans", F.explode("contexts").alias("c"))
-    near = near.select("doc_id", "spans", "c.e", "c.ctx", F.explode("c.parts").alias("p"))
-    words = _positions(F.col("p.part"), _WORD, _is_term, 4)
-    near = near.select("doc_id", "spans", "e", "ctx", "p.at", F.explode(words).alias("w"))
-    near = near.select("doc_id", "e", "ctx", F.lower("w.value").alias("t"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"), "spans")
-    inside = F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    near = write_table(near.where(~inside).drop("spans"), "pii-context")
 
-    pairs = near.groupBy("t", "e", "ctx", "doc_id").agg(F.lit(1).alias("one")).groupBy("t", "e", "ctx").agg(F.count("*").alias("n"))
-    pairs = write_table(pairs.groupBy("t", "e").agg(F.sum("n").alias("n_te")), "pii-pairs")
+def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = 0.75, remove: float = 0.95) -> DataFrame:
+    """(doc_id, told): the terms that disclose an entity of the document, each with whether it goes."""
+    known = found.where("doc_id IS NOT NULL AND size(spans) > 0")
     n_docs = docs.where("doc_id IS NOT NULL").count()
-    n_e = found.where("doc_id IS NOT NULL").select("doc_id", F.explode(F.array_distinct("contexts.e")).alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
-    n_t = document_frequency(docs, pairs.select("t").distinct())
+    held = known.select("doc_id", F.explode("entities").alias("e")).distinct()
+    n_e = held.groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") < n_docs)
+    # the largest n_t with which a pair can reach the share, with room for rounding
+    most = F.lit(float(n_docs)) * F.pow(F.col("n_e") / F.lit(float(n_docs)), F.lit(generalise)) * (1 + 1e-9)
+    held = write_table(held.join(n_e.withColumn("most", most), "e"), "pii-entities")
+    top = held.agg(F.max("most")).first()[0] or 0.0
+    near = known.select("doc_id", F.explode("terms").alias("t")).distinct()
+    near = near.join(document_frequency(docs).where(F.col("n_t") <= top), "t")
+    near = write_table(near.join(held, "doc_id").where(F.col("n_t") <= F.col("most")).drop("most"), "pii-pairs")
+
+    n_te = near.groupBy("t", "e").agg(F.count("*").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
     share = F.log(F.col("n_te") * F.lit(float(n_docs)) / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(n_docs)) / F.col("n_e"))
-    told = pairs.join(n_t, "t").join(n_e, "e").where(F.col("n_e") < n_docs).withColumn("share", share).where(F.col("share") >= generalise)
-    told = told.select("t", "e", (F.col("share") >= remove).alias("gone"))
-    return near.join(told, ["t", "e"]).groupBy("doc_id", "start", "end").agg(F.max("gone").alias("gone"))
-
-
-def term_spans(docs: DataFrame, found: DataFrame, generalise: float = 0.75, remove: float = 0.95) -> DataFrame:
-    """(doc_id, terms) of the documents that have disclosing terms."""
-    terms = disclosing_terms(docs, found, generalise, remove)
-    one = F.struct("start", F.lit(4).alias("kind"), "end", F.when(F.col("gone"), "gone").otherwise("kept").alias("value"))
-    return terms.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("terms"))
+    told = n_te.withColumn("share", share).where(F.col("share") >= generalise).select("t", "e", (F.col("share") >= remove).alias("gone"))
+    told = near.select("doc_id", "t", "e").join(told, ["t", "e"]).groupBy("doc_id", "t").agg(F.max("gone").alias("gone"))
+    return told.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("t", "gone"))).alias("told"))
+
+
+def _with_spans(docs: DataFrame, base: str, terms: str, **options) -> DataFrame:
+    """``docs`` with the spans of each row: its own base spans, and its document's terms in its own text."""
+    told = disclosing_terms(docs, write_table(find_base(docs), "pii-base"), **options).withColumnRenamed("doc_id", "__id")
+    both = docs.join(told, docs["doc_id"].cast("long") == F.col("__id"), "left").withColumn(base, base_spans(text_or_empty()))
+    words = _positions(text_or_empty(), _WORD, lambda w: _is_term(w) & F.map_contains_key("told", F.lower(w)), 4)
+    words = F.filter(words, lambda w: ~F.exists(base, lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])))
+    words = F.transform(words, lambda w: F.struct(w["start"].alias("start"), w["kind"].alias("kind"), w["end"].alias("end"), F.when(F.element_at("told", F.lower(w["value"])), "gone").otherwise("kept").alias("value")))
+    none = F.expr(f"CAST(array() AS {_SPAN})")
+    return both.withColumn(terms, F.when(F.col("told").isNotNull(), words).otherwise(none)).drop("__id", "told")
 
 
 def find_spans(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, base, terms) of every row; base and terms are arrays of spans."""
-    found = write_table(find_base(docs), "pii-base")
-    out = found.select("doc_id", F.col("spans").alias("base")).join(term_spans(docs, found, **options), "doc_id", "left")
-    return out.select("doc_id", "base", F.coalesce("terms", F.expr(f"CAST(array() AS {_SPAN})")).alias("terms"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _with_spans(plain, "base", "terms", **options).select("doc_id", "base", "terms")
 
 
 def spelled(spans: Column) -> Column:
@@ -184,12 +174,8 @@ def span_report(docs: DataFrame, **options) -> DataFrame:
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every span in ``text`` generalised to its kind or removed."""
-    plain = docs.drop("__id", "__terms", "__spans").withColumn("text", F.col("text").cast("string"))
-    terms = term_spans(plain, write_table(find_base(plain), "pii-base"), **options)
-    terms = terms.select(F.col("doc_id").alias("__id"), F.col("terms").alias("__terms"))
-    both = plain.join(terms, plain["doc_id"].cast("long") == F.col("__id"), "left")
-    # A row's base spans are its own; terms are its document's.
-    both = both.withColumn("__spans", F.array_sort(F.concat(base_spans(text_or_empty()), F.coalesce("__terms", F.expr(f"CAST(array() AS {_SPAN})")))))
+    plain = docs.drop("__id", "__base", "__terms", "told").withColumn("text", F.col("text").cast("string"))
+    both = _with_spans(plain, "__base", "__terms", **options).withColumn("__spans", F.array_sort(F.concat("__base", "__terms")))
     every = F.col("__spans")
     label = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

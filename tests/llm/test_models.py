@@ -227,6 +227,16 @@ def test_one_context_is_enough(spark):
         assert all(clean[i] == t for i, t in rows[:100])
 
 
+def test_terms_across_lines_and_far_away(spark):
+    filler = "some words that everybody uses about nothing in particular\n"
+    rows = [(i, f"{filler * 30}{i}") for i in range(60)]
+    rows += [(100, f"Zarathustra\nz@mail.example.com\n{filler * 30}Quxington, ZARATHUSTRA"), (101, f"{filler}Zarathustra")]
+    docs = spark.createDataFrame(rows, DOCS)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs, remove=2.0).collect()}
+    assert clean[100] == f"<TERM>\n<EMAIL>\n{filler * 30}<TERM>, <TERM>"
+    assert all(clean[i] == t for i, t in rows if i != 100)
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "a@b.cc")], DOCS)
     plan = pii.find_base(docs)._jdf.queryExecution().toString()
