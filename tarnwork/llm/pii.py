@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from tarnwork.llm.common import text_or_empty, write_table
 
 KINDS = ("email", "ip", "card", "phone", "term")
+BROADCAST_IDS = 100_000  # repeated doc_ids: a few MB at most
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _PATTERN = {
@@ -113,24 +114,36 @@ def find_base(docs: DataFrame) -> DataFrame:
     return one.select("doc_id", "spans", entity.alias("entities"), terms.alias("terms"))
 
 
-def document_frequency(docs: DataFrame) -> DataFrame:
-    """(t, n_t): in how many documents each term occurs."""
-    seen = docs.where("doc_id IS NOT NULL").select(F.explode(_terms(text_or_empty())).alias("t"))
-    return seen.groupBy("t").agg(F.count("*").alias("n_t"))
+def _by_document(rows: DataFrame, again: DataFrame | None) -> DataFrame:
+    """(doc_id, t) of the terms of ``rows``, once a document; ``again``: the doc_ids of several rows."""
+    def terms(some: DataFrame) -> DataFrame:
+        return some.select("doc_id", F.explode(_terms(text_or_empty())).alias("t"))
+
+    if again is None:
+        return terms(rows)
+    return terms(rows.join(again, "doc_id", "left_anti")).unionAll(terms(rows.join(again, "doc_id", "left_semi")).distinct())
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = 0.75, remove: float = 0.95) -> DataFrame:
     """(doc_id, told): the terms that disclose an entity of the document, each with whether it goes."""
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids = write_table(rows.groupBy("doc_id").agg(F.count("*").alias("n")), "pii-ids")
+    n_docs, n_again = ids.agg(F.count("*"), F.count_if(F.col("n") > 1)).first()
+    again = ids.where("n > 1").select("doc_id") if n_again else None
+    if again is not None and n_again <= BROADCAST_IDS:
+        again = F.broadcast(again)
     known = found.where("doc_id IS NOT NULL AND size(spans) > 0")
-    n_docs = docs.where("doc_id IS NOT NULL").count()
     held = known.select("doc_id", F.explode("entities").alias("e")).distinct()
     n_e = held.groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") < n_docs)
     # the largest n_t with which a pair can reach the share, with room for rounding
     most = F.lit(float(n_docs)) * F.pow(F.col("n_e") / F.lit(float(n_docs)), F.lit(generalise)) * (1 + 1e-9)
     held = write_table(held.join(n_e.withColumn("most", most), "e"), "pii-entities")
     top = held.agg(F.max("most")).first()[0] or 0.0
-    near = known.select("doc_id", F.explode("terms").alias("t")).distinct()
-    near = near.join(document_frequency(docs).where(F.col("n_t") <= top), "t")
+    near = known.select("doc_id", F.explode("terms").alias("t"))
+    if again is not None:  # rows without spans add to the terms of their document
+        near = near.unionAll(_by_document(rows.join(again, "doc_id", "left_semi"), again)).distinct()
+    n_t = _by_document(rows, again).groupBy("t").agg(F.count("*").alias("n_t"))
+    near = near.join(n_t.where(F.col("n_t") <= top), "t")
     near = write_table(near.join(held, "doc_id").where(F.col("n_t") <= F.col("most")).drop("most"), "pii-pairs")
 
     n_te = near.groupBy("t", "e").agg(F.count("*").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))

@@ -237,6 +237,36 @@ def test_terms_across_lines_and_far_away(spark):
     assert all(clean[i] == t for i, t in rows if i != 100)
 
 
+def test_term_spans_equal_brute_force(spark):
+    rng = random.Random(5)
+    mails = [f"m{k}@mail.zz" for k in range(6)]
+    vocab = [f"{a}ord{b}" for a in "bcdfghjklm" for b in "aeiou"]
+    rows = []
+    for i in range(120):
+        words = rng.choices(vocab, weights=[1 / (k + 1) for k in range(50)], k=rng.randint(1, 12))
+        for _ in range(rng.choice([0, 0, 1, 4])):  # an entity may come several times, in different contexts
+            words.insert(rng.randrange(len(words) + 1), rng.choice(mails[: rng.randint(1, 6)]))
+        rows.append((i - i % 10 // 9, " ".join(words)))  # every tenth row repeats the doc_id before it
+    rows += [(500, "Repeated\n" + "\nlorda x q@mail.zz".join(vocab)), (501, None)]
+    docs, held, has = {i for i, _ in rows}, {}, {}
+    for i, t in rows:
+        for e in re.findall(PATTERNS["email"].replace("(", "(?:"), t or ""):
+            held.setdefault(e, set()).add(i)
+        for w in re.findall("[A-Za-z0-9]+", t or ""):
+            if len(w) >= 3 and w[0].isalpha():
+                has.setdefault(w.lower(), set()).add(i)
+    log = np.log
+    told = {(i, t) for e, d in held.items() for t, h in has.items() if d & h and log(len(d & h) * len(docs) / len(h) / len(d)) / log(len(docs) / len(d)) >= 0.75 for i in d & h}
+    want = []
+    for i, t in rows:
+        base = [m.span() for m in re.finditer(PATTERNS["email"], t or "")]
+        words = [m for m in re.finditer("[A-Za-z0-9]+", t or "") if (i, m.group().lower()) in told]
+        want.append((i, [(m.start(), m.end()) for m in words if not any(a < m.end() and b > m.start() for a, b in base)]))
+    got = pii.find_spans(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r["doc_id"], [(s["start"], s["end"]) for s in r["terms"]]) for r in got) == sorted(want)
+    assert 0 < sum(len(s) for _, s in want) < sum(len((t or "").split()) for _, t in rows) / 2
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "a@b.cc")], DOCS)
     plan = pii.find_base(docs)._jdf.queryExecution().toString()
