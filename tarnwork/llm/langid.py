@@ -2,7 +2,7 @@
 
 Four kinds of evidence about a page's language l are multiplied:
   - text: byte-trigram likelihood of the visible text, tempered, from a naive Bayes model
-    fitted on a bounded sample of labelled documents;
+    fitted on a bounded sample of the documents of every label;
   - markup: P(declared lang | l), for ``<html lang>`` or its ``xml:lang``;
   - address: P(suffix | l), for the host's last label;
   - host: P(l | host), smoothed hierarchically host -> registered domain -> corpus.
@@ -15,24 +15,25 @@ join back is an equi join that the adaptive skew join can split.
 Edge cases: a null or empty html leaves address, markup and host evidence; a null url
 has host, domain and suffix "". Ties go to the first language in code-point order. No
 labelled document gives an empty language set: lang is null. Rows that repeat a page_id
-are separate pages. Extra columns are ignored.
+are separate pages; of labelled rows that repeat a doc_id the smallest text counts. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.llm.common import write_table
 
 SAMPLE = 500  # documents a language
-LANGUAGES = 200  # at most, the most frequent
+ADD = 0.1  # to the count of every trigram
 TEMPER = 0.05
 SMOOTH = 5.0
 
@@ -53,25 +54,43 @@ def trigrams(raw: bytes) -> np.ndarray:
 
 
 class TextModel:
-    def __init__(self, samples: dict[str, list[bytes]]):
-        self.langs = sorted(samples)
-        counts = np.stack([sum((trigrams(t) for t in samples[c]), np.zeros(1 << 16)) for c in self.langs]) + 0.1 if self.langs else np.zeros((0, 1 << 16))
-        self.log = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32) if self.langs else counts
+    """Naive Bayes over the trigrams; only those that a language has take memory.
+
+    ``samples``: (language, text) pairs in order of language.
+    """
+
+    def __init__(self, samples: Iterable[tuple[str, bytes]]):
+        self.langs, grams, gains, missing = [], [], [], []
+        for lang, texts in groupby(samples, key=lambda s: s[0]):
+            counts = sum((trigrams(t) for _, t in texts), np.zeros(1 << 16))
+            seen = np.flatnonzero(counts)
+            self.langs.append(lang)
+            grams.append(seen.astype(np.uint16))
+            gains.append(np.log1p(counts[seen] / ADD).astype(np.float32))  # above a trigram of count 0
+            missing.append(np.log(ADD / (counts.sum() + ADD * len(counts))))
+        gram = np.concatenate([np.zeros(0, np.uint16), *grams])
+        order = np.argsort(gram, kind="stable")
+        self.start = np.searchsorted(gram[order], np.arange((1 << 16) + 1))
+        self.lang = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])[order]
+        self.gain = np.concatenate([np.zeros(0, np.float32), *gains])[order]
+        self.missing = np.array(missing)
 
     def log_likelihood(self, raw: bytes) -> np.ndarray:
-        return TEMPER * (self.log @ trigrams(raw).astype(np.float32)).astype(np.float64)
+        counts = trigrams(raw)
+        seen = np.flatnonzero(counts)
+        first, size = self.start[seen], self.start[seen + 1] - self.start[seen]
+        at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        gain = np.bincount(self.lang[at], self.gain[at] * np.repeat(counts[seen], size), len(self.langs))
+        return TEMPER * (gain + self.missing * counts.sum())
 
 
 def train_text_model(docs: DataFrame, sample: int = SAMPLE) -> TextModel:
-    """Fit on at most ``sample`` documents a language, chosen by hash order of doc_id."""
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    samples = {}
-    for lang in langs:
-        ids = rows.where(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        picked = docs.sparkSession.createDataFrame(ids.collect(), "doc_id long")
-        samples[lang] = [r["text"].encode() for r in rows.where(F.col("lang") == lang).join(F.broadcast(picked), "doc_id").orderBy("doc_id").toLocalIterator()]
-    return TextModel(samples)
+    """Fit on at most ``sample`` documents of every label, chosen by hash order of doc_id."""
+    rows = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    picked = rows.select("lang", "doc_id").withColumn("rank", rank).where(F.col("rank") <= sample).select("lang", "doc_id").distinct()
+    texts = rows.join(F.broadcast(picked), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).orderBy("lang", "doc_id")
+    return TextModel((r["lang"], r["text"].encode()) for r in texts.toLocalIterator())
 
 
 def address(url: Column) -> tuple[Column, Column, Column]:

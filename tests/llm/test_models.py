@@ -80,6 +80,20 @@ def test_evidence_is_fused(spark):
     assert langid.identify(spark.createDataFrame(rows[:2], "page_id long, url string, html string"), none).first()["lang"] is None
 
 
+def test_every_label_is_kept(spark):
+    rng = random.Random(8)
+    words = {f"l{k:03}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(5)] for k in range(230)}
+    docs = [(i, " ".join(rng.choices(words[c], k=30)), c) for i, c in enumerate(list(words) * 2 + ["l000"] * 40)]
+    model = langid.train_text_model(spark.createDataFrame(docs, "doc_id long, text string, lang string"), sample=1000)
+    assert model.langs == sorted(words)
+    dense = np.stack([sum(langid.trigrams(t.encode()) for _, t, c in docs if c == lang) + 0.1 for lang in model.langs])
+    dense = np.log(dense / dense.sum(axis=1, keepdims=True))
+    for c in ("l000", "l120", "l229"):
+        raw = " ".join(rng.choices(words[c], k=30)).encode()
+        got = model.log_likelihood(raw)
+        assert model.langs[got.argmax()] == c and np.allclose(got, langid.TEMPER * dense @ langid.trigrams(raw), rtol=1e-5)
+
+
 # ---------------------------------------------------------------- pieces
 
 
