@@ -1,15 +1,17 @@
 """Toxicity by compression distance between two zstandard dictionaries.
 
-One dictionary is trained on toxic text, one on ordinary text, from a bounded sample of
-labelled rows. A window is one word, framed by a string that both dictionaries hold, so
-that zstandard codes it with matches instead of storing it. Of every window of the
-whole text two lengths are compared: what is left under the toxic dictionary, and how
+One dictionary stands for toxic text, one for ordinary text. They are lists of words that
+are chosen from a bounded sample of labelled rows, not that text itself. A window is one
+word of any length, with its digits and signs, or a run of punctuation marks; every byte
+that is no blank lies in one window. Windows stand between two strings that both
+dictionaries hold, so that zstandard codes them with matches instead of storing them. Of every window
+of the whole text two lengths are compared: what is left under the toxic dictionary, and how
 much the ordinary one costs beyond that. Their counts over fixed length thresholds feed
 a ridge logistic regression, which calibrates the thresholds into a probability.
 
 Training: per class at most ``SAMPLE`` documents, taken by hash order of doc_id among
 labelled rows, so the sample and the model do not depend on partitioning. A toxic entry
-is a word of which some prefix is ``Z`` standard errors more frequent in toxic
+is a word of which some prefix of four bytes or more (the whole word, if shorter) is ``Z`` standard errors more frequent in toxic
 documents; an ordinary entry is a frequent word, or one that begins like a toxic entry.
 Calibration is cross-fitted over two halves, so that no document is scored by entries
 learnt from it; the final dictionaries use the whole sample. The intercept is moved to
@@ -42,18 +44,25 @@ ENTRIES = 2_000
 RIDGE = 3.0
 LEVEL = 9
 FRAME = b"\x01<<frame-of-known-bytes>>\x02"
+TAIL = b"\x03{{end-of-window}}\x04"  # zstandard starts no match in the last 8 bytes of its input
 LEFT, GAIN = 10, 9  # thresholds: bytes left under the toxic dictionary 0..9, gain 0..8
 MEMO = 400_000  # words whose lengths a task remembers
 
-_WORD = re.compile(rb"[a-z\x80-\xff]{4,}")
+_MARK = rb".,;:!?\"()\[\]{}<>"
+_WORD = re.compile(rb"[^\s'" + _MARK + rb"]+(?:'+[^\s'" + _MARK + rb"]+)*|['" + _MARK + rb"]+")
 
 
 def words_of(raw: bytes) -> list[bytes]:
     return _WORD.findall(raw.lower())
 
 
+def _heads(w: bytes) -> list[bytes]:
+    """What stands for a word in counts: its prefixes, or a short word with its end."""
+    return [w[:n] for n in range(4, min(len(w), 12) + 1)] or [w + b" "]
+
+
 def _prefixes(words: set[bytes]) -> set[bytes]:
-    return {w[:n] for w in words for n in range(4, min(len(w), 12) + 1)}
+    return {p for w in words for p in _heads(w)}
 
 
 class Dictionaries:
@@ -71,7 +80,7 @@ class Dictionaries:
             d.precompute_compress(compression_params=how)
             made.append(zstandard.ZstdCompressor(compression_params=how, dict_data=d))
         self.toxic, self.ordinary = made
-        self.floor = len(self.toxic.compress(FRAME))
+        self.floor = [len(c.compress(FRAME + TAIL)) for c in made]
         self.memo: dict[bytes, int] = {}
 
     def __getstate__(self):
@@ -84,9 +93,9 @@ class Dictionaries:
     def cell(self, word: bytes) -> int:
         at = self.memo.get(word)
         if at is None:
-            window = FRAME + b" " + word + b" "
-            short, long = len(self.toxic.compress(window)), len(self.ordinary.compress(window))
-            at = min(max(short - self.floor, 0), LEFT - 1) * GAIN + min(max(long - short, 0), GAIN - 1)
+            window = FRAME + b" " + word + b" " + TAIL
+            short, long = (len(c.compress(window)) - k for c, k in zip((self.toxic, self.ordinary), self.floor, strict=True))
+            at = min(max(short, 0), LEFT - 1) * GAIN + min(max(long - short, 0), GAIN - 1)
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             self.memo[word] = at
@@ -112,9 +121,9 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Dictionarie
 
     def excess(w: bytes) -> float:
         best = -math.inf
-        for n in range(4, min(len(w), 12) + 1):
-            if k := heads[1].get(w[:n]):
-                n_all = k + heads[0][w[:n]]
+        for p in _heads(w):
+            if k := heads[1].get(p):
+                n_all = k + heads[0][p]
                 best = max(best, (k - n_all * share) / math.sqrt(n_all * share * (1 - share)))
         return best
 
@@ -122,9 +131,9 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Dictionarie
     bad = [w for z, _, w in sorted(ranked, reverse=True)[:ENTRIES] if z >= Z]
     begin, known = {w[:4] for w in bad}, set(bad)
     common = sorted(words[0].items(), key=lambda x: (-x[1], x[0]))
-    near = [w for w, _ in common if w[:4] in begin and w not in known][:ENTRIES]
+    near = [w for w, _ in common if (w[:4] in begin or w[:3] in begin) and w not in known][:ENTRIES]
     plain = near + [w for w, _ in common[:300] if w not in known]
-    return Dictionaries(*(b" " + b" ".join(reversed(entries)) + b" " + FRAME for entries in (bad, plain)))
+    return Dictionaries(*(b" " + b" ".join(reversed(entries)) + b" " + TAIL + FRAME for entries in (bad, plain)))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 30) -> np.ndarray:

@@ -44,6 +44,21 @@ def test_held_out_accuracy(spark):
     assert kept.columns == ["doc_id", "text", "x"] and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if not r["predicted"]}
 
 
+def test_short_and_disguised_words_held_out():
+    assert toxicity.words_of(b"Ass, sh1t \"f*ck\" a$$! don't (42)") == [b"ass", b",", b"sh1t", b'"', b"f*ck", b'"', b"a$$", b"!", b"don't", b"(", b"42", b")"]
+    rng = random.Random(4)
+    plain = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 9))) for _ in range(300)] + ["assessor", "zoker"]
+    for bad in ("zok", "sh1b", "f*nk", "a$$"):
+        rows = []
+        for i in range(400):
+            words = rng.choices(plain, k=rng.randint(20, 60))
+            for _ in range(3 * (i % 4 == 0)):
+                words[rng.randrange(len(words))] = bad
+            rows.append((i, " ".join(words).encode(), int(i % 4 == 0)))
+        model = toxicity.fit(rows[:300], {1: 75, 0: 225})
+        assert np.mean([(model.score(t) >= 0.5) == y for _, t, y in rows[300:]]) > 0.95
+
+
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 1)], "doc_id long, toxic int")
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (3, "b" * 50_000)], DOCS)
