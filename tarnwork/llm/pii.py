@@ -15,11 +15,18 @@ pair is judged by its document counts alone: one joint document is evidence enou
 so are many copies of one passage. As n(t, e) <= n(e), only terms with
 n(t) <= N * (n(e) / N) ** generalise can reach the share; others make no pair.
 
-Everything is DataFrame functions. Positions come from lengths: the pieces between
-matches (``split``) and the matches (``regexp_extract_all``) interleave. Patterns start
-only where a run of their first character class starts or a match has just ended
-(``\\G``) and use possessive repeats; both leave the matches as they are and keep long
-runs from costing quadratic time or deep recursion.
+Terms that lie in the very same documents have the same counts with every entity, and so
+have entities with each other. They are counted as one class each, named by an exclusive-or
+fingerprint of 128 bits over their documents: a text with 20,000 addresses and 20,000 rare
+words makes one pair, and not 400 million.
+
+Everything is DataFrame functions, and linear in a text. Positions come from lengths: the
+pieces between matches (``split``) and the matches (``regexp_extract_all``) interleave, and
+running sums are taken in blocks and over blocks. Text is cut through
+chunks of 4,096 code points, so that no cut walks from its start. Patterns start only where
+a run of their first character class starts or a match has just ended (``\\G``) and use
+possessive repeats; both leave the matches as they are and keep long runs from costing
+quadratic time or deep recursion. Told terms meet the words of a text by an equi join.
 
 Edge cases: a null or empty text has no spans (its digest is that of the empty string).
 Overlapping spans of several kinds are all reported; rewriting replaces their union
@@ -29,13 +36,16 @@ null doc_id has base spans only. Extra columns pass through :func:`sanitise`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import text_or_empty, write_table
+from tarnwork.llm.common import drop_table, text_or_empty, write_table
 
 KINDS = ("email", "ip", "card", "phone", "term")
-BROADCAST_IDS = 100_000  # repeated doc_ids: a few MB at most
+CHUNK = 4096  # code points a chunk of text
+BLOCK = 128  # entries a block of a running sum
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _PATTERN = {
@@ -44,8 +54,61 @@ _PATTERN = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_WORD, _GAP = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
+_GAP = r"[^\p{L}\p{N}]+"
+_MASK = "\x00"  # stands for every letter and digit of a base span while words are sought
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
+_REGION = "array<struct<prev:int,start:int,end:int,kind:int,value:string>>"
+
+
+# ---------------------------------------------------------------- arrays and text
+# Steps are columns of their own (``__`` names) and lambdas stay shallow: every level of
+# nested lambdas costs the analyzer one more round.
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also where a lambda uses it for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _none(kind: str) -> Column:
+    return F.expr(f"CAST(array() AS {kind})")
+
+
+def with_running(df: DataFrame, names: list[str], join: Callable[[Column, Column], Column]) -> DataFrame:
+    """For each int array x of ``names``, ``x_run``: what ``join`` makes of 0 and all entries before each entry, and of all at the end.
+
+    Blocks are folded, the folds run, and each block goes on from its fold, so that an
+    entry is copied within a block only, however long the array is.
+    """
+    def within(block: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("at"), _none("array<int>").alias("out"))
+        return F.aggregate(block, zero, lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    def blocks(v: Column) -> Column:
+        starts = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.size(v), F.lit(BLOCK))).otherwise(_none("array<int>"))
+        return F.transform(starts, lambda i: F.slice(v, i, BLOCK))
+
+    df = df.withColumns({f"__b_{x}": _let(F.col(x), blocks) for x in names})
+    df = df.withColumns({f"__f_{x}": within(F.transform(f"__b_{x}", lambda b: F.aggregate(b, F.lit(0), join)), F.lit(0)) for x in names})
+    runs = {f"{x}_run": F.concat(F.flatten(F.zip_with(f"__b_{x}", f"__f_{x}.out", lambda b, s: within(b, s)["out"])), F.array(f"__f_{x}.at")) for x in names}
+    return df.withColumns(runs).drop(*(f"__{k}_{x}" for k in "bf" for x in names))
+
+
+def _chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}+" % CHUNK), F.lit(0))
+
+
+def _cut(chunks: Column, start: Column, end: Column) -> Column:
+    """Code points start..end (exclusive) of a text in chunks."""
+    def part(i: Column) -> Column:
+        a, b = F.greatest(start - i * CHUNK, F.lit(0)), F.least(end - i * CHUNK, F.lit(CHUNK))
+        return F.substring(F.get(chunks, i), a + 1, b - a)
+
+    at = lambda x: F.floor(x / CHUNK).cast("int")
+    return F.when(start < end, F.array_join(F.transform(F.sequence(at(start), at(end - 1)), part), "")).otherwise(F.lit(""))
+
+
+# ---------------------------------------------------------------- base spans
 
 
 def _valid(kind: str, x: Column) -> Column:
@@ -69,31 +132,65 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def _positions(text: Column, pattern: str, keep, kind: int) -> Column:
-    """Spans of the matches that ``keep`` accepts, in order."""
-    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    zero = F.struct(F.lit(0).alias("at"), F.expr(f"CAST(array() AS {_SPAN})").alias("out"))
+def _with_matches(df: DataFrame, found: dict[str, tuple[Column, int, Callable[[Column], Column]]]) -> DataFrame:
+    """For each name, the spans of the (gap, match) pairs that ``keep`` accepts, in order, from their (pairs, kind, keep)."""
+    pairs = {f"__p_{n}": p for n, (p, _, _) in found.items()}
+    df = df.withColumns(pairs).withColumns({f"__w_{n}": F.transform(f"__p_{n}", lambda p: p["w"]) for n in found})
+    df = with_running(df, [f"__w_{n}" for n in found], lambda a, x: a + x)
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["g"])
-        end = start + F.coalesce(F.length(p["m"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), p["m"].alias("value")))
-        return F.struct(end.alias("at"), F.when(p["m"].isNotNull() & keep(p["m"]), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def spans(n: str, kind: int, keep: Callable[[Column], Column]) -> Column:
+        one = lambda p, at: F.struct((at + p["g"]).alias("start"), F.lit(kind).alias("kind"), (at + p["w"]).alias("end"), p["m"].alias("value"))
+        return F.filter(F.zip_with(f"__p_{n}", f"__w_{n}_run", one), lambda s: s["value"].isNotNull() & keep(s["value"]))
 
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    df = df.withColumns({n: spans(n, kind, keep) for n, (_, kind, keep) in found.items()})
+    return df.drop(*pairs, *(f"__w_{n}{end}" for n in found for end in ("", "_run")))
 
 
-def base_spans(text: Column) -> Column:
-    """All valid base spans of a non-null text, by start and then kind."""
+def _pairs(text: Column, pattern: str) -> Column:
+    """The pieces between matches with the matches that follow them: g (length), w (of both), m."""
+    def sized(g: Column, m: Column) -> Column:
+        return F.struct(F.length(g).alias("g"), (F.length(g) + F.coalesce(F.length(m), F.lit(0))).alias("w"), m.alias("m"))
+
+    return F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), sized)
+
+
+def with_base_spans(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``out``: all valid base spans of the non-null column ``text``, by start and then kind."""
+    t = F.col(text)
     maybe = {
-        "email": F.contains(text, F.lit("@")),
-        "ip": text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"),
-        "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"),
-        "phone": F.contains(text, F.lit("+")),
+        "email": F.contains(t, F.lit("@")),
+        "ip": t.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"),
+        "card": t.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"),
+        "phone": F.contains(t, F.lit("+")),
     }
-    none = F.expr(f"CAST(array() AS {_SPAN})")
-    found = [F.when(maybe[k], _positions(text, _PATTERN[k], lambda m, k=k: _valid(k, m), i)).otherwise(none) for i, k in enumerate(KINDS[:4])]
-    return F.array_sort(F.concat(*found))
+    none = _none("array<struct<g:int,w:int,m:string>>")
+    found = {f"__{k}": (F.when(maybe[k], _pairs(t, _PATTERN[k])).otherwise(none), i, lambda m, k=k: _valid(k, m)) for i, k in enumerate(KINDS[:4])}
+    return _with_matches(df, found).withColumn(out, F.sort_array(F.concat(*found))).drop(*found)
+
+
+def with_regions(df: DataFrame, spans: str, out: str) -> DataFrame:
+    """``out``: unions of overlapping sorted spans, with the end of the one before and the first span's kind and value."""
+    df = with_running(df.withColumn("__ends", F.transform(spans, lambda s: s["end"])), ["__ends"], lambda a, x: F.greatest(a, x))
+    each = F.zip_with(spans, "__ends_run", lambda s, e: F.struct(e.alias("prev"), s["start"].alias("start"), s["kind"].alias("kind"), s["value"].alias("value")))
+    df = df.withColumn("__first", F.filter(each, lambda r: r["start"] >= r["prev"]))
+    df = df.withColumn("__last", F.concat(F.transform(F.slice("__first", F.lit(2), F.size("__first")), lambda r: r["prev"]), F.slice("__ends_run", F.lit(-1), F.lit(1))))
+    closed = F.zip_with("__first", "__last", lambda r, e: F.struct(r["prev"].alias("prev"), r["start"].alias("start"), e.alias("end"), r["kind"].alias("kind"), r["value"].alias("value")))
+    return df.withColumn(out, F.when(F.size("__first") > 0, closed).otherwise(_none(_REGION))).drop("__ends", "__ends_run", "__first", "__last")
+
+
+def with_rewritten(df: DataFrame, text: str, spans: str, out: str, said: Callable[[Column, Column], Column]) -> DataFrame:
+    """``out``: ``text`` with ``said(chunks, region)`` in the place of every region of ``spans``."""
+    df = with_regions(df, spans, "__regions").withColumn("__chunks", F.when(F.size("__regions") > 0, _chunks(F.col(text))))
+
+    def written(chunks: Column) -> Column:
+        parts = F.transform("__regions", lambda r: F.concat(_cut(chunks, r["prev"], r["start"]), said(chunks, r)))
+        return F.concat(F.array_join(parts, ""), _cut(chunks, F.element_at("__regions", -1)["end"], F.length(text)))
+
+    new = F.when(F.size("__regions") > 0, _let(F.col("__chunks"), written)).otherwise(F.col(text))
+    return df.withColumn(out, new).drop("__regions", "__chunks")
+
+
+# ---------------------------------------------------------------- terms
 
 
 def _is_term(w: Column) -> Column:
@@ -105,13 +202,30 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.array_distinct(F.split(text, _GAP)), _is_term), F.lower))
 
 
+def with_words_outside(df: DataFrame, text: str, spans: str, out: str) -> DataFrame:
+    """``out``: start, end and term of the words of ``text`` that do not overlap any of ``spans``.
+
+    Letters and digits of spans become a mark that joins on to words, so that a word that
+    overlaps a span holds the mark and one that only touches it does not.
+    """
+    hidden = lambda chunks, r: F.regexp_replace(_cut(chunks, r["start"], r["end"]), r"[\p{L}\p{N}]", _MASK)
+    df = with_rewritten(df.withColumn("__clean", F.translate(text, _MASK, " ")), "__clean", spans, "__masked", hidden)
+    keep = lambda w: ~F.contains(w, F.lit(_MASK)) & _is_term(w)
+    df = _with_matches(df, {"__found": (_pairs(F.col("__masked"), r"[\p{L}\p{N}\x00]++"), 4, keep)})
+    words = F.transform("__found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("t")))
+    return df.withColumn(out, words).drop("__clean", "__masked", "__found")
+
+
 def find_base(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans, entities, terms) of every row; terms only where spans are."""
-    text = text_or_empty()
-    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("string").alias("text")).withColumn("spans", base_spans(F.col("text")))
+    """(doc_id, key, spans, entities, terms) of every row; terms only where spans are.
+
+    ``key`` is a hash of the text: rows of one doc_id and one text have the same spans.
+    """
+    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text"))
+    one = with_base_spans(one, "text", "spans")
     entity = F.array_distinct(F.transform("spans", lambda s: F.xxhash64(F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"])))))
-    terms = F.when(F.size("spans") > 0, _terms(F.col("text"))).otherwise(F.expr("CAST(array() AS array<string>)"))
-    return one.select("doc_id", "spans", entity.alias("entities"), terms.alias("terms"))
+    terms = F.when(F.size("spans") > 0, _terms(F.col("text"))).otherwise(_none("array<string>"))
+    return one.select("doc_id", F.xxhash64("text").alias("key"), "spans", entity.alias("entities"), terms.alias("terms"))
 
 
 def _by_document(rows: DataFrame, again: DataFrame | None) -> DataFrame:
@@ -124,50 +238,67 @@ def _by_document(rows: DataFrame, again: DataFrame | None) -> DataFrame:
     return terms(rows.join(again, "doc_id", "left_anti")).unionAll(terms(rows.join(again, "doc_id", "left_semi")).distinct())
 
 
+def _counted(pairs: DataFrame, what: str) -> DataFrame:
+    """Of distinct (doc_id, what): the number of documents and their fingerprint (two halves)."""
+    half = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), "doc_id"))
+    return pairs.groupBy(what).agg(F.count("*").alias(f"n_{what}"), half(1).alias(f"{what}1"), half(2).alias(f"{what}2"))
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = 0.75, remove: float = 0.95) -> DataFrame:
-    """(doc_id, told): the terms that disclose an entity of the document, each with whether it goes."""
+    """(doc_id, t, gone): the terms that disclose an entity of the document, each with whether it goes."""
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = write_table(rows.groupBy("doc_id").agg(F.count("*").alias("n")), "pii-ids")
     n_docs, n_again = ids.agg(F.count("*"), F.count_if(F.col("n") > 1)).first()
     again = ids.where("n > 1").select("doc_id") if n_again else None
-    if again is not None and n_again <= BROADCAST_IDS:
-        again = F.broadcast(again)
     known = found.where("doc_id IS NOT NULL AND size(spans) > 0")
     held = known.select("doc_id", F.explode("entities").alias("e")).distinct()
-    n_e = held.groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") < n_docs)
+    n_e = _counted(held, "e").where(F.col("n_e") < n_docs)
     # the largest n_t with which a pair can reach the share, with room for rounding
     most = F.lit(float(n_docs)) * F.pow(F.col("n_e") / F.lit(float(n_docs)), F.lit(generalise)) * (1 + 1e-9)
-    held = write_table(held.join(n_e.withColumn("most", most), "e"), "pii-entities")
+    held = write_table(held.join(n_e.withColumn("most", most), "e").select("doc_id", "e1", "e2", "n_e", "most").distinct(), "pii-entities")
     top = held.agg(F.max("most")).first()[0] or 0.0
     near = known.select("doc_id", F.explode("terms").alias("t"))
     if again is not None:  # rows without spans add to the terms of their document
         near = near.unionAll(_by_document(rows.join(again, "doc_id", "left_semi"), again)).distinct()
-    n_t = _by_document(rows, again).groupBy("t").agg(F.count("*").alias("n_t"))
-    near = near.join(n_t.where(F.col("n_t") <= top), "t")
-    near = write_table(near.join(held, "doc_id").where(F.col("n_t") <= F.col("most")).drop("most"), "pii-pairs")
+    n_t = _counted(_by_document(rows, again), "t").where(F.col("n_t") <= top)
+    near = write_table(near.join(n_t, "t"), "pii-terms")
+    term, entity = ["t1", "t2", "n_t"], ["e1", "e2", "n_e"]
+    pairs = near.select("doc_id", *term).distinct().join(held, "doc_id").where(F.col("n_t") <= F.col("most")).select("doc_id", *term, *entity)
+    pairs = write_table(pairs, "pii-pairs")
 
-    n_te = near.groupBy("t", "e").agg(F.count("*").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
+    n_te = pairs.groupBy(*term, *entity).agg(F.count("*").alias("n_te"))
     share = F.log(F.col("n_te") * F.lit(float(n_docs)) / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(n_docs)) / F.col("n_e"))
-    told = n_te.withColumn("share", share).where(F.col("share") >= generalise).select("t", "e", (F.col("share") >= remove).alias("gone"))
-    told = near.select("doc_id", "t", "e").join(told, ["t", "e"]).groupBy("doc_id", "t").agg(F.max("gone").alias("gone"))
-    return told.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("t", "gone"))).alias("told"))
+    told = n_te.withColumn("share", share).where(F.col("share") >= generalise).select(*term, *entity, (F.col("share") >= remove).alias("gone"))
+    told = pairs.join(told, [*term, *entity]).groupBy("doc_id", *term).agg(F.max("gone").alias("gone"))
+    told = write_table(near.join(told, ["doc_id", *term]).select("doc_id", "t", "gone"), "pii-told")
+    for used in (ids, held, near, pairs):
+        drop_table(used)
+    return told
+
+
+def term_spans(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """(doc_id, key, terms): the told terms of a document wherever they stand in its texts, outside base spans."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text"))
+    rows = with_base_spans(rows.join(told.select("doc_id").distinct(), "doc_id", "left_semi"), "text", "spans")
+    # outer: for a plain one Spark would push "words is not empty" through every step above it
+    words = with_words_outside(rows, "text", "spans", "words").select("doc_id", F.xxhash64("text").alias("key"), "words")
+    words = words.select("doc_id", "key", F.inline_outer("words"))  # not one select: every word would carry the text
+    span = F.struct("start", F.lit(4).alias("kind"), "end", F.when(F.col("gone"), "gone").otherwise("kept").alias("value"))
+    # a set, for rows that repeat a doc_id and a text
+    return words.join(told, ["doc_id", "t"]).groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(span)).alias("terms"))
 
 
-def _with_spans(docs: DataFrame, base: str, terms: str, **options) -> DataFrame:
-    """``docs`` with the spans of each row: its own base spans, and its document's terms in its own text."""
-    told = disclosing_terms(docs, write_table(find_base(docs), "pii-base"), **options).withColumnRenamed("doc_id", "__id")
-    both = docs.join(told, docs["doc_id"].cast("long") == F.col("__id"), "left").withColumn(base, base_spans(text_or_empty()))
-    words = _positions(text_or_empty(), _WORD, lambda w: _is_term(w) & F.map_contains_key("told", F.lower(w)), 4)
-    words = F.filter(words, lambda w: ~F.exists(base, lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])))
-    words = F.transform(words, lambda w: F.struct(w["start"].alias("start"), w["kind"].alias("kind"), w["end"].alias("end"), F.when(F.element_at("told", F.lower(w["value"])), "gone").otherwise("kept").alias("value")))
-    none = F.expr(f"CAST(array() AS {_SPAN})")
-    return both.withColumn(terms, F.when(F.col("told").isNotNull(), words).otherwise(none)).drop("__id", "told")
+def _terms_or_none() -> Column:
+    return F.coalesce("terms", _none(_SPAN))
 
 
 def find_spans(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, base, terms) of every row; base and terms are arrays of spans."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _with_spans(plain, "base", "terms", **options).select("doc_id", "base", "terms")
+    base = write_table(find_base(plain), "pii-base")
+    terms = term_spans(plain, disclosing_terms(plain, base, **options))
+    both = base.select("doc_id", "key", F.col("spans").alias("base")).join(terms, ["doc_id", "key"], "left")
+    return both.select("doc_id", "base", _terms_or_none().alias("terms"))
 
 
 def spelled(spans: Column) -> Column:
@@ -181,23 +312,22 @@ def span_report(docs: DataFrame, **options) -> DataFrame:
     found = find_spans(docs, **options)
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [F.size(F.filter(kinds, F.lit(i).eqNullSafe)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
-    every = F.array_sort(F.concat("base", "terms"))
+    every = F.sort_array(F.concat("base", "terms"))
     return found.select("doc_id", *counts, F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(every).alias("spans"))
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every span in ``text`` generalised to its kind or removed."""
-    plain = docs.drop("__id", "__base", "__terms", "told").withColumn("text", F.col("text").cast("string"))
-    both = _with_spans(plain, "__base", "__terms", **options).withColumn("__spans", F.array_sort(F.concat("__base", "__terms")))
-    every = F.col("__spans")
+    plain = docs.drop("terms", *(c for c in docs.columns if c.startswith("__"))).withColumn("text", F.col("text").cast("string"))
+    base = write_table(find_base(plain), "pii-base")
+    terms = term_spans(plain, disclosing_terms(plain, base, **options)).withColumnsRenamed({"doc_id": "__id", "key": "__key"})
+    same = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64(text_or_empty()) == F.col("__key"))
+    both = with_base_spans(plain.join(terms, same, "left").withColumn("__text", text_or_empty()), "__text", "__base")
+    both = both.withColumn("__spans", F.sort_array(F.concat("__base", _terms_or_none())))
     label = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        said = F.when(s["value"].eqNullSafe("gone") & (s["kind"] == 4), F.lit("")).otherwise(F.element_at(label, s["kind"] + 1))
-        more = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), said)
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
+    def said(_: Column, r: Column) -> Column:
+        return F.when((r["kind"] == 4) & r["value"].eqNullSafe("gone"), F.lit("")).otherwise(F.element_at(label, r["kind"] + 1))
 
-    new = F.aggregate(every, zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    text = F.when(F.size(every) > 0, new).otherwise(F.col("text"))
-    return both.withColumn("text", text).select(*plain.columns)
+    new = with_rewritten(both, "text", "__spans", "__new", said)
+    return new.withColumn("text", F.col("__new")).select(*plain.columns)

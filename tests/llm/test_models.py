@@ -266,6 +266,21 @@ def test_terms_across_lines_and_far_away(spark):
     assert all(clean[i] == t for i, t in rows if i != 100)
 
 
+def test_many_entities_in_one_text(spark):
+    """5,000 addresses among 10,000 rare words: one class of each, so no pair for each of both."""
+    line = "mail user{0}x at user{0}x@host{0}.com or +49 30 {0:07d} soon word{0}z"
+    text = "\n".join(line.format(i) for i in range(5000))
+    rows = [(1, text), *((k, f"plain words here {k} and there") for k in range(2, 12))]
+    got = {r["doc_id"]: r for r in pii.span_report(spark.createDataFrame(rows, DOCS)).collect()}
+    want = [(m.start(), k, m.end()) for k, name in ((0, "email"), (3, "phone")) for m in re.finditer(PATTERNS[name], text)]
+    base = sorted(want)
+    assert got[1]["base_sha256"] == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+    inside = {p for a, _, b in base for p in range(a, b)}
+    terms = [(m.start(), 4, m.end()) for m in re.finditer(r"[^\W_]+", text) if len(m.group()) >= 3 and m.group()[0].isalpha() and not inside.intersection(range(m.start(), m.end()))]
+    assert got[1]["spans"] == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + terms))
+    assert all(got[k]["spans"] == "" for k in range(2, 12))
+
+
 def test_term_spans_equal_brute_force(spark):
     rng = random.Random(5)
     mails = [f"m{k}@mail.zz" for k in range(6)]
