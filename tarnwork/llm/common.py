@@ -18,9 +18,11 @@ WHITESPACE = " \t\n\x0b\x0c\r"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only if unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a local one only in local mode and if unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file:///tmp/tarnwork-scratch-{os.getuid()}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -57,24 +59,35 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def apart(df: DataFrame, column: str) -> DataFrame:
+    """``df``, an aggregate by a join key, dealt out by another column.
+
+    An aggregate that is already partitioned by the key is joined where it lies, and then
+    the adaptive skew join cannot split the other side. Dealt out anew, both sides of the
+    join have an exchange of their own.
+    """
+    return df.repartition(column)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of the graph of ``edges``; root is the smallest node reachable.
 
     Alternates large-star and small-star steps until the edge table is a fixed
-    point. Each step is grouped minima (combined map side) and an equi join, so a
-    hub with a third of all edges is split by the adaptive skew join. Null ends are
-    ignored; no edges give an empty table.
+    point; each one but the last lowers some label, so they end. A step is grouped minima
+    (combined map side) and an equi join with them, dealt :func:`apart`, so that the
+    adaptive skew join can split a hub with a third of all edges. Null ends are ignored;
+    no edges give an empty table.
     """
     cur = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     cur = write_table(cur, "cc")
     last = None
-    for _ in range(60):
+    while True:
         both = cur.select("u", "v").unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(apart(low, "m"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large.join(apart(down, "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionAll(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         )
         nxt = write_table(small, "cc")

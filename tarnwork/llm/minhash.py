@@ -17,7 +17,9 @@ connected, so a large group of near copies costs one comparison a document.
 Edge cases: null or word-less text has an empty set, links with nothing and is kept.
 A null doc_id takes no part in links: component_id is null, kept is true. Rows that
 repeat a doc_id are separate rows; their links count for the id. Extra columns are
-ignored. An empty table gives an empty result.
+ignored. An empty table gives an empty result. Texts of millions of different shingles
+fill the universe's 2^20 slots, so that they share all bands; they are still told apart
+by size, bitmap and the exact comparison.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import IS_SPACE, LOWER, SpanHash, arrow_batch, connected_components, drop_table, mix, text_blocks, write_table
+from tarnwork.llm.common import IS_SPACE, LOWER, SpanHash, apart, arrow_batch, connected_components, drop_table, mix, text_blocks, write_table
 
 UNIVERSE = 1 << 20
 BANDS, ROWS = 50, 5  # a pair at 0.75 shares no band with probability (1 - 0.75**5)**50, 1e-6
@@ -137,12 +139,8 @@ def _confirm(percent: int):
         for batch in batches:
             a, b, left, right = batch.columns
             keep = np.zeros(len(batch), dtype=bool)
-            held, mine = None, None
             for i, (x, y) in enumerate(zip(left, right, strict=True)):
-                if x.as_buffer() is not held:
-                    mine = np.frombuffer(x.as_buffer(), dtype=np.uint64)
-                other = np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                both = np.concatenate([mine, other])
+                both = np.concatenate([np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y)])
                 both.sort()
                 shared = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep[i] = 100 * shared >= percent * (len(both) - shared)
@@ -208,7 +206,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     for used in (links, sets, members):
         drop_table(used)
 
-    out = base.select("doc_id", "n_shingles", "fp").join(reps, "fp", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    # Texts without words stay out of the join: they share no set, and would share a task.
+    named = base.where("fp IS NOT NULL").select("doc_id", "n_shingles", "fp").join(apart(reps, "rep"), "fp", "left")
+    named = named.join(apart(roots, "root").withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", "rep", "root")
+    none = F.lit(None).cast("long")
+    out = named.unionAll(base.where("fp IS NULL").select("doc_id", "n_shingles", none.alias("rep"), none.alias("root")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -6,7 +6,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tarnwork.llm.common import apart, connected_components
 from tarnwork.llm.linededup import CuckooFilter, LineIndex, dedup_lines
 from tarnwork.llm.minhash import CirculantMinHash, UNIVERSE, bitmap, drop_near_duplicates, near_duplicates
 from tarnwork.llm.substrings import drop_repeats, repeat_report
@@ -205,3 +207,32 @@ def test_repeats_edges(spark):
     got = sorted(((r["doc_id"] or -1), r["marks"], r["text"]) for r in out.collect())
     assert got == [(-1, 4, text), (1, 1, text), (1, 2, text), (2, 3, "x")]
     assert repeat_report(frame(spark, [])).count() == 0
+
+
+# ---------------------------------------------------------------- components and skew
+
+
+def test_components_of_a_long_path_and_a_hub(spark):
+    """A path of 3,000 nodes in shuffled edges and a star: no bound on the rounds."""
+    edges = [(i, i + 1) for i in range(3000)] + [(10_000, 10_000 + i) for i in range(1, 300)] + [(None, 5)]
+    random.Random(2).shuffle(edges)
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(3001)}, **{10_000 + i: 10_000 for i in range(300)}}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_hot_key_is_split(spark):
+    """Joined with an aggregate that is dealt apart, a key of half of all rows is read by several tasks."""
+    low = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    before = {k: spark.conf.get(k) for k in low}
+    try:
+        for k, v in low.items():
+            spark.conf.set(k, v)
+        rows = spark.range(100_000).repartition(8).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("u"), F.xxhash64("id").alias("v"))
+        least = rows.groupBy("u").agg(F.min("v").alias("m"))
+        out = rows.join(apart(least, "m"), "u").agg(F.sum(F.col("v") % 7 + F.col("m") % 7))
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
