@@ -6,7 +6,11 @@ count: the one at offset 0 corrects the declared type, later ones are carved as
 (offset, length, type). Work is per row inside Arrow batches, without a shuffle.
 
 Texts are carried as media by :func:`store_texts`: UTF-8, zero bytes up to a positive
-multiple of 64, as 8-bit mono PCM in a WAV container, read back from the stored bytes.
+multiple of 64, as 8-bit samples of one of three formats that the payload's checksum
+chooses: mono PCM in a WAV container, or rows of 64 grey pixels in a BMP or a PNG image.
+The type that is declared with the value comes from another part of the checksum, as in a
+feed with wrong labels; on reading, the sniffed type alone chooses the decoder. Media that
+a text itself holds are carved from the samples.
 
 Edge cases: null or empty text is 64 zero bytes. Null content has null results, empty
 content is ``application/octet-stream`` of length 0. An unknown or broken value keeps
@@ -119,26 +123,36 @@ def _bmp(d: bytes, at: int) -> int:
 def _pdf(d: bytes, at: int) -> int:
     if len(d) < at + 8 or not (d[at + 5 : at + 6].isdigit() and d[at + 6 : at + 7] == b"."):
         return 0
-    end = d.find(b"%%EOF", at)
+    # Updates are appended with an end mark of their own, so the last mark before the next file counts.
+    following = d.find(b"%PDF-", at + 5)
+    limit = following if following >= 0 else len(d)
+    end = d.rfind(b"%%EOF", at, limit)
     return end + 5 - at if end >= 0 and d.find(b"startxref", at, end) >= 0 else 0
 
 
 def _zip(d: bytes, at: int) -> int:
-    end = d.find(b"PK\x05\x06", at)
-    if len(d) < at + 30 or end < 0 or end + 22 > len(d):
+    if len(d) < at + 30:
         return 0
-    size, start, comment = struct.unpack_from("<IIH", d, end + 12)
-    done = end + 22 + comment
-    return done - at if at + start + size == end and done <= len(d) else 0
+    end = d.find(b"PK\x05\x06", at)
+    while 0 <= end <= len(d) - 22:  # an archive that holds another has the inner end record first
+        size, start, comment = struct.unpack_from("<IIH", d, end + 12)
+        if at + start + size == end and end + 22 + comment <= len(d):
+            return end + 22 + comment - at
+        end = d.find(b"PK\x05\x06", end + 4)
+    return 0
 
 
 def _gzip(d: bytes, at: int) -> int:
+    work, rest = zlib.decompressobj(31), d[at:]
     try:
-        work = zlib.decompressobj(31)
-        work.decompress(d[at:], 1 << 26)
-        return len(d) - at - len(work.unused_data) if work.eof else 0
+        while not work.eof and rest:  # checked to its end, a piece of the output at a time
+            work.decompress(rest, 1 << 20)
+            rest = work.unconsumed_tail
+        while not work.eof and work.decompress(b"", 1 << 20):
+            pass
     except zlib.error:
         return 0
+    return len(d) - at - len(work.unused_data) if work.eof else 0
 
 
 def _ogg(d: bytes, at: int) -> int:
@@ -192,8 +206,8 @@ def automaton() -> ahocorasick.Automaton:
     return out
 
 
-def sniff(finder: ahocorasick.Automaton, data: bytes) -> list[tuple[int, int, str]]:
-    """Confirmed media (offset, length, type), leftmost first.
+def sniff(finder: ahocorasick.Automaton, data: bytes, only_first: bool = False) -> list[tuple[int, int, str]]:
+    """Confirmed media (offset, length, type), leftmost first; or just the one at offset 0.
 
     Carving does not restart inside a confirmed medium, except that a container at
     offset 0 that fills the value is looked into.
@@ -201,6 +215,8 @@ def sniff(finder: ahocorasick.Automaton, data: bytes) -> list[tuple[int, int, st
     found, free = [], 0
     for end, magic in finder.iter(data.decode("latin-1")):
         at = end + 1 - len(magic)
+        if only_first and (at or found):
+            break
         if at < free:
             continue
         for known, kind, check in SIGNATURES:
@@ -213,6 +229,8 @@ def sniff(finder: ahocorasick.Automaton, data: bytes) -> list[tuple[int, int, st
 
 # ---------------------------------------------------------------- texts as 8-bit samples
 
+WIDTH = 64  # pixels a row; payloads are whole rows
+
 
 def to_wav(payload: bytes, rate: int = 8000) -> bytes:
     """8-bit mono PCM; the payload has an even length."""
@@ -221,8 +239,6 @@ def to_wav(payload: bytes, rate: int = 8000) -> bytes:
 
 def from_wav(stored: bytes) -> bytes:
     """The samples of a WAV file, by walking its chunks."""
-    if not _wav(stored, 0):
-        raise ValueError("not a WAV file")
     pos = 12
     while stored[pos : pos + 4] != b"data":
         pos += 8 + struct.unpack_from("<I", stored, pos + 4)[0]
@@ -230,48 +246,109 @@ def from_wav(stored: bytes) -> bytes:
     return stored[pos + 8 : pos + 8 + size]
 
 
-def features(finder: ahocorasick.Automaton, stored: bytes, samples: bytes, declared: str) -> str:
-    """Sniffed type, and statistics of the samples around the 8-bit midpoint."""
-    found = sniff(finder, stored)
-    kind = next((k for at, _, k in found if at == 0), declared)
+_GREYS = b"".join(bytes([g, g, g, 0]) for g in range(256))
+
+
+def to_bmp(payload: bytes) -> bytes:
+    """8-bit grey pixels, top row first."""
+    head = 14 + 40 + len(_GREYS)
+    file = struct.pack("<2sIII", b"BM", head + len(payload), 0, head)
+    info = struct.pack("<IiiHHIIiiII", 40, WIDTH, -(len(payload) // WIDTH), 1, 8, 0, len(payload), 2835, 2835, 256, 256)
+    return file + info + _GREYS + payload
+
+
+def from_bmp(stored: bytes) -> bytes:
+    size, _, start = struct.unpack_from("<III", stored, 2)
+    width, height = struct.unpack_from("<ii", stored, 18)
+    if (width, height >= 0, stored[54 : 54 + len(_GREYS)] != _GREYS) != (WIDTH, False, False):
+        raise ValueError("not a grey image of this width, top row first")
+    return stored[start:size]
+
+
+def to_png(payload: bytes) -> bytes:
+    """8-bit grey pixels; every row is stored as it is."""
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
+    plain = np.hstack([np.zeros((len(rows), 1), np.uint8), rows]).tobytes()
+    head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(plain, 1)) + chunk(b"IEND", b"")
+
+
+def from_png(stored: bytes) -> bytes:
+    """The pixels of a grey image whose rows are unfiltered."""
+    pos, data, width = 8, [], 0
+    while pos + 12 <= len(stored):
+        size, kind = struct.unpack_from(">I4s", stored, pos)
+        if kind == b"IHDR":
+            width = struct.unpack_from(">I", stored, pos + 8)[0]
+        elif kind == b"IDAT":
+            data.append(stored[pos + 8 : pos + 8 + size])
+        pos += 12 + size
+    rows = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(-1, width + 1)
+    if rows[:, 0].any():
+        raise ValueError("filtered rows")
+    return rows[:, 1:].tobytes()
+
+
+#: type, writer, reader; the payload's checksum chooses the form and, by itself, the declared type
+FORMS = [("audio/wav", to_wav, from_wav), ("image/bmp", to_bmp, from_bmp), ("image/png", to_png, from_png)]
+DECLARED = ("audio/wav", "image/bmp", "image/png", UNKNOWN, "text/plain")
+
+
+def stored_form(payload: bytes) -> tuple[bytes, str]:
+    """(media, declared type) of a payload."""
+    check = zlib.crc32(payload)
+    return FORMS[check % len(FORMS)][1](payload), DECLARED[check // len(FORMS) % len(DECLARED)]
+
+
+def read_back(finder: ahocorasick.Automaton, stored: bytes) -> tuple[bytes, str]:
+    """(samples, type) of a stored value; nothing but its bytes tells the type."""
+    kind = next((k for _, _, k in sniff(finder, stored, only_first=True)), UNKNOWN)
+    reader = {k: read for k, _, read in FORMS}.get(kind)
+    if reader is None:
+        raise ValueError(f"no reader for {kind}")
+    return reader(stored), kind
+
+
+def features(finder: ahocorasick.Automaton, samples: bytes, kind: str, declared: str) -> str:
+    """Types, and statistics of the samples around the 8-bit midpoint; media inside them are carved."""
     x = np.frombuffer(samples, dtype=np.uint8)
     signs = x >= 128
-    carved = "+".join(f"{k}@{at}:{n}" for at, n, k in found if at) or "none"
-    return f"type={kind};corrected={int(kind != declared)};samples={len(x)};sum={int(x.sum(dtype=np.int64))};peak={int(x.max(initial=0))};crossings={int(np.count_nonzero(signs[1:] != signs[:-1]))};carved={carved}"
+    carved = "+".join(f"{k}@{at}:{n}" for at, n, k in sniff(finder, samples)) or "none"
+    return f"type={kind};declared={declared};corrected={int(kind != declared)};samples={len(x)};sum={int(x.sum(dtype=np.int64))};peak={int(x.max(initial=0))};crossings={int(np.count_nonzero(signs[1:] != signs[:-1]))};carved={carved}"
 
 
-_STORED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
+_STORED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("mime", pa.string())])
 _READ = pa.schema([
     ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()),
     ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()),
 ])
 
 
-def _stored(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+def _stored(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, str]]:
     for first, end, offsets, data in text_blocks(batch):
         raw = data.tobytes()
         for i in range(end - first):
             text = raw[offsets[i] : offsets[i + 1]]
-            yield len(text), to_wav(text + bytes(-len(text) % 64 if text else 64))
+            yield len(text), *stored_form(text + bytes(-len(text) % 64 if text else 64))
 
 
 def _store_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = list(_stored(batch))
-        yield arrow_batch(_STORED, [batch.column(0), [n for n, _ in rows], [m for _, m in rows]])
-
+        yield arrow_batch(_STORED, [batch.column(0), *([r[i] for r in rows] for i in range(3))])
 
-def _read_pass(declared: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = automaton()
-        for batch in batches:
-            rows = []
-            for n, stored in _stored(batch):
-                back = from_wav(stored)
-                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), features(finder, stored, back, declared)))
-            yield arrow_batch(_READ, [batch.column(0), *([r[i] for r in rows] for i in range(7))])
 
-    return run
+def _read_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    finder = automaton()
+    for batch in batches:
+        rows = []
+        for n, stored, declared in _stored(batch):
+            back, kind = read_back(finder, stored)
+            rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), features(finder, back, kind, declared)))
+        yield arrow_batch(_READ, [batch.column(0), *([r[i] for r in rows] for i in range(7))])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -279,14 +356,14 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): every text as a WAV value."""
-    return _texts(docs).mapInArrow(_store_pass, "doc_id long, n_bytes long, media binary")
+    """(doc_id, n_bytes, media, mime): every text as a media value and its declared type."""
+    return _texts(docs).mapInArrow(_store_pass, "doc_id long, n_bytes long, media binary, mime string")
 
 
-def text_media_report(docs: DataFrame, declared: str = UNKNOWN) -> DataFrame:
+def text_media_report(docs: DataFrame) -> DataFrame:
     """Store every text, read it back, and report digests, lengths and features."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return _texts(docs).mapInArrow(_read_pass(declared), schema)
+    return _texts(docs).mapInArrow(_read_pass, schema)
 
 
 def sniff_media(df: DataFrame, content: str = "content", declared: str = "mime") -> DataFrame:
