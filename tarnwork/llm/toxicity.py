@@ -9,8 +9,10 @@ of the whole text two lengths are compared: what is left under the toxic diction
 much the ordinary one costs beyond that. Their counts over fixed length thresholds feed
 a ridge logistic regression, which calibrates the thresholds into a probability.
 
-Training: per class at most ``SAMPLE`` documents, taken by hash order of doc_id among
-labelled rows, so the sample and the model do not depend on partitioning. A toxic entry
+Training: per class at most ``SAMPLE`` documents and ``BYTES`` bytes, taken by hash order
+of doc_id among labelled rows of at most ``LONGEST`` bytes, so that the driver's memory is
+bounded and the sample and the model do not depend on partitioning. Of the entries of a
+dictionary the ``ENTRIES`` strongest are kept, as its size bounds a match's offset. A toxic entry
 is a word of which some prefix of four bytes or more (the whole word, if shorter) is ``Z`` standard errors more frequent in toxic
 documents; an ordinary entry is a frequent word, or one that begins like a toxic entry.
 Calibration is cross-fitted over two halves, so that no document is scored by entries
@@ -20,8 +22,8 @@ and 91 weights) travels in the closure.
 
 Edge cases: null and empty texts have no windows and score the intercept. Labels that
 are null are not learnt from; of several labels of one doc_id the largest counts. If a
-class has no labelled row, every score is the smoothed share of toxic rows. Repeated
-rows score alike; extra columns pass through :func:`drop_toxic`.
+class has no labelled row, every score is the smoothed share of toxic rows. Rows that
+repeat a doc_id score each by its own text, and the smallest text is learnt from; extra columns pass through :func:`drop_toxic`.
 """
 
 from __future__ import annotations
@@ -38,7 +40,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwork.llm.common import drop_table, write_table
+
 SAMPLE = {1: 2_000, 0: 6_000}
+BYTES = {1: 8 << 20, 0: 24 << 20}  # of the sampled texts of a class
+LONGEST = 1 << 20  # bytes of a text that may be learnt from; every text is scored whole
 Z = 4.0
 ENTRIES = 2_000
 RIDGE = 3.0
@@ -189,14 +195,23 @@ def train_model(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | Non
     sample = sample or SAMPLE
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
-    totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    size = texts.join(known, "doc_id").groupBy("doc_id", "toxic").agg(F.max(F.octet_length("text")).alias("size"))
+    size = write_table(size, "toxicity-known")
+    totals = {r["toxic"]: r["n"] for r in size.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     rows = []
     for toxic, most in sample.items():
-        chosen = known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        ids = docs.sparkSession.createDataFrame(chosen.collect(), "doc_id long, toxic int")  # at most `most` ids
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
-        rows += [(r["doc_id"], (r["text"] or "").encode(), r["toxic"]) for r in texts.dropDuplicates(["doc_id"]).toLocalIterator()]
+        chosen = size.where((F.col("toxic") == toxic) & (F.col("size") <= LONGEST)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        picked, left = [], BYTES[toxic]
+        for r in chosen.collect():  # at most `most` ids
+            left -= r["size"]
+            if left < 0:
+                break
+            picked.append((r["doc_id"],))
+        ids = F.broadcast(docs.sparkSession.createDataFrame(picked, "doc_id long"))
+        some = texts.join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+        rows += [(r["doc_id"], r["text"].encode(), toxic) for r in some.toLocalIterator()]
+    drop_table(size)
     return fit(rows, totals)
 
 

@@ -1,9 +1,13 @@
 """Toxicity, language, pieces, packing, top-k, personal data, media."""
 
+import gzip
 import hashlib
+import io
 import random
 import re
 import struct
+import wave
+import zipfile
 import zlib
 
 import numpy as np
@@ -44,6 +48,28 @@ def test_held_out_accuracy(spark):
     assert kept.columns == ["doc_id", "text", "x"] and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if not r["predicted"]}
 
 
+def test_scores_equal_plain_compression(spark):
+    """Every window compressed anew, without the memo; nulls, empty and repeated rows, a text too long to learn from."""
+    rows = toxic_rows(200)
+    docs = spark.createDataFrame([*(r[:2] for r in rows), (900, None), (901, ""), (5, "again other words"), (902, "plain " * 200_000)], DOCS)
+    labels = spark.createDataFrame([*((r[0], r[2]) for r in rows), (902, 1), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.train_model(docs, labels)
+    d = model.dictionaries
+    floors = [len(c.compress(toxicity.FRAME + toxicity.TAIL)) for c in (d.toxic, d.ordinary)]
+
+    def brute(raw):
+        counts = np.zeros(toxicity.LEFT * toxicity.GAIN)
+        for w in toxicity.words_of(raw):
+            a, b = (len(c.compress(toxicity.FRAME + b" " + w + b" " + toxicity.TAIL)) - f for c, f in zip((d.toxic, d.ordinary), floors, strict=True))
+            counts[min(max(a, 0), toxicity.LEFT - 1) * toxicity.GAIN + min(max(b - a, 0), toxicity.GAIN - 1)] += 1
+        z = model.weights[0] + np.log1p(counts) @ model.weights[1:]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    got = toxicity.score_texts(docs, model).collect()
+    assert len(got) == 204 and all(abs(r["__score"] - brute((r["text"] or "").encode())) < 1e-9 for r in got)
+    assert b"plain" not in b"".join(w for w in d.raw)
+
+
 def test_short_and_disguised_words_held_out():
     assert toxicity.words_of(b"Ass, sh1t \"f*ck\" a$$! don't (42)") == [b"ass", b",", b"sh1t", b'"', b"f*ck", b'"', b"a$$", b"!", b"don't", b"(", b"42", b")"]
     rng = random.Random(4)
@@ -341,20 +367,66 @@ def test_sniffing_corrects_and_carves(spark):
     assert got[6]["media_type"] == "audio/wav" and got[7]["media_type"] == "text/plain" and not got[7]["carved"]
 
 
+def zipped(**members):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, body in members.items():
+            z.writestr(name, body)
+    return out.getvalue()
+
+
+def every_format():
+    riff = lambda kind, body: struct.pack("<4sI4s", b"RIFF", 4 + len(body), kind) + body
+    gif = b"GIF87a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + bytes(6) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02\x44\x01\x00;"
+    return {
+        "audio/wav": media.to_wav(bytes(64)), "image/webp": riff(b"WEBP", b"VP8 " + struct.pack("<I", 4) + b"abcd"), "video/x-msvideo": riff(b"AVI ", b"LIST" + struct.pack("<I", 4) + b"hdrl"),
+        "image/png": png(), "image/gif": gif, "image/jpeg": b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x02xyz\xff\xd9", "image/bmp": media.to_bmp(bytes(range(64))),
+        "application/pdf": b"%PDF-1.4\nstartxref\n0\n%%EOF", "application/zip": zipped(a="x" * 9), "application/gzip": gzip.compress(b"some text"),
+        "audio/ogg": b"OggS\x00\x04" + bytes(20) + b"\x01\x03abc", "audio/flac": b"fLaC\x80\x00\x00\x22" + bytes(34) + b"\xff\xf8",
+    }
+
+
+def test_every_format_is_confirmed_and_broken_ones_are_not():
+    finder = media.automaton()
+    for kind, value in every_format().items():
+        assert media.sniff(finder, value)[0] == (0, len(value), kind)
+        end = b"" if kind == "audio/flac" else b"trailing"  # a FLAC stream has no length
+        assert (3, len(value), kind) in media.sniff(finder, b"..." + value + end)
+        assert all(k != kind for _, _, k in media.sniff(finder, value[: len(value) // 2]))
+
+
+def test_containers_are_followed_to_their_end():
+    finder = media.automaton()
+    nested = zipped(inner=zipped(a="b"))
+    assert media.sniff(finder, b".." + nested)[0] == (2, len(nested), "application/zip")
+    updated = b"%PDF-1.4\nstartxref\n0\n%%EOF\nmore\nstartxref\n9\n%%EOF"
+    assert media.sniff(finder, updated + b"\n%PDF-1.7 x")[0] == (0, len(updated), "application/pdf")
+    large = gzip.compress(bytes(80 << 20), 1)
+    assert media.sniff(finder, large)[0] == (0, len(large), "application/gzip")
+
+
 def test_texts_survive_as_samples(spark):
-    rows = [(1, "héllo"), (2, None), (3, ""), (4, "x" * 64), (5, "y" * 65), (6, "héllo"), (7, "RIFF%PDF-GIF89a")]
-    got = {r["doc_id"]: r for r in media.text_media_report(spark.createDataFrame(rows, DOCS)).collect()}
+    pdf = "%PDF-1.4\nstartxref\n0\n%%EOF"
+    rows = [(1, "héllo"), (2, None), (3, ""), (4, "x" * 64), (5, "y" * 65), (6, "héllo"), (7, "RIFF%PDF-GIF89a"), (8, "before " + pdf + " after"), *((20 + i, f"text {i}") for i in range(40))]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("media", F.lit("mine"))
+    got = {r["doc_id"]: r for r in media.text_media_report(docs).collect()}
+    kinds = set()
     for i, t in rows:
         raw = (t or "").encode()
         payload = raw + bytes(-len(raw) % 64 if raw else 64)
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(raw), len(payload), zlib.crc32(payload[-64:]))
-        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["media_bytes"] == len(payload) + 44
-        assert r["media_sha256"] == hashlib.sha256(media.to_wav(payload)).hexdigest() and r["feature"].startswith("type=audio/wav;corrected=1")
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+        made, declared = media.stored_form(payload)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(made), hashlib.sha256(made).hexdigest())
+        told = dict(x.split("=", 1) for x in r["feature"].split(";"))
+        assert told["declared"] == declared and told["corrected"] == str(int(told["type"] != declared)) and told["sum"] == str(sum(payload))
+        assert told["carved"] == (f"application/pdf@7:{len(pdf)}" if i == 8 else "none")
+        kinds.add((told["type"], told["corrected"]))
+    assert {k for k, _ in kinds} == {"audio/wav", "image/bmp", "image/png"} and {c for _, c in kinds} == {"0", "1"}
     assert tuple(got[1])[1:] == tuple(got[6])[1:]
-    import io
-    import wave
-
-    stored = bytes(media.store_texts(spark.createDataFrame(rows[:1], DOCS)).first()["media"])
-    with wave.open(io.BytesIO(stored)) as w:
-        assert (w.getnchannels(), w.getsampwidth(), w.readframes(w.getnframes())[:6]) == (1, 1, "héllo".encode())
+    assert media.text_media_report(spark.createDataFrame([], DOCS)).count() == 0
+    with wave.open(io.BytesIO(media.to_wav(b"ab" * 32))) as w:
+        assert (w.getnchannels(), w.getsampwidth(), w.readframes(w.getnframes())) == (1, 1, b"ab" * 32)
+    stored = media.store_texts(docs).collect()
+    assert {media.read_back(media.automaton(), bytes(r["media"]))[1] for r in stored} == {"audio/wav", "image/bmp", "image/png"}
