@@ -16,15 +16,19 @@ whole context (the union of those strings). In (doc_id, position) order
 Round two refines the buckets with an open member, on the bytes themselves: initial
 buckets of 8-grams get identifiers, and sorting on (own identifier, identifier d bytes
 later) doubles their length, 8, 16, 32, 64 and LENGTH, each step reusing the last one's
-identifiers. Suffixes whose bucket has one member leave. What shares a bucket of
+identifiers. Suffixes whose bucket has one member leave, and so does every suffix that
+would look one of them up: it shares its longer string with no other either. What shares a bucket of
 LENGTH bytes with an earlier suffix is removed.
 
-Rows of both shuffles are packed arrays, one a shard and Arrow batch. A batch first
-settles what it can by itself: of anchors with equal context only the first goes out, so
-a passage held by a third of all documents reaches its shard once a batch. Anchors with
-a common q-gram but all sorts of contexts (the ends of such a passage) would still meet
-in one bucket: q-grams counted above ``hot`` in a first pass skip the bucket, and each of
-their strings is a key of its own, which again reaches its shard once a batch.
+Rows of both shuffles are packed arrays, one a shard and Arrow batch; shards and their
+tasks grow in number with the input's bytes. A batch first settles what it can by itself:
+of anchors with equal context only the first goes out, so a passage held by a third of all
+documents reaches its shard once a batch. Anchors with a common q-gram but all sorts of
+contexts (the ends of such a passage) would still meet in one bucket. All anchor q-grams
+are therefore counted first, combined map side, and those above ``hot`` skip the bucket:
+each of their strings is a key of its own, which again reaches its shard once a batch.
+``hot`` is 50,000, or a millionth of all anchors if that is more, so that there are never
+more than a million hot q-grams (8 MB) on the driver, none of which is left out.
 
 Edge cases: null text is empty; texts shorter than LENGTH lose nothing. A null doc_id
 takes no part and loses nothing. Equal rows are one document, each returned; of rows that
@@ -48,6 +52,8 @@ from tarnwork.llm.common import SpanHash, arrow_batch, mix, parallelism, text_bl
 
 LENGTH = 100
 Q = 32  # bytes of an anchor's q-gram
+HOT = 50_000  # contexts that may meet in one bucket
+SHARD = 16 << 20  # bytes of text a shard, about
 
 _ANCHOR = np.dtype([("narrow", "<u8"), ("wide", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("lo", "<i2"), ("hi", "<i2")])
 _MARK = np.dtype([("pos", "<i4"), ("lo", "<i2"), ("hi", "<i2"), ("open", "<i4")])
@@ -89,8 +95,8 @@ def anchors(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH, q: int
     return np.concatenate(rows), np.concatenate(places), spans, grams
 
 
-def _records(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, length: int, q: int) -> np.ndarray:
-    """One record an anchor; lo..hi are the string starts it stands for, before its position."""
+def _records(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, length: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """A record for every anchor, and its row in the block; lo..hi are the string starts it stands for, before its position."""
     row, at, spans, grams = anchors(offsets, data, length, q)
     start, end = offsets[row], offsets[row + 1]
     left = np.minimum(length - q, at - start)  # bytes of context before the q-gram
@@ -101,7 +107,8 @@ def _records(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, length: int
         out["wide"] = mix(spans.of(at - left, at + q + right) + left.astype(np.uint64))
     out["doc"], out["pos"] = ids[row], at - start
     out["hi"], out["lo"] = left, np.maximum(0, length - q - right)
-    return out[out["hi"] >= out["lo"]]
+    some = out["hi"] >= out["lo"]
+    return out[some], row[some]
 
 
 def _starts(keys: list[np.ndarray]) -> np.ndarray:
@@ -142,20 +149,18 @@ def _batch_records(batch: pa.RecordBatch, length: int, q: int, hot: np.ndarray)
     ids = batch.column(0).to_numpy(zero_copy_only=False)
     parts = [np.zeros(0, _ANCHOR)]
     for first, end, offsets, data in text_blocks(batch):
-        r = _records(ids[first:end], offsets, data, length, q)
+        r, row = _records(ids[first:end], offsets, data, length, q)
         if len(hot) and len(r):
             common = np.isin(r["narrow"], hot)
             if common.any():
-                parts.append(_strings(r[common], ids[first:end], offsets, data, length))
+                parts.append(_strings(r[common], offsets[row[common]], data, length))
                 r = r[~common]
         parts.append(r)
     return np.concatenate(parts)
 
 
-def _strings(r: np.ndarray, ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
-    """A record for every string of the given anchors, keyed by the string and its anchor's place."""
-    row_of = {int(d): i for i, d in enumerate(ids)}
-    base = offsets[[row_of[int(d)] for d in r["doc"]]]
+def _strings(r: np.ndarray, base: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
+    """A record for every string of the given anchors, keyed by the string and its anchor's place; ``base``: where their texts start."""
     n = r["hi"].astype(np.int64) - r["lo"] + 1
     out = np.repeat(r, n)
     back = out["lo"] + (np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n))
@@ -175,15 +180,18 @@ def _anchor_pass(shards: int, length: int, q: int, hot: np.ndarray):
     return run
 
 
-def _count_pass(length: int, q: int, least: int):
-    """(gram, n) of q-grams that many different contexts of one batch share."""
+def _count_pass(length: int, q: int):
+    """(gram, n) of the anchor q-grams of a batch."""
     schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            r = _batch_records(batch, length, q, np.zeros(0, np.uint64))
-            grams, n = np.unique(r["narrow"], return_counts=True)
-            yield arrow_batch(schema, [grams[n >= least].view(np.int64), n[n >= least]])
+            found = [np.zeros(0, np.uint64)]
+            for _, _, offsets, data in text_blocks(batch):
+                _, at, _, grams = anchors(offsets, data, length, q)
+                found.append(grams[at])
+            grams, n = np.unique(np.concatenate(found), return_counts=True)
+            yield arrow_batch(schema, [grams.view(np.int64), n])
 
     return run
 
@@ -265,19 +273,29 @@ def refine(ctx: np.ndarray, bucket: np.ndarray, length: int) -> np.ndarray:
     eight = np.zeros((n, width - 7), dtype=np.uint64)  # initial buckets: eight bytes as they are
     for k in range(8):
         eight |= ctx[:, k : width - 7 + k].astype(np.uint64) << np.uint64(8 * (7 - k))
-    ident = np.unique(eight, return_inverse=True)[1].reshape(eight.shape).astype(np.int64)
+    _, ident, count = np.unique(eight, return_inverse=True, return_counts=True)
+    ident = ident.reshape(eight.shape).astype(np.int64)
+    several = count[ident] > 1  # whose bucket has other members
     size = 8
     while size < length:
         step = min(size, length - size)
-        a, b = ident[:, : ident.shape[1] - step], ident[:, step:]
-        ident = np.unique(a * (int(ident.max()) + 1) + b, return_inverse=True)[1].reshape(a.shape).astype(np.int64)
+        m = ident.shape[1] - step
+        later, ident, several = ident[:, step:], ident[:, :m].copy(), several[:, :m] & several[:, step:]
+        spare = int(max(ident.max(), later.max())) + 1
+        if several.any():
+            _, fresh, count = np.unique(ident[several] * spare + later[several], return_inverse=True, return_counts=True)
+            ident[several] = spare + fresh
+            several[several] = count[fresh] > 1
         size += step
+    ident[~several] = -1
     m = ident.shape[1]
     group = np.unique(bucket, return_inverse=True)[1].astype(np.int64)
     key = (ident * (int(group.max(initial=0)) + 1) + group[:, None]) * m + np.arange(m)
-    _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-    inverse = inverse.reshape(key.shape)
-    return np.where(count[inverse] > 1, inverse, -1)
+    out = np.full(ident.shape, -1, dtype=np.int64)
+    if several.any():
+        _, inverse, count = np.unique(key[several], return_inverse=True, return_counts=True)
+        out[several] = np.where(count[inverse] > 1, inverse, -1)
+    return out
 
 
 def _refine_shard(length: int, q: int, contexts: int = 20_000):
@@ -340,23 +358,25 @@ def _texts(docs: DataFrame, length: int) -> DataFrame:
     return texts.where("doc_id IS NOT NULL").where(F.octet_length("text") >= length)
 
 
-def hot_grams(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int = 50_000, least: int | None = None) -> np.ndarray:
-    """Anchor q-grams counted above ``hot``: at most 100,000 of them, whatever the input."""
-    counted = _texts(docs, length).mapInArrow(_count_pass(length, q, least or min(64, hot)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    rows = counted.where(F.col("n") > hot).orderBy(F.desc("n"), "gram").limit(100_000).collect()
-    return np.array([r["gram"] for r in rows], dtype=np.int64).view(np.uint64)
+def hot_grams(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int = HOT) -> np.ndarray:
+    """Every anchor q-gram counted above ``hot``."""
+    counted = _texts(docs, length).mapInArrow(_count_pass(length, q), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = counted.where(F.col("n") > hot).collect()  # at most a millionth of the anchors' number, or their number / HOT
+    return np.sort(np.array([r["gram"] for r in rows], dtype=np.int64).view(np.uint64))
 
 
-def repeated_marks(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int = 50_000) -> DataFrame:
+def repeated_marks(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int = HOT) -> DataFrame:
     """(doc_id, marks): of documents of which something is removed, the marks as packed arrays."""
-    shards = parallelism(docs.sparkSession)
+    size = _texts(docs, length).agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shards = max(parallelism(docs.sparkSession), -(-size // SHARD))
+    hot = max(hot, size // 35 // 1_000_000)
     texts = _texts(docs, length)
     packed = texts.mapInArrow(_anchor_pass(shards, length, q, hot_grams(docs, length, q, hot)), "shard int, packed binary")
-    one = packed.groupBy("shard").applyInPandas(_settle_shard, _MARKS)
+    one = packed.repartition(shards, "shard").groupBy("shard").applyInPandas(_settle_shard, _MARKS)
     one = write_table(one.groupBy("doc_id").agg(F.collect_list("marks").alias("marks"), F.sum("n_open").alias("n_open")), "substring-marks")
     with_open = texts.join(one.where("n_open > 0").select("doc_id", "marks"), "doc_id").select("doc_id", "text", "marks")
     ctx = with_open.mapInArrow(_context_pass(shards, length, q), "shard int, bucket binary, doc binary, place binary, context binary")
-    two = ctx.groupBy("shard").applyInPandas(_refine_shard(length, q), _MARKS)
+    two = ctx.repartition(shards, "shard").groupBy("shard").applyInPandas(_refine_shard(length, q), _MARKS)
     two = write_table(two.groupBy("doc_id").agg(F.collect_list("marks").alias("more")), "substring-marks")
     none = F.expr("CAST(array() AS array<binary>)")
     both = one.select("doc_id", "marks").join(two, "doc_id", "full")
@@ -392,14 +412,14 @@ def _rebuild_pass(length: int, columns: list[str]):
     return run
 
 
-def repeat_report(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int = 50_000) -> DataFrame:
+def repeat_report(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the digest of the remaining bytes."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     both = texts.join(repeated_marks(docs, length, q, hot), "doc_id", "left").select("doc_id", "text", "marks")
     return both.mapInArrow(_report_pass(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def drop_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int = 50_000) -> DataFrame:
+def drop_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int = HOT) -> DataFrame:
     """``docs`` without the repeated bytes of ``text``."""
     plain = docs.drop("__marks", "__doc").withColumn("text", F.col("text").cast("string"))
     marks = repeated_marks(plain, length, q, hot).select(F.col("doc_id").alias("__doc"), F.col("marks").alias("__marks"))
