@@ -10,8 +10,10 @@ documents adds postings, adds to the counts and puts keys that reach ``min_docs`
 their filter; deleting documents takes all of that back, fingerprint by fingerprint, so
 insert followed by delete restores every later decision. A filter only thins out the
 postings that must meet the exact table: it has no false negatives, and the counts
-decide. Filters are read in (shard, salt) groups, a salt being a hash of the document,
-so a line held by a third of all documents is spread over all salts.
+decide. Filters are read in (shard, salt) groups, a salt being a hash of the document.
+A shard has as many salts as its share of the postings asks for, so groups and copies of
+filters grow with the postings and not with the square of the shards, and a line held by
+a third of all documents is spread over the many salts of its shard.
 
 Edge cases: a null or empty text is one empty line and stays as it is. Rows with a null
 doc_id hold no references and stay whole. Rows that repeat a doc_id count once for a
@@ -34,6 +36,7 @@ from tarnwork.llm.common import mix, parallelism, write_table
 
 _KEYS = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
 _SLOTS, _KICKS = 4, 500
+GROUP = 500_000  # postings that meet one filter in a task
 
 
 # ---------------------------------------------------------------- cuckoo filter
@@ -221,12 +224,16 @@ class LineIndex:
         counts = self.counts.join(hit, ["k1", "k2"], "left_anti").unionByName(again)
         return self._moved(write_table(counts, "line-counts"), stay)
 
-    def dropped(self, salts: int | None = None) -> DataFrame:
-        """(doc_id, drops): of every indexed document that loses lines, the keys they have."""
-        salts = salts or parallelism(self.postings.sparkSession)
-        spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        filters = self.filters.select("shard", "slots", spread.alias("salt"))
-        asked = self.postings.select("doc_id", "k1", "k2", self._shard(), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
+    def dropped(self, group: int = GROUP) -> DataFrame:
+        """(doc_id, drops): of every indexed document that loses lines, the keys they have.
+
+        ``group``: postings of a shard that meet its filter in one task, about.
+        """
+        sizes = self.counts.groupBy(self._shard()).agg(F.ceil(F.sum("n_docs") / group).cast("int").alias("salts"))
+        sizes = F.broadcast(sizes)  # one row a shard
+        filters = self.filters.join(sizes, "shard").select("shard", "slots", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        asked = self.postings.select("doc_id", "k1", "k2", self._shard()).join(sizes, "shard")
+        asked = asked.select("doc_id", "k1", "k2", "shard", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"))
 
         def probe(keys: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
             if not len(held) or not len(keys):
