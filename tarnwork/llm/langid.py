@@ -9,8 +9,8 @@ Four kinds of evidence about a page's language l are multiplied:
 The tables of the last three are grouped aggregates over *all* pages: every page adds its
 text-only posterior to the counts of its declared language, suffix, domain and host, and
 a page's own share is taken out of the counts that judge it. Counts are combined map
-side, so a host with a third of all pages is one row a task before any shuffle, and the
-join back is an equi join that the adaptive skew join can split.
+side, so a host with a third of all pages is one row a task before any shuffle; they are
+dealt out anew for the equi join back, so that the adaptive skew join can split it.
 
 Edge cases: a null or empty html leaves address, markup and host evidence; a null url
 has host, domain and suffix "". Ties go to the first language in code-point order. No
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import write_table
+from tarnwork.llm.common import apart, write_table
 
 SAMPLE = 500  # documents a language
 ADD = 0.1  # to the count of every trigram
@@ -141,7 +141,7 @@ def identify(pages: DataFrame, model: TextModel, smooth: float = SMOOTH) -> Data
     width = {k: scored.select(k).distinct().count() + 1 for k in ("declared", "suffix")}
     all_ = scored
     for key in ("host", "domain", "declared", "suffix"):
-        all_ = all_.join(counts(key), key)
+        all_ = all_.join(apart(counts(key), f"n_{key}"), key)
 
     def without_own(col: Column) -> Column:
         return F.zip_with(col, F.col("own"), lambda c, o: F.greatest(c - o, F.lit(0.0)))
