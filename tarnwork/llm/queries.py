@@ -104,3 +104,60 @@ WITH v AS (
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+# All pairs of documents that share a shingle, and the smallest document reachable over links.
+ORACLE_SQL["op1_minhash"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\x0c\r]+'), lambda w: w <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s
+  FROM words
+), prints AS (
+  SELECT doc_id, len(s)::BIGINT AS n, CASE WHEN len(s) > 0 THEN md5(array_to_string(list_sort(s), chr(10))) END AS fp FROM sets
+), reps AS (
+  SELECT fp, min(doc_id) AS rep, any_value(n) AS n FROM prints WHERE fp IS NOT NULL GROUP BY fp
+), grams AS (
+  SELECT rep, n, unnest(s) AS g FROM reps JOIN sets ON rep = doc_id
+), met AS (
+  SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS common FROM grams a JOIN grams b ON a.g = b.g AND a.rep < b.rep
+  WHERE 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) GROUP BY ALL
+), links AS (
+  SELECT a, b FROM met WHERE 100 * common >= 75 * (na + nb - common)
+), ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT rep AS node, rep AS seen FROM reps UNION SELECT w.b, r.seen FROM reach r JOIN ways w ON w.a = r.node
+), roots AS (
+  SELECT node, min(seen) AS root FROM reach GROUP BY node
+)
+SELECT p.doc_id, p.n AS n_shingles, coalesce(root, p.doc_id) AS component_id, p.doc_id = coalesce(root, p.doc_id) AS kept
+FROM prints p LEFT JOIN reps ON p.fp = reps.fp LEFT JOIN roots ON reps.rep = roots.node
+"""
+
+# Every string of 100 bytes, numbered by where it starts; bytes are pairs of hexadecimal digits.
+ORACLE_SQL["op3_suffix_array"] = r"""
+WITH t AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), strings AS (
+  SELECT doc_id, n, substr(h, 2 * n + 1, 200) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS n FROM t WHERE length(h) >= 200)
+), later AS (
+  SELECT doc_id, n FROM (SELECT doc_id, n, row_number() OVER (PARTITION BY s ORDER BY doc_id, n) AS turn FROM strings) WHERE turn > 1
+), marked AS (
+  SELECT doc_id, n, coalesce(n > lag(n) OVER (PARTITION BY doc_id ORDER BY n) + 100, true)::INT AS opens FROM later
+), grouped AS (
+  SELECT doc_id, n, sum(opens) OVER (PARTITION BY doc_id ORDER BY n) AS run FROM marked
+), runs AS (
+  SELECT doc_id, min(n) AS a, max(n) + 100 AS b FROM grouped GROUP BY doc_id, run
+), cuts AS (
+  SELECT r.doc_id, a, b, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY r.doc_id ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY r.doc_id ORDER BY a), 0))) AS piece
+  FROM runs r JOIN t USING (doc_id)
+), gone AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(piece, '' ORDER BY a) AS head, max(b) AS tail FROM cuts GROUP BY doc_id
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM t LEFT JOIN gone USING (doc_id)
+"""

@@ -141,12 +141,12 @@ def test_lines_keep_extra_columns_and_null_ids(spark):
 def test_insert_and_delete_are_reversible(spark):
     rows = line_rows()
     old, new = frame(spark, rows[:40]), frame(spark, rows[40:])
-    drops = lambda index: {(r["doc_id"], tuple(sorted(map(tuple, r["drops"])))) for r in index.dropped().collect()}
+    drops = lambda index, **group: {(r["doc_id"], tuple(sorted(map(tuple, r["drops"])))) for r in index.dropped(**group).collect()}
     before = LineIndex.build(old, shards=4)
     both = before.insert(new)
     assert drops(both) == drops(LineIndex.build(frame(spark, rows), shards=4))
     after = both.delete(new)
-    assert drops(after) == drops(before)
+    assert drops(after) == drops(before) == drops(before, group=3)
     counts = lambda index: {tuple(r) for r in index.counts.select("k1", "k2", "n_docs", "last_doc").collect()}
     assert counts(after) == counts(before)
     held = lambda index: {r["shard"]: CuckooFilter.loads(bytes(r["slots"])) for r in index.filters.collect()}
@@ -193,6 +193,16 @@ def repeat_rows():
     return [*made, (901, "a" * 700), (902, "b" * 50 + "a" * 300), (903, None), (904, ""), (905, "ab" * 400), (906, "xyz" * 20 + "ab" * 300 + "q" * 120), (907, "z" * 99), (908, "y" * 100), (909, "y" * 100)]
 
 
+def test_repeated_ids_are_alike_in_hot_buckets(spark):
+    """Rows of one doc_id and several texts, with q-grams in hot buckets and in plain ones."""
+    rng = random.Random(12)
+    passage = "".join(rng.choices("abcdefgh ", k=150))
+    rows = [(i % 9, "".join(rng.choices("abcdefgh ", k=rng.choice([0, 20, 90]))) + passage + "".join(rng.choices("abcdefgh ", k=60))) for i in range(40)]
+    docs = frame(spark, rows)
+    reports = [sorted(map(tuple, repeat_report(docs, hot=hot).collect())) for hot in (50_000, 5)]
+    assert reports[0] == reports[1] and sum(r[2] for r in reports[0]) > 0
+
+
 @pytest.mark.parametrize("hot", [50_000, 15])
 def test_repeats_equal_brute_force(spark, hot):
     rows = repeat_rows()
