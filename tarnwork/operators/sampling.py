@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnwork.operators.split import seeded
+from tarnwork.operators.split import ranked_within, seeded
 
 
 @dataclass(frozen=True)
@@ -20,41 +20,46 @@ class Quota:
     n_unknown: int
 
 
-def largest_remainder(wanted: list[float], capacity: int, fill: bool = False) -> list[int]:
-    """``wanted`` scaled down to ``capacity`` (or up, with ``fill``) in whole numbers."""
-    whole = sum(wanted)
-    if not whole or capacity <= 0:
-        return [0] * len(wanted)
-    if whole <= capacity and not fill:
-        return [int(w) for w in wanted]
-    exact = [w * capacity / whole for w in wanted]
-    counts = [math.floor(x) for x in exact]
-    by_rest = sorted(range(len(exact)), key=lambda i: (counts[i] - exact[i], i))
-    for i in by_rest[: capacity - sum(counts)]:
-        counts[i] += 1
-    return counts
+def apportion(wanted: dict[str, Fraction], seats: int) -> dict[str, int]:
+    """``seats`` in proportion to ``wanted``: whole parts first, what is left by the size of the parts cut off."""
+    total = sum(wanted.values())
+    if not total:
+        return dict.fromkeys(wanted, 0)
+    exact = {pool: seats * w / total for pool, w in wanted.items()}
+    ranking = sorted(exact, key=lambda pool: exact[pool] // 1 - exact[pool])  # stable: ties keep the pools' order
+    left = seats - sum(x // 1 for x in exact.values())
+    return {pool: int(x // 1) + (ranking.index(pool) < left) for pool, x in exact.items()}
 
 
 def plan_quota(n_groups: int, n_non_oven: int, n_unknown: int, batch_size: int = 16, p_groups: int = 4, non_oven_ratio: float = 0.25, unknown_ratio: float = 0.25, supcon: bool = True) -> Quota:
-    """Quotas of one batch; contrastive training keeps two groups of two ovens."""
-    if not (n_groups or n_non_oven or n_unknown):
+    """Quotas of one batch.
+
+    The two side pools get their share of a batch, less if company ovens would keep fewer
+    than two groups of two (contrastive training) or one of two; without company ovens
+    they fill the batch, by ratio or else by size.
+    """
+    sizes = {"non_oven": n_non_oven, "unknown": n_unknown}
+    if n_groups + sum(sizes.values()) == 0:
         raise ValueError("nothing to sample from")
-    if supcon and (batch_size < 4 or p_groups < 2 or n_groups < 2):
+    if supcon and min(batch_size // 2, p_groups, n_groups) < 2:
         raise ValueError("contrastive batches need four rows and two groups")
-    ratios = [non_oven_ratio if n_non_oven else 0.0, unknown_ratio if n_unknown else 0.0]
-    if n_groups:
-        reserve = 4 if supcon else 2
-        non, unknown = largest_remainder([round(batch_size * r) for r in ratios], max(batch_size - reserve, 0))
-    else:
-        non, unknown = largest_remainder(ratios if sum(ratios) else [n_non_oven, n_unknown], batch_size, fill=True)
-    ovens = batch_size - non - unknown
-    p = min(p_groups, n_groups)
-    return Quota(min(p, ovens // 2) if supcon else p, ovens, non, unknown)
+    ratios = {pool: Fraction(r) if sizes[pool] else Fraction(0) for pool, r in zip(sizes, (non_oven_ratio, unknown_ratio), strict=True)}
+    side = {pool: Fraction(round(batch_size * float(r))) for pool, r in ratios.items()}
+    room = batch_size - (4 if supcon else 2) if n_groups else batch_size
+    if not n_groups:
+        side = apportion(ratios if any(ratios.values()) else {pool: Fraction(n) for pool, n in sizes.items()}, room)
+    elif sum(side.values()) > room:
+        side = apportion(side, max(room, 0))
+    ovens = batch_size - int(sum(side.values()))
+    groups = [p_groups, n_groups] + ([ovens // 2] if supcon else [])
+    return Quota(min(groups), ovens, int(side["non_oven"]), int(side["unknown"]))
 
 
 def pool_counts(encoded: DataFrame) -> tuple[int, int, int]:
-    """(groups, non-ovens, externals) of the pools: three numbers."""
-    row = encoded.agg(F.count_distinct(F.when(F.col("group_id") >= 0, F.col("group_id"))).alias("g"), F.count_if(F.col("group_id") == -1).alias("n"), F.count_if(F.col("group_id") == -2).alias("u")).first()
+    """(groups, non-ovens, externals) of the pools: three numbers. Groups below -2 are refused."""
+    row = encoded.agg(F.count_if(F.col("group_id") < -2).alias("bad"), F.count_distinct(F.when(F.col("group_id") >= 0, F.col("group_id"))).alias("g"), F.count_if(F.col("group_id") == -1).alias("n"), F.count_if(F.col("group_id") == -2).alias("u")).first()
+    if row["bad"]:
+        raise ValueError(f"{row['bad']} rows have a group below -2")
     return row["g"], row["n"], row["u"]
 
 
@@ -70,7 +75,7 @@ def cyclic_draw(pool: DataFrame, ident: str, demand: DataFrame, seed: int, epoch
     turns = asked.groupBy("pool").agg(F.max("cycle").alias("last"))
     each = pool.join(turns, "pool").select("pool", ident, F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("cycle"))
     key = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.lit(str(epoch)), F.col("cycle").cast("string"), F.col(ident).cast("string")), 256)
-    ranked = each.withColumn("at", F.row_number().over(W.partitionBy("pool", "cycle").orderBy(key, ident)) - 1)
+    ranked = ranked_within(each.withColumn("__h", key), ["pool", "cycle"], "__h", ident, "at").withColumn("at", F.col("at") - 1).drop("__h")
     return asked.join(ranked, ["pool", "cycle", "at"]).drop("size", "cycle", "at")
 
 
