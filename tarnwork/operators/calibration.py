@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.operators.metrics import blocks
 from tarnwork.operators.retrieval import top1, with_groups
+from tarnwork.sources.scratch import stored
 
 
 def _one_class(n_pos, n_all):
@@ -66,7 +67,7 @@ def tau_scores(queries: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFram
     refs = with_groups(refs)
     held = refs.select("cavity_group").distinct()
     inside = queries.where(~F.col("external")).join(held, "cavity_group", "left_semi")
-    s_in = top1(inside, refs).select("s", F.lit(True).alias("inside"))
+    s_in = stored(top1(inside, refs).select("s", F.lit(True).alias("inside")), "tau-inside")  # in both results
     s_ext = top1(queries.where("external"), refs).select("s", F.lit(False).alias("inside"))
     s_loo = top1(inside, refs, exclude="cavity_group").select("s", F.lit(False).alias("inside"))
     return s_in.unionByName(s_ext), s_in.unionByName(s_loo)

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.operators import calibration, metrics, retrieval, rules, split
 from tarnwork.sources.profile import EvalConfig
+from tarnwork.sources.scratch import stored
 
 
 def _classes(task: str, names: Sequence[str], known: Column, scores: Column, labels: Column) -> list[Column]:
@@ -44,21 +45,55 @@ def _long(row: DataFrame, names: dict[str, str]) -> DataFrame:
     return row.select(F.inline(F.array(*pairs)))
 
 
-def evaluate(rows: DataFrame, facts: DataFrame, cascade: DataFrame, containers: Sequence[str], accessories: Sequence[str], config: EvalConfig = EvalConfig()) -> DataFrame:  # noqa: B008
-    """(metric, value): task metrics, rack metrics, retrieval and cascade; null if undefined."""
-    report = metrics.multilabel_report(task_scores(rows, containers, accessories), F.lit(config.default_threshold))
-    flat = report.where("cls IN ('is_oven', 'food')").select(F.inline(F.array(*[F.struct(F.concat(F.col("cls"), F.lit(f"_{m}")).alias("metric"), F.col(m).alias("value")) for m in ("precision", "recall", "f1")])))
+def _at_thresholds(scores: DataFrame, thresholds: DataFrame | None, default: float) -> DataFrame:
+    """``scores`` with the threshold of each class; an accessory's is the same wherever it lies."""
+    if thresholds is None:
+        return scores.withColumn("threshold", F.lit(default))
+    known = F.broadcast(thresholds.select(F.col("name").alias("__name"), F.col("threshold")))  # one row a class
+    name = F.regexp_replace("cls", "^accessory_(in|out)_oven/", "accessory/")
+    return scores.join(known, name == F.col("__name"), "left").withColumn("threshold", F.coalesce("threshold", F.lit(default))).drop("__name")
+
+
+_DEVICE = {"top1": "device_top1", "unknown_rate": "device_unknown_rate", "external_reject_rate": "external_reject_rate", "external_false_accept_rate": "external_false_accept_rate"}
+
+
+def evaluate(
+    rows: DataFrame, facts: DataFrame, cascade: DataFrame, containers: Sequence[str], accessories: Sequence[str], config: EvalConfig = EvalConfig(),  # noqa: B008
+    thresholds: DataFrame | None = None, safety: Sequence[str] = (), others: dict[str, DataFrame] | None = None,
+) -> DataFrame:
+    """(metric, value): task metrics, rack metrics, retrieval and cascade; null if undefined.
+
+    ``thresholds`` (name, threshold) is what :func:`calibrate` returns; without it every
+    class takes the default. ``facts`` are those of the gallery's feature, ``others`` those
+    of further features by name, all of oven rows; their metrics end in the name.
+    """
+    scores = stored(_at_thresholds(task_scores(rows, containers, accessories), thresholds, config.default_threshold), "task-scores")
+    report = stored(metrics.multilabel_report(scores, F.col("threshold"), ("acc",)), "task-report")
+    flat = report.where("cls IN ('is_oven', 'food')").select(F.inline(F.array(*[F.struct(F.concat(F.col("cls"), F.lit(f"_{m}")).alias("metric"), F.col(m).alias("value")) for m in ("acc", "precision", "recall", "f1")])))
     task = F.substring_index("cls", "/", 1)
     maps = report.where("cls LIKE '%/%'").groupBy(F.concat(task, F.lit("_map")).alias("metric")).agg(F.avg("ap").alias("value"))
-    rack = _long(metrics.rack_report(known_levels(rows), config.default_threshold), {"acc": "rack_acc", "acc_pm1": "rack_acc_pm1", "floor_acc": "rack_floor_acc", "low_conf_rate": "rack_low_conf_rate"})
-    device = _long(retrieval.retrieval_report(facts), {"top1": "device_top1", "unknown_rate": "device_unknown_rate", "external_reject_rate": "external_reject_rate", "external_false_accept_rate": "external_false_accept_rate"})
+    safe = report.where(F.col("cls").isin(*[f"container/{n}" for n in safety])).select(F.concat(F.lit("safety_recall/"), F.substring_index("cls", "/", -1)).alias("metric"), F.col("recall").alias("value"))
+    rack_conf = config.default_threshold
+    if thresholds is not None:
+        one = thresholds.where("name = 'rack_conf'").select("threshold").take(1)
+        rack_conf = one[0]["threshold"] if one else rack_conf
+    rack = _long(metrics.rack_report(known_levels(rows), rack_conf), {"acc": "rack_acc", "acc_pm1": "rack_acc_pm1", "floor_acc": "rack_floor_acc", "mean_conf": "rack_mean_conf", "low_conf_rate": "rack_low_conf_rate"})
     ends = _long(metrics.cascade_report(cascade), {"rack_acc_e2e": "rack_acc_e2e", "rack_err_given_device_err": "rack_err_given_device_err"})
     out = flat
-    for part in (maps, rack, device, ends):
+    for part in (maps, safe, rack, _long(retrieval.retrieval_report(facts), _DEVICE), ends):
         out = out.unionByName(part)
+    for name, more in (others or {}).items():
+        out = out.unionByName(_long(retrieval.retrieval_report(more), {c: f"{m}_{name}" for c, m in _DEVICE.items()}))
     return out
 
 
+def default_calibration(spark: SparkSession, containers: Sequence[str], accessories: Sequence[str], config: EvalConfig = EvalConfig()) -> DataFrame:  # noqa: B008
+    """(name, threshold, source) before any calibration."""
+    names = ["is_oven", "food", *(f"container/{n}" for n in containers), *(f"accessory/{n}" for n in accessories), "rack_conf"]
+    rows = [(n, float(config.default_threshold), "default") for n in names] + [("tau", float(config.tau), "default")]
+    return spark.createDataFrame(rows, "name string, threshold double, source string")
+
+
 def calibrate(rows: DataFrame, queries: DataFrame, refs: DataFrame, containers: Sequence[str], accessories: Sequence[str], safety: Sequence[str] = (), config: EvalConfig = EvalConfig()) -> DataFrame:  # noqa: B008
     """(name, threshold, source): every threshold of the decision chain.
 
@@ -66,7 +101,7 @@ def calibrate(rows: DataFrame, queries: DataFrame, refs: DataFrame, containers:
     precision target; tau real externals if there are any, else one group left out, else
     the default.
     """
-    scores = task_scores(rows, containers, accessories).where(~F.col("cls").startswith("accessory_"))
+    scores = stored(task_scores(rows, containers, accessories).where(~F.col("cls").startswith("accessory_")), "task-scores")
     safe = F.col("cls").isin(*[f"container/{n}" for n in safety])
     default = config.default_threshold
     best = calibration.best_f1_threshold(scores.where(~safe), default, ["cls"]).withColumnRenamed("cls", "name")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnwork.functions.columns import first_argmax, level_mask, ratio, softmax
+from tarnwork.sources.scratch import stored
 
 
 def blocks(scored: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
@@ -19,6 +20,7 @@ def blocks(scored: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
     range totals gives what lies above, and one inside each range does the rest.
     """
     each = scored.groupBy(*keys, "score").agg(F.count("*").alias("n_here"), F.count_if("target").alias("tp_here"))
+    each = stored(each, "scores")  # read three times below, and may come from a search
     ranges = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(each.approxQuantile("score", [i / ranges for i in range(1, ranges)], 0.01))) if ranges > 1 else []
     part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("score"))) if cuts else F.lit(0)
@@ -58,11 +60,11 @@ def binary_stats(scored: DataFrame, threshold: Column, keys: list[str] = []) ->
     )
 
 
-def multilabel_report(scored: DataFrame, threshold: Column) -> DataFrame:
-    """A row a class of (cls, score, target): binary stats and AP where both answers occur."""
+def multilabel_report(scored: DataFrame, threshold: Column, more: tuple[str, ...] = ()) -> DataFrame:
+    """A row a class of (cls, score, target): binary stats (and ``more`` of them) and AP where both answers occur."""
     stats = binary_stats(scored, threshold, ["cls"])
     ap = average_precision(scored, ["cls"]).select("cls", F.when((F.col("positives") > 0) & (F.col("positives") < F.col("n")), F.col("ap")).alias("ap"))
-    return stats.join(ap, "cls").select("cls", "ap", "precision", "recall", "f1", F.col("positives").alias("support"), (F.col("n") - F.col("positives")).alias("negatives"))
+    return stats.join(ap, "cls").select("cls", "ap", "precision", "recall", "f1", F.col("positives").alias("support"), (F.col("n") - F.col("positives")).alias("negatives"), *more)
 
 
 def mean_average_precision(report: DataFrame) -> DataFrame:

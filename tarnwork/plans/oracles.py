@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 ORACLE_SQL: dict[str, str] = {}
 
 # ---------------------------------------------------------------- shared parts
@@ -267,3 +269,65 @@ ORACLE_SQL["preflight_report"] = f"""WITH {ISSUES}, s AS (SELECT *, CASE WHEN l_
     UNION ALL SELECT 'food_values', count(DISTINCT food_exist), 2, 2 FROM s WHERE split = 'train'
     UNION ALL SELECT 'models_unseen_in_train', count(*), 0, 0 FROM (SELECT DISTINCT device_model FROM s WHERE split = 'val' AND device_model IS NOT NULL EXCEPT SELECT device_model FROM s WHERE split = 'train'))
   SELECT "check", n, n BETWEEN lo AND hi AS ok FROM c"""
+
+# ---------------------------------------------------------------- whole evaluations
+
+ORACLE_SQL["best_checkpoint"] = """WITH RECURSIVE h AS (
+    SELECT epoch, score, loss, row_number() OVER (ORDER BY epoch) AS k
+    FROM (SELECT datediff('day', DATE '2024-01-01', ts::DATE)::BIGINT AS epoch, round(avg(value), 2) AS score, min(value) AS loss FROM events GROUP BY 1)),
+  fold AS (SELECT k, epoch, score, loss, score AS s, loss AS l, true AS is_best FROM h WHERE k = 1
+    UNION ALL SELECT k, epoch, score, loss, CASE WHEN better THEN score ELSE s END, CASE WHEN better THEN loss ELSE l END, better
+      FROM (SELECT h.*, f.s, f.l, h.score > f.s + 1e-9 OR (abs(h.score - f.s) <= 1e-9 AND h.loss < f.l) AS better FROM fold f JOIN h ON h.k = f.k + 1))
+  SELECT epoch, score, loss, is_best FROM fold"""
+
+_OUT = """
+orow AS (SELECT vec_id AS item, label <> 9 AS is_oven, CASE WHEN label <> 3 THEN label % 2 = 0 END AS food,
+    CASE WHEN label <> 4 THEN [label % 3 = 0, label % 4 = 1] END AS container, CASE WHEN label <> 5 THEN [label % 3 = 1, label % 4 = 2] END AS accessory,
+    0.6::DOUBLE + v[1] AS p_oven, 0.5::DOUBLE + v[2] AS p_food, [0.5::DOUBLE + v[3], 0.4::DOUBLE + v[4]] AS p_cont, [0.5::DOUBLE + v[5], 0.4::DOUBLE + v[6]] AS p_acc,
+    label < 8 AS known, 1 + label // 2 AS rack_count, CASE WHEN (label // 2) % 2 = 0 THEN 0 ELSE 1 END AS low, list_transform(v[7:12], lambda x: 10 * x) AS raw, 1 + vec_id % (1 + label // 2) AS level FROM e),
+ev AS (SELECT 'is_oven' AS cls, p_oven AS score, is_oven AS target FROM orow
+    UNION ALL SELECT 'food', p_food, food FROM orow WHERE food IS NOT NULL
+    UNION ALL SELECT 'container/' || ['glass', 'metal'][i], p_cont[i], container[i] FROM orow, range(1, 3) r(i) WHERE container IS NOT NULL
+    UNION ALL SELECT 'accessory/' || ['tray', 'grill'][i], p_acc[i], accessory[i] FROM orow, range(1, 3) r(i) WHERE accessory IS NOT NULL{more}),
+held AS (SELECT *, list_transform(range(low, rack_count + 1), lambda k: raw[k + 1]) AS held FROM orow WHERE known),
+rk AS (SELECT item, level, list_position(held, list_max(held)) - 1 + low AS pred, 1.0::DOUBLE / list_sum(list_transform(held, lambda x: exp(x - list_max(held)))) AS conf FROM held)
+"""
+_BY_PLACE = """
+    UNION ALL SELECT 'accessory_in_oven/' || ['tray', 'grill'][i], p_acc[i], accessory[i] FROM orow, range(1, 3) r(i) WHERE accessory IS NOT NULL AND is_oven
+    UNION ALL SELECT 'accessory_out_oven/' || ['tray', 'grill'][i], p_acc[i], accessory[i] FROM orow, range(1, 3) r(i) WHERE accessory IS NOT NULL AND NOT is_oven"""
+
+
+def _named(cte: str, suffix: str, size: int) -> str:
+    """The retrieval CTEs under other names, over the first ``size`` components."""
+    for name in ("pairs", "nn", "w", "gv", "mv", "tot", "best", "match", "facts"):
+        cte = re.sub(rf"\b{name} AS \(", f"{name}{suffix} AS (", cte)
+        cte = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {name}{suffix}", cte)
+    return cte.replace("list_cosine_similarity(q.v, r.v)", f"list_cosine_similarity(q.v[1:{size}], r.v[1:{size}])")
+
+
+_DEVICES = """UNION ALL SELECT unnest(['device_top1{0}', 'device_unknown_rate{0}', 'external_reject_rate{0}', 'external_false_accept_rate{0}']), unnest([avg(correct::INT) FILTER (WHERE inside), avg(rejected::INT) FILTER (WHERE inside), avg(rejected::INT) FILTER (WHERE external), avg((NOT rejected)::INT) FILTER (WHERE external)]) FROM {1}"""
+_CLS = _named(FACTS.split("e AS (SELECT", 1)[1].split("\n", 1)[1], "_c", 32)
+ORACLE_SQL["full_evaluation"] = f"""WITH {FACTS}, {_CLS}, {_OUT.format(more=_BY_PLACE)}{BLOCKS},
+  th AS (SELECT * FROM (VALUES ('is_oven', 0.55::DOUBLE), ('food', 0.45), ('container/metal', 0.35), ('accessory/tray', 0.6)) t(name, t)),
+  judged AS (SELECT ev.*, score >= coalesce(t, 0.5) AS said FROM ev LEFT JOIN th ON name = regexp_replace(cls, '^accessory_(in|out)_oven/', 'accessory/')),
+  c AS (SELECT cls, count(*) AS n, count(*) FILTER (WHERE said AND target) AS tp, count(*) FILTER (WHERE said AND NOT target) AS fp, count(*) FILTER (WHERE NOT said AND target) AS fn FROM judged GROUP BY cls),
+  po AS (SELECT f.* FROM facts f JOIN orow ON f.q_id = item WHERE is_oven), pc AS (SELECT f.* FROM facts_c f JOIN orow ON f.q_id = item WHERE is_oven),
+  cas AS (SELECT correct AS d, pred = level AND correct AS r FROM rk JOIN po ON q_id = item),
+  out AS (
+    SELECT cls || '_' || unnest(['acc', 'precision', 'recall', 'f1']) AS metric, unnest([(n - fp - fn) / n, tp / nullif(tp + fp, 0), tp / nullif(tp + fn, 0), 2 * tp / nullif(2 * tp + fp + fn, 0)]) AS value FROM c WHERE cls IN ('is_oven', 'food')
+    UNION ALL SELECT split_part(cls, '/', 1) || '_map', avg(ap) FILTER (WHERE positives > 0 AND positives < n) FROM ap WHERE contains(cls, '/') GROUP BY 1
+    UNION ALL SELECT 'safety_recall/metal', tp / nullif(tp + fn, 0) FROM c WHERE cls = 'container/metal'
+    UNION ALL SELECT unnest(['rack_acc', 'rack_acc_pm1', 'rack_floor_acc', 'rack_mean_conf', 'rack_low_conf_rate']), unnest([avg((pred = level)::INT), avg((pred >= 1 AND abs(pred - level) <= 1)::INT) FILTER (WHERE level >= 1), avg(((pred = 0) = (level = 0))::INT), avg(conf), avg((conf < 0.4)::INT)]) FROM rk
+    UNION ALL SELECT unnest(['rack_acc_e2e', 'rack_err_given_device_err']), unnest([avg(r::INT), avg((NOT r)::INT) FILTER (WHERE NOT d)]) FROM cas
+    {_DEVICES.format("", "po")} {_DEVICES.format("_proj", "po")} {_DEVICES.format("_cls", "pc")})
+  SELECT metric, round(value, 6) AS value FROM out"""
+
+ORACLE_SQL["calibrate_all"] = f"""WITH {EMB}, {_OUT.format(more="")}{BLOCKS},
+  f1 AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY 2 * tp / (n + n_pos)::DOUBLE DESC, score DESC) AS k, n_pos = 0 OR n_pos = n_all AS one FROM bl),
+  rt AS (SELECT cls, max(score) FILTER (WHERE tp >= greatest(1, ceil(0.95::DOUBLE * n_pos - 1e-9))) AS s, max(n_pos) = 0 OR max(n_pos) = max(n_all) AS one FROM bl WHERE cls = 'container/metal' GROUP BY cls),
+  rc AS (SELECT conf, sum(ok) OVER w / sum(n) OVER w::DOUBLE AS p FROM (SELECT conf, count(*) AS n, count(*) FILTER (WHERE pred = level) AS ok FROM rk GROUP BY conf) WINDOW w AS (ORDER BY conf DESC)),
+  sc AS (SELECT sim AS s, q_label < 8 AS inside FROM nn WHERE rank = 1), best AS (SELECT tau FROM (WITH z AS (SELECT 1){_TAU}))
+  SELECT cls AS name, round(CASE WHEN one THEN 0.5 ELSE (score + lower) / 2 END, 6) AS threshold, CASE WHEN one THEN 'default' ELSE 'max_f1' END AS source FROM f1 WHERE k = 1 AND cls <> 'container/metal'
+  UNION ALL SELECT cls, round(CASE WHEN one THEN 0.5 ELSE least(s, 0.5) END, 6), CASE WHEN one THEN 'default' ELSE 'recall_target' END FROM rt
+  UNION ALL SELECT 'rack_conf', round(coalesce(min(conf) FILTER (WHERE p >= 0.95), 0.5), 6), CASE WHEN count(*) FILTER (WHERE p >= 0.95) = 0 THEN 'default(target_unreachable)' ELSE 'target_precision' END FROM rc
+  UNION ALL SELECT 'tau', tau, 'external' FROM best"""

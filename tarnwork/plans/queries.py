@@ -10,6 +10,7 @@ from tarnwork.functions.columns import first_argmax, level_mask, softmax
 from tarnwork.operators import calibration, decide, encode, evaluate, losses, metrics, report, retrieval, rules, sampling, split
 from tarnwork.operators.vectors import nearest
 from tarnwork.plans import bindings as b
+from tarnwork.sources.scratch import stored
 
 QUERIES: dict = {}
 
@@ -440,10 +441,18 @@ def _output_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def full_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, facts = _output_rows(spark, sf_dir), _facts(spark, sf_dir)
+    rows, features = _output_rows(spark, sf_dir), {}
+    queries, refs = b.vectors(spark, sf_dir)
+    ovens = queries.join(rows.where("is_oven").select(F.col("item").alias("q_id")), "q_id", "left_semi")  # retrieval is judged on ovens
+    truth = queries.select("q_id", F.col("model").alias("true_model"), F.col("cavity_group").alias("true_group"), "external")
+    for name, size in (("proj", 64), ("cls", 32)):  # a second feature: the first half of the vector
+        q, r = (x.withColumn("v", F.slice("v", 1, size)) for x in (ovens, refs))
+        features[name] = stored(retrieval.retrieval_facts(retrieval.match(q, r, 10, b.TAU), truth, r), "facts")
     levels = evaluate.known_levels(rows).select("item", (F.col("pred") == F.col("level")).alias("rack_ok"))
+    facts = features["proj"]
     cascade = levels.join(facts.select(F.col("q_id").alias("item"), F.col("correct").alias("device_ok")), "item").select("device_ok", (F.col("rack_ok") & F.col("device_ok")).alias("rack_ok"))
-    return evaluate.evaluate(rows, facts, cascade, b.CONTAINERS[:2], b.ACCESSORIES[:2]).select("metric", *_r("value"))
+    thresholds = spark.createDataFrame([("is_oven", 0.55), ("food", 0.45), ("container/metal", 0.35), ("accessory/tray", 0.6), ("rack_conf", 0.4)], "name string, threshold double")
+    return evaluate.evaluate(rows, facts, cascade, b.CONTAINERS[:2], b.ACCESSORIES[:2], thresholds=thresholds, safety=("metal",), others=features).select("metric", *_r("value"))
 
 
 @query
