@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.functions.columns import EXTERNAL_TOKENS, NONE_TOKENS, OCCLUDED, is_none, strip
+from tarnwork.operators.rules import check_labels
+from tarnwork.sources.scratch import stored
 
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "webp")
 
@@ -22,22 +24,70 @@ def read_annotations(spark: SparkSession, path: str, recursive: bool = False) ->
     return files.select(F.col("_metadata.file_path").alias("json_path"), F.regexp_replace("value", "^﻿", "").alias("raw"))
 
 
-def image_candidates(files: DataFrame) -> DataFrame:
-    """(stem, image_path, rank): images by stem, earlier extensions first."""
-    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    order = F.array_position(F.array(*map(F.lit, IMAGE_EXTENSIONS)), ext)
-    return files.select(F.regexp_replace("path", r"\.[^./]+$", "").alias("stem"), F.col("path").alias("image_path"), order.alias("rank")).where("rank > 0")
+def _named(*paths: str) -> list[Column]:
+    """What the annotation says of its image: text that is not blank, with either slash."""
+    texts = [F.expr(f"try_variant_get(__doc, '{p}', 'variant')") for p in paths]
+    said = [F.when(_kind(v) == "string", strip(v.cast("string"))) for v in texts]
+    return [F.translate(F.when(s != "", s), "\\", "/") for s in said]
 
 
 def with_image(annotations: DataFrame, files: DataFrame) -> DataFrame:
-    """Adds image_path: the named file beside the annotation, else the first of its stem."""
-    folder = F.regexp_extract("json_path", r"^(.*/)", 1)
-    name = F.regexp_extract(F.translate(F.coalesce(F.get_json_object("raw", "$.image"), F.get_json_object("raw", "$.image_name"), F.lit("")), "\\", "/"), r"([^/]*)$", 1)
-    keyed = annotations.withColumn("__named", F.concat(folder, name)).withColumn("__stem", F.regexp_replace("json_path", r"\.[^./]+$", ""))
-    exact = files.select(F.col("path").alias("__named"), F.col("path").alias("__a")).distinct()
-    first = image_candidates(files).groupBy("stem").agg(F.min_by("image_path", "rank").alias("__b")).withColumnRenamed("stem", "__stem")
-    both = keyed.join(exact, "__named", "left").join(first, "__stem", "left")
-    return both.withColumn("image_path", F.coalesce("__a", "__b")).drop("__named", "__stem", "__a", "__b")
+    """Adds image_path: the first of these that exists, null if none does.
+
+    The path that ``image`` names (at the top or else inside ``annotations``) beside the
+    annotation, its last part beside the annotation, the same for ``image_name``, then the
+    annotation's own stem with each known extension, in lower and then in upper case. An
+    exact join on ``path`` of the few candidates a row has; a repeated file counts once.
+    """
+    folder, stem = F.regexp_extract("json_path", r"^(.*/)", 1), F.regexp_replace("json_path", r"\.[^./]+$", "")
+    keyed = annotations.withColumn("__doc", F.try_parse_json("raw"))
+    names = [F.coalesce(*_named(f"$.{key}", f"$.annotations.{key}")) for key in ("image", "image_name")]
+    tries = [F.concat(folder, part) for name in names for part in (F.regexp_replace(name, r"^(\./)+", ""), F.regexp_extract(name, r"([^/]*)$", 1))]
+    tries += [F.concat(stem, F.lit(f".{ext}")) for ext in (*IMAGE_EXTENSIONS, *(e.upper() for e in IMAGE_EXTENSIONS))]
+    wanted = keyed.select("json_path", F.posexplode(F.array(*tries)).alias("__rank", "path")).where("path IS NOT NULL")
+    found = wanted.join(files.select("path").distinct(), "path").groupBy("json_path").agg(F.min_by("path", "__rank").alias("image_path"))
+    return annotations.join(found, "json_path", "left")
+
+
+def load_split(spark: SparkSession, roots: Sequence[str], split: str, profile: DataFrame, containers: Sequence[str], accessories: Sequence[str], on_error: str = "raise", strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(labels, issues) of ``<root>/<split>/*.json``: parsed, with an image, checked against the profile.
+
+    ``issues`` is (json_path, level, code); with ``strict`` every one is an error. Rows
+    with an error are no labels: ``on_error='skip'`` leaves them out, ``'raise'`` refuses
+    the split and names the first 20. An empty split is refused.
+    """
+    folders = [f"{root.rstrip('/')}/{split}" for root in roots]
+    notes, files = None, None
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            raise FileNotFoundError(folder)
+        images = spark.read.format("binaryFile").load(folder).select("path")  # names only; contents are not read
+        some = read_annotations(spark, folder)
+        notes, files = (some, images) if notes is None else (notes.unionAll(some), files.unionAll(images))
+    same = lambda c: F.regexp_replace(c, "^file:/+", "file:///")
+    notes, files = notes.withColumn("json_path", same("json_path")), files.withColumn("path", same("path"))
+    pictured = with_image(notes, files)
+    parsed = parse(pictured, containers, accessories).join(pictured.select("json_path", "image_path"), "json_path")
+    none = F.expr("CAST(array() AS ARRAY<STRUCT<level: STRING, code: STRING>>)")
+    lost = F.when(F.col("image_path").isNull() & ~F.exists("issues", lambda i: i["code"] == "bad_json"), F.array(F.struct(F.lit("error").alias("level"), F.lit("missing_image").alias("code")))).otherwise(none)
+    parsed = parsed.withColumn("__parsed", F.concat("issues", lost)).drop("issues", "valid")
+    bad = lambda c: F.exists(c, lambda i: i["level"] == "error")
+    ruled = check_labels(parsed, profile)
+    both = F.concat("__parsed", F.when(bad("__parsed"), none).otherwise(F.col("issues")))  # rules judge labels that could be read
+    if strict:
+        both = F.transform(both, lambda i: F.struct(F.lit("error").alias("level"), i["code"].alias("code")))
+    checked = stored(ruled.withColumn("issues", both).drop("__parsed"), "split-labels")
+    issues = checked.select("json_path", F.inline("issues"))
+    n, wrong = checked.agg(F.count("*"), F.count_if(bad("issues"))).first()
+    if not n:
+        raise RuntimeError(f"no annotation in {folders}")
+    if wrong and on_error == "raise":
+        first = issues.where("level = 'error'").orderBy("json_path", "code").limit(20).collect()
+        raise ValueError(f"{wrong} of {n} annotations have errors, the first are: " + "; ".join(f"{r['json_path']}: {r['code']}" for r in first))
+    if wrong == n:
+        raise RuntimeError(f"no label is left in {folders}")
+    return checked.where(~bad("issues")), issues
 
 
 def _get(key: str) -> Column:

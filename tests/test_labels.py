@@ -100,7 +100,7 @@ def test_image_lookup(spark):
     notes = spark.createDataFrame([("/d/a.json", '{"image": "x\\\\b.png"}'), ("/d/c.json", "{}"), ("/d/e.json", "{}")], "json_path string, raw string")
     files = spark.createDataFrame([("/d/b.png",), ("/d/c.png",), ("/d/c.JPG",), ("/d/e.txt",)], "path string")
     got = {r["json_path"]: r["image_path"] for r in annotations.with_image(notes, files).collect()}
-    assert got == {"/d/a.json": "/d/b.png", "/d/c.json": "/d/c.JPG", "/d/e.json": None}
+    assert got == {"/d/a.json": "/d/b.png", "/d/c.json": "/d/c.png", "/d/e.json": None}
 
 
 def test_bundle_round_trip(spark, tmp_path):
