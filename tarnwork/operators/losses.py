@@ -8,11 +8,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwork.functions.columns import dot, l2_normalised, let, level_mask, total
 
+CENTRES = 4_096  # class centres a task
+ITEMS = 32_768  # items a task
+
 
 def bce(logit: Column, target: Column, pos_weight: Column | float = 1.0) -> Column:
     """Stable binary cross entropy with logits."""
@@ -66,17 +71,34 @@ def supcon(rows: DataFrame, temperature: float = 0.1) -> DataFrame:
 
 
 def arcface(rows: DataFrame, centres: DataFrame, scale: float = 30.0, margin: float = 0.3) -> DataFrame:
-    """(item, loss) of (item, grp, v) against class centres (grp, c)."""
+    """(item, loss) of (item, grp, v) against class centres (grp, c).
+
+    Every centre takes part in every item's loss. Slices of items meet shards of centres
+    by a matrix product; a task returns a maximum, a sum below it and the own class's
+    value an item, which are merged by a grouped aggregate: no pairs, no lists.
+    """
     cos_m, sin_m, floor, drop = math.cos(margin), math.sin(margin), math.cos(math.pi - margin), math.sin(math.pi - margin) * margin
-    q = rows.withColumn("v", l2_normalised(F.col("v")))
-    c = centres.select(F.col("grp").alias("gc"), l2_normalised(F.col("c")).alias("c"))
-    both = q.crossJoin(c)  # items x classes: every class centre takes part in every item's loss
-    cos = F.least(F.greatest(dot(F.col("v"), F.col("c")), F.lit(-1 + 1e-7)), F.lit(1 - 1e-7))
-    both = both.withColumn("cos", cos)
-    phi = F.when(F.col("cos") > floor, F.col("cos") * cos_m - F.sqrt(1 - F.col("cos") * F.col("cos")) * sin_m).otherwise(F.col("cos") - drop)
-    x = scale * F.when(F.col("gc") == F.col("grp"), phi).otherwise(F.col("cos"))
-    each = both.select("item", (F.col("gc") == F.col("grp")).alias("own"), x.alias("x")).groupBy("item").agg(F.max("x").alias("m"), F.collect_list("x").alias("xs"), F.max(F.when(F.col("own"), F.col("x"))).alias("t"))
-    return each.select("item", (F.col("m") + F.log(total(F.transform("xs", lambda v: F.exp(v - F.col("m"))))) - F.col("t")).alias("loss"))
+    shards, slices = (max(1, -(-df.count() // most)) for df, most in ((centres, CENTRES), (rows, ITEMS)))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    q = rows.select(F.col("item").cast("long").alias("item"), F.col("grp").cast("string").alias("grp"), l2_normalised(F.col("v")).alias("v"), part("item", slices).alias("slice"), spread(shards).alias("shard"))
+    c = centres.select(F.col("grp").cast("string").alias("grp"), l2_normalised(F.col("c")).alias("c"), part("grp", shards).alias("shard")).select("*", spread(slices).alias("slice"))
+
+    def score(items: pd.DataFrame, classes: pd.DataFrame) -> pd.DataFrame:
+        if not len(items) or not len(classes):
+            return pd.DataFrame({"item": [], "m": [], "s": [], "t": []})
+        cos = np.clip(np.stack(items.v.to_list()) @ np.stack(classes.c.to_list()).T, -1 + 1e-7, 1 - 1e-7)
+        own = items.grp.to_numpy()[:, None] == classes.grp.to_numpy()[None, :]
+        phi = np.where(cos > floor, cos * cos_m - np.sqrt(1 - cos * cos) * sin_m, cos - drop)
+        x = scale * np.where(own, phi, cos)
+        top = x.max(axis=1)
+        target = np.where(own.any(axis=1), np.where(own, x, -np.inf).max(axis=1), np.nan)
+        return pd.DataFrame({"item": items["item"].to_numpy(), "m": top, "s": np.exp(x - top[:, None]).sum(axis=1), "t": target})
+
+    each = q.groupBy("slice", "shard").cogroup(c.groupBy("slice", "shard")).applyInPandas(score, "item long, m double, s double, t double")
+    each = each.withColumn("t", F.nanvl("t", F.lit(None).cast("double")))
+    tops = each.groupBy("item").agg(F.max("m").alias("top"), F.collect_list(F.struct("m", "s")).alias("parts"), F.max("t").alias("t"))  # one entry a shard of centres
+    return tops.select("item", (F.col("top") + F.log(F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["s"] * F.exp(p["m"] - F.col("top")))) - F.col("t")).alias("loss"))
 
 
 def batch_parts(rows: DataFrame, value: Column, valid: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnwork.functions.columns import normalised_value
+from tarnwork.functions.columns import dot, first_argmax, normalised_value
 
 
 def upsert_history(history: DataFrame, updates: DataFrame) -> DataFrame:
@@ -56,6 +56,40 @@ def parity(ref: DataFrame, got: DataFrame, tolerance: float) -> DataFrame:
     return both.groupBy("output").agg(F.max(gap).alias("max_abs"), F.count_if(gap > tolerance).alias("n_over"), F.count("*").alias("n"))
 
 
+def vector_parity(ref: DataFrame, got: DataFrame, tolerance: float, least_cosine: float) -> DataFrame:
+    """(output, max_abs, min_cosine, n_mismatch, n, ok) of (item, output, v) pairs; a mismatch is another first maximum."""
+    both = ref.join(got.withColumnRenamed("v", "w"), ["item", "output"])
+    gap = F.array_max(F.zip_with("v", "w", lambda a, b: F.abs(a - b)))
+    cosine = dot(F.col("v"), F.col("w")) / F.greatest(F.sqrt(dot(F.col("v"), F.col("v"))) * F.sqrt(dot(F.col("w"), F.col("w"))), F.lit(1e-12))
+    other = first_argmax(F.col("v")) != first_argmax(F.col("w"))
+    out = both.groupBy("output").agg(F.max(gap).alias("max_abs"), F.min(cosine).alias("min_cosine"), F.count_if(other).alias("n_mismatch"), F.count("*").alias("n"))
+    return out.withColumn("ok", (F.col("max_abs") <= tolerance) & (F.col("min_cosine") >= least_cosine))
+
+
+def running_means(steps: DataFrame) -> DataFrame:
+    """(metric, mean, n) of (metric, value): values that are not finite do not count."""
+    finite = F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value"))
+    return steps.groupBy("metric").agg(F.avg(finite).alias("mean"), F.count(finite).alias("n"))
+
+
+def overridden(base: DataFrame, over: DataFrame) -> DataFrame:
+    """(key, value): ``base`` with the entries of ``over`` in their place or added; an explicit null counts."""
+    kept = base.join(over.select("key"), "key", "left_anti")
+    return kept.select("key", "value").unionByName(over.select("key", "value"))
+
+
+def incompatible(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(key, ours, theirs): entries of two manifests (key, value) that are not equal; a checkpoint fits if there are none."""
+    both = ours.withColumnRenamed("value", "ours").join(theirs.withColumnRenamed("value", "theirs"), "key", "full")
+    return both.where(~F.col("ours").eqNullSafe(F.col("theirs"))).select("key", "ours", "theirs")
+
+
+def first_by_priority(items: DataFrame, split: str, ident: str, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` items, those of earlier splits first; splits that ``order`` lacks take no part."""
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col(split))
+    return items.where(rank > 0).orderBy(rank, ident).limit(n)
+
+
 def field_accuracy(predicted: DataFrame, truth: DataFrame, fields: list[str], key: str) -> DataFrame:
     """(field, ok, total, rate): by value, lists in any order, rows without truth left out."""
     both = predicted.alias("p").join(truth.alias("t"), key)

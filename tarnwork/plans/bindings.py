@@ -101,3 +101,19 @@ def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = document_labels(spark, sf_dir)
     each = F.array(*[F.struct(F.lit(c).alias("cls"), ((F.col("n_chars") * m) % 997 / 997.0).alias("score"), (F.col(c) == 1).alias("target")) for c, m in (("quality", 7), ("toxic", 13))])
     return rows.select(F.inline(each)).where("target IS NOT NULL")
+
+
+def raw_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(json_path, raw): an annotation for every event, with every way to spell, omit and spoil a field."""
+    def field(key: str, number: Column, spellings: list[str]) -> Column:
+        made = F.array(*[F.lit(f'"{key}": {x}' if x else None).cast("string") for x in spellings])
+        return F.get(made, (number % len(spellings)).cast("int"))
+
+    e, u = F.col("event_id"), F.col("user_id")
+    food = [None, '"food_exist": null', '"food_exist": true', '"food_name": ["x"]', '"food_name": ["遮挡", "x"]', '"food_name": null', '"food_exist": 1']
+    parts = [
+        field("device_model", u, ["", "null", '"未知"', '" A "', '"无"', '"B"']), field("is_oven", e, ["", "null", "true", "false", ""]), F.get(F.array(*[F.lit(x).cast("string") for x in food]), (e % 7).cast("int")),
+        field("container_type", e, ["", "null", '["glass", " glass"]', '"metal"', "[1]", *6 * ['["glass", "无", "metal"]']]), field("rack_level", u, ["", '"1"', "[2]", '["1", "1"]', '["底板层", "2"]', "3.0", "true", '"无"']),
+    ]
+    raw = F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ", "), F.lit("}"))
+    return table(spark, sf_dir, "events").select(e.cast("string").alias("json_path"), raw.alias("raw"))

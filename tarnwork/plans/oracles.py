@@ -331,3 +331,39 @@ ORACLE_SQL["calibrate_all"] = f"""WITH {EMB}, {_OUT.format(more="")}{BLOCKS},
   UNION ALL SELECT cls, round(CASE WHEN one THEN 0.5 ELSE least(s, 0.5) END, 6), CASE WHEN one THEN 'default' ELSE 'recall_target' END FROM rt
   UNION ALL SELECT 'rack_conf', round(coalesce(min(conf) FILTER (WHERE p >= 0.95), 0.5), 6), CASE WHEN count(*) FILTER (WHERE p >= 0.95) = 0 THEN 'default(target_unreachable)' ELSE 'target_precision' END FROM rc
   UNION ALL SELECT 'tau', tau, 'external' FROM best"""
+
+# ---------------------------------------------------------------- annotations, manifests, parity
+
+_RAW = """r AS (SELECT event_id, user_id % 6 AS d, event_id % 5 AS o, event_id % 7 AS f, event_id % 11 AS c, user_id % 8 AS k FROM events),
+  a AS (SELECT *, CASE d WHEN 2 THEN '未知' WHEN 3 THEN 'A' WHEN 5 THEN 'B' END AS dv FROM r),
+  n AS (SELECT *, CASE o WHEN 2 THEN true WHEN 3 THEN false ELSE dv IS NOT NULL END AS oven, coalesce(dv = '未知', false) AS ext FROM a)"""
+ORACLE_SQL["generator_normalise"] = f"""WITH {_RAW}, x AS (SELECT *, CASE WHEN ext AND NOT oven THEN 'external_not_oven' WHEN NOT oven AND dv IS NOT NULL THEN 'device_not_oven' WHEN oven AND dv IS NULL THEN 'oven_without_device'
+      WHEN f = 6 THEN 'food_not_boolean' WHEN c = 4 THEN 'bad_container_type' WHEN oven AND NOT ext AND k = 6 THEN 'bad_rack_level' END AS error FROM n)
+  SELECT event_id, error, CASE WHEN error IS NULL THEN dv END AS device_model, CASE WHEN error IS NULL THEN oven END AS is_oven, CASE WHEN error IS NULL THEN CASE WHEN f IN (1, 5) THEN false WHEN f IN (2, 3) THEN true END END AS food_exist,
+    CASE WHEN error IS NULL THEN CASE c WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'glass' WHEN 3 THEN 'metal' ELSE 'glass,metal' END END AS container,
+    CASE WHEN error IS NULL AND oven AND NOT ext THEN CASE k WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 1 WHEN 5 THEN 3 END END::INTEGER AS rack_level, error IS NULL AND oven AND NOT ext AND k = 4 AS several FROM x"""
+_PARSED = _RAW + """, i AS (SELECT event_id, 'error' AS level, 'bad_type' AS code FROM n WHERE f = 6 UNION ALL SELECT event_id, 'warning', '遮挡' FROM n WHERE f = 4 UNION ALL SELECT event_id, 'warning', 'missing_field' FROM n WHERE f = 0
+    UNION ALL SELECT event_id, 'warning', 'missing_field' FROM n WHERE c = 0 UNION ALL SELECT event_id, 'error', 'unknown_class' FROM n WHERE c = 4 UNION ALL SELECT event_id, 'warning', 'none_with_names' FROM n WHERE c > 4
+    UNION ALL SELECT event_id, 'warning', 'missing_field' FROM n UNION ALL SELECT event_id, 'error', 'bad_rack_level' FROM n WHERE k IN (3, 4, 6))"""
+ORACLE_SQL["annotation_issues"] = f"WITH {_PARSED} SELECT level, code, count(*) AS n FROM i GROUP BY level, code"
+ORACLE_SQL["annotation_labels"] = f"""WITH {_PARSED} SELECT dv AS device_model, oven AS is_oven, CASE WHEN f IN (1, 5) THEN false WHEN f IN (2, 3) THEN true END AS food_exist, CASE c WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'glass' WHEN 3 THEN 'metal' ELSE 'glass,metal' END AS container,
+    CASE k WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 5 THEN 3 END::INTEGER AS rack_level, count(*) AS n FROM n WHERE event_id NOT IN (SELECT event_id FROM i WHERE level = 'error') GROUP BY ALL"""
+ORACLE_SQL["image_lookup"] = """SELECT '/d/' || page_id || '.json' AS json_path, CASE WHEN page_id % 3 = 0 AND page_id % 5 >= 1 THEN '/d/sub/' || page_id || '.png' WHEN page_id % 3 = 1 AND page_id % 5 >= 2 THEN '/d/x' || page_id || '.bmp'
+    WHEN page_id % 5 = 4 THEN '/d/' || page_id || '.webp' WHEN page_id % 5 = 3 THEN '/d/' || page_id || '.JPG' END AS image_path FROM pages"""
+ORACLE_SQL["split_summary"] = f"""WITH {LABELS} SELECT CASE WHEN l_orderkey % 10 < 8 THEN 'train' WHEN l_orderkey % 10 = 8 THEN 'val' ELSE 'test' END AS split, count(*) AS n, count(DISTINCT device_model) AS n_models,
+    count(*) FILTER (WHERE ext) AS n_external, count(*) FILTER (WHERE rack_level >= 5) AS n_multi_rack FROM j GROUP BY 1"""
+ORACLE_SQL["bundle_faults"] = """SELECT DISTINCT 'M' || label AS model, CASE WHEN label = 6 THEN 'not_in_profile' ELSE 'other_group' END AS fault FROM embeddings WHERE label IN (3, 6)"""
+ORACLE_SQL["refs_per_model"] = f"WITH {EMB} SELECT model, grp AS cavity_group, count(*) AS n FROM e WHERE label < 8 GROUP BY ALL"
+ORACLE_SQL["arcface"] = """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), c AS (SELECT label AS g, arg_min(v, vec_id) AS c FROM e WHERE vec_id % 25 = label GROUP BY label),
+    x AS (SELECT vec_id, label = g AS own, least(greatest(list_cosine_similarity(v, c), -1 + 1e-7), 1 - 1e-7) AS cos FROM e, c),
+    y AS (SELECT vec_id, own, 30 * CASE WHEN NOT own THEN cos WHEN cos > cos(pi() - 0.3) THEN cos * cos(0.3) - sqrt(1 - cos * cos) * sin(0.3) ELSE cos - sin(pi() - 0.3) * 0.3 END AS x FROM x),
+    z AS (SELECT vec_id, max(x) FILTER (WHERE own) AS t, ln(sum(exp(x))) AS l FROM y GROUP BY vec_id)
+  SELECT vec_id % 10 AS part, round(avg(l - t), 6) AS loss, count(t) AS n FROM z GROUP BY 1"""
+ORACLE_SQL["vector_parity"] = """WITH e AS (SELECT label::VARCHAR AS output, list_transform(embedding, lambda x: x::DOUBLE) AS v, list_transform(embedding, lambda x: floor(x::DOUBLE * 20) / 20) AS w FROM embeddings),
+    g AS (SELECT *, list_max(list_transform(range(1, len(v) + 1), lambda i: abs(v[i] - w[i]))) AS gap, list_cosine_similarity(v, w) AS cosine, list_position(v, list_max(v)) <> list_position(w, list_max(w)) AS other FROM e)
+  SELECT output, round(max(gap), 6) AS max_abs, round(min(cosine), 6) AS min_cosine, count(*) FILTER (WHERE other) AS n_mismatch, count(*) AS n, max(gap) <= 0.05 AND min(cosine) >= 0.98 AS ok FROM g GROUP BY output"""
+ORACLE_SQL["running_means"] = "SELECT event_type AS metric, round(avg(value) FILTER (WHERE event_id % 10 > 1), 6) AS mean, count(*) FILTER (WHERE event_id % 10 > 1) AS n FROM events GROUP BY event_type"
+_MANIFEST = "m AS (SELECT o_orderstatus AS s, o_custkey AS key, max(o_orderpriority) AS value FROM orders GROUP BY ALL), f AS (SELECT key, value FROM m WHERE s = 'F'), o AS (SELECT key, value FROM m WHERE s = 'O')"
+ORACLE_SQL["manifest_override"] = f"WITH {_MANIFEST} SELECT coalesce(o.key, f.key) AS key, coalesce(o.value, f.value) AS value FROM f FULL JOIN o ON f.key = o.key"
+ORACLE_SQL["manifest_faults"] = f"WITH {_MANIFEST} SELECT coalesce(o.key, f.key) AS key, f.value AS ours, o.value AS theirs FROM f FULL JOIN o ON f.key = o.key WHERE f.value IS DISTINCT FROM o.value"
+ORACLE_SQL["first_by_priority"] = "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('P', 'O') ORDER BY o_orderstatus = 'O', o_orderkey LIMIT 400"

@@ -10,6 +10,7 @@ from tarnwork.functions.columns import first_argmax, level_mask, softmax
 from tarnwork.operators import calibration, decide, encode, evaluate, losses, metrics, report, retrieval, rules, sampling, split
 from tarnwork.operators.vectors import nearest
 from tarnwork.plans import bindings as b
+from tarnwork.sources import annotations, generator
 from tarnwork.sources.scratch import stored
 
 QUERIES: dict = {}
@@ -465,3 +466,94 @@ def preflight_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = F.when(F.col("l_orderkey") % 10 < 8, "train").when(F.col("l_orderkey") % 10 == 8, "val").otherwise("test")
     docs = b.table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 10 < 8, "train").when(F.col("doc_id") % 10 == 8, "val").otherwise("test").alias("split"))
     return evaluate.preflight(b.item_labels(spark, sf_dir).withColumn("split", share), b.brand_profile(spark, sf_dir), docs, "doc_id", "text")
+
+
+# ---------------------------------------------------------------- annotations, manifests, parity
+
+
+@query
+def generator_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = F.col("error").isNull()
+    out = generator.normalise(b.raw_annotations(spark, sf_dir))
+    kept = [F.when(good, F.col(c)).alias(c) for c in ("device_model", "is_oven", "food_exist", "rack_level")]
+    return out.select(F.col("json_path").cast("long").alias("event_id"), "error", *kept, F.when(good, F.array_join("container_type", ",")).alias("container"), (good & F.col("multi_rack_level").isNotNull()).alias("several"))
+
+
+@query
+def annotation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = annotations.parse(b.raw_annotations(spark, sf_dir), b.CONTAINERS, b.ACCESSORIES)
+    return out.select(F.inline("issues")).groupBy("level", "code").agg(F.count("*").alias("n"))
+
+
+@query
+def annotation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = annotations.parse(b.raw_annotations(spark, sf_dir), b.CONTAINERS, b.ACCESSORIES).where("valid")
+    return out.groupBy("device_model", "is_oven", "food_exist", F.array_join("container", ",").alias("container"), "rack_level").agg(F.count("*").alias("n"))
+
+
+@query
+def image_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = F.col("page_id").cast("string")
+    named = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('{"image": "sub/'), page, F.lit('.png"}'))).when(F.col("page_id") % 3 == 1, F.concat(F.lit('{"annotations": {"image_name": "x'), page, F.lit('.bmp"}}'))).otherwise("{}")
+    pages = b.table(spark, sf_dir, "pages")
+    notes = pages.select(F.concat(F.lit("/d/"), page, F.lit(".json")).alias("json_path"), named.alias("raw"))
+    kinds = F.array(F.concat(F.lit("/d/sub/"), page, F.lit(".png")), F.concat(F.lit("/d/x"), page, F.lit(".bmp")), F.concat(F.lit("/d/"), page, F.lit(".JPG")), F.concat(F.lit("/d/"), page, F.lit(".webp")))
+    files = pages.select(F.explode(F.slice(kinds, 1, (F.col("page_id") % 5).cast("int"))).alias("path"))
+    return annotations.with_image(notes, files).select("json_path", "image_path")
+
+
+@query
+def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share = F.when(F.col("l_orderkey") % 10 < 8, "train").when(F.col("l_orderkey") % 10 == 8, "val").otherwise("test")
+    rows = b.item_labels(spark, sf_dir).withColumns({"split": share, "several": F.col("rack_level") >= 5})
+    return split.split_summary(rows, "device_model", "several")
+
+
+@query
+def bundle_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = b.vectors(spark, sf_dir)[1].withColumn("cavity_group", F.when(F.col("model") == "M3", "G9").otherwise(F.col("cavity_group")))
+    return retrieval.bundle_faults(refs, b.model_profile(spark, sf_dir).where("name <> 'M6'"))
+
+
+@query
+def refs_per_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.vectors(spark, sf_dir)[1].groupBy("model", "cavity_group").agg(F.count("*").alias("n"))
+
+
+@query
+def arcface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = b.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item"), F.col("label").alias("grp"), F.col("embedding").alias("v"))
+    centres = rows.where("item % 25 = grp").groupBy("grp").agg(F.min_by("v", "item").alias("c"))
+    return losses.arcface(rows, centres).groupBy((F.col("item") % 10).alias("part")).agg(F.round(F.avg("loss"), 6).alias("loss"), F.count("loss").alias("n"))
+
+
+@query
+def vector_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = b.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item"), F.col("label").cast("string").alias("output"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    other = rows.withColumn("v", F.transform("v", lambda x: F.floor(x * 20) / 20))
+    return report.vector_parity(rows, other, 0.05, 0.98).select("output", *_r("max_abs", "min_cosine"), "n_mismatch", "n", "ok")
+
+
+@query
+def running_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.when(F.col("event_id") % 10 == 0, float("nan")).when(F.col("event_id") % 10 == 1, float("inf")).otherwise(F.col("value"))
+    return report.running_means(b.table(spark, sf_dir, "events").select(F.col("event_type").alias("metric"), value.alias("value"))).select("metric", *_r("mean"), "n")
+
+
+def _manifest(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
+    return b.table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == status).groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_orderpriority").alias("value"))
+
+
+@query
+def manifest_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.overridden(_manifest(spark, sf_dir, "F"), _manifest(spark, sf_dir, "O"))
+
+
+@query
+def manifest_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.incompatible(_manifest(spark, sf_dir, "F"), _manifest(spark, sf_dir, "O"))
+
+
+@query
+def first_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.first_by_priority(b.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey", ["P", "O"], 400)

@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tarnwork.operators.retrieval import bundle_faults
+
 PROFILE = "name STRING, rack_count INT, floor_usable BOOLEAN, cavity_group STRING, accessories ARRAY<STRING>"
 
 
@@ -33,23 +35,28 @@ class EvalConfig:
 
 
 def profile_rows(raw: dict, max_rack: int = 9, accessory_classes: Sequence[str] | None = None) -> list[tuple]:
-    """Checked rows of a profile object; keys that begin with ``_`` are comments."""
-    rows, groups = [], {}
-    for name, spec in raw.items():
-        if name.startswith("_"):
-            continue
-        count, floor, group, held = spec.get("rack_count"), spec.get("floor_usable"), spec.get("cavity_group") or name, spec.get("accessories")
-        if isinstance(count, bool) or not isinstance(count, int) or not 0 <= count <= max_rack:
-            raise ValueError(f"{name}: rack_count must be 0 to {max_rack}")
-        if not isinstance(floor, bool):
-            raise ValueError(f"{name}: floor_usable must be true or false")
-        if held is not None and (not isinstance(held, list) or accessory_classes is not None and set(held) - set(accessory_classes)):
-            raise ValueError(f"{name}: unknown accessories")
-        if groups.setdefault(group, (count, floor)) != (count, floor):
-            raise ValueError(f"{group}: devices of one cavity group differ")
-        rows.append((name, count, floor, group, held))
-    if not rows:
-        raise ValueError("the profile is empty")
+    """Rows of a profile object; keys that begin with ``_`` are comments.
+
+    A device may put things on its floor unless it says otherwise, and is its own cavity
+    group unless it names one. All faults are reported together.
+    """
+    entries = {str(name): spec for name, spec in raw.items() if not str(name).startswith("_")} if isinstance(raw, dict) else {}
+    faults = [] if entries else ["the profile is empty"]
+    faults += [f"{name}: not an object" for name, spec in entries.items() if not isinstance(spec, dict)]
+    read = {name: spec for name, spec in entries.items() if isinstance(spec, dict)}
+    rows = [(n, s.get("rack_count"), s.get("floor_usable", True), str(s.get("cavity_group") or n).strip(), s.get("accessories")) for n, s in read.items()]
+    checks = {
+        f"rack_count must be 1 to {max_rack}": lambda count, floor, held: type(count) is int and 1 <= count <= max_rack,
+        "floor_usable must be true or false": lambda count, floor, held: type(floor) is bool,
+        "accessories must be a list of known names or null": lambda count, floor, held: held is None or isinstance(held, list) and (accessory_classes is None or all(x in accessory_classes for x in held)),
+    }
+    faults += [f"{name}: {what}" for name, count, floor, _, held in rows for what, holds in checks.items() if not holds(count, floor, held)]
+    shapes: dict[str, list[str]] = {}
+    for _, count, floor, group, _ in rows:
+        shapes.setdefault(group, []).append(repr((count, floor)))
+    faults += [f"{group}: devices of one cavity group differ" for group, held in shapes.items() if len(set(held)) > 1]
+    if faults:
+        raise ValueError("; ".join(faults))
     return rows
 
 
@@ -59,26 +66,47 @@ def read_profile(spark: SparkSession, path: str, **checks) -> DataFrame:
     return spark.createDataFrame(profile_rows(json.loads(text), **checks), PROFILE)
 
 
-def write_bundle(refs: DataFrame, path: str, fingerprint: str) -> None:
-    """A gallery with its version; the manifest is written last."""
-    refs.write.mode("errorifexists").parquet(f"{path}/gallery")
-    spark = refs.sparkSession
-    spark.createDataFrame([(json.dumps({"fingerprint": fingerprint}),)], "value STRING").coalesce(1).write.text(f"{path}/manifest")
+def write_bundle(refs: DataFrame, path: str, fingerprint: str, calibration: DataFrame | None = None) -> None:
+    """A gallery and its calibration (name, threshold) with their version; the manifest is written last."""
+    parts = {"gallery": refs} | ({"calibration": calibration} if calibration is not None else {})
+    for part, table in parts.items():
+        table.write.mode("errorifexists").parquet(f"{path}/{part}")
+    lines = [(json.dumps({"part": part, "fingerprint": fingerprint}),) for part in ("model", *parts)]
+    refs.sparkSession.createDataFrame(lines, "value STRING").coalesce(1).write.text(f"{path}/manifest")
+
+
+def _manifest(spark: SparkSession, path: str, expected: str) -> list[str]:
+    """The parts of a bundle, of which each must have the expected version."""
+    found = [json.loads(r["value"]) for r in spark.read.text(f"{path}/manifest").take(8)]
+    other = [f"{x['part']} is {x.get('fingerprint')!r}" for x in found if x.get("fingerprint") != expected]
+    if other or not found:
+        raise ValueError(f"bundle version is not {expected!r}: {', '.join(other) or 'no manifest'}")
+    return [x["part"] for x in found]
+
+
+def read_bundle(spark: SparkSession, path: str, expected: str, profile: DataFrame | None = None) -> DataFrame:
+    """The gallery, if model, gallery and calibration all have the expected version; with ``profile``, if its models agree with it."""
+    _manifest(spark, path, expected)
+    refs = spark.read.parquet(f"{path}/gallery")
+    if profile is not None:
+        faults = bundle_faults(refs, profile).orderBy("model").take(20)
+        if faults:
+            raise ValueError("; ".join(f"{r['model']}: {r['fault']}" for r in faults))
+    return refs
 
 
-def read_bundle(spark: SparkSession, path: str, expected: str) -> DataFrame:
-    """The gallery, if its version is the expected one."""
-    rows = spark.read.text(f"{path}/manifest").take(1)
-    found = json.loads(rows[0]["value"]).get("fingerprint") if rows else None
-    if not found or found != expected:
-        raise ValueError(f"bundle version {found!r} is not {expected!r}")
-    return spark.read.parquet(f"{path}/gallery")
+def read_calibration(spark: SparkSession, path: str, expected: str) -> DataFrame:
+    """(name, threshold) of a bundle of the expected version."""
+    if "calibration" not in _manifest(spark, path, expected):
+        raise ValueError("the bundle has no calibration")
+    return spark.read.parquet(f"{path}/calibration")
 
 
 def write_results(results: DataFrame, path: str) -> None:
-    """All results as JSON, and those that wait for the gallery as a second set."""
+    """All results as JSON, and those that wait for the gallery, read from there, as a second set."""
     results.write.mode("errorifexists").json(f"{path}/results")
-    results.where("pending_gallery").write.mode("errorifexists").json(f"{path}/pending")
+    written = results.sparkSession.read.schema(results.schema).json(f"{path}/results")
+    written.where("pending_gallery").write.mode("errorifexists").json(f"{path}/pending")
 
 
 def write_split(items: DataFrame, path: str) -> None:

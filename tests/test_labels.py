@@ -110,3 +110,23 @@ def test_bundle_round_trip(spark, tmp_path):
     with pytest.raises(ValueError):
         profile.read_bundle(spark, str(tmp_path / "b"), "v2")
     assert profile.fresh_dir(str(tmp_path), "d", "t").name == "d" and profile.fresh_dir(str(tmp_path), "d", "t").name == "d_t" and profile.fresh_dir(str(tmp_path), "d", "t").name == "d_t_1"
+
+
+def test_profile_defaults_and_faults():
+    rows = profile.profile_rows({"A": {"rack_count": 2, "cavity_group": " G "}, "B": {"rack_count": 2, "floor_usable": True, "cavity_group": "G"}, "C": {"rack_count": 1, "floor_usable": False}})
+    assert [r[:4] for r in rows] == [("A", 2, True, "G"), ("B", 2, True, "G"), ("C", 1, False, "C")]
+    with pytest.raises(ValueError, match="A: not an object; B: rack_count must be 1 to 9"):
+        profile.profile_rows({"A": 3, "B": {"rack_count": 0}})
+
+
+def test_bundle_parts_and_profile(spark, tmp_path):
+    refs = spark.createDataFrame([(1, "A", "G1"), (2, "B", "G2")], "ref_id int, model string, cavity_group string")
+    path = str(tmp_path / "bundle")
+    profile.write_bundle(refs, path, "v1", spark.createDataFrame([("tau", 0.4)], "name string, threshold double"))
+    assert profile.read_calibration(spark, path, "v1").first()["threshold"] == 0.4
+    fits = spark.createDataFrame([("A", 2, True, "G1", None), ("B", 2, True, "G2", None)], profile.PROFILE)
+    assert profile.read_bundle(spark, path, "v1", fits).count() == 2
+    with pytest.raises(ValueError, match="B: not_in_profile"):
+        profile.read_bundle(spark, path, "v1", fits.where("name = 'A'"))
+    with pytest.raises(ValueError, match="model is 'v1'"):
+        profile.read_calibration(spark, path, "v2")

@@ -64,6 +64,18 @@ def test_arcface_margin_raises_the_loss(spark):
     assert 0 < plain < hard
 
 
+def test_arcface_over_several_slices_and_shards(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, i % 7, rng.normal(size=4).tolist()) for i in range(40)], "item int, grp int, v array<double>")
+    centres = spark.createDataFrame([(g, rng.normal(size=4).tolist()) for g in range(6)], "grp int, c array<double>")
+    whole = {r["item"]: r["loss"] for r in losses.arcface(rows, centres).collect()}
+    monkeypatch.setattr(losses, "CENTRES", 2)
+    monkeypatch.setattr(losses, "ITEMS", 9)
+    parts = {r["item"]: r["loss"] for r in losses.arcface(rows, centres).collect()}
+    assert set(whole) == set(parts) == set(range(40)) and all((whole[i] is None) == (i % 7 == 6) for i in whole)  # a class without a centre has no loss
+    assert all(parts[i] == pytest.approx(v) for i, v in whole.items() if v is not None)
+
+
 OUT = "item int, is_oven_prob double, food_prob double, container_prob array<double>, accessory_prob array<double>, raw array<double>, model string, cavity_group string, confidence double, top1_sim double"
 
 

@@ -49,6 +49,12 @@ def test_quota_guards():
         with pytest.raises(ValueError):
             sampling.plan_quota(*counts, **options)
     assert sampling.plan_quota(0, 4, 4, supcon=False).n_oven == 0
+    assert sampling.apportion({"a": 1, "b": 1, "c": 2}, 6) == {"a": 2, "b": 1, "c": 3} and sampling.apportion({"a": 0}, 5) == {"a": 0}
+
+
+def test_groups_below_the_reserved_ones_are_refused(spark):
+    with pytest.raises(ValueError, match="1 rows"):
+        sampling.pool_counts(spark.createDataFrame([(1,), (-3,)], "group_id int"))
 
 
 def test_pk_batches_cover_before_they_repeat(spark):
