@@ -131,3 +131,14 @@ def preflight(labels: DataFrame, profile: DataFrame, files: DataFrame, ident: st
     for part in (leaks, groups, kinds, foods, unseen):
         out = out.unionByName(part)
     return out
+
+
+def preflight_counts(encoded: DataFrame) -> DataFrame:
+    """(split, field, value, n): valid labels of every task and rows of every group, by split.
+
+    ``encoded`` is :func:`tarnwork.operators.encode.encode` of labels with ``split``.
+    """
+    tasks = {"is_oven": F.lit(True), "proj": F.col("group_id") >= 0, "food": F.col("food_known"), "container": F.col("container_known"), "accessory": F.col("accessory_known"), "rack": F.col("rack_known")}
+    each = [F.struct(F.lit("task").alias("field"), F.lit(t).alias("value")) for t in tasks]
+    held = F.array(*[F.when(when, s) for when, s in zip(tasks.values(), each, strict=True)], F.struct(F.lit("group").alias("field"), F.col("group_id").cast("string").alias("value")))
+    return encoded.select("split", F.inline(F.array_compact(held))).groupBy("split", "field", "value").agg(F.count("*").alias("n"))

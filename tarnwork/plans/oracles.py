@@ -367,3 +367,8 @@ _MANIFEST = "m AS (SELECT o_orderstatus AS s, o_custkey AS key, max(o_orderprior
 ORACLE_SQL["manifest_override"] = f"WITH {_MANIFEST} SELECT coalesce(o.key, f.key) AS key, coalesce(o.value, f.value) AS value FROM f FULL JOIN o ON f.key = o.key"
 ORACLE_SQL["manifest_faults"] = f"WITH {_MANIFEST} SELECT coalesce(o.key, f.key) AS key, f.value AS ours, o.value AS theirs FROM f FULL JOIN o ON f.key = o.key WHERE f.value IS DISTINCT FROM o.value"
 ORACLE_SQL["first_by_priority"] = "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('P', 'O') ORDER BY o_orderstatus = 'O', o_orderkey LIMIT 400"
+ORACLE_SQL["preflight_counts"] = f"""WITH {ENCODED}, s AS (SELECT *, CASE WHEN l_orderkey % 10 < 8 THEN 'train' WHEN l_orderkey % 10 = 8 THEN 'val' ELSE 'test' END AS split FROM enc),
+  x AS (SELECT split, 'task' AS field, 'is_oven' AS value FROM s UNION ALL SELECT split, 'task', 'proj' FROM s WHERE group_id >= 0 UNION ALL SELECT split, 'task', 'food' FROM s WHERE food_exist IS NOT NULL
+    UNION ALL SELECT split, 'task', 'container' FROM s WHERE container IS NOT NULL UNION ALL SELECT split, 'task', 'accessory' FROM s WHERE accessory IS NOT NULL UNION ALL SELECT split, 'task', 'rack' FROM s WHERE device_known AND rack_level IS NOT NULL
+    UNION ALL SELECT split, 'group', group_id::VARCHAR FROM s)
+  SELECT split, field, value, count(*) AS n FROM x GROUP BY ALL"""

@@ -557,3 +557,9 @@ def manifest_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def first_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.first_by_priority(b.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey", ["P", "O"], 400)
+
+
+@query
+def preflight_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share = F.when(F.col("l_orderkey") % 10 < 8, "train").when(F.col("l_orderkey") % 10 == 8, "val").otherwise("test")
+    return evaluate.preflight_counts(_encoded(spark, sf_dir).withColumn("split", share))
