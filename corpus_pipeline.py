@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import write_table
+from tarnwork.llm.common import drop_table, write_table
 from tarnwork.llm.linededup import dedup_lines
 from tarnwork.llm.minhash import drop_near_duplicates
 from tarnwork.llm.packing import pack
@@ -62,7 +62,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = write_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = write_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_table(docs)  # the stage before; nothing reads it any more
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
