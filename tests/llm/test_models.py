@@ -343,6 +343,58 @@ def test_no_python_in_the_plan(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def brute_languages(rows, model):
+    """(text_lang, lang, confidence) of (page_id, url, html) rows, page by page."""
+    def soft(x):
+        e = np.exp(x - x.max())
+        return e / e.sum()
+
+    pages = []
+    for _, url, html in rows:
+        host = (re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", url or "") or ["", ""])[1].lower().rstrip(".")
+        said = re.search(r"<html\b[^>]*?\s(?:xml:)?lang\s*=\s*[\"']?([A-Za-z]{2,3})", html or "", re.I)
+        lik = model.log_likelihood(langid.visible_text((html or "").encode()))
+        pages.append((host, ".".join(host.split(".")[-2:]), said[1].lower() if said else "", host.split(".")[-1], lik - lik.max()))
+    own = [soft(p[4]) for p in pages]
+
+    def total(k, value):
+        return sum((o for o, p in zip(own, pages, strict=True) if p[k] == value), np.zeros(len(model.langs)))
+
+    out = []
+    for o, (host, domain, declared, suffix, lik) in zip(own, pages, strict=True):
+        less = lambda x, o=o: np.maximum(x - o, 0)
+        rest = less(sum(own))
+        p = (rest + 1) / (rest + 1).sum()
+        for k, value in ((1, domain), (0, host)):
+            n = less(total(k, value))
+            p = (n + langid.SMOOTH * p) / (n.sum() + langid.SMOOTH)
+        post = lik + np.log(p)
+        for k, value in ((2, declared), (3, suffix)):
+            if value:
+                post = post + np.log((less(total(k, value)) + 1 / (len({x[k] for x in pages}) + 1)) / (rest + 1))
+        out.append((model.langs[int(lik.argmax())], model.langs[int(post.argmax())], round(float(soft(post).max()), 6)))
+    return out
+
+
+def test_languages_equal_brute_force(spark):
+    rng = random.Random(21)
+    words = {"aa": ["lorem", "ipsum", "dolor"], "bb": ["quick", "brown", "jumps"], "cc": ["zwölf", "boxkämpfer", "jagen"]}
+    docs = [(i, " ".join(rng.choices(words[lang], k=20)), lang) for i, lang in enumerate(rng.choices(sorted(words), k=30))]
+    docs += [(None, "lorem", "aa"), (99, None, "aa"), (98, "lorem", None), (1, docs[1][1] + " again", docs[1][2])]
+    rows = []
+    for i in range(60):
+        lang = rng.choice(sorted(words))
+        tag = rng.choice([f'<html lang="{lang}-XX">', f"<HTML class=x xml:lang={lang.upper()}>", "<html>", ""])
+        body = " ".join(rng.choices(words[lang], k=rng.choice([0, 1, 12])))
+        rows.append((i % 50, rng.choice([f"https://www.{lang}site.{lang}/p", "http://big.com", f"http://u@{lang}.big.com:80/x", "no address", None]), f"{tag}<script>var lorem</script><p>{body}</p>"))
+    rows += [(60, None, None), (61, "http://big.com.", "")]
+    model = langid.train_text_model(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit("mine"), "lang": F.lit("mine"), "own": F.lit(1)})
+    got = sorted((r["page_id"], r["text_lang"], r["lang"], r["confidence"]) for r in langid.identify(pages, model).collect())
+    want = sorted((row[0], *x) for row, x in zip(rows, brute_languages(rows, model), strict=True))
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 2e-6 for g, w in zip(got, want, strict=True))
+
+
 # ---------------------------------------------------------------- media
 
 
