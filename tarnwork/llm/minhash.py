@@ -187,12 +187,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
         mixed = here.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.struct("root", "doc_id", "n_shingles")).alias("z")).where("r0 <> r1")
         open_ = here.join(mixed.select("h", "z"), "h")
         if final:
-            open_ = open_.join(sets.select("doc_id", "sketch"), "doc_id")
-            bits = F.expr(" + ".join(f"bit_count(sketch[{i}])" for i in range(SKETCH)))
-            x = open_.select("h", F.col("doc_id").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"), bits.alias("psa"))
-            y = open_.select("h", F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"), bits.alias("psb"))
-            near = fits("na", "nb") & _can_reach(percent, "na", "nb", "sa", "sb")
-            pairs = x.join(y, "h").where(F.col("ra") < F.col("rb")).where(near).select("a", "b").distinct()
+            # Once a document, then a row a bucket; a pair is compared in the first open bucket it shares.
+            each = open_.groupBy("doc_id", "n_shingles", "root").agg(F.sort_array(F.collect_set("h")).alias("hs")).join(sets.select("doc_id", "sketch"), "doc_id")
+            each = each.withColumn("p", F.expr(" + ".join(f"bit_count(sketch[{i}])" for i in range(SKETCH)))).withColumn("h", F.explode("hs"))
+            x = each.select("h", F.col("doc_id").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"), F.col("p").alias("psa"), F.col("hs").alias("ha"))
+            y = each.select("h", F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"), F.col("p").alias("psb"), F.col("hs").alias("hb"))
+            near = (F.col("ra") < F.col("rb")) & fits("na", "nb") & _can_reach(percent, "na", "nb", "sa", "sb")
+            pairs = x.join(y, "h").where(near & (F.array_min(F.array_intersect("ha", "hb")) == F.col("h"))).select("a", "b").distinct()
         else:
             pairs = (
                 open_.where(F.col("root") != F.col("z.root")).where(fits("n_shingles", "z.n_shingles"))
