@@ -196,7 +196,8 @@ def train_model(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | Non
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = texts.join(known, "doc_id").groupBy("doc_id", "toxic").agg(F.max(F.octet_length("text")).alias("size"))
+    size = texts.select("doc_id", F.octet_length("text").alias("size")).join(known, "doc_id")  # lengths meet the labels, not texts
+    size = size.groupBy("doc_id", "toxic").agg(F.max("size").alias("size"))
     size = write_table(size, "toxicity-known")
     totals = {r["toxic"]: r["n"] for r in size.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     rows = []
