@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.llm.common import mix, parallelism, write_table
@@ -227,10 +227,12 @@ class LineIndex:
     def dropped(self, group: int = GROUP) -> DataFrame:
         """(doc_id, drops): of every indexed document that loses lines, the keys they have.
 
-        ``group``: postings of a shard that meet its filter in one task, about.
+        ``group``: postings of a shard that meet its filter in one task, at most about; a
+        shard of more than twice the average is cut as well.
         """
-        sizes = self.counts.groupBy(self._shard()).agg(F.ceil(F.sum("n_docs") / group).cast("int").alias("salts"))
-        sizes = F.broadcast(sizes)  # one row a shard
+        sizes = self.counts.groupBy(self._shard()).agg(F.sum("n_docs").alias("n"))  # one row a shard
+        even = 2 * F.sum("n").over(Window.partitionBy(F.lit(0))) / self.shards
+        sizes = F.broadcast(sizes.select("shard", F.ceil(F.col("n") / F.least(even, F.lit(group))).cast("int").alias("salts")))
         filters = self.filters.join(sizes, "shard").select("shard", "slots", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
         asked = self.postings.select("doc_id", "k1", "k2", self._shard()).join(sizes, "shard")
         asked = asked.select("doc_id", "k1", "k2", "shard", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"))
