@@ -71,7 +71,13 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_line_dedup": op2_line_dedup, "op3_suffix_array": op3_suffix_array, "op4_packing": op4_packing, "op5_toxicity": op5_toxicity, "op6_language_id": op6_language_id, "op7_sentencepiece": op7_sentencepiece, "op8_exact_topk": op8_exact_topk, "op9_pii": op9_pii, "op10_media": op10_media}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwork.llm.repair import repair_report
+
+    return repair_report(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op2_line_dedup": op2_line_dedup, "op3_suffix_array": op3_suffix_array, "op4_packing": op4_packing, "op5_toxicity": op5_toxicity, "op6_language_id": op6_language_id, "op7_sentencepiece": op7_sentencepiece, "op8_exact_topk": op8_exact_topk, "op9_pii": op9_pii, "op10_media": op10_media, "op13_conversation_repair": op13_conversation_repair}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -161,3 +167,66 @@ SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGI
        sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
 FROM t LEFT JOIN gone USING (doc_id)
 """
+
+# CRC-32 of an ASCII string, byte by byte over the usual table.
+_CRC = """crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t
+)"""
+
+
+def _crc(text: str) -> str:
+    """SQL of the CRC-32 of ``text``, where ``crc_table`` is in reach."""
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+
+
+# The lattice as a plain recursion over the rows: of each state its best (cost, audit), all edits tried.
+ORACLE_SQL["op13_conversation_repair"] = rf"""
+WITH RECURSIVE {_CRC}, given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations, crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) FROM given WHERE kind <> 0)
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM damaged
+), marked AS (
+  SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before,
+         CASE WHEN trim(text, e' 	
+') = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+              WHEN right(trim(text, e' 	
+'), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM numbered
+), costs AS (
+  SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000 WHEN fault = 'truncated' THEN 1 ELSE 0 END AS stay,
+         CASE WHEN initial = 's' THEN 0 ELSE 1000000 END AS no_s, CASE WHEN initial = 'u' THEN 0 ELSE 1000000 END AS no_u, CASE WHEN initial = 'a' THEN 0 ELSE 1000000 END AS no_a FROM marked
+), steps AS (
+  SELECT conv_id, 0::BIGINT AS n, {{c: 0, a: ''}} AS b, {{c: 1000000, a: ''}} AS s, {{c: 2, a: 'I'}} AS u, {{c: 4, a: 'II'}} AS a FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, n, b, s, u, list_min([a, {{c: u.c + 2, a: u.a || 'I'}}]) FROM (
+    SELECT conv_id, n, b, s, a, list_min([u, {{c: b.c + 2, a: b.a || 'I'}}, {{c: s.c + 2, a: s.a || 'I'}}, {{c: a.c + 2, a: a.a || 'I'}}]) AS u FROM (
+      SELECT d.conv_id, r.n, {{c: b.c + 3, a: b.a || 'D'}} AS b, list_min([{{c: s.c + 3, a: s.a || 'D'}}, {{c: b.c + stay + no_s, a: b.a || 'K'}}]) AS s,
+             list_min([{{c: u.c + 3, a: u.a || 'D'}}, {{c: b.c + 2 + stay, a: b.a || 'R'}}, {{c: s.c + 2 + stay, a: s.a || 'R'}}, {{c: a.c + 2 + stay, a: a.a || 'R'}},
+                       {{c: b.c + stay + no_u, a: b.a || 'K'}}, {{c: s.c + stay + no_u, a: s.a || 'K'}}, {{c: a.c + stay + no_u, a: a.a || 'K'}}]) AS u,
+             list_min([{{c: a.c + 3, a: a.a || 'D'}}, {{c: u.c + 2 + stay, a: u.a || 'R'}}, {{c: u.c + stay + no_a, a: u.a || 'K'}}]) AS a
+      FROM steps d JOIN costs r ON r.conv_id = d.conv_id AND r.n = d.n + 1
+    )
+  )
+), best AS (
+  SELECT conv_id, list_min([b, a]) AS e FROM steps QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1
+), letters AS (
+  SELECT conv_id, j, e.a[j] AS l, len(regexp_replace(e.a[1:j], 'I', '', 'g')) AS n FROM (SELECT *, unnest(range(1, len(e.a) + 1)) AS j FROM best)
+), lines AS (
+  SELECT l.conv_id, j, l, initial, role, text, row_number() OVER (PARTITION BY l.conv_id ORDER BY j) AS k
+  FROM letters l LEFT JOIN marked m ON m.conv_id = l.conv_id AND m.n = l.n AND l.l <> 'I' WHERE l <> 'D'
+), turns AS (
+  SELECT *, (k - max(CASE WHEN k = 1 AND l = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id)) % 2 AS odd FROM lines
+), repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN l = 'K' THEN role WHEN odd = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY j) AS t FROM turns GROUP BY conv_id
+), stats AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+         count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv_id
+)
+SELECT b.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, e.c::BIGINT AS cost, e.a AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM best b LEFT JOIN stats USING (conv_id) LEFT JOIN repaired USING (conv_id)
+"""
