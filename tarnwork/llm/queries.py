@@ -71,13 +71,19 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media_report(_table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwork.llm.divergence import source_divergence
+
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnwork.llm.repair import repair_report
 
     return repair_report(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_line_dedup": op2_line_dedup, "op3_suffix_array": op3_suffix_array, "op4_packing": op4_packing, "op5_toxicity": op5_toxicity, "op6_language_id": op6_language_id, "op7_sentencepiece": op7_sentencepiece, "op8_exact_topk": op8_exact_topk, "op9_pii": op9_pii, "op10_media": op10_media, "op13_conversation_repair": op13_conversation_repair}
+QUERIES = {"op1_minhash": op1_minhash, "op2_line_dedup": op2_line_dedup, "op3_suffix_array": op3_suffix_array, "op4_packing": op4_packing, "op5_toxicity": op5_toxicity, "op6_language_id": op6_language_id, "op7_sentencepiece": op7_sentencepiece, "op8_exact_topk": op8_exact_topk, "op9_pii": op9_pii, "op10_media": op10_media, "op12_source_divergence": op12_source_divergence, "op13_conversation_repair": op13_conversation_repair}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -193,9 +199,11 @@ WITH RECURSIVE {_CRC}, given AS (
 ), marked AS (
   SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before,
          CASE WHEN trim(text, e' 	
-') = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+
+') = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
               WHEN right(trim(text, e' 	
-'), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM numbered
+
+'), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM numbered
 ), costs AS (
   SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000 WHEN fault = 'truncated' THEN 1 ELSE 0 END AS stay,
          CASE WHEN initial = 's' THEN 0 ELSE 1000000 END AS no_s, CASE WHEN initial = 'u' THEN 0 ELSE 1000000 END AS no_u, CASE WHEN initial = 'a' THEN 0 ELSE 1000000 END AS no_a FROM marked
@@ -230,3 +238,35 @@ SELECT b.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
        coalesce(illegal, 0)::BIGINT AS illegal, e.c::BIGINT AS cost, e.a AS audit, sha256(coalesce(t, '')) AS repaired_sha256
 FROM best b LEFT JOIN stats USING (conv_id) LEFT JOIN repaired USING (conv_id)
 """
+
+# Every kept term of a language against every group and every two groups, without shortcuts.
+ORACLE_SQL["op12_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), occurrences AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM occurrences GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+), counts AS (
+  SELECT o.lang, o.source, o.term, count(*) AS n FROM occurrences o JOIN kept k ON o.lang = k.lang AND o.term = k.term GROUP BY ALL
+), groups AS (
+  SELECT g.lang, g.source, coalesce((SELECT sum(n) FROM counts c WHERE c.lang = g.lang AND c.source = g.source), 0)::HUGEINT AS total,
+         (SELECT count(*) FROM kept k WHERE k.lang = g.lang)::HUGEINT AS v, (SELECT sum(n) FROM kept k WHERE k.lang = g.lang)::HUGEINT AS lang_total
+  FROM (SELECT DISTINCT lang, source FROM d) g
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (total + v) AS p,
+         1 + (1000000000::HUGEINT * (k.n + 1)) // (lang_total + v) AS q
+  FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM parts QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 200
+"""
