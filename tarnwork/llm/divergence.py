@@ -34,19 +34,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from tarnwork.llm.common import LOWER, parallelism, text_blocks, write_table
-from tarnwork.llm.words import distinct, spans
+from tarnwork.llm.words import distinct, spans, taken
 
 SUPPORT = 3  # documents of a language that a kept term is in, at least
 RANKS = 200  # of the terms of a group
-BLOCK = 16 << 20  # bytes of text that are counted together
-SHARD = 32 << 20  # bytes of text a shard of terms, about
+BLOCK = 4 << 20  # bytes of text that are counted together
+SHARD = 8 << 20  # bytes of text a shard of terms, about
 FAN = 512  # packed pieces of a shard that one task merges
 RANGE = 256  # sources in one packed posting
 
@@ -66,12 +64,20 @@ def _packed(rows: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _merged(packed: pa.Table) -> pa.Table:
-    """The packed counts of one shard, added up."""
-    parts = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in packed.column("counts")]
-    keys = ["lang", "source", "term"]
-    out = pa.concat_tables(parts).group_by(keys, use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
-    return out.select([*keys, "n_sum", "docs_sum"]).rename_columns(_COUNTS.names)
+def _sums(at: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(at, n, size).astype(np.int64)  # exact below 2^53
+
+
+def _merged(packed: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """The packed counts of one shard, added up; and the (term, language) of each, as rising numbers."""
+    rows = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in packed.column("counts")]).combine_chunks()
+    names = [rows.column(c).dictionary_encode().combine_chunks() for c in ("term", "lang", "source")]
+    codes = [x.indices.to_numpy().astype(np.int64) for x in names]
+    langs, sources = max(1, len(names[1].dictionary)), max(1, len(names[2].dictionary))
+    keys, at = np.unique((codes[0] * langs + codes[1]) * sources + codes[2], return_inverse=True)
+    pair, source = np.divmod(keys, sources)
+    of = [x.dictionary.take(pa.array(c)) for x, c in zip(names, (pair // langs, pair % langs, source), strict=True)]
+    return pa.table([of[1], of[2], of[0], *(_sums(at, rows.column(c).to_numpy(), len(keys)) for c in ("n", "docs"))], schema=_COUNTS), pair
 
 
 def _count_pass(shards: int) -> Callable:
@@ -83,20 +89,17 @@ def _count_pass(shards: int) -> Callable:
             for row, end, offsets, data in text_blocks(batch, "text", BLOCK):
                 low = LOWER[data]
                 start, stop, text = spans(low, offsets, _IN_TERM)
-                code, first = distinct(low, start, stop)
+                code, first, hashes = distinct(low, start, stop)
                 names, group = np.unique(np.stack([batch.column(c).slice(row, end - row).dictionary_encode().indices.to_numpy() for c in (0, 1)]), axis=1, return_inverse=True)
                 langs, sources = (batch.column(c).slice(row, end - row).dictionary_encode().dictionary.take(pa.array(names[c])) for c in (0, 1))
                 held, n = np.unique(text * len(first) + code, return_counts=True)  # by document and term
                 of_doc, term = np.divmod(held, max(1, len(first)))
                 met, at = np.unique(group.ravel()[of_doc] * len(first) + term, return_inverse=True)
-                counts, docs = np.zeros(len(met), np.int64), np.bincount(at, minlength=len(met))
-                np.add.at(counts, at, n)
-                raw = low.tobytes()
-                words = [raw[start[i] : stop[i]] for i in first]
-                place = np.array([xxhash.xxh3_64_intdigest(w) % shards for w in words], dtype=np.int64)
+                counts, docs = _sums(at, n, len(met)), np.bincount(at, minlength=len(met))
+                place = (hashes % np.uint64(shards)).astype(np.int64)
                 by_group, by_term = np.divmod(met, max(1, len(first)))
-                text_of = pa.array(words, pa.binary()).cast(pa.string())
-                rows = pa.table([langs.take(pa.array(by_group)), sources.take(pa.array(by_group)), text_of.take(pa.array(by_term)), counts, docs], schema=_COUNTS)
+                words = taken(low, start[first[by_term]], stop[first[by_term]])
+                rows = pa.table([langs.take(pa.array(by_group)), sources.take(pa.array(by_group)), words, counts, docs], schema=_COUNTS)
                 shard = place[by_term]
                 order = np.lexsort((by_group, by_term, shard))
                 rows, shard = rows.take(pa.array(order)), shard[order]
@@ -109,17 +112,17 @@ def _count_pass(shards: int) -> Callable:
 
 def _combine(packed: pa.Table) -> pa.Table:
     one = packed.slice(0, 1)
-    return pa.table([one.column("shard"), pa.array([one.column("piece")[0].as_py() // FAN]), pa.array([_packed(_merged(packed))])], schema=_PACKED)
+    return pa.table([one.column("shard"), pa.array([one.column("piece")[0].as_py() // FAN]), pa.array([_packed(_merged(packed)[0])])], schema=_PACKED)
 
 
 def _keep(packed: pa.Table) -> pa.Table:
     """(lang, source, term, n, in_lang, first) of the kept terms of one shard."""
-    counts = _merged(packed)
-    terms = counts.group_by(["lang", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum"), ("source", "min")])
-    terms = terms.filter(pc.greater_equal(terms["docs_sum"], SUPPORT)).select(["lang", "term", "n_sum", "source_min"])
-    both = counts.join(terms, ["lang", "term"], join_type="inner", use_threads=False)
-    both = both.append_column("first", pc.equal(both["source"], both["source_min"])).rename_columns({"n_sum": "in_lang"})
-    return both.select(_KEPT.names).sort_by([("lang", "ascending"), ("term", "ascending")])
+    counts, pair = _merged(packed)
+    new = np.concatenate([[True], pair[1:] != pair[:-1]])[: len(pair)]
+    term = np.cumsum(new) - 1
+    held, docs = (_sums(term, counts.column(c).to_numpy(), int(new.sum()))[term] for c in ("n", "docs"))
+    out = pa.table([*(counts.column(c) for c in ("lang", "source", "term", "n")), held, new], schema=_KEPT)
+    return out.filter(pa.array(docs >= SUPPORT))
 
 
 def kept_terms(docs: DataFrame) -> DataFrame:

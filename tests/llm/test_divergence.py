@@ -9,7 +9,7 @@ import pytest
 
 from tarnwork.llm import divergence as d
 from tarnwork.llm.common import LOWER
-from tarnwork.llm.words import distinct, spans
+from tarnwork.llm.words import distinct, spans, taken
 
 SCHEMA = "lang STRING, source STRING, text STRING"
 
@@ -82,8 +82,11 @@ def test_words_of_a_block_are_told_apart():
     start, end, text = spans(LOWER[data], offsets, inside)
     words = [LOWER[data][a:b].tobytes() for a, b in zip(start, end)]
     assert list(zip(text, words)) == [(0, b"ab"), (0, b"ab"), (2, b"ab\x00"), (3, b"a" * 16), (3, b"a" * 17), (4, b"a" * 17), (5, b"b")]
-    code, first = distinct(LOWER[data], start, end)
-    assert [words[first[c]] for c in code] == words and len(first) == len(set(words))
+    code, first, hashes = distinct(LOWER[data], start, end)
+    assert [words[first[c]] for c in code] == words and len(first) == len(set(words)) == len(set(hashes.tolist()))
+    assert taken(LOWER[data], start, end).to_pylist() == [w.decode() for w in words]
+    again = distinct(LOWER[data[offsets[3] :]], start[3:] - offsets[3], end[3:] - offsets[3])
+    assert dict(zip((words[i] for i in first), hashes)).items() >= dict(zip((words[3:][i] for i in again[1]), again[2])).items()  # of any block
 
 
 def test_shares_stay_exact_for_huge_counts(spark):
