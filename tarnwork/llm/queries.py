@@ -71,6 +71,13 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwork.llm.lm import remainder, score_texts
+
+    out = score_texts(_table(spark, sf_dir, "documents"), remainder("doc_id", 5) == 1)
+    return out.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnwork.llm.divergence import source_divergence
 
@@ -83,7 +90,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_line_dedup": op2_line_dedup, "op3_suffix_array": op3_suffix_array, "op4_packing": op4_packing, "op5_toxicity": op5_toxicity, "op6_language_id": op6_language_id, "op7_sentencepiece": op7_sentencepiece, "op8_exact_topk": op8_exact_topk, "op9_pii": op9_pii, "op10_media": op10_media, "op12_source_divergence": op12_source_divergence, "op13_conversation_repair": op13_conversation_repair}
+QUERIES = {"op1_minhash": op1_minhash, "op2_line_dedup": op2_line_dedup, "op3_suffix_array": op3_suffix_array, "op4_packing": op4_packing, "op5_toxicity": op5_toxicity, "op6_language_id": op6_language_id, "op7_sentencepiece": op7_sentencepiece, "op8_exact_topk": op8_exact_topk, "op9_pii": op9_pii, "op10_media": op10_media, "op11_lm_scoring": op11_lm_scoring, "op12_source_divergence": op12_source_divergence, "op13_conversation_repair": op13_conversation_repair}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -270,3 +277,30 @@ WITH d AS (
 SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
 FROM parts QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 200
 """
+
+# Two words at a time, from plain counts; every document has one beginning and one end token.
+ORACLE_SQL["op11_lm_scoring"] = rf"""
+WITH {_CRC}, d AS (
+  SELECT doc_id, {_crc("coalesce(doc_id::VARCHAR, '')")} % 5 = 1 AS held_out,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\x0c\r]+'), lambda w: w <> '') AS w
+  FROM documents, crc_table
+), tokens AS (
+  SELECT doc_id, held_out, unnest(list_append(w, '')) AS w, unnest(list_prepend(' ', w)) AS h FROM d
+), words AS (
+  SELECT w, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY w
+), histories AS (
+  SELECT h, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY h
+), pairs AS (
+  SELECT h, w, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY h, w
+), sizes AS (
+  SELECT sum(c) AS n, count(*) AS v FROM words
+), based AS (
+  SELECT t.*, coalesce(words.c, 0) AS c, (coalesce(words.c, 0) + 0.5) / (n + 0.5 * (v + 1)) AS p FROM tokens t CROSS JOIN sizes LEFT JOIN words USING (w)
+), scored AS (
+  SELECT b.*, CASE WHEN o.c IS NULL THEN p ELSE (coalesce(x.c, 0) + 128 * p) / (o.c + 128) END AS smooth
+  FROM based b LEFT JOIN histories o USING (h) LEFT JOIN pairs x ON x.h = b.h AND x.w = b.w
+)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE c > 0) AS n_known, (SELECT n FROM sizes)::BIGINT AS train_tokens,
+       round(fsum(log10(p)), 6) AS base_score, round(fsum(log10(smooth)), 6) AS score
+FROM scored GROUP BY doc_id, held_out
+"""
