@@ -21,10 +21,9 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a local one only in local mode and if unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file:///tmp/tarnwork-scratch-{os.getuid()}"
-        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
@@ -104,10 +103,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 # ---------------------------------------------------------------- byte hashing
 
-_PRIME = 0x9E3779B97F4A7C13 | 1  # odd, and 3 mod 4
-_INVERSE = pow(_PRIME, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240817).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS: dict[str, np.ndarray] = {}
+_FIELD = np.uint64((1 << 31) - 1)  # a prime, so that few strings of one length share a value for a random base
+_POWERS: dict[int, tuple[int, np.ndarray, np.ndarray, np.ndarray]] = {}
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -115,16 +112,30 @@ IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get("up")
-    if have is None or len(have) < n:
-        size = max(n, 1 << 20) + 1
-        with np.errstate(over="ignore"):
-            for key, base in (("up", _PRIME), ("down", _INVERSE)):
-                row = np.full(size, base, dtype=np.uint64)
-                row[0] = 1
-                _POWERS[key] = np.cumprod(row, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo 2^31 - 1, for any 64-bit x."""
+    x = (x & _FIELD) + (x >> np.uint64(31))
+    x = (x & _FIELD) + (x >> np.uint64(31))
+    return np.where(x >= _FIELD, x - _FIELD, x)
+
+
+def _running(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n - 1), by doubling."""
+    out = np.ones(1, dtype=np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, _reduced(out * np.uint64(pow(base, len(out), int(_FIELD))))])
+    return out[:n]
+
+
+def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value of each byte, powers of a random base, powers of its inverse), at least n of them."""
+    have = _POWERS.get(seed)
+    if have is None or have[0] < n:
+        rng = np.random.default_rng([20240817, seed])
+        field, size = int(_FIELD), max(n, 1 << 20)
+        base, byte = int(rng.integers(1 << 20, field - 1)), rng.permutation(256).astype(np.uint64) * np.uint64(8_000_009) + np.uint64(1)
+        have = _POWERS[seed] = (size, byte, _running(base, size), _running(pow(base, -1, field), size))
+    return have[1:]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -136,22 +147,33 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class SpanHash:
-    """64-bit hashes of any spans of one byte block, from one prefix sum."""
+    """62-bit hashes of any spans of one byte block, from two prefix sums, mixed to 64 bits.
+
+    Each is a polynomial in a random base over the prime field of 2^31 - 1: two different
+    strings of n bytes share both with a chance of (n / 2^31)^2 at most, whatever they are.
+    Other seeds give independent hashes.
+    """
+
+    def __init__(self, data: np.ndarray, seed: int = 0):
+        self.parts = []
+        for k in (2 * seed, 2 * seed + 1):
+            byte, up, down = _powers(k, len(data) + 1)
+            sums = np.zeros(len(data) + 1, dtype=np.uint64)
+            np.cumsum(_reduced(byte[data] * down[: len(data)]), out=sums[1:])  # below 2^64 for 2^33 bytes
+            self.parts.append((sums, up))
 
-    def __init__(self, data: np.ndarray):
-        self.up, down = _powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[data] * down[: len(data)], out=self.sums[1:])
+    def _joined(self, start: np.ndarray | slice, end: np.ndarray | slice, at: np.ndarray | slice) -> np.ndarray:
+        high, low = (_reduced(_reduced(sums[end] - sums[start]) * up[at]) for sums, up in self.parts)
+        return (high << np.uint64(32)) | low
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            h = (self.sums[end] - self.sums[start]) * self.up[start]
-            return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            return mix(self._joined(start, end, start) + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def grams(self, q: int) -> np.ndarray:
         """The hash of the q bytes from each position at which q bytes remain."""
-        n = len(self.sums) - q
-        return mix((self.sums[q:] - self.sums[:n]) * self.up[:n]) if n > 0 else np.zeros(0, np.uint64)
+        n = len(self.parts[0][0]) - q
+        return mix(self._joined(slice(0, n), slice(q, None), slice(0, n))) if n > 0 else np.zeros(0, np.uint64)
 
 
 def text_blocks(batch: pa.RecordBatch, text: str = "text", limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -32,7 +32,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import IS_SPACE, LOWER, SpanHash, apart, arrow_batch, connected_components, drop_table, mix, text_blocks, write_table
+from tarnwork.llm.common import IS_SPACE, LOWER, apart, arrow_batch, connected_components, drop_table, mix, text_blocks, write_table
+from tarnwork.llm.words import hashes as word_hashes
 
 UNIVERSE = 1 << 20
 BANDS, ROWS = 50, 5  # a pair at 0.75 shares no band with probability (1 - 0.75**5)**50, 1e-6
@@ -71,7 +72,7 @@ def shingle_sets(batch: pa.RecordBatch, words: int, text: str = "text") -> Itera
         body = word[1:-1]
         starts = np.flatnonzero(body & (~word[:-2] | fresh[:-1]))
         ends = np.flatnonzero(body & (~word[2:] | fresh[1:])) + 1
-        hashes = SpanHash(data).of(starts, ends)
+        hashes = word_hashes(data, starts, ends)
         at = np.searchsorted(starts, offsets)
         with np.errstate(over="ignore"):
             n = len(hashes) - words + 1

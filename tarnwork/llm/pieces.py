@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import SpanHash, arrow_batch, text_blocks
+from tarnwork.llm.common import arrow_batch, text_blocks
+from tarnwork.llm.words import distinct
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 WIDTH = 16
@@ -233,7 +234,7 @@ class Encoder:
         new[offsets[:-1][np.diff(offsets) > 0]] = True
         start = np.flatnonzero(new)
         end = np.append(start[1:], len(data))
-        _, first, inverse = np.unique(SpanHash(data).of(start, end), return_index=True, return_inverse=True)
+        inverse, first, _ = distinct(data, start, end)
         whole = data.tobytes()
         ids, at = self.encode_segments([whole[start[i] : end[i]] for i in first])
         n = np.diff(at)[inverse]

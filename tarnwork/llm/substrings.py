@@ -166,8 +166,8 @@ def _strings(r: np.ndarray, base: np.ndarray, data: np.ndarray, length: int) ->
     back = out["lo"] + (np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n))
     start = np.repeat(base, n) + out["pos"] - back
     with np.errstate(over="ignore"):
-        key = mix(SpanHash(data).of(start, start + length) + back.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    out["narrow"] = out["wide"] = key
+        for name, seed in (("narrow", 0), ("wide", 1)):  # 124 bits of the string
+            out[name] = mix(SpanHash(data, seed).of(start, start + length) + back.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     out["lo"] = out["hi"] = back
     return out
 
@@ -217,7 +217,7 @@ def _settle_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     r = r[np.argsort(r["narrow"], kind="stable")]
     first = _first_of([r["narrow"]], r["doc"], r["pos"])
     first_wide = _first_of([r["wide"], r["narrow"]], r["doc"], r["pos"])
-    removed, is_open = ~first & ~first_wide, ~first & first_wide & (r["narrow"] != r["wide"])
+    removed, is_open = ~first & ~first_wide, ~first & first_wide
     bucket = np.cumsum(_starts([r["narrow"]])) - 1
     again = (np.bincount(bucket, weights=is_open) > 0)[bucket] & first_wide
     return _by_doc(np.concatenate([r["doc"][removed], r["doc"][again]]), np.concatenate([_marks(r[removed], 0), _marks(r[again], 1)]))
