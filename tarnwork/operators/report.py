@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -22,13 +23,24 @@ def upsert_history(history: DataFrame, updates: DataFrame) -> DataFrame:
     return every.join(latest, ["epoch", "seq"], "left_semi").where("value IS NOT NULL").select("epoch", "metric", "value")
 
 
-def lr_schedule(spark: SparkSession, steps: int, warmup: int, lr: float, min_lr: float) -> DataFrame:
-    """(step, lr): linear warm-up, then a cosine down to min_lr."""
-    step = F.col("step")
+def learning_rate(step: Column, steps: int, warmup: int, lr: float, min_lr: float) -> Column:
+    """The rate at a step: linear warm-up, then a cosine down to min_lr, where it stays."""
     turn = F.least((step - warmup) / max(1, steps - warmup), F.lit(1.0))
     cosine = min_lr + (lr - min_lr) * 0.5 * (1 + F.cos(math.pi * turn))
-    rate = F.when(step < warmup, lr * (step + 1) / max(1, warmup)).otherwise(cosine)
-    return spark.range(steps).select(F.col("id").alias("step")).select("step", rate.alias("lr"))
+    return F.when(step < warmup, lr * (step + 1) / max(1, warmup)).otherwise(cosine)
+
+
+def lr_schedule(spark: SparkSession, steps: int, warmup: int, lr: float, min_lr: float) -> DataFrame:
+    """(step, lr) of all steps."""
+    return spark.range(steps).select(F.col("id").alias("step"), learning_rate(F.col("id"), steps, warmup, lr, min_lr).alias("lr"))
+
+
+def metric_lines(metrics: DataFrame, ident: str, keys: Sequence[str], places: int = 4) -> DataFrame:
+    """(ident, line) of (ident, metric, value): ``key=value`` in the order of ``keys``, a dash for what is not there."""
+    known = metrics.where(F.col("metric").isin(*keys)).groupBy(ident).agg(*[F.max(F.when(F.col("metric") == k, F.col("value"))).alias(f"m{i}") for i, k in enumerate(keys)])
+    parts = [F.concat(F.lit(f"{k}="), F.coalesce(F.format_string(f"%.{places}f", F.col(f"m{i}").cast("double")), F.lit("-"))) for i, k in enumerate(keys)]
+    shown = [F.when(F.col(f"m{i}").isNull(), F.lit(f"{k}=-")).otherwise(part) for i, (k, part) in enumerate(zip(keys, parts, strict=True))]
+    return metrics.select(ident).distinct().join(known, ident, "left").select(ident, F.concat_ws(" ", *shown).alias("line"))
 
 
 def best_epochs(history: DataFrame, tolerance: float = 1e-9) -> DataFrame:

@@ -117,3 +117,44 @@ def raw_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     raw = F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ", "), F.lit("}"))
     return table(spark, sf_dir, "events").select(e.cast("string").alias("json_path"), raw.alias("raw"))
+
+
+def _pick(number: Column, *texts: str | None) -> Column:
+    """The text at ``number`` modulo how many there are."""
+    return F.get(F.array(*[F.lit(t).cast("string") for t in texts]), (number % len(texts)).cast("int"))
+
+
+def _object(*fields: Column) -> Column:
+    return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*fields)), ", "), F.lit("}"))
+
+
+def folder_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result for every event, as a directory run would give it."""
+    e, u = F.col("event_id"), F.col("user_id")
+    words = lambda number, *lists: F.element_at(F.array(*[F.array(*map(F.lit, x)) if x else F.expr("CAST(array() AS ARRAY<STRING>)") for x in lists]), (1 + number % len(lists)).cast("int"))
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("/d/"), (e % 7).cast("string"), F.lit("/"), e.cast("string"), F.lit(".jpg")).alias("image"), _pick(u, "M0", "M1", "M2", None).alias("device_model"),
+        words(u, (), ("油纸",), ("纸质容器",)).alias("container_type"), words(e, ("a", "b"), ()).alias("accessory_type"), (e % 3).cast("int").alias("rack_level"),
+    )
+
+
+def folder_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(stem, raw): annotations beside most results; some are broken, some say nothing of the image."""
+    e, u = F.col("event_id"), F.col("user_id")
+    fields = _object(
+        _pick(u, '"device_model": "M0"', '"device_model": "M1"', '"device_model": null'), _pick(u, '"container_type": ["无"]', '"container_type": []', '"container_type": ["纸质容器"]', '"container_type": ["x", "油纸"]', '"container_type": "油纸"'),
+        _pick(e, '"accessory_type": ["b", "a"]', None, '"accessory_type": ["无"]', '"accessory_type": true'), _pick(e, None, '"rack_level": 1', '"rack_level": [2]', '"rack_level": "0"', '"rack_level": 1.0', '"rack_level": [2, null]'),
+    )
+    raw = F.when(e % 13 == 0, '{"annotations": ').when(e % 13 == 1, '{"device_model": "M1"}').when(e % 13 == 2, '{"annotations": [1]}').when(e % 13 == 3, '{"annotations": null}').otherwise(F.concat(F.lit('{"annotations": '), fields, F.lit("}")))
+    return table(spark, sf_dir, "events").where(e % 11 != 0).select(F.concat(F.lit("/d/"), (e % 7).cast("string"), F.lit("/"), e.cast("string")).alias("stem"), raw.alias("raw"))
+
+
+def order_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, raw): a settings document for every order, with every way to be wrong."""
+    k = F.col("o_orderkey")
+    fields = _object(
+        _pick(k, None, '"n": null', '"n": 3', '"n": 3.5', '"n": true', '"n": 0', '"n": 12'), _pick(k, None, '"f": "0.25"', '"f": "x"', '"f": 1.0', '"f": 0.5'), _pick(k, '"b": true', '"b": 1', '"b": 2', '"b": "yes"'),
+        _pick(k, '"t": " a "', '"t": ""', '"t": 5'), _pick(k, None, '"s": {"c": "X"}', '"s": {"c": "q"}', '"s": {"l": ["a", " a"]}', '"s": {"l": [], "c": "y"}', '"s": 7', '"s": {"zz": {"deep": [1, {"er": 2.5}]}}', '"s": null', '"s": {"l": ["bad"]}'),
+    )
+    raw = F.when(k % 101 == 0, '{"n": ').when(k % 103 == 0, "[1, 2]").otherwise(fields)
+    return table(spark, sf_dir, "orders").select(k.alias("id"), raw.alias("raw"))

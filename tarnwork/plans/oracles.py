@@ -372,3 +372,90 @@ ORACLE_SQL["preflight_counts"] = f"""WITH {ENCODED}, s AS (SELECT *, CASE WHEN l
     UNION ALL SELECT split, 'task', 'container' FROM s WHERE container IS NOT NULL UNION ALL SELECT split, 'task', 'accessory' FROM s WHERE accessory IS NOT NULL UNION ALL SELECT split, 'task', 'rack' FROM s WHERE device_known AND rack_level IS NOT NULL
     UNION ALL SELECT split, 'group', group_id::VARCHAR FROM s)
   SELECT split, field, value, count(*) AS n FROM x GROUP BY ALL"""
+
+# ---------------------------------------------------------------- folders and documents
+
+ORACLE_SQL["learning_rates"] = """WITH n AS (SELECT max(event_id) + 1 AS n FROM events)
+  SELECT event_id AS step, round(CASE WHEN event_id < 455 THEN 1e-3 * (event_id + 1) / 455 ELSE 1e-6 + (1e-3 - 1e-6) * 0.5 * (1 + cos(pi() * least((event_id - 455) / greatest(1, n - 455)::DOUBLE, 1.0))) END, 9) AS lr FROM events, n"""
+_FOLDER = """r AS (SELECT event_id AS e, '/d/' || (event_id % 7) || '/' || event_id || '.jpg' AS image, CASE WHEN user_id % 4 < 3 THEN 'text:M' || (user_id % 4) END AS pd, CASE WHEN user_id % 3 = 0 THEN 'list:[]' ELSE 'list:["油纸"]' END AS pc,
+    CASE WHEN event_id % 2 = 0 THEN 'list:["a","b"]' ELSE 'list:[]' END AS pa, 'text:' || (event_id % 3) AS pr, event_id % 13 <> 1 AS said, user_id AS u FROM events WHERE event_id % 11 <> 0 AND event_id % 13 NOT IN (0, 2, 3)),
+  t AS (SELECT *, CASE WHEN said AND u % 3 < 2 THEN 'text:M' || (u % 3) END AS td, CASE WHEN said THEN CASE u % 5 WHEN 2 THEN 'list:["油纸"]' WHEN 3 THEN 'list:["x","油纸"]' WHEN 4 THEN 'text:油纸' ELSE 'list:[]' END END AS tc,
+    CASE WHEN said THEN CASE e % 4 WHEN 0 THEN 'list:["a","b"]' WHEN 2 THEN 'list:[]' WHEN 3 THEN 'text:True' END END AS ta,
+    CASE WHEN said THEN CASE e % 6 WHEN 1 THEN 'text:1' WHEN 2 THEN 'text:2' WHEN 3 THEN 'text:0' WHEN 4 THEN 'text:1.0' WHEN 5 THEN 'list:["2","None"]' END END AS tr FROM r),
+  x AS (SELECT image, 'device_model' AS field, pd AS predicted, td AS expected FROM t UNION ALL SELECT image, 'container_type', pc, tc FROM t UNION ALL SELECT image, 'accessory_type', pa, ta FROM t UNION ALL SELECT image, 'rack_level', pr, tr FROM t)
+"""
+ORACLE_SQL["folder_accuracy"] = f"""WITH {_FOLDER} SELECT field, count(*) FILTER (WHERE predicted IS NOT DISTINCT FROM expected) AS ok, count(*) AS total,
+  round(count(*) FILTER (WHERE predicted IS NOT DISTINCT FROM expected) / count(*)::DOUBLE, 4) AS rate FROM x GROUP BY field"""
+ORACLE_SQL["folder_errors"] = f"""WITH {_FOLDER}, w AS (SELECT * FROM x WHERE predicted IS DISTINCT FROM expected)
+  SELECT image, field, predicted, expected FROM w UNION ALL SELECT image, NULL, NULL, NULL FROM r WHERE image NOT IN (SELECT image FROM w)"""
+
+_SETTINGS = """m AS (SELECT o_orderkey AS id, o_orderkey % 101 = 0 AS broken, o_orderkey % 101 <> 0 AND o_orderkey % 103 = 0 AS listed, o_orderkey % 7 AS n, o_orderkey % 5 AS f, o_orderkey % 4 AS b, o_orderkey % 3 AS t, o_orderkey % 9 AS s FROM orders),
+  g AS (SELECT * FROM m WHERE NOT broken AND NOT listed)"""
+ORACLE_SQL["manifest_values"] = f"""WITH {_SETTINGS}, v AS (
+    SELECT '' AS path, CASE WHEN broken THEN 'broken' WHEN listed THEN 'list' ELSE 'object' END AS kind, CASE WHEN broken OR listed THEN '' ELSE concat_ws('|', CASE WHEN n > 0 THEN n END, CASE WHEN f > 0 THEN 'f' || f END, 'b' || b, 't' || t, CASE WHEN s > 0 THEN 's' || s END) END AS value FROM m
+    UNION ALL SELECT unnest(['[0]', '[1]']), 'int', unnest(['1', '2']) FROM m WHERE listed
+    UNION ALL SELECT 'n', ['null', 'int', 'float', 'bool', 'int', 'int'][n], n::VARCHAR FROM g WHERE n > 0
+    UNION ALL SELECT 'f', ['string', 'string', 'float', 'float'][f], f::VARCHAR FROM g WHERE f > 0
+    UNION ALL SELECT 'b', ['bool', 'int', 'int', 'string'][b + 1], b::VARCHAR FROM g
+    UNION ALL SELECT 't', ['string', 'string', 'int'][t + 1], t::VARCHAR FROM g
+    UNION ALL SELECT 's', CASE s WHEN 5 THEN 'int' WHEN 7 THEN 'null' ELSE 'object' END, s::VARCHAR FROM g WHERE s > 0
+    UNION ALL SELECT 's.c', 'string', s::VARCHAR FROM g WHERE s IN (1, 2, 4)
+    UNION ALL SELECT 's.l', 'list', s::VARCHAR FROM g WHERE s IN (3, 4, 8)
+    UNION ALL SELECT unnest(['s.l[0]', 's.l[1]']), 'string', unnest(['a', ' a']) FROM g WHERE s = 3
+    UNION ALL SELECT 's.l[0]', 'string', 'bad' FROM g WHERE s = 8
+    UNION ALL SELECT unnest(['s.zz', 's.zz.deep', 's.zz.deep[0]', 's.zz.deep[1]', 's.zz.deep[1].er']), unnest(['object', 'list', 'int', 'object', 'float']), 'one' FROM g WHERE s = 6)
+  SELECT path, kind, count(*) AS n, count(DISTINCT value) AS n_values FROM v GROUP BY path, kind"""
+ORACLE_SQL["manifest_rules"] = f"""WITH {_SETTINGS}
+  SELECT id, '' AS path, CASE WHEN broken THEN 'broken' ELSE 'type' END AS fault FROM m WHERE broken OR listed
+  UNION ALL SELECT id, 'n', ['missing', 'missing', '', 'type', 'type', 'range', 'range'][n + 1] FROM g WHERE n <> 2
+  UNION ALL SELECT id, 'f', CASE f WHEN 2 THEN 'type' ELSE 'range' END FROM g WHERE f IN (2, 3)
+  UNION ALL SELECT id, 'b', 'type' FROM g WHERE b IN (2, 3)
+  UNION ALL SELECT id, 't', CASE t WHEN 1 THEN 'blank' ELSE 'type' END FROM g WHERE t > 0
+  UNION ALL SELECT id, 's', CASE s WHEN 5 THEN 'type' ELSE 'unknown_key' END FROM g WHERE s IN (5, 6)
+  UNION ALL SELECT id, 's.c', 'choice' FROM g WHERE s = 2
+  UNION ALL SELECT id, 's.l', CASE s WHEN 3 THEN 'repeated' WHEN 4 THEN 'empty' WHEN 8 THEN 'never' ELSE 'missing' END FROM g WHERE s <> 5
+  UNION ALL SELECT id, 'f', 'at_most' FROM g WHERE n = 5 AND f <> 2"""
+ORACLE_SQL["manifest_resolved"] = f"""WITH {_SETTINGS} SELECT id, 'f' AS path, ['0.5', '0.25', 'x', '1', '0.5'][f + 1] AS value FROM g UNION ALL SELECT id, 't', [' a ', '', '5'][t + 1] FROM g
+  UNION ALL SELECT id, 's.c', CASE s WHEN 1 THEN 'X' WHEN 2 THEN 'q' WHEN 4 THEN 'y' ELSE '"x"' END FROM g"""
+_RUNS = """ev AS (SELECT event_type AS run, user_id, dayofweek(ts) + 1 AS day FROM events), dd AS (SELECT run, day, count(*) AS n, max(user_id) AS last FROM ev GROUP BY run, day), ww AS (SELECT run, count(*) AS n, count(DISTINCT user_id) AS users FROM ev GROUP BY run)"""
+ORACLE_SQL["nested_report"] = f"""WITH {_RUNS} SELECT run, '{{"by_day":{{' || (SELECT string_agg('"' || day || '":{{"last":' || last || ',"n":' || n || '}}', ',' ORDER BY day::VARCHAR) FROM dd WHERE dd.run = ww.run) || '}},"n":' || n || ',"users":' || users || '}}' AS document FROM ww"""
+ORACLE_SQL["metric_lines"] = f"""WITH {_RUNS} SELECT run, 'n=' || n || '.0 by_day.1.n=' || coalesce((SELECT n || '.0' FROM dd WHERE dd.run = ww.run AND day = 1), '-') || ' loss=-' AS line FROM ww"""
+ORACLE_SQL["provenance"] = """SELECT 's' || event_id || '.json' AS json_name, 's' || event_id || '.jpg' AS image_name, '/in/' || event_id || '.json' AS source_json, '/in/' || event_id || '.JPG' AS source_image, 's' || event_id || '.jpg' AS image, '/out/train' AS image_root, true AS kept FROM events WHERE event_id % 3 <> 0"""
+ORACLE_SQL["ordered_digest"] = """WITH r AS (SELECT row_number() OVER (ORDER BY p_partkey::VARCHAR, p_name) - 1 AS i, sha256(strlen(p_partkey::VARCHAR) || ':' || p_partkey || strlen(p_name) || ':' || p_name) AS d FROM part),
+  a AS (SELECT i // 1024 AS i, sha256(string_agg(d, '' ORDER BY i)) AS d, count(*) AS n FROM r GROUP BY 1), b AS (SELECT i // 1024 AS i, sha256(string_agg(d, '' ORDER BY i)) AS d, sum(n) AS n FROM a GROUP BY 1), c AS (SELECT i // 1024 AS i, sha256(string_agg(d, '' ORDER BY i)) AS d, sum(n) AS n FROM b GROUP BY 1)
+  SELECT sum(n)::BIGINT AS n, left(sha1(string_agg(d, '' ORDER BY i)), 16) AS digest FROM c"""
+ORACLE_SQL["ordered_images"] = """WITH f AS (SELECT DISTINCT (page_id % 2)::INTEGER AS root, url || '/' || page_id || ['.jpg', '.JPG', '.txt', '.Png', '', '.webp'][page_id % 6 + 1] AS path FROM pages WHERE page_id % 6 NOT IN (2, 4))
+  SELECT root, path, row_number() OVER (ORDER BY root, path) - 1 AS number FROM f"""
+
+# ---------------------------------------------------------------- batches and folds
+
+_VECTORS = """e AS (SELECT vec_id, (row_number() OVER (ORDER BY vec_id) - 1) // 16 AS batch, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+  w AS (SELECT *, vec_id % 97 = 5 OR vec_id % 89 = 3 AS misshapen, vec_id % 97 = 5 OR (vec_id % 83 = 2 AND vec_id % 89 <> 3) AS unfinite,
+    CASE WHEN vec_id % 97 = 5 THEN [] WHEN vec_id % 89 = 3 THEN v[1:60] WHEN vec_id % 83 = 2 THEN list_concat(v[1:7], v[9:64]) ELSE v END AS good FROM e),
+  bb AS (SELECT batch, count(*)::INTEGER AS n, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS items, round(min(list_min(good)), 6) AS least, round(max(list_max(good)), 6) AS most, bool_or(misshapen) AS shape, bool_or(unfinite) AS nf FROM w GROUP BY batch)
+"""
+ORACLE_SQL["collated_batches"] = f"WITH {_VECTORS} SELECT batch, n, items, least, most, concat_ws(',', CASE WHEN shape THEN 'shape' END, CASE WHEN nf THEN 'not_finite' END, CASE WHEN n <> 16 THEN 'size' END) AS faults FROM bb"
+ORACLE_SQL["loader_faults"] = f"WITH {_VECTORS}, x AS (SELECT 'shape' AS fault, count(*) FILTER (WHERE shape) AS n FROM bb UNION ALL SELECT 'not_finite', count(*) FILTER (WHERE nf) FROM bb UNION ALL SELECT 'size', count(*) FILTER (WHERE n <> 16) FROM bb) SELECT * FROM x WHERE n > 0"
+ORACLE_SQL["batch_counts"] = f"""WITH {ENCODED}, s AS (SELECT *, (row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1) // 64 AS batch FROM enc),
+  k AS (SELECT batch, count(*) AS is_oven, count(*) FILTER (WHERE group_id >= 0) AS proj, count(food_exist) AS food, count(container) AS container, count(accessory) AS accessory, count(*) FILTER (WHERE device_known AND rack_level IS NOT NULL) AS rack FROM s GROUP BY batch)
+  SELECT batch, 'task' AS field, unnest(['is_oven', 'proj', 'food', 'container', 'accessory', 'rack']) AS value, unnest([is_oven, proj, food, container, accessory, rack]) AS n FROM k
+  UNION ALL SELECT batch, 'group', group_id::VARCHAR, count(*) FROM s GROUP BY ALL"""
+_FOLDS = f"""{EMB}, gs AS (SELECT DISTINCT grp FROM e WHERE label < 8), qs AS (SELECT vec_id AS q_id, grp FROM e WHERE label < 8),
+  fs AS (SELECT g.grp AS fold, q.q_id, q.grp, (SELECT max(sim) FROM pairs p WHERE p.q_id = q.q_id AND p.grp <> g.grp) AS s FROM gs g CROSS JOIN qs q)"""
+ORACLE_SQL["leave_group_out"] = f"""WITH {_FOLDS}, x AS (SELECT fold, count(*) FILTER (WHERE grp <> fold) AS n_in, count(*) FILTER (WHERE grp = fold) AS n_out, avg(coalesce(s >= 0.35, false)::INT) FILTER (WHERE grp <> fold) AS a, avg((NOT coalesce(s >= 0.35, false))::INT) FILTER (WHERE grp = fold) AS r FROM fs GROUP BY fold)
+  SELECT fold, n_in, n_out, round(a, 6) AS in_accept_rate, round(r, 6) AS out_reject_rate, round((a + r) / 2, 6) AS balanced_acc FROM x"""
+ORACLE_SQL["fold_tau"] = f"""WITH {_FOLDS}, sc AS (SELECT (SELECT max(sim) FROM pairs p WHERE p.q_id = q.q_id) AS s, true AS inside FROM qs q UNION ALL SELECT s, false FROM fs WHERE grp = fold AND s IS NOT NULL){_TAU}"""
+_LIMIT = "(SELECT threshold FROM cal WHERE name = '{}')"
+_CALIBRATED = _FOUND
+for _text, _name in (("0.6 + v[1] >= 0.5", "is_oven"), ("0.5 + v[2] >= 0.5", "food"), ("0.5 + v[3] >= 0.5", "container/glass"), ("0.4 + v[4] >= 0.5", "container/metal"), ("0.5 + v[5] >= 0.5", "accessory/tray"), ("0.4 + v[6] >= 0.5", "accessory/grill")):
+    _CALIBRATED = _CALIBRATED.replace(_text, _text.replace("0.5", _LIMIT.format(_name)) if not _text.startswith("0.5") else f"0.5 + {_text[6:10]} >= {_LIMIT.format(_name)}")
+_CALIBRATED = _CALIBRATED.replace("(p < 0.5 OR", f"(p < {_LIMIT.format('rack_conf')} OR").replace("top1 >= 0.35", f"top1 >= {_LIMIT.format('tau')}")
+ORACLE_SQL["decision_calibrated"] = f"""WITH cal AS (SELECT name, threshold FROM ({ORACLE_SQL["calibrate_all"]})), {_CALIBRATED}
+  SELECT res.*, round(0.6 + v[1], 4) AS score_is_oven, round(0.4 + v[4], 4) AS score_metal, round(0.5 + v[5], 4) AS score_tray FROM res JOIN e ON item = vec_id"""
+ORACLE_SQL["decision_mismatches"] = f"""WITH x AS (WITH {_FOUND} SELECT * FROM res), y AS (WITH {_GIVEN} SELECT * FROM res), z AS (SELECT x.item, unnest([1, 2, 3, 4, 5, 6, 7, 8, 9, 10]) AS o,
+    unnest(['is_oven', 'device_model', 'pending_gallery', 'device_score', 'food_exist', 'container_type', 'accessory_type', 'rack_level', 'rack_level_score', 'low_confidence']) AS field,
+    unnest([x.is_oven::VARCHAR, x.device_model, x.pending_gallery::VARCHAR, x.device_score::VARCHAR, x.food_exist::VARCHAR, x.container_type, x.accessory_type, x.rack_level::INT::VARCHAR, x.rack_level_score::VARCHAR, x.low_confidence::VARCHAR]) AS a,
+    unnest([y.is_oven::VARCHAR, y.device_model, y.pending_gallery::VARCHAR, y.device_score::VARCHAR, y.food_exist::VARCHAR, y.container_type, y.accessory_type, y.rack_level::INT::VARCHAR, y.rack_level_score::VARCHAR, y.low_confidence::VARCHAR]) AS b
+    FROM x JOIN y USING (item)),
+  d AS (SELECT * FROM z WHERE a IS DISTINCT FROM b AND NOT (o IN (4, 9) AND coalesce(abs(TRY_CAST(a AS DOUBLE) - TRY_CAST(b AS DOUBLE)) <= 1e-3, false)))
+  SELECT item, field, CASE WHEN o NOT IN (4, 9) THEN array_to_string(list_sort(string_split(a, ',')), ',') END AS ref, CASE WHEN o NOT IN (4, 9) THEN array_to_string(list_sort(string_split(b, ',')), ',') END AS got, o = min(o) OVER (PARTITION BY item) AS first FROM d"""

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tarnwork.functions import columns
 from tarnwork.functions.columns import first_argmax, level_mask, softmax
-from tarnwork.operators import calibration, decide, encode, evaluate, losses, metrics, report, retrieval, rules, sampling, split
+from tarnwork.operators import batches, calibration, decide, documents, encode, evaluate, folder_eval, folds, losses, metrics, numbering, report, retrieval, rules, sampling, split
 from tarnwork.operators.vectors import nearest
 from tarnwork.plans import bindings as b
-from tarnwork.sources import annotations, generator
+from tarnwork.sources import annotations, generator, listing
+from tarnwork.sources.profile import with_provenance
 from tarnwork.sources.scratch import stored
 
 QUERIES: dict = {}
@@ -396,6 +397,14 @@ def history_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.upsert_history(rows.where("metric <> 'click'"), rows.where("metric = 'click'"))
 
 
+@query
+def learning_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate at every event, taken as the steps of one training."""
+    steps = b.table(spark, sf_dir, "events").select(F.col("event_id").alias("step"))
+    last = steps.agg(F.max("step")).first()[0]
+    return steps.select("step", F.round(report.learning_rate(F.col("step"), last + 1, 455, 1e-3, 1e-6), 9).alias("lr"))
+
+
 @query
 def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.lr_schedule(spark, 13_650, 455, 1e-3, 1e-6).select("step", *_r("lr", places=9))
@@ -563,3 +572,150 @@ def first_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 def preflight_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = F.when(F.col("l_orderkey") % 10 < 8, "train").when(F.col("l_orderkey") % 10 == 8, "val").otherwise("test")
     return evaluate.preflight_counts(_encoded(spark, sf_dir).withColumn("split", share))
+
+
+# ---------------------------------------------------------------- folders and documents
+
+
+def _folder_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folder_eval.judged(b.folder_results(spark, sf_dir), folder_eval.truth_values(b.folder_notes(spark, sf_dir)))
+
+
+@query
+def folder_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folder_eval.accuracy(_folder_verdicts(spark, sf_dir))
+
+
+@query
+def folder_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every judged image, once for each field it got wrong."""
+    return _folder_verdicts(spark, sf_dir).where("judged").select("image", F.inline_outer("errors"))
+
+
+MANIFEST_RULES = (
+    documents.Rule("n", "int", low=1, high=9), documents.Rule("f", "float", "0.5", low=0, high=1, low_open=True, high_open=True), documents.Rule("b", "bool"), documents.Rule("t", "str"),
+    documents.Rule("s", "section", "{}", choices=("c", "l")), documents.Rule("s.c", "choice", '"x"', choices=("x", "y")), documents.Rule("s.l", "str_list", never=("bad",)),
+)
+
+
+@query
+def manifest_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each path holds each kind of value, at any depth."""
+    values = documents.flattened(b.order_manifests(spark, sf_dir), "id")
+    return values.groupBy("path", "kind").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_values"))
+
+
+@query
+def manifest_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fault of every order's settings."""
+    values = stored(documents.flattened(b.order_manifests(spark, sf_dir), "id"), "manifest-values")
+    return documents.faults(values, "id", MANIFEST_RULES, [documents.Relation("f", "at_most", "n")])
+
+
+@query
+def manifest_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = stored(documents.flattened(b.order_manifests(spark, sf_dir).where("id % 101 <> 0 AND id % 103 <> 0"), "id"), "manifest-values")
+    return documents.resolved(values, "id", MANIFEST_RULES).where("path IN ('f', 's.c', 't')")
+
+
+def _event_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run, metric, value): counts of an event type, whole and by weekday."""
+    events = b.table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), "user_id", F.dayofweek("ts").cast("string").alias("day"))
+    whole = events.groupBy("run").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users")).select("run", F.inline(F.array(F.struct(F.lit("n").alias("metric"), F.col("n").alias("value")), F.struct(F.lit("users").alias("metric"), F.col("users").alias("value")))))
+    days = events.groupBy("run", "day").agg(F.count("*").alias("n"), F.max("user_id").alias("last"))
+    each = days.select("run", F.inline(F.array(*[F.struct(F.concat(F.lit("by_day."), F.col("day"), F.lit(f".{m}")).alias("metric"), F.col(m).alias("value")) for m in ("n", "last")])))
+    return whole.unionByName(each)
+
+
+@query
+def nested_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.nested(_event_metrics(spark, sf_dir), "run")
+
+
+@query
+def metric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.metric_lines(_event_metrics(spark, sf_dir), "run", ["n", "by_day.1.n", "loss"], places=1)
+
+
+@query
+def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the data set keeps of every event's annotation, with the names of its files."""
+    notes = b.raw_annotations(spark, sf_dir).where("json_path % 3 <> 0")
+    items = notes.select(F.concat(F.lit("/in/"), "json_path", F.lit(".json")).alias("json_path"), F.concat(F.lit("/in/"), "json_path", F.lit(".JPG")).alias("image_path"), "raw", F.concat(F.lit("s"), "json_path").alias("stem"), F.lit("train").alias("split"))
+    doc = lambda key: F.expr(f"try_variant_get(parse_json(document), '$.{key}', 'string')")
+    same = F.expr("try_variant_get(parse_json(document), '$.device_model', 'string')").eqNullSafe(F.expr("try_variant_get(parse_json(raw), '$.device_model', 'string')"))
+    out = with_provenance(items, "/out/")
+    return out.select("json_name", "image_name", doc("source_json").alias("source_json"), doc("source_image").alias("source_image"), doc("image").alias("image"), doc("image_root").alias("image_root"), same.alias("kept"))
+
+
+@query
+def ordered_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbering.ordered_digest(b.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("key"), F.col("p_name").alias("content")), "key", "content")
+
+
+@query
+def ordered_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = F.element_at(F.array(*map(F.lit, (".jpg", ".JPG", ".txt", ".Png", "", ".webp"))), (1 + F.col("page_id") % 6).cast("int"))
+    files = b.table(spark, sf_dir, "pages").select((F.col("page_id") % 2).cast("int").alias("root"), F.concat("url", F.lit("/"), F.col("page_id").cast("string"), ends).alias("path"))
+    return listing.ordered_images(files)
+
+
+# ---------------------------------------------------------------- batches and folds
+
+
+def _vector_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings in batches of 16 by number; some are null, short or not finite."""
+    i, v = F.col("vec_id"), F.col("embedding").cast("array<double>")
+    bad = F.when(i % 97 == 5, None).when(i % 89 == 3, F.slice(v, 1, 60)).when(i % 83 == 2, F.transform(v, lambda x, k: F.when(k == 7, F.lit(float("nan"))).otherwise(x))).otherwise(v)
+    rows = numbering.batched(numbering.numbered(b.table(spark, sf_dir, "embeddings").select("vec_id", bad.alias("v")), "vec_id"), 16)
+    return batches.checked(batches.collated(rows, "vec_id", "v"), "v", 64, 16)
+
+
+@query
+def collated_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _vector_batches(spark, sf_dir)
+    return out.select("batch", "n", F.array_join(F.transform("vec_id", lambda x: x.cast("string")), ",").alias("items"), *_r("least", "most"), F.array_join("faults", ",").alias("faults"))
+
+
+@query
+def loader_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batches.loader_faults(_vector_batches(spark, sf_dir))
+
+
+@query
+def batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = numbering.batched(numbering.numbered(_encoded(spark, sf_dir), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), 64)
+    return batches.batch_counts(rows)
+
+
+@query
+def leave_group_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = folds.leave_group_out(folds.fold_similarities(*b.vectors(spark, sf_dir)), b.TAU)
+    return out.select("fold", "n_in", "n_out", *_r("in_accept_rate", "out_reject_rate", "balanced_acc"))
+
+
+@query
+def fold_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = calibration.choose_tau(folds.fold_scores(folds.fold_similarities(*b.vectors(spark, sf_dir))))
+    return out.select(*_r("tau", "balanced_acc", "in_accept_rate", "out_reject_rate"), "n_in", "n_out")
+
+
+@query
+def decision_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decision chain at the thresholds that the calibration of the same rows gives, with scores."""
+    limits = decide.threshold_values(calibrate_all(spark, sf_dir))
+    queries, refs = b.vectors(spark, sf_dir)
+    outputs = b.model_outputs(spark, sf_dir)
+    ovens = queries.join(outputs.where(F.col("is_oven_prob") >= limits["is_oven"]).select(F.col("item").alias("q_id")), "q_id", "left_semi")
+    found = retrieval.match(ovens, refs, 10, limits["tau"]).withColumnRenamed("q_id", "item")
+    out = decide.decide(outputs.join(found, "item", "left"), b.model_profile(spark, sf_dir), b.CONTAINERS[:2], b.ACCESSORIES[:2], thresholds=limits, with_scores=True)
+    scores = [F.col("scores.is_oven").alias("score_is_oven"), F.try_element_at("scores.container", F.lit("metal")).alias("score_metal"), F.try_element_at("scores.accessory", F.lit("tray")).alias("score_tray")]
+    return _flat(out).select("*", *scores).drop("scores")
+
+
+@query
+def decision_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a given device changes what the chain decides, field by field."""
+    out = decide.mismatches(_decided(spark, sf_dir), _decided(spark, sf_dir, "M5"))
+    number = F.col("field").isin("device_score", "rack_level_score")
+    return out.select("item", "field", F.when(~number, F.col("ref")).alias("ref"), F.when(~number, F.col("got")).alias("got"), "first")

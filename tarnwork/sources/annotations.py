@@ -18,10 +18,15 @@ from tarnwork.sources.scratch import stored
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "webp")
 
 
+def plain_path(url: Column) -> Column:
+    """A file's name as the listing of binary files spells it: no escapes, one slash after a local scheme."""
+    return F.regexp_replace(F.url_decode(F.regexp_replace(url, r"\+", "%2B")), "^file:/+", "file:/")
+
+
 def read_annotations(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """(json_path, raw) of every ``*.json`` below ``path``; a byte-order mark is dropped."""
     files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", recursive).text(path)
-    return files.select(F.col("_metadata.file_path").alias("json_path"), F.regexp_replace("value", "^﻿", "").alias("raw"))
+    return files.select(plain_path(F.col("_metadata.file_path")).alias("json_path"), F.regexp_replace("value", "^﻿", "").alias("raw"))
 
 
 def _named(*paths: str) -> list[Column]:
@@ -49,37 +54,60 @@ def with_image(annotations: DataFrame, files: DataFrame) -> DataFrame:
     return annotations.join(found, "json_path", "left")
 
 
-def load_split(spark: SparkSession, roots: Sequence[str], split: str, profile: DataFrame, containers: Sequence[str], accessories: Sequence[str], on_error: str = "raise", strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(labels, issues) of ``<root>/<split>/*.json``: parsed, with an image, checked against the profile.
+_NO_ISSUES = "CAST(array() AS ARRAY<STRUCT<level: STRING, code: STRING>>)"
 
-    ``issues`` is (json_path, level, code); with ``strict`` every one is an error. Rows
-    with an error are no labels: ``on_error='skip'`` leaves them out, ``'raise'`` refuses
-    the split and names the first 20. An empty split is refused.
-    """
-    folders = [f"{root.rstrip('/')}/{split}" for root in roots]
-    notes, files = None, None
+
+def _missing(spark: SparkSession, folders: Sequence[str]) -> list[str]:
+    """The folders that do not exist."""
+    gone = []
     for folder in folders:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            raise FileNotFoundError(folder)
+            gone.append(folder)
+    return gone
+
+
+def read_split(spark: SparkSession, folders: Sequence[str], profile: DataFrame, containers: Sequence[str], accessories: Sequence[str], strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, images) of ``*.json`` in the folders: parsed, with an image, checked; every row keeps all its issues.
+
+    ``root`` is the number of the folder; rows stand in no order, but (root, json_path) is
+    one. ``images`` are the paths of all files. With ``strict`` every issue is an error.
+    """
+    notes, files = None, None
+    for number, folder in enumerate(folders):
         images = spark.read.format("binaryFile").load(folder).select("path")  # names only; contents are not read
-        some = read_annotations(spark, folder)
+        some = read_annotations(spark, folder).withColumn("root", F.lit(number))
         notes, files = (some, images) if notes is None else (notes.unionAll(some), files.unionAll(images))
-    same = lambda c: F.regexp_replace(c, "^file:/+", "file:///")
-    notes, files = notes.withColumn("json_path", same("json_path")), files.withColumn("path", same("path"))
+    files = files.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
     pictured = with_image(notes, files)
-    parsed = parse(pictured, containers, accessories).join(pictured.select("json_path", "image_path"), "json_path")
-    none = F.expr("CAST(array() AS ARRAY<STRUCT<level: STRING, code: STRING>>)")
+    parsed = parse(pictured, containers, accessories).join(pictured.select("json_path", "root", "image_path"), "json_path")
+    none = F.expr(_NO_ISSUES)
     lost = F.when(F.col("image_path").isNull() & ~F.exists("issues", lambda i: i["code"] == "bad_json"), F.array(F.struct(F.lit("error").alias("level"), F.lit("missing_image").alias("code")))).otherwise(none)
     parsed = parsed.withColumn("__parsed", F.concat("issues", lost)).drop("issues", "valid")
-    bad = lambda c: F.exists(c, lambda i: i["level"] == "error")
     ruled = check_labels(parsed, profile)
-    both = F.concat("__parsed", F.when(bad("__parsed"), none).otherwise(F.col("issues")))  # rules judge labels that could be read
+    both = F.concat("__parsed", F.when(_refused("__parsed"), none).otherwise(F.col("issues")))  # rules judge labels that could be read
     if strict:
         both = F.transform(both, lambda i: F.struct(F.lit("error").alias("level"), i["code"].alias("code")))
-    checked = stored(ruled.withColumn("issues", both).drop("__parsed"), "split-labels")
+    return stored(ruled.withColumn("issues", both).drop("__parsed"), "split-labels"), files
+
+
+def _refused(issues: str) -> Column:
+    return F.exists(issues, lambda i: i["level"] == "error")
+
+
+def load_split(spark: SparkSession, roots: Sequence[str], split: str, profile: DataFrame, containers: Sequence[str], accessories: Sequence[str], on_error: str = "raise", strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(labels, issues) of ``<root>/<split>/*.json``: parsed, with an image, checked against the profile.
+
+    ``issues`` is (json_path, level, code); with ``strict`` every one is an error. Rows
+    with an error are no labels: ``on_error='skip'`` leaves them out, ``'raise'`` refuses
+    the split and names the first 20. An empty split is refused.
+    """
+    folders = [f"{root.rstrip('/')}/{split}" for root in roots]
+    for folder in _missing(spark, folders):
+        raise FileNotFoundError(folder)
+    checked, _ = read_split(spark, folders, profile, containers, accessories, strict)
     issues = checked.select("json_path", F.inline("issues"))
-    n, wrong = checked.agg(F.count("*"), F.count_if(bad("issues"))).first()
+    n, wrong = checked.agg(F.count("*"), F.count_if(_refused("issues"))).first()
     if not n:
         raise RuntimeError(f"no annotation in {folders}")
     if wrong and on_error == "raise":
@@ -87,7 +115,48 @@ def load_split(spark: SparkSession, roots: Sequence[str], split: str, profile: D
         raise ValueError(f"{wrong} of {n} annotations have errors, the first are: " + "; ".join(f"{r['json_path']}: {r['code']}" for r in first))
     if wrong == n:
         raise RuntimeError(f"no label is left in {folders}")
-    return checked.where(~bad("issues")), issues
+    return checked.where(~_refused("issues")), issues
+
+
+def diagnose(spark: SparkSession, roots: Sequence[str], splits: Sequence[str], profile: DataFrame, containers: Sequence[str], accessories: Sequence[str], strict: bool = False) -> DataFrame:
+    """(split, stage, source, level, code) of every issue of all splits; nothing ends it early.
+
+    Stages, each of which sees what the ones before could read: listing (missing_folder,
+    no_annotation), labels (all parser and rule codes, also of refused rows) and contents
+    (leaked_content: the same bytes in several splits, a row for every such image).
+    """
+    log, contents, seen = None, None, []
+
+    def add(rows: DataFrame) -> None:
+        nonlocal log
+        rows = rows.select("split", "stage", "source", "level", "code")
+        log = rows if log is None else log.unionByName(rows)
+
+    def note(split: str, source: str, code: str) -> None:
+        add(spark.createDataFrame([(split, "listing", source, "error", code)], "split STRING, stage STRING, source STRING, level STRING, code STRING"))
+
+    for split in splits:
+        folders = [f"{root.rstrip('/')}/{split}" for root in roots]
+        gone = _missing(spark, folders)
+        for folder in gone:
+            note(split, folder, "missing_folder")
+        there = [f for f in folders if f not in gone]
+        if not there:
+            continue
+        rows, _ = read_split(spark, there, profile, containers, accessories, strict)
+        if rows.isEmpty():
+            note(split, there[0], "no_annotation")
+        add(rows.select(F.lit(split).alias("split"), F.lit("labels").alias("stage"), F.col("json_path").alias("source"), F.inline("issues")))
+        for folder in there:
+            some = spark.read.format("binaryFile").load(folder).where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*IMAGE_EXTENSIONS))
+            some = some.select(F.lit(split).alias("split"), F.regexp_replace("path", "^file:/+", "file:/").alias("source"), "length", F.sha2("content", 256).alias("sha"))
+            contents = some if contents is None else contents.unionAll(some)
+        seen.append(split)
+    if len(seen) > 1:
+        kept = stored(contents, "split-contents")
+        shared = kept.groupBy("length", "sha").agg(F.count_distinct("split").alias("splits")).where("splits > 1")
+        add(kept.join(shared, ["length", "sha"], "left_semi").select("split", F.lit("contents").alias("stage"), "source", F.lit("error").alias("level"), F.lit("leaked_content").alias("code")))
+    return log if log is not None else spark.createDataFrame([], "split STRING, stage STRING, source STRING, level STRING, code STRING")
 
 
 def _get(key: str) -> Column:

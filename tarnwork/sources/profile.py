@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarnwork.operators.retrieval import bundle_faults
 
@@ -109,11 +110,52 @@ def write_results(results: DataFrame, path: str) -> None:
     written.where("pending_gallery").write.mode("errorifexists").json(f"{path}/pending")
 
 
+def with_provenance(items: DataFrame, root: str) -> DataFrame:
+    """``items`` (json_path, image_path, raw, stem, split) with ``document``: the annotation as the data set keeps it, and the names of both files.
+
+    Where it came from and where it lies now replace what it said of its image; all else
+    stays as it was, and ``raw`` too.
+    """
+    folder = F.concat(F.lit(root.rstrip("/") + "/"), F.col("split"))
+    image = F.concat("stem", F.lower(F.regexp_extract("image_path", r"(\.[^./]+)$", 1)))
+    entry = lambda name, value: F.struct(F.lit(name).alias("key"), F.parse_json(F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", "")).alias("value"))
+    told = {"source_json": F.col("json_path"), "source_image": F.col("image_path"), "image": image, "image_name": image, "image_root": folder}
+    given = F.parse_json("raw").cast("map<string,variant>")
+    kept = F.map_filter(given, lambda k, v: ~k.isin(*told))
+    both = F.map_concat(kept, F.map_from_entries(F.array(*[entry(k, v) for k, v in told.items()])))
+    return items.withColumns({"document": F.to_json(both), "image_name": image, "json_name": F.concat("stem", F.lit(".json"))})
+
+
 def write_split(items: DataFrame, path: str) -> None:
     """One folder a split; an existing data set is never overwritten."""
     items.write.mode("errorifexists").partitionBy("split").parquet(path)
 
 
+def run_dir(parent: str, stamp: str, explicit: str | None = None, resume: str | None = None) -> Path:
+    """The driver's folder of a run: that of the checkpoint it resumes, else ``explicit`` if that is empty, else stamp, stamp_01, stamp_02 and so on."""
+    if resume is not None:
+        home = Path(resume).resolve().parent
+        if not Path(resume).is_file():
+            raise FileNotFoundError(resume)
+        if explicit is not None and Path(explicit).resolve() != home:
+            raise ValueError(f"a resumed run stays in {home}")
+        return home
+    if explicit is not None:
+        at = Path(explicit)
+        if at.exists() and (not at.is_dir() or any(at.iterdir())):
+            raise FileExistsError(f"{at} is not empty")
+        at.mkdir(parents=True, exist_ok=True)
+        return at
+    for n in range(1000):
+        at = Path(parent) / (f"{stamp}_{n:02d}" if n else stamp)
+        try:
+            at.mkdir(parents=True)  # fails if another run has it
+            return at
+        except FileExistsError:
+            continue
+    raise FileExistsError(parent)
+
+
 def fresh_dir(parent: str, date: str, clock: str) -> Path:
     """A new folder of the driver's: date, then date_clock, then date_clock_n."""
     for name in (date, f"{date}_{clock}", *(f"{date}_{clock}_{n}" for n in range(1, 1000))):

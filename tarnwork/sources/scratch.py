@@ -5,21 +5,27 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a local one stands in for it in local mode only, since executors elsewhere could not read it."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (given or f"file:///tmp/tarnwork-scratch-{os.getuid()}").rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once and read back, for inputs that are used more than once.
-
-    The table lies in the folder of ``spark.checkpoint.dir``; a local folder stands in for
-    it in local mode only, since executors elsewhere could not read it.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = f"file:///tmp/tarnwork-scratch-{os.getuid()}"
-    path = f"{folder.rstrip('/')}/tarnwork-core/{name}-{uuid.uuid4().hex}"
+    """``df`` written once and read back, for inputs that are used more than once."""
+    path = f"{folder(df.sparkSession)}/tarnwork-core/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint, for values that a Parquet file would not give back as they were: a VARIANT's 2 beside a 2.5 becomes 2.0 there."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder(df.sparkSession))
+    return df.checkpoint()
