@@ -7,6 +7,7 @@ A loss over no valid row is 0 (a metric over none is null). Batch values keep th
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -113,3 +114,33 @@ def combine_batches(parts: DataFrame) -> DataFrame:
 
 def weighted_total(terms: dict[str, Column], weights: dict[str, float]) -> Column:
     return sum((F.lit(float(weights.get(t, 0.0))) * c for t, c in terms.items()), F.lit(0.0))
+
+
+LOSS_TERMS = ("is_oven", "proj", "food", "container", "accessory", "rack")
+
+
+def batch_losses(rows: DataFrame, weights: dict[str, float], containers: Sequence[str], accessories: Sequence[str], temperature: float = 0.1, smoothing: float = 0.0) -> DataFrame:
+    """(batch, one column a term, total): the six losses of every batch and their weighted sum.
+
+    ``rows`` has batch, item, is_oven, food_exist, container, accessory, rack_level (null if
+    unknown), device_known, cavity_group, rack_count, floor_usable, v and the logits
+    is_oven_logit, food_logit, container_logit, accessory_logit, raw. Every term is a mean
+    over the batch's rows that its label is known of, and 0 without any; devices count for
+    proj and rack only where they are known.
+    """
+
+    def several(logits: str, names: Sequence[str], label: str) -> Column:
+        targets = F.array(*[F.coalesce(F.array_contains(label, n), F.lit(False)).cast("double") for n in names])
+        each = F.zip_with(logits, targets, lambda z, t: bce(z, t))
+        return F.when(F.col(label).isNotNull(), F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / max(1, len(names)))
+
+    device = F.col("device_known")
+    level = F.when(device & F.col("rack_level").isNotNull(), level_cross_entropy(F.col("raw"), F.col("rack_level"), F.col("rack_count"), F.col("floor_usable"), smoothing))
+    terms = {
+        "is_oven": bce(F.col("is_oven_logit"), F.col("is_oven").cast("double")), "food": bce(F.col("food_logit"), F.col("food_exist").cast("double")),
+        "container": several("container_logit", containers, "container"), "accessory": several("accessory_logit", accessories, "accessory"), "rack": level,
+    }
+    means = rows.groupBy("batch").agg(*[F.coalesce(F.avg(x), F.lit(0.0)).alias(t) for t, x in terms.items()])
+    proj = supcon(rows.where(device).select("batch", "item", F.col("cavity_group").alias("grp"), "v"), temperature).select("batch", F.col("loss").alias("proj"))
+    both = means.join(proj, "batch", "left").withColumn("proj", F.coalesce("proj", F.lit(0.0)))
+    return both.select("batch", *LOSS_TERMS, weighted_total({t: F.col(t) for t in LOSS_TERMS}, weights).alias("total"))

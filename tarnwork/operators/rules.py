@@ -102,3 +102,22 @@ def task_counts(encoded: DataFrame) -> DataFrame:
 def unseen(train: DataFrame, val: DataFrame, column: str) -> DataFrame:
     """Values of ``column`` in validation that training lacks."""
     return val.select(column).where(F.col(column).isNotNull()).subtract(train.select(column))
+
+
+def coverage(labels: DataFrame, profile: DataFrame, fewest_groups: int = 2) -> DataFrame:
+    """(warning, value) of what labels with ``split`` do not let training or validation show.
+
+    few_groups with their number, only_ovens, one_food_value with the value, and every
+    container, accessory or model that validation has and training lacks.
+    """
+    train, val = labels.where("split = 'train'"), labels.where("split = 'val'")
+    known = with_profile(train, profile).where("is_oven AND in_profile")
+    groups = known.agg(F.count_distinct("cavity_group").alias("n")).where(F.col("n") < fewest_groups).select(F.lit("few_groups").alias("warning"), F.col("n").cast("string").alias("value"))
+    facts = train.agg(F.count_if(~F.col("is_oven")).alias("others"), F.count_distinct("food_exist").alias("foods"), F.min("food_exist").alias("food"))
+    ovens = facts.where("others = 0").select(F.lit("only_ovens").alias("warning"), F.lit(None).cast("string").alias("value"))
+    foods = facts.where("foods = 1").select(F.lit("one_food_value").alias("warning"), F.col("food").cast("string").alias("value"))
+    out = groups.unionByName(ovens).unionByName(foods)
+    for column, warning in (("container", "unseen_container"), ("accessory", "unseen_accessory")):
+        each = lambda rows, c=column: rows.select(F.explode(c).alias("value"))
+        out = out.unionByName(unseen(each(train), each(val), "value").select(F.lit(warning).alias("warning"), "value"))
+    return out.unionByName(unseen(train, val, "device_model").select(F.lit("unseen_model").alias("warning"), F.col("device_model").alias("value")))

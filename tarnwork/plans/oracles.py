@@ -196,15 +196,15 @@ ORACLE_SQL["unique_stems"] = """WITH a AS (SELECT p_partkey, p_name, CASE WHEN c
   k AS (SELECT *, row_number() OVER (PARTITION BY lower(o) ORDER BY p_partkey) AS n FROM a) SELECT p_partkey, p_name, CASE WHEN n > 1 THEN o || '_' || (n - 1) ELSE o END AS output_stem FROM k"""
 _POOLS = "pools AS (SELECT c_custkey, CASE WHEN c_nationkey < 20 THEN c_nationkey % 6 WHEN c_nationkey < 23 THEN -1 ELSE -2 END AS pool FROM customer)"
 ORACLE_SQL["pk_plan"] = f"WITH {_POOLS} SELECT least(4, count(DISTINCT pool) FILTER (WHERE pool >= 0))::INTEGER AS p, 8 AS n_oven, 4 AS n_non_oven, 4 AS n_unknown FROM pools"
-ORACLE_SQL["pk_batches"] = f"""WITH {_POOLS}, drawn AS (SELECT b AS batch, pool, row_number() OVER (PARTITION BY b ORDER BY sha256('17|0|' || b || '|' || pool), pool) - 1 AS j FROM range(0, 60) r(b), (SELECT DISTINCT pool FROM pools WHERE pool >= 0)),
-  need AS (SELECT batch, pool, j AS part, 2 AS take FROM drawn WHERE j < 4 UNION ALL SELECT b, -1, 1000000, 4 FROM range(0, 60) r(b) UNION ALL SELECT b, -2, 1000001, 4 FROM range(0, 60) r(b)),
+ORACLE_SQL["pk_batches"] = f"""WITH {_POOLS}, drawn AS (SELECT b AS batch, pool, row_number() OVER (PARTITION BY b ORDER BY sha256('17|0|' || b || '|' || pool), pool) - 1 AS j FROM (SELECT unnest(range(count(*) // 8)) AS b FROM customer) r, (SELECT DISTINCT pool FROM pools WHERE pool >= 0)),
+  need AS (SELECT batch, pool, j AS part, 2 AS take FROM drawn WHERE j < 4 UNION ALL SELECT b, -1, 1000000, 4 FROM (SELECT unnest(range(count(*) // 8)) AS b FROM customer) r UNION ALL SELECT b, -2, 1000001, 4 FROM (SELECT unnest(range(count(*) // 8)) AS b FROM customer) r),
   pos AS (SELECT *, sum(take) OVER (PARTITION BY pool ORDER BY batch) - take AS first, sum(take) OVER (PARTITION BY batch ORDER BY part) - take AS slot0 FROM need),
   want AS (SELECT batch, pool, (slot0 + i)::BIGINT AS slot, first + i AS ordinal FROM pos, range(0, 4) r(i) WHERE i < take),
   sz AS (SELECT pool, count(*) AS size FROM pools GROUP BY pool), cyc AS (SELECT want.*, (ordinal // size)::BIGINT AS cycle, ordinal % size AS at FROM want JOIN sz ON want.pool = sz.pool),
   rk AS (SELECT c.cycle, p.pool, p.c_custkey, row_number() OVER (PARTITION BY p.pool, c.cycle ORDER BY sha256('17|0|' || c.cycle || '|' || p.c_custkey), p.c_custkey) - 1 AS at FROM pools p JOIN (SELECT DISTINCT pool, cycle FROM cyc) c ON p.pool = c.pool)
   SELECT cyc.batch, cyc.slot, cyc.pool::INTEGER AS pool, rk.c_custkey FROM cyc JOIN rk ON cyc.pool = rk.pool AND cyc.cycle = rk.cycle AND cyc.at = rk.at"""
 ORACLE_SQL["cyclic_draw"] = """WITH pools AS (SELECT c_mktsegment AS pool, c_custkey FROM customer), sz AS (SELECT pool, count(*) AS size FROM pools GROUP BY pool),
-  cyc AS (SELECT pool, o AS ordinal, (o // size)::BIGINT AS cycle, o % size AS at FROM sz, range(0, 700) r(o)),
+  cyc AS (SELECT pool, o AS ordinal, (o // size)::BIGINT AS cycle, o % size AS at FROM (SELECT pool, size, unnest(range(size * 5 // 2)) AS o FROM sz)),
   rk AS (SELECT c.cycle, p.pool, p.c_custkey, row_number() OVER (PARTITION BY p.pool, c.cycle ORDER BY sha256('7|0|' || c.cycle || '|' || p.c_custkey), p.c_custkey) - 1 AS at FROM pools p JOIN (SELECT DISTINCT pool, cycle FROM cyc) c ON p.pool = c.pool)
   SELECT cyc.pool, cyc.ordinal, rk.c_custkey FROM cyc JOIN rk ON cyc.pool = rk.pool AND cyc.cycle = rk.cycle AND cyc.at = rk.at"""
 ORACLE_SQL["sequential_batches"] = "SELECT c_custkey, ((row_number() OVER (ORDER BY c_custkey) - 1) // 16)::BIGINT AS batch FROM customer"
@@ -459,3 +459,21 @@ ORACLE_SQL["decision_mismatches"] = f"""WITH x AS (WITH {_FOUND} SELECT * FROM r
     FROM x JOIN y USING (item)),
   d AS (SELECT * FROM z WHERE a IS DISTINCT FROM b AND NOT (o IN (4, 9) AND coalesce(abs(TRY_CAST(a AS DOUBLE) - TRY_CAST(b AS DOUBLE)) <= 1e-3, false)))
   SELECT item, field, CASE WHEN o NOT IN (4, 9) THEN array_to_string(list_sort(string_split(a, ',')), ',') END AS ref, CASE WHEN o NOT IN (4, 9) THEN array_to_string(list_sort(string_split(b, ',')), ',') END AS got, o = min(o) OVER (PARTITION BY item) AS first FROM d"""
+
+_BCE = "({t}) * (ln(1 + exp(-abs({z}))) + greatest(-({z}), 0)) + (1 - ({t})) * (ln(1 + exp(-abs({z}))) + greatest({z}, 0))"
+_MANY = "list_sum(list_transform(range(1, 3), lambda i: " + _BCE.format(t="{t}[i]::INT::DOUBLE", z="{z}[i]") + ")) / 2"
+ORACLE_SQL["batch_losses"] = f"""WITH {EMB}, {_OUT.format(more="")}, o AS (SELECT *, item // 16 AS batch FROM orow), h AS (SELECT *, list_transform(range(low, rack_count + 1), lambda k: raw[k + 1]) AS hh FROM o),
+  t AS (SELECT batch, coalesce(avg({_BCE.format(t="is_oven::INT::DOUBLE", z="p_oven")}), 0) AS is_oven, coalesce(avg({_BCE.format(t="food::INT::DOUBLE", z="p_food")}), 0) AS food, coalesce(avg({_MANY.format(t="container", z="p_cont")}), 0) AS container,
+    coalesce(avg({_MANY.format(t="accessory", z="p_acc")}), 0) AS accessory, coalesce(avg(CASE WHEN known THEN list_max(hh) + ln(list_sum(list_transform(hh, lambda x: exp(x - list_max(hh))))) - raw[level + 1] END), 0) AS rack FROM h GROUP BY batch),
+  p AS (SELECT a.vec_id // 16 AS batch, a.vec_id AS i, a.grp = b.grp AS pos, list_cosine_similarity(a.v, b.v) / 0.1 AS x FROM e a JOIN e b ON a.vec_id // 16 = b.vec_id // 16 AND a.vec_id <> b.vec_id WHERE a.label < 8 AND b.label < 8),
+  k AS (SELECT batch, i, ln(sum(exp(x))) - sum(x) FILTER (WHERE pos) / count(*) FILTER (WHERE pos) AS loss, count(*) FILTER (WHERE pos) > 0 AND count(*) FILTER (WHERE NOT pos) > 0 AS anchor FROM p GROUP BY batch, i),
+  s AS (SELECT batch, coalesce(avg(loss) FILTER (WHERE anchor), 0) AS proj FROM k GROUP BY batch), j AS (SELECT t.*, coalesce(proj, 0) AS proj FROM t LEFT JOIN s USING (batch))
+  SELECT batch, round(is_oven, 6) AS is_oven, round(proj, 6) AS proj, round(food, 6) AS food, round(container, 6) AS container, round(accessory, 6) AS accessory, round(rack, 6) AS rack,
+    round(is_oven + 0.5 * proj + food + 2 * container + 1.5 * accessory + 0.25 * rack, 6) AS total FROM j"""
+ORACLE_SQL["coverage_warnings"] = f"""WITH {LABELS}, tr AS (SELECT * FROM j WHERE l_suppkey % 10 <> 0 AND is_oven AND coalesce(food_exist, true) AND NOT list_contains(accessory, 'spit') AND device_model <> 'Brand#11'), va AS (SELECT * FROM j WHERE l_suppkey % 10 = 0)
+  SELECT 'few_groups' AS warning, count(DISTINCT cavity_group)::VARCHAR AS value FROM tr WHERE is_oven AND in_profile HAVING count(DISTINCT cavity_group) < 2
+  UNION ALL SELECT 'only_ovens', NULL FROM tr HAVING count(*) FILTER (WHERE NOT is_oven) = 0
+  UNION ALL SELECT 'one_food_value', min(food_exist)::VARCHAR FROM tr HAVING count(DISTINCT food_exist) = 1
+  UNION ALL SELECT 'unseen_container', x FROM (SELECT unnest(container) AS x FROM va EXCEPT SELECT unnest(container) FROM tr)
+  UNION ALL SELECT 'unseen_accessory', x FROM (SELECT unnest(accessory) AS x FROM va EXCEPT SELECT unnest(accessory) FROM tr)
+  UNION ALL SELECT 'unseen_model', x FROM (SELECT device_model AS x FROM va WHERE device_model IS NOT NULL EXCEPT SELECT device_model FROM tr)"""

@@ -289,13 +289,14 @@ def pk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pk_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     pools = _pools(spark, sf_dir)
-    return sampling.pk_batches(pools, "c_custkey", sampling.plan_quota(*sampling.pool_counts(pools)), 60, seed=17)
+    return sampling.pk_batches(pools, "c_custkey", sampling.plan_quota(*sampling.pool_counts(pools)), pools.count() // 8, seed=17)
 
 
 @query
 def cyclic_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = b.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("pool"), "c_custkey")
-    demand = pool.select("pool").distinct().select("pool", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(699).cast("long"))).alias("ordinal"))
+    last = F.floor(F.count("*") * 5 / 2) - 1  # two and a half cycles
+    demand = pool.groupBy("pool").agg(last.alias("last")).select("pool", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("ordinal"))
     return sampling.cyclic_draw(pool, "c_custkey", demand, 7).select("pool", "ordinal", "c_custkey")
 
 
@@ -410,6 +411,26 @@ def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.lr_schedule(spark, 13_650, 455, 1e-3, 1e-6).select("step", *_r("lr", places=9))
 
 
+@query
+def batch_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six training losses of every batch of 16 embeddings, and their weighted sum."""
+    queries, _ = b.vectors(spark, sf_dir)
+    rows = _output_rows(spark, sf_dir).join(queries.select(F.col("q_id").alias("item"), "v", "cavity_group"), "item").withColumn("batch", F.floor(F.col("item") / 16))
+    for name in ("is_oven", "food", "container", "accessory"):
+        rows = rows.withColumnRenamed(f"{name}_prob", f"{name}_logit")
+    weights = {"is_oven": 1.0, "proj": 0.5, "food": 1.0, "container": 2.0, "accessory": 1.5, "rack": 0.25}
+    return losses.batch_losses(rows, weights, b.CONTAINERS[:2], b.ACCESSORIES[:2]).select("batch", *_r(*losses.LOSS_TERMS, "total"))
+
+
+@query
+def coverage_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation is what one supplier in ten delivers; training lacks spits, food labels of one kind and some brands."""
+    labels = b.item_labels(spark, sf_dir)
+    train = labels.where("l_suppkey % 10 <> 0 AND is_oven AND coalesce(food_exist, true) AND NOT array_contains(accessory, 'spit') AND device_model <> 'Brand#11'")
+    split = train.withColumn("split", F.lit("train")).unionByName(labels.where("l_suppkey % 10 = 0").withColumn("split", F.lit("val")))
+    return rules.coverage(split, b.brand_profile(spark, sf_dir))
+
+
 @query
 def best_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.datediff(F.col("ts"), F.lit("2024-01-01").cast("date")).cast("long")
