@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.operators import calibration, metrics, retrieval, rules, split
+from tarnwork.operators.batches import loader_faults
 from tarnwork.sources.profile import EvalConfig
 from tarnwork.sources.scratch import stored
 
@@ -133,6 +134,22 @@ def preflight(labels: DataFrame, profile: DataFrame, files: DataFrame, ident: st
     return out
 
 
+def loader_checks(report: DataFrame) -> DataFrame:
+    """(check, n, ok) of the first batches, as :func:`tarnwork.operators.batches.checked` reports them: any fault fails, and so does a loader without batches."""
+    kinds = ("no_batches", "shape", "not_finite", "size")
+    found = loader_faults(report).groupBy().agg(*[F.coalesce(F.sum(F.when(F.col("fault") == k, F.col("n"))), F.lit(0)).alias(k) for k in kinds])
+    return found.select(F.inline(F.array(*[F.struct(F.lit(f"loader_{k}").alias("check"), F.col(k).alias("n"), (F.col(k) == 0).alias("ok")) for k in kinds])))
+
+
+def verdict(*checks: DataFrame) -> DataFrame:
+    """One row (status, failed) of all (check, n, ok): passed if every check holds, else failed with their names in order."""
+    every = checks[0].select("check", "ok")
+    for more in checks[1:]:
+        every = every.unionByName(more.select("check", "ok"))
+    failed = F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("check"))))
+    return every.agg(failed.alias("failed")).select(F.when(F.size("failed") == 0, "passed").otherwise("failed").alias("status"), "failed")
+
+
 def preflight_counts(encoded: DataFrame) -> DataFrame:
     """(split, field, value, n): valid labels of every task and rows of every group, by split.
 

@@ -477,3 +477,6 @@ ORACLE_SQL["coverage_warnings"] = f"""WITH {LABELS}, tr AS (SELECT * FROM j WHER
   UNION ALL SELECT 'unseen_container', x FROM (SELECT unnest(container) AS x FROM va EXCEPT SELECT unnest(container) FROM tr)
   UNION ALL SELECT 'unseen_accessory', x FROM (SELECT unnest(accessory) AS x FROM va EXCEPT SELECT unnest(accessory) FROM tr)
   UNION ALL SELECT 'unseen_model', x FROM (SELECT device_model AS x FROM va WHERE device_model IS NOT NULL EXCEPT SELECT device_model FROM tr)"""
+
+ORACLE_SQL["preflight_verdict"] = f"""WITH r AS (SELECT "check", ok FROM ({ORACLE_SQL["preflight_report"]}) UNION ALL SELECT 'loader_' || fault, false FROM ({ORACLE_SQL["loader_faults"]}))
+  SELECT CASE WHEN bool_and(ok) THEN 'passed' ELSE 'failed' END AS status, coalesce(string_agg("check", ',' ORDER BY "check") FILTER (WHERE NOT ok), '') AS failed FROM r"""

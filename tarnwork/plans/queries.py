@@ -703,6 +703,12 @@ def loader_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches.loader_faults(_vector_batches(spark, sf_dir))
 
 
+@query
+def preflight_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label, leakage and coverage checks together with those of all batches."""
+    return evaluate.verdict(preflight_report(spark, sf_dir), evaluate.loader_checks(_vector_batches(spark, sf_dir))).select("status", F.array_join("failed", ",").alias("failed"))
+
+
 @query
 def batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = numbering.batched(numbering.numbered(_encoded(spark, sf_dir), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), 64)

@@ -85,8 +85,20 @@ def _manifest(spark: SparkSession, path: str, expected: str) -> list[str]:
     return [x["part"] for x in found]
 
 
-def read_bundle(spark: SparkSession, path: str, expected: str, profile: DataFrame | None = None) -> DataFrame:
-    """The gallery, if model, gallery and calibration all have the expected version; with ``profile``, if its models agree with it."""
+def missing_parts(spark: SparkSession, path: str, parts: Sequence[str]) -> list[str]:
+    """Those of the files and folders below ``path`` that are not there; an unfinished run lacks its last ones."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = {part: jvm.org.apache.hadoop.fs.Path(f"{path}/{part}") for part in parts}
+    return [part for part, p in at.items() if not p.getFileSystem(conf).exists(p)]
+
+
+def read_bundle(spark: SparkSession, path: str, expected: str, profile: DataFrame | None = None, parts: Sequence[str] = ("manifest", "gallery")) -> DataFrame:
+    """The gallery, if no part lacks and model, gallery and calibration all have the expected version, which is not empty; with ``profile``, if its models agree with it."""
+    if not expected:
+        raise ValueError("a bundle has a version")
+    lacking = missing_parts(spark, path, parts)
+    if lacking:
+        raise FileNotFoundError(f"{path} lacks {', '.join(lacking)}")
     _manifest(spark, path, expected)
     refs = spark.read.parquet(f"{path}/gallery")
     if profile is not None:

@@ -8,11 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwork.operators import batches as bt
-from tarnwork.operators import decide, folds
+from tarnwork.operators import decide, evaluate, folds
 from tarnwork.sources import snapshots
 from tarnwork.sources.annotations import diagnose, load_split
 from tarnwork.sources.listing import list_images
-from tarnwork.sources.profile import profile_rows, run_dir, with_provenance
+from tarnwork.sources.profile import profile_rows, read_bundle, run_dir, with_provenance, write_bundle
 
 PROFILE = "name STRING, rack_count INT, floor_usable BOOLEAN, cavity_group STRING, accessories ARRAY<STRING>"
 
@@ -74,6 +74,26 @@ def test_snapshots_survive_a_failed_writer(spark, tmp_path):
     assert snapshots.record(spark, path, 2, values()).where("epoch = 2").isEmpty()
 
 
+def test_unfinished_runs_are_told(spark, tmp_path):
+    refs = spark.createDataFrame([(1, "M", "M", [1.0])], "ref_id LONG, model STRING, cavity_group STRING, v ARRAY<DOUBLE>")
+    write_bundle(refs, str(tmp_path / "whole"), "f")
+    assert read_bundle(spark, str(tmp_path / "whole"), "f").count() == 1
+    with pytest.raises(FileNotFoundError, match="lacks calibration"):
+        read_bundle(spark, str(tmp_path / "whole"), "f", parts=("manifest", "gallery", "calibration"))
+    with pytest.raises(FileNotFoundError, match="lacks manifest, gallery"):
+        read_bundle(spark, str(tmp_path / "none"), "f")
+    with pytest.raises(ValueError, match="version"):
+        read_bundle(spark, str(tmp_path / "whole"), "")
+
+
+def test_verdict_names_what_failed(spark):
+    made = lambda *rows: spark.createDataFrame(rows, "check STRING, n LONG, ok BOOLEAN")
+    report = spark.createDataFrame([(["size"],), ([],)], "faults ARRAY<STRING>")
+    got = evaluate.verdict(made(("b", 1, False), ("a", 0, True)), evaluate.loader_checks(report)).first()
+    assert (got["status"], got["failed"]) == ("failed", ["b", "loader_size"])
+    assert evaluate.verdict(made(("a", 0, True)), evaluate.loader_checks(report.where("size(faults) = 0"))).first()["status"] == "passed"
+
+
 def test_run_folders(tmp_path):
     made = [run_dir(str(tmp_path), "t").name for _ in range(3)]
     assert made == ["t", "t_01", "t_02"]
