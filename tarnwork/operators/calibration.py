@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnwork.operators.bank import keep_bank, nearest_kept
 from tarnwork.operators.metrics import blocks
-from tarnwork.operators.retrieval import top1, with_groups
+from tarnwork.operators.retrieval import with_groups
 from tarnwork.sources.scratch import stored
 
 
@@ -62,12 +63,14 @@ def tau_scores(queries: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFram
     """((s, inside) with real externals, the same by leaving one group out).
 
     ``queries``: q_id, v, cavity_group, external. One theta search replaces a gallery copy
-    a group.
+    a group. All three searches read one kept bank, which is not shuffled again.
     """
     refs = with_groups(refs)
+    bank = keep_bank(refs, "cavity_group")
+    found = lambda rows, exclude=None: nearest_kept(rows, bank, 1, exclude).select(F.col("sim").alias("s"))
     held = refs.select("cavity_group").distinct()
     inside = queries.where(~F.col("external")).join(held, "cavity_group", "left_semi")
-    s_in = stored(top1(inside, refs).select("s", F.lit(True).alias("inside")), "tau-inside")  # in both results
-    s_ext = top1(queries.where("external"), refs).select("s", F.lit(False).alias("inside"))
-    s_loo = top1(inside, refs, exclude="cavity_group").select("s", F.lit(False).alias("inside"))
+    s_in = stored(found(inside).select("s", F.lit(True).alias("inside")), "tau-inside")  # in both results
+    s_ext = found(queries.where("external")).select("s", F.lit(False).alias("inside"))
+    s_loo = found(inside, "cavity_group").select("s", F.lit(False).alias("inside"))
     return s_in.unionByName(s_ext), s_in.unionByName(s_loo)

@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnwork.functions.columns import ratio
+from tarnwork.operators.bank import keep_bank, nearest_kept
 from tarnwork.operators.retrieval import with_groups
-from tarnwork.operators.vectors import nearest
 from tarnwork.sources.scratch import stored
 
 
@@ -23,9 +23,10 @@ def fold_similarities(queries: DataFrame, refs: DataFrame) -> DataFrame:
     refs = with_groups(refs)
     inside = queries.where(~F.col("external")).join(refs.select("cavity_group").distinct(), "cavity_group", "left_semi")
     groups = refs.select("ref_id", F.col("cavity_group").alias("best_group"))
-    best = stored(nearest(inside, refs, 1).join(groups, "ref_id").select("q_id", F.col("sim").alias("s"), "best_group"), "fold-best")
+    bank = keep_bank(refs, "cavity_group")
+    best = stored(nearest_kept(inside, bank, 1).join(groups, "ref_id").select("q_id", F.col("sim").alias("s"), "best_group"), "fold-best")
     again = inside.select("q_id", "v").join(best.select("q_id", F.col("best_group").alias("cavity_group")), "q_id")
-    other = nearest(again, refs, 1, exclude="cavity_group").select("q_id", F.col("sim").alias("s_other"))
+    other = nearest_kept(again, bank, 1, exclude="cavity_group").select("q_id", F.col("sim").alias("s_other"))
     return inside.select("q_id", "cavity_group").join(best, "q_id").join(other, "q_id", "left")
 
 

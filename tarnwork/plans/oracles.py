@@ -480,3 +480,5 @@ ORACLE_SQL["coverage_warnings"] = f"""WITH {LABELS}, tr AS (SELECT * FROM j WHER
 
 ORACLE_SQL["preflight_verdict"] = f"""WITH r AS (SELECT "check", ok FROM ({ORACLE_SQL["preflight_report"]}) UNION ALL SELECT 'loader_' || fault, false FROM ({ORACLE_SQL["loader_faults"]}))
   SELECT CASE WHEN bool_and(ok) THEN 'passed' ELSE 'failed' END AS status, coalesce(string_agg("check", ',' ORDER BY "check") FILTER (WHERE NOT ok), '') AS failed FROM r"""
+
+ORACLE_SQL["endless_positions"] = "SELECT event_type AS consumer, event_id AS request, k // 37 AS epoch, k % 37 AS batch FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS k FROM events)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from tarnwork.operators.vectors import nearest
 from tarnwork.plans import bindings as b
 from tarnwork.sources import annotations, generator, listing
 from tarnwork.sources.profile import with_provenance
-from tarnwork.sources.scratch import stored
+from tarnwork.sources.scratch import folder, stored
+from tarnwork.streaming import sampler
 
 QUERIES: dict = {}
 
@@ -709,6 +712,17 @@ def preflight_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.verdict(preflight_report(spark, sf_dir), evaluate.loader_checks(_vector_batches(spark, sf_dir))).select("status", F.array_join("failed", ",").alias("failed"))
 
 
+@query
+def endless_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which batch of which epoch each event takes, if every event of a type asks one sampler for the next batch."""
+    asked = b.table(spark, sf_dir, "events").select(F.col("event_type").alias("consumer"), F.col("event_id").alias("request"))
+    at = f"{folder(spark)}/tarnwork-core/requests-{uuid.uuid4().hex}"
+    asked.write.parquet(f"{at}/in")
+    source = spark.readStream.schema("consumer STRING, request LONG").parquet(f"{at}/in")
+    sampler.taken_positions(source, 37, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("consumer", "request", "epoch", "batch")
+
+
 @query
 def batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = numbering.batched(numbering.numbered(_encoded(spark, sf_dir), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), 64)

@@ -39,6 +39,15 @@ def positions(requests: DataFrame, n_batches: int, reseed: bool = True) -> DataF
     return keyed.groupBy("consumer").applyInPandasWithState(take, _TAKEN, _POSITION, "append", GroupStateTimeout.NoTimeout)
 
 
+def taken_positions(requests: DataFrame, n_batches: int, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes the positions of all requests there are below ``path``, a folder a micro-batch."""
+
+    def sink(taken: DataFrame, number: int) -> None:
+        taken.write.mode("overwrite").parquet(f"{path}/part={number}")
+
+    return positions(requests, n_batches).writeStream.foreachBatch(sink).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def endless_batches(requests: DataFrame, encoded: DataFrame, ident: str, quota: Quota, n_batches: int, path: str, checkpoint: str, seed: int = 42, reseed: bool = True) -> StreamingQuery:
     """Writes (consumer, request, epoch, batch, slot, pool, ident) of every request below ``path``, a folder a micro-batch.
 

@@ -66,3 +66,29 @@ def test_bundle_faults(spark):
     refs = spark.createDataFrame([(1, "A", "GA", [1.0]), (2, "X", "GX", [1.0]), (3, "B", "G9", [1.0])], REFS)
     profile = spark.createDataFrame([("A", "GA"), ("B", "GB")], "name string, cavity_group string")
     assert {tuple(r) for r in retrieval.bundle_faults(refs, profile).collect()} == {("X", "not_in_profile"), ("B", "other_group")}
+
+
+def test_kept_bank_gives_what_a_search_gives_without_a_shuffle_of_the_bank(spark, monkeypatch):
+    import random
+
+    from tarnwork.operators import bank as kept
+    from tarnwork.operators.vectors import nearest
+
+    monkeypatch.setattr(kept, "BLOCK", 40)
+    monkeypatch.setattr(kept, "SLICE", 20)
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(i, f"g{i % 4}", [rng.gauss(0, 1) for _ in range(6)]) for i in range(150)], "id LONG, g STRING, v ARRAY<DOUBLE>")
+    q, r = rows.withColumnRenamed("id", "q_id"), rows.where("id % 3 <> 0").withColumnRenamed("id", "ref_id")
+    held = kept.keep_bank(r, "g")
+    assert held.shards == 3
+    for exclude in (None, "g"):
+        want = sorted(map(tuple, nearest(q, r, 3, exclude).select("q_id", "rank", "ref_id").collect()))
+        assert sorted(map(tuple, kept.nearest_kept(q, held, 3, exclude).select("q_id", "rank", "ref_id").collect())) == want
+    assert kept.nearest_kept(q.where("false"), held, 3).count() == 0 and kept.nearest_kept(q, kept.keep_bank(r.where("false")), 3).count() == 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = kept.nearest_kept(q, held, 3)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+    assert plan.count("Exchange hashpartitioning(shard") == 1  # the queries' own
