@@ -20,6 +20,7 @@ are separate pages; of labelled rows that repeat a doc_id the smallest text coun
 
 from __future__ import annotations
 
+import bisect
 import html as htmllib
 import re
 from collections.abc import Iterable, Iterator
@@ -37,12 +38,32 @@ ADD = 0.1  # to the count of every trigram
 TEMPER = 0.05
 SMOOTH = 5.0
 
-_DROP = re.compile(rb"<(script|style|nav|noscript|template)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
+_OPENS = re.compile(rb"<(?:(script|style|nav|noscript|template)\b|!--)", re.I)
+_CLOSES = {name: re.compile(rb"</" + name + rb"\s*>", re.I) for name in (b"script", b"style", b"nav", b"noscript", b"template")} | {b"": re.compile(rb"-->")}
 _TAG = re.compile(rb"<[^>]*>")
 
 
+def _without_hidden(raw: bytes) -> bytes:
+    """``raw`` with a blank for every comment and every element that shows no text; one that is never closed stays. One pass, whatever stays open."""
+    ends: dict[bytes, list[tuple[int, int]]] = {}
+    kept, at = [], 0
+    for opened in _OPENS.finditer(raw):
+        if opened.start() < at:
+            continue
+        name = (opened[1] or b"").lower()
+        if name not in ends:
+            ends[name] = [m.span() for m in _CLOSES[name].finditer(raw)]
+        k = bisect.bisect_left(ends[name], (opened.end(), 0))
+        if k < len(ends[name]):
+            kept += [raw[at : opened.start()], b" "]
+            at = ends[name][k][1]
+    return b"".join([*kept, raw[at:]])
+
+
 def visible_text(raw: bytes) -> bytes:
-    text = _TAG.sub(b" ", _DROP.sub(b" ", raw))
+    text = _without_hidden(raw)
+    last = text.rfind(b">") + 1  # beyond it no tag is closed
+    text = _TAG.sub(b" ", text[:last]) + text[last:]
     return htmllib.unescape(text.decode("utf-8", "ignore")).encode("utf-8", "ignore") if b"&" in text else text
 
 

@@ -80,37 +80,60 @@ def _png(d: bytes, at: int) -> int:
     return 0
 
 
-def _gif(d: bytes, at: int) -> int:
+def _gif(d: bytes, at: int, walks: dict) -> int:
+    ends, stops = walks.setdefault("gif blocks", {}), walks.setdefault("gif", {})  # what an earlier walk met from a place on, a later one meets too
+
     def blocks(pos: int) -> int:
-        while pos < len(d) and d[pos]:
+        passed = []
+        while pos < len(d) and d[pos] and pos not in ends:
+            passed.append(pos)
             pos += d[pos] + 1
-        return pos + 1
+        end = ends.get(pos, pos + 1)
+        ends.update(dict.fromkeys(passed, end))
+        return end
 
     if len(d) < at + 13:
         return 0
     flags = d[at + 10]
     pos = at + 13 + (3 << (flags & 7) + 1 if flags & 128 else 0)
+    passed, stop = [], 0
     while pos < len(d):
+        if pos in stops:
+            stop = stops[pos]
+            break
+        passed.append(pos)
         if d[pos] == 0x3B:
-            return pos + 1 - at
+            stop = pos + 1
+            break
         if d[pos] == 0x21:
             pos = blocks(pos + 2)
         elif d[pos] == 0x2C and pos + 10 < len(d):
             local = d[pos + 9]
             pos = blocks(pos + 10 + (3 << (local & 7) + 1 if local & 128 else 0) + 1)
         else:
-            return 0
-    return 0
+            break
+    stops.update(dict.fromkeys(passed, stop))
+    return stop - at if stop else 0
 
 
-def _jpeg(d: bytes, at: int) -> int:
-    pos = at + 2
+def _jpeg(d: bytes, at: int, walks: dict) -> int:
+    stops = walks.setdefault("jpeg", {})
+    pos, passed, stop = at + 2, [], 0
     while pos + 4 <= len(d) and d[pos] == 0xFF:
+        if pos in stops:
+            stop = stops[pos]
+            break
+        passed.append(pos)
         if d[pos + 1] == 0xDA:  # entropy-coded data up to the end marker
-            end = d.find(b"\xff\xd9", pos)
-            return end + 2 - at if end >= 0 else 0
+            asked, end = walks.get("jpeg end", (len(d) + 1, -1))
+            if not (asked <= pos and (end < 0 or end >= pos)):
+                end = d.find(b"\xff\xd9", pos)
+                walks["jpeg end"] = (pos, end)
+            stop = end + 2 if end >= 0 else 0
+            break
         pos += 2 + struct.unpack_from(">H", d, pos + 2)[0]
-    return 0
+    stops.update(dict.fromkeys(passed, stop))
+    return stop - at if stop else 0
 
 
 def _bmp(d: bytes, at: int) -> int:
@@ -130,16 +153,17 @@ def _pdf(d: bytes, at: int) -> int:
     return end + 5 - at if end >= 0 and d.find(b"startxref", at, end) >= 0 else 0
 
 
-def _zip(d: bytes, at: int) -> int:
-    if len(d) < at + 30:
-        return 0
-    end = d.find(b"PK\x05\x06", at)
-    while 0 <= end <= len(d) - 22:  # an archive that holds another has the inner end record first
-        size, start, comment = struct.unpack_from("<IIH", d, end + 12)
-        if at + start + size == end and end + 22 + comment <= len(d):
-            return end + 22 + comment - at
-        end = d.find(b"PK\x05\x06", end + 4)
-    return 0
+def _zip(d: bytes, at: int, walks: dict) -> int:
+    if "zip" not in walks:  # of every end record once: where its archive begins, and where that ends
+        stops = walks["zip"] = {}
+        end = d.find(b"PK\x05\x06")
+        while 0 <= end <= len(d) - 22:
+            size, start, comment = struct.unpack_from("<IIH", d, end + 12)
+            if end + 22 + comment <= len(d):
+                stops.setdefault(end - size - start, end + 22 + comment)
+            end = d.find(b"PK\x05\x06", end + 4)
+    stop = walks["zip"].get(at, 0) if len(d) >= at + 30 else 0
+    return stop - at if stop else 0
 
 
 def _gzip(d: bytes, at: int) -> int:
@@ -198,6 +222,9 @@ SIGNATURES = [
 ]
 
 
+_WALKERS = (_gif, _jpeg, _zip)  # remember what they met in a value, so that many beginnings cost no more than one
+
+
 def automaton() -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
     for magic in dict.fromkeys(s[0] for s in SIGNATURES):
@@ -212,7 +239,7 @@ def sniff(finder: ahocorasick.Automaton, data: bytes, only_first: bool = False)
     Carving does not restart inside a confirmed medium, except that a container at
     offset 0 that fills the value is looked into.
     """
-    found, free = [], 0
+    found, free, walks = [], 0, {}
     for end, magic in finder.iter(data.decode("latin-1")):
         at = end + 1 - len(magic)
         if only_first and (at or found):
@@ -220,7 +247,7 @@ def sniff(finder: ahocorasick.Automaton, data: bytes, only_first: bool = False)
         if at < free:
             continue
         for known, kind, check in SIGNATURES:
-            if known == magic and (size := check(data, at)):
+            if known == magic and (size := check(data, at, walks) if check in _WALKERS else check(data, at)):
                 found.append((at, size, kind))
                 free = at + size if at or size < len(data) else 0
                 break
