@@ -515,7 +515,8 @@ def generator_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def annotation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = annotations.parse(b.raw_annotations(spark, sf_dir), b.CONTAINERS, b.ACCESSORIES)
-    return out.select(F.inline("issues")).groupBy("level", "code").agg(F.count("*").alias("n"))
+    issues = out.select(F.inline_outer("issues")).where("code IS NOT NULL")  # a plain inline would have the parser run again in a filter on the size
+    return issues.groupBy("level", "code").agg(F.count("*").alias("n"))
 
 
 @query

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.functions.columns import EXTERNAL_TOKENS, NONE_TOKENS, OCCLUDED, is_none, strip
+from tarnwork.functions.columns import EXTERNAL_TOKENS, NONE_TOKENS, OCCLUDED, is_none, let, strip
 from tarnwork.operators.rules import check_labels
 from tarnwork.sources.scratch import stored
 
@@ -159,47 +159,57 @@ def diagnose(spark: SparkSession, roots: Sequence[str], splits: Sequence[str], p
     return log if log is not None else spark.createDataFrame([], "split STRING, stage STRING, source STRING, level STRING, code STRING")
 
 
-def _get(key: str) -> Column:
-    return F.expr(f"try_variant_get(ann, '$.{key}', 'variant')")
-
-
 def _kind(v: Column) -> Column:
     """void, boolean, bigint, decimal, double, string, array or object; null if missing."""
     return F.lower(F.regexp_extract(F.schema_of_variant(v), r"^([A-Za-z]+)", 1))
 
 
-def _items(v: Column) -> Column:
+def _field(ann: Column, key: str) -> Column:
+    """(v, kind) of a key, both null if missing."""
+    return let(F.try_variant_get(ann, f"$.{key}", "variant"), lambda v: F.struct(v.alias("v"), _kind(v).alias("kind")))
+
+
+def _items(field: Column) -> Column:
     """A list's elements, or a scalar as a list of one, as variants."""
-    return F.when(_kind(v) == "array", v.try_cast("array<variant>")).otherwise(F.array(v))
+    return F.when(field["kind"] == "array", field["v"].try_cast("array<variant>")).otherwise(F.array(field["v"]))
 
 
 def _text(v: Column) -> Column:
     return v.cast("string")
 
 
+def _stripped_texts(field: Column) -> Column:
+    return F.transform(_items(field), lambda x: F.when(_kind(x) != "void", strip(_text(x))))
+
+
 def _issue(level: str, code: str, when: Column) -> Column:
     return F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(level).alias("level"), F.lit(code).alias("code")))
 
 
-def _name_list(key: str, classes: Sequence[str], none_tokens: Sequence[str]) -> tuple[Column, list[Column]]:
-    v = _get(key)
-    kind = _kind(v)
+def _name_list(field: Column, classes: Sequence[str], none_tokens: Sequence[str]) -> Column:
+    """(value, issues) of a list of names, or of one name."""
+    kind, vocabulary = field["kind"], F.array(*map(F.lit, classes))
     listed = kind.isin("array", "string")
-    items = F.when(listed, F.transform(_items(v), lambda x: F.when(_kind(x) != "void", _text(x))))
-    occluded = F.exists(items, lambda s: F.coalesce(strip(s) == OCCLUDED, F.lit(False)))
-    real = F.array_distinct(F.transform(F.filter(items, lambda s: ~is_none(s, none_tokens)), strip))
-    some_none = F.exists(items, lambda s: is_none(s, none_tokens))
-    vocabulary = F.array(*map(F.lit, classes))
-    known = F.array_intersect(real, vocabulary)
-    value = F.when(kind == "void", F.expr("CAST(array() AS ARRAY<STRING>)")).when(listed & ~occluded, known)
-    found = [
-        _issue("warning", "missing_field", v.isNull()),
-        _issue("error", "bad_type", kind.isNotNull() & ~listed & (kind != "void")),
-        _issue("warning", OCCLUDED, listed & occluded),
-        _issue("error", "unknown_class", listed & ~occluded & (F.size(F.array_except(real, vocabulary)) > 0)),
-        _issue("warning", "none_with_names", listed & ~occluded & some_none & (F.size(known) > 0)),
-    ]
-    return value, found
+    blank = lambda s: s.isNull() | s.isin("", *none_tokens)
+
+    def told(items: Column) -> Column:
+        occluded = F.exists(items, lambda s: F.coalesce(s == OCCLUDED, F.lit(False)))
+        real = F.array_distinct(F.filter(items, lambda s: ~blank(s)))
+        return F.struct(occluded.alias("occluded"), real.alias("real"), F.exists(items, blank).alias("some_none"), F.array_intersect(real, vocabulary).alias("known"))
+
+    def judged(t: Column) -> Column:
+        open_list = listed & ~t["occluded"]
+        found = [
+            _issue("warning", "missing_field", field["v"].isNull()),
+            _issue("error", "bad_type", kind.isNotNull() & ~listed & (kind != "void")),
+            _issue("warning", OCCLUDED, listed & t["occluded"]),
+            _issue("error", "unknown_class", open_list & (F.size(F.array_except(t["real"], vocabulary)) > 0)),
+            _issue("warning", "none_with_names", open_list & t["some_none"] & (F.size(t["known"]) > 0)),
+        ]
+        value = F.when(kind == "void", F.expr("CAST(array() AS ARRAY<STRING>)")).when(open_list, t["known"])
+        return F.struct(value.alias("value"), F.array(*found).alias("issues"))
+
+    return let(F.when(listed, _stripped_texts(field)), lambda items: let(told(items), judged))
 
 
 def _whole_number(s: Column, kind: Column) -> Column:
@@ -208,46 +218,72 @@ def _whole_number(s: Column, kind: Column) -> Column:
     return F.coalesce(digits.try_cast("int"), F.when((number == F.floor(number)) & (number >= 0), number.try_cast("int")))
 
 
-def _level(none_tokens: Sequence[str]) -> tuple[Column, Column]:
-    v = _get("rack_level")
-    items = F.filter(_items(v), lambda x: ~((_kind(x) == "void") | ((_kind(x) == "string") & is_none(_text(x), none_tokens))))
-    items = F.when(v.isNotNull(), items)
-    one = F.when(F.size(items) == 1, F.get(items, F.lit(0)))
-    value = _whole_number(_text(one), _kind(one))
-    return value, _issue("error", "bad_rack_level", (F.size(items) > 1) | ((F.size(items) == 1) & value.isNull()))
+def _level(field: Column, none_tokens: Sequence[str]) -> Column:
+    """(value, issues) of a level, or of a list with one."""
+    each = F.transform(_items(field), lambda x: F.struct(_kind(x).alias("kind"), _text(x).alias("text")))
+    said = F.filter(each, lambda x: ~((x["kind"] == "void") | ((x["kind"] == "string") & is_none(x["text"], none_tokens))))
+
+    def judged(items: Column) -> Column:
+        one = F.when(F.size(items) == 1, F.get(items, F.lit(0)))
+        value = let(one, lambda x: _whole_number(x["text"], x["kind"]))
+        return let(value, lambda n: F.struct(n.alias("value"), F.array(_issue("error", "bad_rack_level", (F.size(items) > 1) | ((F.size(items) == 1) & n.isNull()))).alias("issues")))
+
+    return let(F.when(field["v"].isNotNull(), said), judged)
+
+
+_KEYS = ("device_model", "is_oven", "food_exist", "food_name", "container_type", "accessory_type", "rack_level")
+
+
+def _label(f: Column, containers: Sequence[str], accessories: Sequence[str], none_tokens: Sequence[str]) -> Column:
+    """The label and the issues of an annotation's fields (v, kind)."""
+    oven_kind, food_kind, name_kind = (f[k]["kind"] for k in ("is_oven", "food_exist", "food_name"))
+    model = F.when(f["device_model"]["kind"] != "void", strip(_text(f["device_model"]["v"])))
+    device = let(model, lambda m: F.when(m.isin(*EXTERNAL_TOKENS), m).when(~is_none(m, none_tokens), m))
+    by_name = f["food_exist"]["v"].isNull() & f["food_name"]["v"].isNotNull()
+    parts = F.struct(
+        device.alias("device"), _stripped_texts(f["food_name"]).alias("names"), _name_list(f["container_type"], containers, none_tokens).alias("container"),
+        _name_list(f["accessory_type"], accessories, none_tokens).alias("accessory"), _level(f["rack_level"], none_tokens).alias("level"),
+    )
+
+    def made(p: Column) -> Column:
+        hidden = F.exists(p["names"], lambda s: F.coalesce(s == OCCLUDED, F.lit(False)))
+        some_name = F.when(name_kind == "void", F.lit(False)).when(~hidden, F.exists(p["names"], lambda s: s.isNotNull() & ~s.isin("", *none_tokens)))
+        food = F.when(food_kind == "void", F.lit(False)).when(food_kind == "boolean", f["food_exist"]["v"].try_cast("boolean")).when(by_name, some_name)
+        oven = F.when(oven_kind == "boolean", f["is_oven"]["v"].try_cast("boolean")).otherwise(p["device"].isNotNull())
+        own = F.array(
+            _issue("error", "bad_type", oven_kind.isNotNull() & ~oven_kind.isin("boolean", "void")),
+            _issue("error", "bad_type", food_kind.isNotNull() & ~food_kind.isin("boolean", "void")),
+            _issue("warning", OCCLUDED, by_name & hidden),
+            _issue("warning", "missing_field", f["food_exist"]["v"].isNull() & f["food_name"]["v"].isNull()),
+        )
+        issues = F.array_compact(F.concat(own, p["container"]["issues"], p["accessory"]["issues"], p["level"]["issues"]))
+        return F.struct(
+            oven.alias("is_oven"), p["device"].alias("device_model"), food.alias("food_exist"), p["container"]["value"].alias("container"),
+            p["accessory"]["value"].alias("accessory"), p["level"]["value"].alias("rack_level"), issues.alias("issues"),
+        )
+
+    return let(parts, made)
 
 
 def parse(annotations: DataFrame, containers: Sequence[str], accessories: Sequence[str], none_tokens: Sequence[str] = NONE_TOKENS) -> DataFrame:
     """(json_path, is_oven, device_model, food_exist, container, accessory, rack_level, issues, valid).
 
-    ``valid`` is false iff some issue is an error; such a row is no label.
+    ``valid`` is false iff some issue is an error; such a row is no label. The label is one
+    expression that binds every value it uses again (``let``). As columns on columns the
+    same values are written out anew for each use as soon as a filter on ``valid`` or an
+    ``inline`` of the issues is pushed below them, which multiplies over the steps.
     """
-    doc = F.try_parse_json("raw")
-    rooted = annotations.withColumn("__doc", doc).withColumn("__obj", F.coalesce(_kind(F.col("__doc")) == "object", F.lit(False)))
-    nested = F.expr("try_variant_get(__doc, '$.annotations', 'variant')")
-    rooted = rooted.withColumn("ann", F.when(F.coalesce(_kind(nested) == "object", F.lit(False)), nested).otherwise(F.col("__doc")))
-    model = F.when(_kind(_get("device_model")) != "void", strip(_text(_get("device_model"))))
-    device = F.when(model.isin(*EXTERNAL_TOKENS), model).when(~is_none(model, none_tokens), model)
-    oven_kind, food_kind, name_kind = (_kind(_get(k)) for k in ("is_oven", "food_exist", "food_name"))
-    oven = F.when(oven_kind == "boolean", _get("is_oven").try_cast("boolean")).otherwise(device.isNotNull())
-    names = F.transform(_items(_get("food_name")), lambda x: F.when(_kind(x) != "void", _text(x)))
-    hidden = F.exists(names, lambda s: F.coalesce(strip(s) == OCCLUDED, F.lit(False)))
-    by_name = F.when(name_kind == "void", F.lit(False)).when(~hidden, F.exists(names, lambda s: ~is_none(s, none_tokens)))
-    food = F.when(food_kind == "void", F.lit(False)).when(food_kind == "boolean", _get("food_exist").try_cast("boolean")).when(_get("food_exist").isNull() & _get("food_name").isNotNull(), by_name)
-    container, c_issues = _name_list("container_type", containers, none_tokens)
-    accessory, a_issues = _name_list("accessory_type", accessories, none_tokens)
-    level, l_issue = _level(none_tokens)
-    found = [
-        _issue("error", "bad_type", oven_kind.isNotNull() & ~oven_kind.isin("boolean", "void")),
-        _issue("error", "bad_type", food_kind.isNotNull() & ~food_kind.isin("boolean", "void")),
-        _issue("warning", OCCLUDED, _get("food_exist").isNull() & _get("food_name").isNotNull() & hidden),
-        _issue("warning", "missing_field", _get("food_exist").isNull() & _get("food_name").isNull()),
-        *c_issues, *a_issues, l_issue,
-    ]
-    broken = F.array(F.struct(F.lit("error").alias("level"), F.lit("bad_json").alias("code")))
-    issues = F.when(F.col("__obj"), F.array_compact(F.array(*found))).otherwise(broken)
-    out = rooted.select(
-        "json_path", oven.alias("is_oven"), device.alias("device_model"), food.alias("food_exist"), container.alias("container"),
-        accessory.alias("accessory"), level.alias("rack_level"), issues.alias("issues"),
-    )
+
+    def labelled(doc: Column) -> Column:
+        nested = F.try_variant_get(doc, "$.annotations", "variant")
+        ann = let(nested, lambda n: F.when(F.coalesce(_kind(n) == "object", F.lit(False)), n).otherwise(doc))
+        fields = let(ann, lambda a: F.struct(*[_field(a, k).alias(k) for k in _KEYS]))
+        label = let(fields, lambda f: _label(f, containers, accessories, none_tokens))
+        broken = F.array(F.struct(F.lit("error").alias("level"), F.lit("bad_json").alias("code")))
+        known = F.coalesce(_kind(doc) == "object", F.lit(False))
+        return let(label, lambda x: x.withField("issues", F.when(known, x["issues"]).otherwise(broken)))
+
+    label = let(F.try_parse_json("raw"), labelled)
+    out = annotations.select("json_path", label.alias("__label"))
+    out = out.select("json_path", *[F.col(f"__label.{c}").alias(c) for c in ("is_oven", "device_model", "food_exist", "container", "accessory", "rack_level", "issues")])
     return out.withColumn("valid", ~F.exists("issues", lambda i: i["level"] == "error"))

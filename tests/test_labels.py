@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarnwork.operators import encode, rules
 from tarnwork.sources import annotations, profile
@@ -130,3 +131,11 @@ def test_bundle_parts_and_profile(spark, tmp_path):
         profile.read_bundle(spark, path, "v1", fits.where("name = 'A'"))
     with pytest.raises(ValueError, match="model is 'v1'"):
         profile.read_calibration(spark, path, "v2")
+
+
+def test_a_filter_on_labels_does_not_write_the_parser_out_again_for_each_value(spark):
+    docs = spark.createDataFrame([("a", json.dumps(FULL))], "json_path string, raw string").repartition(2)
+    out = annotations.parse(docs, BOX, TOOL)
+    for rows in (out.where("valid"), out.select(F.inline("issues")), out.where("valid").select("container", "rack_level")):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.lower().replace("_", "").count("parsejson") <= 4 and len(plan) < 60_000
