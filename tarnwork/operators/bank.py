@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnwork.operators.vectors import DIGITS, normalised
+from tarnwork.operators import tiles
+from tarnwork.operators.vectors import normalised
 from tarnwork.sources.scratch import folder
 
-BLOCK = 16_384  # reference vectors a block, about
-SLICE = 512  # query vectors a block, about
+BLOCK = 8_192  # reference vectors a block, about
+SPREAD = 64  # blocks of a bank that has few rows, so that all cores search
+SLICE = 8_192  # query vectors a block, at most about
 _FOUND = "q_id LONG, ref_id LONG, sim DOUBLE"
 
 
@@ -49,10 +51,10 @@ def keep_bank(refs: DataFrame, tag: str | None = None) -> Bank:
     where it lies.
     """
     spark = refs.sparkSession
-    shards = max(1, -(-refs.count() // BLOCK))
+    width, n = int(spark.conf.get("spark.sql.shuffle.partitions")), refs.count()
+    shards = max(1, -(-n // BLOCK), min(width, SPREAD, n // 2_048))
     name = f"tarnwork_bank_{uuid.uuid4().hex}"
     rows = normalised(refs, "v").select(F.col("ref_id").cast("long").alias("ref_id"), (F.col(tag) if tag else F.lit(None)).cast("string").alias("tag"), "v", _part("ref_id", shards).alias("shard"))
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = _packed(rows, "ref_id", "shard").select("shard", F.col("ids").alias("ref_ids"), F.col("tags").alias("ref_tags"), F.col("values").alias("refs"))
     blocks.write.bucketBy(width, "shard").sortBy("shard").option("path", f"{folder(spark)}/tarnwork-core/{name}").format("parquet").saveAsTable(name)
     return Bank(name, shards)
@@ -66,16 +68,9 @@ def _score(k: int, exclude: bool):
                 values = {n: c[i].values for n, c in at.items()}
                 q_ids, ref_ids = (values[n].to_numpy(zero_copy_only=False) for n in ("ids", "ref_ids"))
                 q, bank = (values[v].to_numpy(zero_copy_only=False).reshape(len(ids), -1) for v, ids in (("values", q_ids), ("refs", ref_ids)))
-                sims = np.round(q @ bank.T, DIGITS)
-                hide = q_ids[:, None] == ref_ids[None, :]
-                if exclude:
-                    mine, theirs = (np.array(values[n].to_pylist(), dtype=object) for n in ("tags", "ref_tags"))
-                    hide |= mine[:, None] == theirs[None, :]
-                sims[hide] = -np.inf
-                top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                got = np.take_along_axis(sims, top, axis=1)
-                ok = np.isfinite(got)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, ok.sum(axis=1))), pa.array(ref_ids[top][ok]), pa.array(got[ok])], names=["q_id", "ref_id", "sim"])
+                tags = [np.array(values[n].to_pylist(), dtype=object) for n in ("tags", "ref_tags")] if exclude else [None, None]
+                found = tiles.best(q_ids, q, ref_ids, bank, k, *tags)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["q_id", "ref_id", "sim"])
 
     return run
 
@@ -84,7 +79,7 @@ def nearest_kept(queries: DataFrame, bank: Bank, k: int, exclude: str | None = N
     """(q_id, ref_id, sim, rank) as :func:`tarnwork.operators.vectors.nearest` gives it, from a kept bank.
 
     ``exclude`` is the queries' column that is held against the bank's tag. Only blocks of
-    queries are shuffled, once a shard; a task scores one block against one other.
+    queries are shuffled, once a shard; a task scores one block against one other, by :mod:`tarnwork.operators.tiles`.
     """
     spark = queries.sparkSession
     slices = max(1, -(-queries.count() // SLICE))

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnwork.functions.columns import l2_normalised
+from tarnwork.operators import tiles
 
 SHARD = 65_536  # reference vectors a task, at most about
-SLICE = 8_192  # query vectors a task, at most about
-DIGITS = 9  # similarities equal to so many places are ties
+SLICE = 32_768  # query vectors a task, at most about
+_FOUND = "q_id LONG, ref_id LONG, sim DOUBLE"
 
 
 def normalised(df: DataFrame, vector: str) -> DataFrame:
@@ -21,7 +22,12 @@ def normalised(df: DataFrame, vector: str) -> DataFrame:
 
 def _shards(df: DataFrame, most: int, width: int) -> int:
     n = df.count()
-    return max(1, -(-n // most), min(width, n // 256))
+    return max(1, -(-n // most), min(width, n // 4_096))
+
+
+def _matrix(rows: pa.Table) -> np.ndarray:
+    values = pa.concat_arrays([c.flatten() for c in rows.column("v").chunks] or [pa.array([], pa.float64())])
+    return values.to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, 1))
 
 
 def nearest(queries: DataFrame, refs: DataFrame, k: int, exclude: str | None = None) -> DataFrame:
@@ -32,8 +38,8 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, exclude: str | None = N
     sides, so is one with the same value there (leave one group out in one pass).
 
     Queries and references are cut into slices and shards that grow in number, not in
-    size; a task scores one slice against one shard by a matrix product and keeps k a
-    query, and a window merges the shards. Nothing is broadcast, and a query filter
+    size; a task scores one slice against one shard, a :mod:`tile <tarnwork.operators.tiles>`
+    at a time, and keeps k a query, and a window merges the shards. Nothing is broadcast, and a query filter
     belongs in front: it does not move through the ranking.
     """
     spark = queries.sparkSession
@@ -45,26 +51,11 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, exclude: str | None = N
     q = normalised(queries, "v").select(F.col("q_id").cast("long").alias("q_id"), tag.alias("tag"), "v", part("q_id", slices).alias("slice"), spread(shards).alias("shard"))
     r = normalised(refs, "v").select(F.col("ref_id").cast("long").alias("ref_id"), tag.alias("tag"), "v", part("ref_id", shards).alias("shard")).select("*", spread(slices).alias("slice"))
 
-    def score(qs: pd.DataFrame, rs: pd.DataFrame) -> pd.DataFrame:
-        out = {"q_id": [], "ref_id": [], "sim": []}
-        if len(qs) and len(rs):
-            rs = rs.sort_values("ref_id", kind="stable")
-            ids, bank, tags = rs.ref_id.to_numpy(), np.stack(rs.v.to_list()), rs.tag.to_numpy()
-            for lo in range(0, len(qs), 512):
-                part = qs.iloc[lo : lo + 512]
-                sims = np.round(np.stack(part.v.to_list()) @ bank.T, DIGITS)
-                hide = part.q_id.to_numpy()[:, None] == ids[None, :]
-                if exclude:
-                    hide |= part.tag.to_numpy()[:, None] == tags[None, :]
-                sims[hide] = -np.inf
-                top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                got = np.take_along_axis(sims, top, axis=1)
-                ok = np.isfinite(got)
-                out["q_id"].append(np.repeat(part.q_id.to_numpy(), ok.sum(axis=1)))
-                out["ref_id"].append(ids[top][ok])
-                out["sim"].append(got[ok])
-        return pd.DataFrame({c: np.concatenate(x) if x else [] for c, x in out.items()})
-
-    best = q.groupBy("slice", "shard").cogroup(r.groupBy("slice", "shard")).applyInPandas(score, "q_id long, ref_id long, sim double")
+    def score(qs: pa.Table, rs: pa.Table) -> pa.Table:
+        tags = [x.column("tag").to_numpy() for x in (qs, rs)] if exclude else [None, None]
+        found = tiles.best(qs.column("q_id").to_numpy(), _matrix(qs), rs.column("ref_id").to_numpy(), _matrix(rs), k, *tags)
+        return pa.table(dict(zip(("q_id", "ref_id", "sim"), found, strict=True)))
+
+    best = q.groupBy("slice", "shard").cogroup(r.groupBy("slice", "shard")).applyInArrow(score, _FOUND)
     rank = F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("sim"), "ref_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)

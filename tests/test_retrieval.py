@@ -92,3 +92,36 @@ def test_kept_bank_gives_what_a_search_gives_without_a_shuffle_of_the_bank(spark
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan
     assert plan.count("Exchange hashpartitioning(shard") == 1  # the queries' own
+
+
+@pytest.mark.parametrize(("copies", "tagged", "k"), [(False, False, 10), (True, False, 10), (False, True, 1), (True, True, 3)])
+def test_tiles_find_what_a_whole_matrix_finds_in_little_memory(monkeypatch, copies, tagged, k):
+    import tracemalloc
+
+    import numpy as np
+
+    from tarnwork.operators import tiles
+
+    rng = np.random.default_rng(5)
+    unit = lambda n: (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(rng.normal(size=(n, 16)))
+    q, bank = unit(600), unit(40_000)
+    if copies:  # a few vectors many times: nearly all similarities are ties
+        bank = bank[rng.integers(0, 30, len(bank))]
+        q = bank[:600]
+    q[3] = np.nan
+    q_ids, ref_ids = np.arange(600), rng.permutation(len(bank))
+    tags = [np.array([None if x == 3 else f"g{x}" for x in rng.integers(0, 4, n)], object) for n in (len(q), len(bank))]
+    tracemalloc.start()
+    got = tiles.best(q_ids, q, ref_ids, bank, k, *(tags if tagged else ()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20  # all similarities of 512 queries alone are 160 MB
+    order = np.argsort(ref_ids)
+    want = []
+    for i in range(len(q)):
+        sims = np.round(bank[order] @ q[i], 9)
+        sims[q_ids[i]] = -np.inf
+        if tagged:
+            sims[tags[1][order] == tags[0][i]] = -np.inf
+        want += [(i, j) for j in np.argsort(-sims, kind="stable")[:k] if np.isfinite(sims[j])]
+    assert list(zip(got[0].tolist(), got[1].tolist(), strict=True)) == [(i, int(j)) for i, j in want]
