@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +13,19 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tarnwork.operators.sampling import Quota, pk_batches
 
+GIVEN = 65_536  # rows of a result that are made at once
 _TAKEN = "consumer STRING, request LONG, epoch LONG, batch LONG"
 _POSITION = "epoch LONG, batch LONG"
 
 
+def _served(consumer: str, asked: np.ndarray, epoch: int, batch: int, n_batches: int, reseed: bool) -> Iterator[pd.DataFrame]:
+    """The places of a consumer's requests from (epoch, batch) on, a piece at a time."""
+    for lo in range(0, len(asked), GIVEN):
+        some = asked[lo : lo + GIVEN]
+        at = batch + lo + np.arange(len(some))
+        yield pd.DataFrame({"consumer": consumer, "request": some, "epoch": (epoch + at // n_batches) if reseed else np.full(len(some), epoch), "batch": at % n_batches})
+
+
 def positions(requests: DataFrame, n_batches: int, reseed: bool = True) -> DataFrame:
     """(consumer, request, epoch, batch) of a stream of (consumer, request): the place each consumer's request has in the endless order.
 
@@ -29,11 +39,10 @@ def positions(requests: DataFrame, n_batches: int, reseed: bool = True) -> DataF
 
     def take(key: tuple[str], rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         epoch, batch = state.get if state.exists else (0, 0)
-        asked = pd.concat(list(rows))["request"].sort_values(kind="stable")
-        at = batch + pd.RangeIndex(len(asked)).to_numpy()
-        turns = at // n_batches
+        asked = np.concatenate([some["request"].to_numpy() for some in rows])  # the numbers alone are held, 8 bytes each
+        asked.sort()
         state.update((int(epoch + (batch + len(asked)) // n_batches), int((batch + len(asked)) % n_batches)))
-        yield pd.DataFrame({"consumer": key[0], "request": asked.to_numpy(), "epoch": (epoch + turns) if reseed else epoch + 0 * turns, "batch": at % n_batches})
+        yield from _served(key[0], asked, epoch, batch, n_batches, reseed)
 
     keyed = requests.select(F.col("consumer").cast("string").alias("consumer"), F.col("request").cast("long").alias("request"))
     return keyed.groupBy("consumer").applyInPandasWithState(take, _TAKEN, _POSITION, "append", GroupStateTimeout.NoTimeout)

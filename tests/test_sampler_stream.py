@@ -28,3 +28,14 @@ def test_stopped_stream_goes_on_where_it_was(spark, tmp_path):
         plan = {(r["batch"], r["slot"]): (r["pool"], r["id"]) for r in pk_batches(encoded, "id", quota, n, 3, epoch).collect()}
         mine = {(r["batch"], r["slot"]): (r["pool"], r["id"]) for r in got if r["epoch"] == epoch and r["consumer"] == "a"}
         assert mine and all(plan[k] == v for k, v in mine.items()) and len(mine) == 8 * len({b for b, _ in mine})
+
+
+def test_places_are_made_a_piece_at_a_time(monkeypatch):
+    import numpy as np
+
+    from tarnwork.streaming import sampler
+
+    monkeypatch.setattr(sampler, "GIVEN", 4)
+    pieces = list(sampler._served("a", np.arange(10), 2, 1, 3, True))
+    assert [len(p) for p in pieces] == [4, 4, 2]
+    assert [(e, b) for p in pieces for e, b in zip(p["epoch"], p["batch"], strict=True)] == [(2 + k // 3, k % 3) for k in range(1, 11)]
