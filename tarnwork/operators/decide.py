@@ -26,6 +26,11 @@ def named(scores: Column, names: Sequence[str], thresholds: Sequence[float]) ->
     return F.array_compact(F.array(*picked))
 
 
+def unmatched(outputs: DataFrame) -> DataFrame:
+    """``outputs`` without a match, as :func:`decide` takes them for a given device, of whose rows it reads none."""
+    return outputs.withColumns({"model": F.lit(None).cast("string"), "cavity_group": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double"), "top1_sim": F.lit(None).cast("double")})
+
+
 def decide(
     rows: DataFrame, profile: DataFrame, containers: Sequence[str], accessories: Sequence[str], *, threshold: float = 0.5, rack_threshold: float = 0.5, device_model: str | None = None,
     thresholds: Mapping[str, float] | None = None, with_scores: bool = False,

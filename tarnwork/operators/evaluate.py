@@ -109,9 +109,13 @@ def calibrate(rows: DataFrame, queries: DataFrame, refs: DataFrame, containers:
     wanted = calibration.recall_target_threshold(scores.where(safe), config.safety_recall_target, default, ["cls"]).withColumnRenamed("cls", "name")
     levels = known_levels(rows).select(F.col("conf").alias("score"), (F.col("pred") == F.col("level")).alias("target"))
     rack = calibration.precision_target_threshold(levels, config.rack_target_precision, default).withColumn("name", F.lit("rack_conf"))
-    tries = [calibration.choose_tau(s).select("tau", F.lit(how).alias("source"), F.lit(n).alias("n")) for n, (s, how) in enumerate(zip(calibration.tau_scores(queries, refs), ("external", "gallery_loo"), strict=True))]
-    fallback = rows.sparkSession.createDataFrame([(float(config.tau), "default", 2)], "tau double, source string, n int")
-    tau = tries[0].unionByName(tries[1]).unionByName(fallback).orderBy("n").limit(1).select(F.lit("tau").alias("name"), F.col("tau").alias("threshold"), "source")
+    tau = rows.sparkSession.createDataFrame([(float(config.tau), "default")], "threshold double, source string")
+    for scored, how in zip(calibration.tau_scores(queries, refs), ("external", "gallery_loo"), strict=True):  # the second search only if the first gives no tau
+        found = calibration.choose_tau(scored).select("tau").take(1)
+        if found:
+            tau = rows.sparkSession.createDataFrame([(found[0]["tau"], how)], "threshold double, source string")
+            break
+    tau = tau.select(F.lit("tau").alias("name"), "threshold", "source")
     return best.unionByName(wanted).unionByName(rack).unionByName(tau)
 
 

@@ -358,11 +358,14 @@ def rack_ce_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decided(spark: SparkSession, sf_dir: str, device: str | None = None) -> DataFrame:
-    queries, refs = b.vectors(spark, sf_dir)
     outputs = b.model_outputs(spark, sf_dir)
+    profile = b.model_profile(spark, sf_dir)
+    if device is not None:  # a given device needs no match
+        return decide.decide(decide.unmatched(outputs), profile, b.CONTAINERS[:2], b.ACCESSORIES[:2], device_model=device)
+    queries, refs = b.vectors(spark, sf_dir)
     ovens = queries.join(outputs.where("is_oven_prob >= 0.5").select(F.col("item").alias("q_id")), "q_id", "left_semi")  # before the search
     found = retrieval.match(ovens, refs, 10, b.TAU).withColumnRenamed("q_id", "item")
-    return decide.decide(outputs.join(found, "item", "left"), b.model_profile(spark, sf_dir), b.CONTAINERS[:2], b.ACCESSORIES[:2], device_model=device)
+    return decide.decide(outputs.join(found, "item", "left"), profile, b.CONTAINERS[:2], b.ACCESSORIES[:2])
 
 
 def _flat(results: DataFrame) -> DataFrame:

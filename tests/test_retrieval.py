@@ -125,3 +125,17 @@ def test_tiles_find_what_a_whole_matrix_finds_in_little_memory(monkeypatch, copi
             sims[tags[1][order] == tags[0][i]] = -np.inf
         want += [(i, j) for j in np.argsort(-sims, kind="stable")[:k] if np.isfinite(sims[j])]
     assert list(zip(got[0].tolist(), got[1].tolist(), strict=True)) == [(i, int(j)) for i, j in want]
+
+
+def test_searches_that_nothing_reads_are_left_out(spark, monkeypatch):
+    from tarnwork.operators import calibration as c
+    from tarnwork.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    plan = lambda name: QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroups" not in plan("decision_known_device")  # a given device needs no match
+    assert plan("decision_mismatches").count("FlatMapCoGroups") == 1
+    asked, choose = [], c.choose_tau
+    monkeypatch.setattr(c, "choose_tau", lambda scores: asked.append(1) or choose(scores))
+    assert [r["source"] for r in QUERIES["calibrate_all"](spark, sf).where("name = 'tau'").collect()] == ["external"]
+    assert len(asked) == 1  # there are externals, so no group is left out
