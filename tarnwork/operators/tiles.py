@@ -6,8 +6,10 @@ import numpy as np
 
 DIGITS = 9  # similarities equal to so many places are ties
 QUERIES = 512  # query vectors a tile
-REFS = 4_096  # reference vectors a tile
+REFS = 2_048  # reference vectors a tile, at most
+FIRST = 128  # reference vectors of the first tile, which has no candidates yet and is scored whole; the next ones double
 _FEW = 64  # candidates a query and tile, above which a tile is scored whole
+_WAITING = 2  # candidates a query, above which they are ranked and the bound rises
 _NONE = np.zeros(0, np.int64)
 
 
@@ -27,6 +29,24 @@ def _hide(sims: np.ndarray, own: tuple[np.ndarray, np.ndarray], same: np.ndarray
         np.copyto(sims, -np.inf, where=same)
 
 
+def _spans(n: int) -> list[tuple[int, int]]:
+    """Where the tiles of n references begin and end."""
+    spans, at, size = [], 0, min(FIRST, REFS)
+    while at < n:
+        spans.append((at, min(at + size, n)))
+        at, size = at + size, min(2 * size, REFS)
+    return spans
+
+
+def _places(flags: np.ndarray) -> np.ndarray:
+    """Flat places of the few true flags of a matrix, by eight flags at once."""
+    flat = flags.ravel()
+    whole = len(flat) - len(flat) % 8
+    words = np.flatnonzero(flat[:whole].view(np.uint64))
+    at = np.concatenate([(8 * words[:, None] + np.arange(8)).ravel(), np.arange(whole, len(flat))])
+    return at[flat[at]]
+
+
 def _whole(q: np.ndarray, bank: np.ndarray, own: tuple[np.ndarray, np.ndarray], same: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, sim) of the k best of one tile; the smaller column on ties."""
     sims = np.round(q @ bank.T, DIGITS)
@@ -58,35 +78,41 @@ def best(q_ids: np.ndarray, q: np.ndarray, ref_ids: np.ndarray, bank: np.ndarray
     if q_tags is not None:
         codes = {t: i for i, t in enumerate(dict.fromkeys([*q_tags, *ref_tags]))}
         q_codes, ref_codes = (np.array([codes[t] for t in tags], np.int32) for tags in (q_tags, ref_tags[order]))
-    found = []
+    found, spans = [], _spans(len(ref_ids))
     for lo in range(0, len(q_ids), QUERIES):
         part, ids = q[lo : lo + QUERIES], q_ids[lo : lo + QUERIES]
         few = part.astype(np.float32)
-        row, ref, sim = _NONE, _NONE, np.zeros(0)
-        least = np.full(len(ids), -np.inf, np.float32)
+        held, waiting = [(_NONE, _NONE, np.zeros(0))], 0
+        least = np.full(len(ids), np.finfo(np.float32).min)  # a hidden reference is below it
         first, last = np.searchsorted(ref_ids, ids, "left"), np.searchsorted(ref_ids, ids, "right")
         own_row = np.repeat(np.arange(len(ids)), last - first)
         own_ref = np.concatenate([np.arange(a, b) for a, b in zip(first, last, strict=True) if b > a] or [_NONE])
-        for at in range(0, len(ref_ids), REFS):
-            tile = slice(at, at + REFS)
-            here = (own_ref >= at) & (own_ref < at + REFS)
+        for at, end in spans:
+            tile = slice(at, end)
+            here = (own_ref >= at) & (own_ref < end)
             own = (own_row[here], own_ref[here] - at)
             same = None if q_tags is None else q_codes[lo : lo + QUERIES, None] == ref_codes[None, tile]
-            if np.isfinite(least).all():
-                rough = few @ small[tile].T
-                _hide(rough, own, same)
-                r, c = np.divmod(np.flatnonzero(rough >= least[:, None]), rough.shape[1])
-                many = len(r) > _FEW * len(ids)
-            else:
-                many = True  # too few references so far
-            if many:
+            rough = few @ small[tile].T
+            _hide(rough, own, same)
+            flags = rough >= least[:, None]
+            many = np.count_nonzero(flags)
+            if many > _FEW * len(ids):
                 r, c, s = _whole(part, bank[tile], own, same, k)
-            else:
+            elif many:
+                r, c = np.divmod(_places(flags), end - at)
                 s = np.round(np.einsum("ij,ij->i", part[r], bank[at + c]), DIGITS)
-            if len(r):
-                row, ref, sim = _first_k(np.concatenate([row, r]), np.concatenate([ref, at + c]), np.concatenate([sim, s]), k)
+                sure = np.isfinite(s)
+                r, c, s = r[sure], c[sure], s[sure]
+            else:
+                continue
+            held.append((r, at + c, s))
+            waiting += len(r)
+            if waiting > _WAITING * len(ids):
+                held, waiting = [_first_k(*map(np.concatenate, zip(*held, strict=True)), k)], 0
+                row, _, sim = held[0]
                 full = np.flatnonzero(np.bincount(row, minlength=len(ids)) == k)
                 ends = np.searchsorted(row, full, "right") - 1
                 least[full] = (sim[ends] - slack).astype(np.float32)
+        row, ref, sim = _first_k(*map(np.concatenate, zip(*held, strict=True)), k)
         found.append((ids[row], ref_ids[ref], sim))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))

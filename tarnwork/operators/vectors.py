@@ -13,6 +13,8 @@ from tarnwork.operators import tiles
 
 SHARD = 65_536  # reference vectors a task, at most about
 SLICE = 32_768  # query vectors a task, at most about
+CELLS = 64  # slices by shards of a small search, so that all cores have some; four a core, if those are more
+LEAST = 4_096  # query vectors a slice, at least, as far as slices are cut for the cores
 _FOUND = "q_id LONG, ref_id LONG, sim DOUBLE"
 
 
@@ -20,9 +22,10 @@ def normalised(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn(vector, l2_normalised(F.col(vector)))
 
 
-def _shards(df: DataFrame, most: int, width: int) -> int:
-    n = df.count()
-    return max(1, -(-n // most), min(width, n // 4_096))
+def _cut(queries: int, refs: int, cores: int) -> tuple[int, int]:
+    """(slices, shards): every slice copies all references and every shard all queries, so there are no more than size and cores ask for."""
+    shards = max(1, -(-refs // SHARD))
+    return max(1, -(-queries // SLICE), min(-(-max(CELLS, 4 * cores) // shards), queries // LEAST)), shards
 
 
 def _matrix(rows: pa.Table) -> np.ndarray:
@@ -42,9 +45,7 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, exclude: str | None = N
     at a time, and keeps k a query, and a window merges the shards. Nothing is broadcast, and a query filter
     belongs in front: it does not move through the ranking.
     """
-    spark = queries.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards, slices = max(1, -(-refs.count() // SHARD)), _shards(queries, SLICE, width)
+    slices, shards = _cut(queries.count(), refs.count(), queries.sparkSession.sparkContext.defaultParallelism)
     tag = F.col(exclude).cast("string") if exclude else F.lit(None).cast("string")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")

@@ -139,3 +139,19 @@ def test_searches_that_nothing_reads_are_left_out(spark, monkeypatch):
     monkeypatch.setattr(c, "choose_tau", lambda scores: asked.append(1) or choose(scores))
     assert [r["source"] for r in QUERIES["calibrate_all"](spark, sf).where("name = 'tau'").collect()] == ["external"]
     assert len(asked) == 1  # there are externals, so no group is left out
+
+
+def test_small_banks_are_not_scored_whole_and_copies_of_rows_follow_the_cores(monkeypatch):
+    import numpy as np
+
+    from tarnwork.operators import tiles, vectors
+
+    rng = np.random.default_rng(5)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.normal(size=(n, 16)))
+    q, bank, scored, whole = unit(1_000), unit(2_048), [], tiles._whole
+    monkeypatch.setattr(tiles, "_whole", lambda *a: scored.append(a[0].shape[0] * a[1].shape[0]) or whole(*a))
+    q_ids, ref_ids, sim = tiles.best(np.arange(1_000) + 5_000, q, np.arange(2_048), bank, 3)
+    assert sum(scored) <= 0.1 * 1_000 * 2_048
+    sims = np.round(q @ bank.T, tiles.DIGITS)
+    assert (ref_ids.reshape(-1, 3) == np.argsort(-sims, axis=1, kind="stable")[:, :3]).all() and len(q_ids) == 3_000
+    assert vectors._cut(600_000, 480_000, 12) == (19, 8) and vectors._cut(0, 0, 12) == (1, 1)
