@@ -16,8 +16,9 @@ from tarnwork.operators import tiles
 from tarnwork.operators.vectors import normalised
 from tarnwork.sources.scratch import folder
 
-BLOCK = 8_192  # reference vectors a block, about
-SPREAD = 64  # blocks of a bank that has few rows, so that all cores search
+BLOCK = 16_384  # reference vectors a block, at most about; every block copies all queries
+SPREAD = 32  # blocks of a bank that has few rows, so that all cores search
+LEAST = 4_096  # reference vectors a block, at least, as far as blocks are cut for the cores
 SLICE = 8_192  # query vectors a block, at most about
 _FOUND = "q_id LONG, ref_id LONG, sim DOUBLE"
 
@@ -52,7 +53,7 @@ def keep_bank(refs: DataFrame, tag: str | None = None) -> Bank:
     """
     spark = refs.sparkSession
     width, n = int(spark.conf.get("spark.sql.shuffle.partitions")), refs.count()
-    shards = max(1, -(-n // BLOCK), min(width, SPREAD, n // 2_048))
+    shards = max(1, -(-n // BLOCK), min(width, SPREAD, n // LEAST))
     name = f"tarnwork_bank_{uuid.uuid4().hex}"
     rows = normalised(refs, "v").select(F.col("ref_id").cast("long").alias("ref_id"), (F.col(tag) if tag else F.lit(None)).cast("string").alias("tag"), "v", _part("ref_id", shards).alias("shard"))
     blocks = _packed(rows, "ref_id", "shard").select("shard", F.col("ids").alias("ref_ids"), F.col("tags").alias("ref_tags"), F.col("values").alias("refs"))

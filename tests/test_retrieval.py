@@ -155,3 +155,13 @@ def test_small_banks_are_not_scored_whole_and_copies_of_rows_follow_the_cores(mo
     sims = np.round(q @ bank.T, tiles.DIGITS)
     assert (ref_ids.reshape(-1, 3) == np.argsort(-sims, axis=1, kind="stable")[:, :3]).all() and len(q_ids) == 3_000
     assert vectors._cut(600_000, 480_000, 12) == (19, 8) and vectors._cut(0, 0, 12) == (1, 1)
+
+
+def test_a_bank_is_cut_into_blocks_of_some_thousands(spark):
+    from pyspark.sql import functions as F
+
+    from tarnwork.operators import bank as kept
+
+    rows = spark.range(9_000).select(F.col("id").alias("ref_id"), F.array(F.cos("id"), F.sin("id")).alias("v"))
+    held = kept.keep_bank(rows)
+    assert held.shards == 2 and held.blocks(spark).select(F.sum(F.size("ref_ids"))).first()[0] == 9_000
