@@ -8,17 +8,40 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.functions.columns import strip
-from tarnwork.sources.scratch import cut, stored
+from tarnwork.functions.columns import let, strip
+from tarnwork.sources.scratch import stored
 
 _KINDS = {"void": "null", "boolean": "bool", "bigint": "int", "decimal": "float", "double": "float", "float": "float", "string": "string", "array": "list", "object": "object"}
 _NUMBER = r"(?i)^[+-]?([0-9]+\.?[0-9]*(e[+-]?[0-9]+)?|\.[0-9]+(e[+-]?[0-9]+)?|inf(inity)?|nan)$"
 
 
+def _kind(schema: Column) -> Column:
+    short = F.substring_index(F.substring_index(schema, "<", 1), "(", 1)  # upper case, as Spark writes it
+    return let(short, lambda t: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for name, kind in _KINDS.items() for x in (name.upper(), kind)]), t), F.lower(t)))
+
+
 def kind_of(v: Column) -> Column:
     """null, bool, int, float, string, list or object; a whole number with a fraction, as 3.0, is a float."""
-    short = F.lower(F.regexp_extract(F.schema_of_variant(v), r"^([A-Za-z]+)", 1))
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair]), short), short)
+    return _kind(F.schema_of_variant(v))
+
+
+def _depth(raw: Column) -> Column:
+    """How deep brackets are nested in a JSON text, at least as deep as its values."""
+    bare = F.regexp_replace(F.regexp_replace(raw, r"\\.", ""), r'"[^"]*"', "")
+    steps = F.transform(F.split(F.translate(F.regexp_replace(bare, r"[^\[\]{}]", ""), "[]{}", "+-+-"), ""), lambda c: F.when(c == "+", 1).when(c == "-", -1).otherwise(0))
+    run = F.struct(F.lit(0).alias("here"), F.lit(0).alias("most"))
+    deepest = F.aggregate(steps, run, lambda a, x: F.struct((a["here"] + x).alias("here"), F.greatest(a["most"], a["here"] + x).alias("most")), lambda a: a["most"])
+    opened = F.length(raw) - F.length(F.translate(raw, "[{", ""))
+    return F.when(opened <= 8, opened).otherwise(deepest)  # few brackets cannot be deep
+
+
+def _children(path: Column, v: Column) -> Column:
+    """(path, v) of what a container holds; nothing for other values."""
+    quoted = lambda k: F.when(k.rlike(r'[.\[\]"]'), F.concat(F.lit('"'), F.regexp_replace(k, '"', '\\\\"'), F.lit('"'))).otherwise(k)
+    child = lambda step, v: F.struct(F.concat(path, step).alias("path"), v.alias("v"))
+    fields = F.transform(F.map_entries(v.try_cast("map<string, variant>")), lambda e: child(F.concat(F.when(path == "", "").otherwise("."), quoted(e["key"])), e["value"]))
+    places = F.transform(v.try_cast("array<variant>"), lambda x, i: child(F.concat(F.lit("["), i.cast("string"), F.lit("]")), x))
+    return F.coalesce(fields, places, F.expr("CAST(array() AS ARRAY<STRUCT<path: STRING, v: VARIANT>>)"))
 
 
 def flattened(docs: DataFrame, ident: str, raw: str = "raw") -> DataFrame:
@@ -27,25 +50,25 @@ def flattened(docs: DataFrame, ident: str, raw: str = "raw") -> DataFrame:
     ``value`` is the text of a string and the JSON of all else, ``items`` the kinds of a
     list's elements; paths join keys by dots and
     list places as ``[0]``; a key with a dot or bracket is quoted. What is no JSON has one
-    row of kind ``broken``. One pass a level of nesting, each written once, until a level
-    has no containers.
+    row of kind ``broken``. Documents are dealt out by ident, so that what groups the result
+    by it needs no shuffle. A row takes its document apart level by level, as deep as its
+    own text is nested; nothing is written and nothing is read twice.
     """
-    v = F.try_parse_json(raw)
-    level = docs.select(ident, F.lit("").alias("path"), F.when(v.isNull(), "broken").otherwise(kind_of(v)).alias("kind"), v.alias("v"), F.when(v.isNull(), F.col(raw)).alias("broken"))
-    out = None
-    while True:
-        here = cut(level)
-        text = F.when(F.col("kind") == "string", F.col("v").cast("string")).when(F.col("kind") == "broken", F.col("broken")).otherwise(F.to_json("v"))
-        items = F.when(F.col("kind") == "list", F.transform(F.col("v").try_cast("array<variant>"), kind_of))
-        rows = here.select(ident, "path", "kind", text.alias("value"), items.alias("items"))
-        out = rows if out is None else out.unionAll(rows)
-        inner = here.where("kind IN ('object', 'list')")
-        if inner.isEmpty():
-            return out
-        inside = inner.select(ident, "path", "v").lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("v").outer()))
-        key = F.when(F.col("key").rlike(r'[.\[\]"]'), F.concat(F.lit('"'), F.regexp_replace("key", '"', '\\\\"'), F.lit('"'))).otherwise(F.col("key"))
-        step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.when(F.col("path") == "", "").otherwise("."), key))
-        level = inside.select(ident, F.concat("path", step).alias("path"), kind_of(F.col("value")).alias("kind"), F.col("value").alias("v"), F.lit(None).cast("string").alias("broken"))
+    dealt = docs.select(ident, F.col(raw).alias("raw")).repartition(ident)
+    parsed = dealt.select(ident, "raw", F.try_parse_json("raw").alias("v"))
+    level = F.array(F.struct(F.lit("").alias("path"), F.col("v").alias("v")))
+
+    def deeper(found: Column, _: Column) -> Column:
+        below = F.flatten(F.transform(found["last"], lambda x: _children(x["path"], x["v"])))
+        return let(below, lambda b: F.struct(F.concat(found["all"], b).alias("all"), b.alias("last")))
+
+    steps = F.when(F.col("v").isNull() | (_depth(F.col("raw")) < 1), F.expr("CAST(array() AS ARRAY<INT>)")).otherwise(F.sequence(F.lit(1), _depth(F.col("raw"))))
+    found = F.aggregate(steps, F.struct(level.alias("all"), level.alias("last")), deeper, lambda a: a["all"])
+    rows = parsed.select(ident, F.when(F.col("v").isNull(), F.col("raw")).alias("broken"), F.inline(found))
+    kinds = rows.select(ident, "path", F.when(F.col("v").isNull(), "broken").otherwise(let(F.schema_of_variant("v"), _kind)).alias("kind"), "v", "broken")
+    text = F.when(F.col("kind") == "string", F.col("v").cast("string")).when(F.col("kind") == "broken", F.col("broken")).otherwise(F.to_json("v"))
+    items = F.when(F.col("kind") == "list", F.transform(F.col("v").try_cast("array<variant>"), kind_of))
+    return kinds.select(ident, "path", "kind", text.alias("value"), items.alias("items"))
 
 
 def nested(metrics: DataFrame, ident: str, name: str = "metric", value: str = "value", separator: str = r"\.") -> DataFrame:
@@ -219,11 +242,14 @@ def _unrelated(values: DataFrame, ident: str, relation: Relation) -> DataFrame:
 
 
 def resolved(values: DataFrame, ident: str, rules: Sequence[Rule]) -> DataFrame:
-    """(ident, path, value) of all paths with a rule: what the document says, else the default."""
-    table = rule_table(rules, values)
-    said = values.join(table.select("path"), "path").where("kind <> 'null'").select(ident, "path", "value")
-    mine = said.groupBy(ident).agg(F.collect_set("path").alias("paths"))
+    """(ident, path, value) of all paths with a rule: what the document says, else the default.
+
+    One pass over ``values``, and one shuffle by document.
+    """
+    said = F.when(F.col("path").isin(*[r.path for r in rules]) & (F.col("kind") != "null"), F.struct("path", "value"))
+    held = values.groupBy(ident).agg(F.collect_list(said).alias("said"))
     fallbacks = [F.struct(F.lit(r.path).alias("path"), F.lit(r.default).alias("value")) for r in rules if r.default is not None]
-    absent = values.select(ident).distinct().join(mine, ident, "left")
-    filled = absent.select(ident, F.inline(F.filter(F.array(*fallbacks), lambda d: ~F.coalesce(F.array_contains("paths", d["path"]), F.lit(False))))) if fallbacks else said.where("false")
-    return said.unionByName(filled)
+    if not fallbacks:
+        return held.select(ident, F.inline("said"))
+    unsaid = F.filter(F.array(*fallbacks), lambda d: ~F.exists("said", lambda x: x["path"] == d["path"]))
+    return held.select(ident, F.inline(F.concat("said", unsaid)))

@@ -642,7 +642,7 @@ def manifest_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def manifest_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = stored(documents.flattened(b.order_manifests(spark, sf_dir).where("id % 101 <> 0 AND id % 103 <> 0"), "id"), "manifest-values")
+    values = documents.flattened(b.order_manifests(spark, sf_dir).where("id % 101 <> 0 AND id % 103 <> 0"), "id")
     return documents.resolved(values, "id", MANIFEST_RULES).where("path IN ('f', 's.c', 't')")
 
 

@@ -165,3 +165,13 @@ def test_training_configuration(spark, tmp_path):
     assert check_bundle_description(spark, meta)["input"]["img_interp"] == "area"
     with pytest.raises(ValueError, match="input.layout: choice; outputs: names"):
         check_bundle_description(spark, meta | {"outputs": ["cls"], "input": meta["input"] | {"layout": "NHWC"}})
+
+
+def test_documents_are_taken_apart_and_resolved_without_writing_and_with_one_shuffle(spark):
+    docs = spark.createDataFrame([(1, '{"a": {"b": {"c": [[{"d": 2.0}]]}}}'), (2, "{"), (3, '{"x": "[{[{[{[{[{"}')], "id LONG, raw STRING")
+    values = d.flattened(docs, "id")
+    assert {(r.id, r.path, r.kind) for r in values.collect()} >= {(1, "a.b.c[0][0].d", "float"), (2, "", "broken"), (3, "x", "string")}
+    out = d.resolved(values, "id", [d.Rule("a.b.c[0][0].d", "float"), d.Rule("e", "int", "7")])
+    assert sorted((r.id, r.path, r.value) for r in out.collect() if r.path == "e") == [(1, "e", "7"), (2, "e", "7"), (3, "e", "7")]
+    plan = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning(id") == 1  # the documents' own, before they are taken apart
