@@ -18,7 +18,9 @@ buckets of 8-grams get identifiers, and sorting on (own identifier, identifier d
 later) doubles their length, 8, 16, 32, 64 and LENGTH, each step reusing the last one's
 identifiers. Suffixes whose bucket has one member leave, and so does every suffix that
 would look one of them up: it shares its longer string with no other either. What shares a bucket of
-LENGTH bytes with an earlier suffix is removed.
+LENGTH bytes with an earlier suffix is removed. Equal strings of a bucket lie at the same
+place beside its q-gram, so each place is sorted alone: of n contexts a task holds 812 n bytes
+(identifiers of four bytes, and the contexts), and sorts n keys at once.
 
 Rows of both shuffles are packed arrays, one a shard and Arrow batch; shards and their
 tasks grow in number with the input's bytes. A batch first settles what it can by itself:
@@ -26,7 +28,9 @@ of anchors with equal context only the first goes out, so a passage held by a th
 documents reaches its shard once a batch. Anchors with a common q-gram but all sorts of
 contexts (the ends of such a passage) would still meet in one bucket. All anchor q-grams
 are therefore counted first, combined map side, and those above ``hot`` skip the bucket:
-each of their strings is a key of its own, which again reaches its shard once a batch.
+each of their strings is a key of its own, which again reaches its shard once a batch
+(or once in RECORDS records of a batch that makes more); neighbouring strings that a batch
+settles are one record.
 ``hot`` is 50,000, or a millionth of all anchors if that is more, so that there are never
 more than a million hot q-grams (8 MB) on the driver, none of which is left out.
 
@@ -54,6 +58,10 @@ LENGTH = 100
 Q = 32  # bytes of an anchor's q-gram
 HOT = 50_000  # contexts that may meet in one bucket
 SHARD = 16 << 20  # bytes of text a shard, about
+RECORDS = 1 << 20  # anchors that a batch holds at once, about
+STRINGS = 1 << 18  # strings of hot anchors that are made at once, about
+GRID = 1 << 13  # contexts that are cut out at once
+SENT = 1 << 16  # contexts that go out together, about
 
 _ANCHOR = np.dtype([("narrow", "<u8"), ("wide", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("lo", "<i2"), ("hi", "<i2")])
 _MARK = np.dtype([("pos", "<i4"), ("lo", "<i2"), ("hi", "<i2"), ("open", "<i4")])
@@ -142,40 +150,61 @@ def _packed(r: np.ndarray, shards: int) -> pa.RecordBatch:
     own = _first_of([r["wide"], r["narrow"]], r["doc"], r["pos"])
     shard = np.where(own, (r["narrow"] % np.uint64(shards)).astype(np.int64), -1 - r["doc"] % shards)
     keys, rows = _split(shard)
-    return arrow_batch(_PACKED, [keys.tolist(), [r[x].tobytes() for x in rows]])
+    return arrow_batch(_PACKED, [keys.tolist(), [(r[x] if k >= 0 else _joined(r[x])).tobytes() for k, x in zip(keys.tolist(), rows, strict=True)]])
 
 
-def _batch_records(batch: pa.RecordBatch, length: int, q: int, hot: np.ndarray) -> np.ndarray:
+def _joined(r: np.ndarray) -> np.ndarray:
+    """Removals, those of neighbouring strings of one anchor as one record."""
+    r = r[np.lexsort((r["lo"], r["pos"], r["doc"]))]
+    new = _starts([r["doc"], r["pos"]])
+    new[1:] |= (r["lo"][1:] != r["hi"][:-1] + 1) & (r["lo"][1:] != r["hi"][:-1])
+    at = np.flatnonzero(new)
+    out = r[at]
+    out["hi"] = r["hi"][np.append(at[1:], len(r)) - 1]
+    return out
+
+
+def _batch_records(batch: pa.RecordBatch, length: int, q: int, hot: np.ndarray) -> Iterator[np.ndarray]:
     ids = batch.column(0).to_numpy(zero_copy_only=False)
-    parts = [np.zeros(0, _ANCHOR)]
     for first, end, offsets, data in text_blocks(batch):
         r, row = _records(ids[first:end], offsets, data, length, q)
         if len(hot) and len(r):
             common = np.isin(r["narrow"], hot)
             if common.any():
-                parts.append(_strings(r[common], offsets[row[common]], data, length))
+                yield from _strings(r[common], offsets[row[common]], data, length)
                 r = r[~common]
-        parts.append(r)
-    return np.concatenate(parts)
+        yield r
 
 
-def _strings(r: np.ndarray, base: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
+def _strings(r: np.ndarray, base: np.ndarray, data: np.ndarray, length: int) -> Iterator[np.ndarray]:
     """A record for every string of the given anchors, keyed by the string and its anchor's place; ``base``: where their texts start."""
-    n = r["hi"].astype(np.int64) - r["lo"] + 1
-    out = np.repeat(r, n)
-    back = out["lo"] + (np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n))
-    start = np.repeat(base, n) + out["pos"] - back
-    with np.errstate(over="ignore"):
-        for name, seed in (("narrow", 0), ("wide", 1)):  # 124 bits of the string
-            out[name] = mix(SpanHash(data, seed).of(start, start + length) + back.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    out["lo"] = out["hi"] = back
-    return out
+    hashes = [SpanHash(data, seed) for seed in (0, 1)]  # 124 bits of the string
+    some = max(1, STRINGS // length)
+    for first in range(0, len(r), some):
+        part = r[first : first + some]
+        n = part["hi"].astype(np.int64) - part["lo"] + 1
+        out = np.repeat(part, n)
+        back = out["lo"] + (np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n))
+        start = np.repeat(base[first : first + some], n) + out["pos"] - back
+        with np.errstate(over="ignore"):
+            for name, spans in zip(("narrow", "wide"), hashes, strict=True):
+                out[name] = mix(spans.of(start, start + length) + back.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        out["lo"] = out["hi"] = back
+        yield out
 
 
 def _anchor_pass(shards: int, length: int, q: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _packed(_batch_records(batch, length, q, hot), shards)
+            held, n = [], 0
+            for r in _batch_records(batch, length, q, hot):
+                held.append(r)
+                n += len(r)
+                if n >= RECORDS:
+                    yield _packed(np.concatenate(held), shards)
+                    held, n = [], 0
+            if n:
+                yield _packed(np.concatenate(held), shards)
 
     return run
 
@@ -233,69 +262,85 @@ def _joined_marks(value: pa.Scalar) -> np.ndarray:
     return np.frombuffer(raw, dtype=_MARK)
 
 
+def _contexts(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, data: np.ndarray, length: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, place, context bytes, zero padded) of the anchors at ``at`` of texts from lo to hi."""
+    side = length - q
+    grid = (at[:, None] + np.arange(-side, q + side)[None, :]).astype(np.int32)
+    ctx = data[np.clip(grid, 0, len(data) - 1)]
+    ctx[(grid < lo[:, None]) | (grid >= hi[:, None])] = 0
+    place = np.stack([at - lo, np.minimum(side, at - lo), np.minimum(side, hi - at - q)], axis=1).astype(np.int32)
+    gram = np.arange(len(at)) * q  # only the q-grams are hashed, not all of the texts
+    return SpanHash(ctx[:, side : side + q].ravel()).of(gram, gram + q), place, ctx
+
+
+def _dealt(held: list[tuple[np.ndarray, ...]], shards: int) -> pa.RecordBatch:
+    """Buckets, documents, places and contexts by shard."""
+    columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+    keys, rows = _split((columns[0] % np.uint64(shards)).astype(np.int32))
+    return arrow_batch(_CONTEXT, [keys.tolist(), *([x[g].tobytes() for g in rows] for x in columns)])
+
+
 def _context_pass(shards: int, length: int, q: int):
     """Context bytes (zero padded) of every member of an open bucket."""
-    side = length - q
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, end, offsets, data in text_blocks(batch, limit=1 << 23):
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for first, end, offsets, data in text_blocks(batch):
                 marks = [_joined_marks(batch.column(2)[i]) for i in range(first, end)]
                 at = [m["pos"][m["open"] == 1].astype(np.int64) for m in marks]
                 row = np.repeat(np.arange(end - first), [len(x) for x in at])
                 at = np.concatenate(at) + offsets[row]
-                lo, hi = offsets[row], offsets[row + 1]
-                inside = at + q <= hi
-                at, row, lo, hi = at[inside], row[inside], lo[inside], hi[inside]
-                if not len(at):
-                    continue
-                left, right = np.minimum(side, at - lo), np.minimum(side, hi - at - q)
-                grid = (at[:, None] + np.arange(-side, q + side)[None, :]).astype(np.int32)
-                ctx = data[np.clip(grid, 0, len(data) - 1)]
-                ctx[(grid < lo[:, None]) | (grid >= hi[:, None])] = 0
-                place = np.stack([at - lo, left, right], axis=1).astype(np.int32)
-                bucket = SpanHash(data).of(at, at + q)
-                keys, rows = _split((bucket % np.uint64(shards)).astype(np.int32))
-                cols = [[x[g].tobytes() for g in rows] for x in (bucket, ids[first + row].astype(np.int64), place, ctx)]
-                yield arrow_batch(_CONTEXT, [keys.tolist(), *cols])
+                inside = at + q <= offsets[row + 1]
+                at, row = at[inside], row[inside]
+                for k in range(0, len(at), GRID):
+                    some = row[k : k + GRID]
+                    bucket, place, ctx = _contexts(at[k : k + GRID], offsets[some], offsets[some + 1], data, length, q)
+                    held.append((bucket, ids[first + some], place, ctx))
+                    n += len(some)
+                    if n >= SENT:
+                        yield _dealt(held, shards)
+                        held, n = [], 0
+        if held:
+            yield _dealt(held, shards)
 
     return run
 
 
+def _shared(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Of n contexts, numbers of the keys of ``rows``; -1 for keys met once, and for all other contexts."""
+    out = np.full(n, -1, dtype=np.int32)
+    _, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
+    out[rows] = np.where(count[inverse] > 1, inverse, -1)
+    return out
+
+
 def refine(ctx: np.ndarray, bucket: np.ndarray, length: int) -> np.ndarray:
     """Identifiers of all strings of ``length`` bytes of the contexts; -1 for those met once.
 
-    Row i, column j: the string at byte j of context i. Strings meet strings of the same
-    q-gram bucket at the same column.
+    Row j, column i: the string at byte j of context i. Strings meet strings of the same
+    q-gram bucket at the same byte, so the rows are numbered one by one.
     """
     n, width = ctx.shape
-    eight = np.zeros((n, width - 7), dtype=np.uint64)  # initial buckets: eight bytes as they are
-    for k in range(8):
-        eight |= ctx[:, k : width - 7 + k].astype(np.uint64) << np.uint64(8 * (7 - k))
-    _, ident, count = np.unique(eight, return_inverse=True, return_counts=True)
-    ident = ident.reshape(eight.shape).astype(np.int64)
-    several = count[ident] > 1  # whose bucket has other members
+    group = np.unique(bucket, return_inverse=True)[1].astype(np.int64)
+    ident = np.empty((width - 7, n), dtype=np.int32)
+    eight, every = np.zeros(n, dtype=np.uint64), np.arange(n)
+    for j, byte in enumerate(np.ascontiguousarray(ctx.T)):  # initial buckets: eight bytes as they are
+        eight = (eight << np.uint64(8)) | byte
+        if j >= 7:
+            own = _shared(eight, every, n)
+            rows = np.flatnonzero(own >= 0)
+            ident[j - 7] = _shared(own[rows] * (int(group.max(initial=0)) + 1) + group[rows], rows, n)
     size = 8
     while size < length:
         step = min(size, length - size)
-        m = ident.shape[1] - step
-        later, ident, several = ident[:, step:], ident[:, :m].copy(), several[:, :m] & several[:, step:]
-        spare = int(max(ident.max(), later.max())) + 1
-        if several.any():
-            _, fresh, count = np.unique(ident[several] * spare + later[several], return_inverse=True, return_counts=True)
-            ident[several] = spare + fresh
-            several[several] = count[fresh] > 1
+        ident, later = ident[: len(ident) - step], ident[step:]  # one array: a row is read before it is numbered anew
+        for own, other in zip(ident, later, strict=True):
+            rows = np.flatnonzero((own >= 0) & (other >= 0))
+            own[:] = _shared(own[rows].astype(np.int64) * n + other[rows], rows, n)
         size += step
-    ident[~several] = -1
-    m = ident.shape[1]
-    group = np.unique(bucket, return_inverse=True)[1].astype(np.int64)
-    key = (ident * (int(group.max(initial=0)) + 1) + group[:, None]) * m + np.arange(m)
-    out = np.full(ident.shape, -1, dtype=np.int64)
-    if several.any():
-        _, inverse, count = np.unique(key[several], return_inverse=True, return_counts=True)
-        out[several] = np.where(count[inverse] > 1, inverse, -1)
-    return out
+    return ident
 
 
 def _refine_shard(length: int, q: int, contexts: int = 20_000):
@@ -306,8 +351,9 @@ def _refine_shard(length: int, q: int, contexts: int = 20_000):
         doc = np.concatenate([np.frombuffer(x, np.int64) for x in pdf.doc])
         place = np.concatenate([np.frombuffer(x, np.int32).reshape(-1, 3) for x in pdf["place"]])
         ctx = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, width) for x in pdf.context])
-        order = np.argsort(bucket, kind="stable")
-        bucket, doc, place, ctx = bucket[order], doc[order], place[order], ctx[order]
+        order = np.lexsort((place[:, 0], doc, bucket))
+        bucket, doc, place = bucket[order], doc[order], place[order]
+        turns = np.cumsum(_starts([bucket, doc, place[:, 0]]))  # rows of one document and place are at the same turn
         edges = np.append(np.flatnonzero(_starts([bucket])), len(bucket))
         docs, marks = [], []
         turn = 0
@@ -315,12 +361,8 @@ def _refine_shard(length: int, q: int, contexts: int = 20_000):
             last = max(turn + 1, int(np.searchsorted(edges, edges[turn] + contexts, side="right")) - 1)
             part = slice(edges[turn], edges[last])
             turn = last
-            ident = refine(ctx[part], bucket[part], length)
-            j = np.arange(ident.shape[1])[None, :]  # the string at byte j starts side - j before the q-gram
-            pos, left, right = place[part, 0], place[part, 1:2], place[part, 2:3]
-            i, j = np.nonzero((ident >= 0) & (side - j <= left) & (j <= right))
-            later = ~_first_of([ident[i, j]], doc[part][i], pos[i])
-            m, i = _ranges(i[later], side - j[later], pos)
+            later = _later(refine(ctx[order[part]], bucket[part], length), turns[part], place[part], side)
+            m, i = _ranges(later, place[part, 0], side)
             docs.append(doc[part][i])
             marks.append(m)
         return _by_doc(np.concatenate(docs), np.concatenate(marks))
@@ -328,17 +370,24 @@ def _refine_shard(length: int, q: int, contexts: int = 20_000):
     return run
 
 
-def _ranges(row: np.ndarray, back: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marks of neighbouring starts of one anchor as one range."""
-    order = np.lexsort((back, row))
-    row, back = row[order], back[order]
-    new = np.ones(len(row), dtype=bool)
-    new[1:] = (row[1:] != row[:-1]) | (back[1:] != back[:-1] + 1)
-    at = np.flatnonzero(new)
-    out = np.zeros(len(at), dtype=_MARK)
-    out["pos"], out["lo"] = pos[row[at]], back[at]
-    out["hi"] = back[np.append(at[1:], len(row)) - 1] if len(at) else 0
-    return out, row[at]
+def _later(ident: np.ndarray, turns: np.ndarray, place: np.ndarray, side: int) -> np.ndarray:
+    """Whether the string at byte j of context i lies in its text and in an earlier turn; contexts are sorted by turn."""
+    out = np.zeros(ident.shape, dtype=bool)
+    for j in range(len(ident)):  # the string at byte j starts side - j before the q-gram
+        rows = np.flatnonzero((ident[j] >= 0) & (side - j <= place[:, 1]) & (j <= place[:, 2]))
+        _, at, inverse = np.unique(ident[j, rows], return_index=True, return_inverse=True)
+        out[j, rows] = turns[rows] > turns[rows[at]][inverse]
+    return out
+
+
+def _ranges(later: np.ndarray, pos: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """Marks of neighbouring starts of one anchor as one range, and their contexts."""
+    edge = np.diff(np.pad(later.astype(np.int8), ((1, 1), (0, 0))), axis=0)
+    row, first = np.nonzero(edge.T == 1)
+    _, end = np.nonzero(edge.T == -1)
+    out = np.zeros(len(row), dtype=_MARK)
+    out["pos"], out["lo"], out["hi"] = pos[row], side - end + 1, side - first
+    return out, row
 
 
 # ---------------------------------------------------------------- the operator

@@ -3,11 +3,15 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tarnwork.llm import substrings
 from tarnwork.llm.common import apart, connected_components
 from tarnwork.llm.linededup import CuckooFilter, LineIndex, dedup_lines
 from tarnwork.llm.minhash import CirculantMinHash, UNIVERSE, bitmap, drop_near_duplicates, near_duplicates
@@ -219,6 +223,76 @@ def test_repeats_edges(spark):
     assert repeat_report(frame(spark, [])).count() == 0
 
 
+def traced_peak(call):
+    """MB that a call takes at most beyond what was there."""
+    tracemalloc.start()
+    try:
+        call()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def repeat_context_rows(n):
+    """Contexts of one q-gram bucket as the context pass sends them: one in two is a copy of one of 200."""
+    rng = np.random.default_rng(3)
+    ctx = rng.integers(97, 100, (n, 168)).astype(np.uint8)
+    ctx[:, 68:100] = 65
+    ctx[::2] = ctx[rng.integers(0, 200, len(ctx[::2]))]
+    doc, place = np.arange(n, dtype=np.int64) // 2, np.tile(np.array([68, 68, 68], np.int32), (n, 1))
+    place[1::2, 0] = 400
+    rows = {"shard": [0], "bucket": [np.zeros(n, np.uint64).tobytes()], "doc": [doc.tobytes()], "place": [place.tobytes()], "context": [ctx.tobytes()]}
+    return pd.DataFrame(rows), ctx, doc, place
+
+
+def test_contexts_and_buckets_take_little_memory():
+    """8 MB of texts in one batch, and 20,000 contexts in one bucket: two such tasks share an executor."""
+    rng = np.random.default_rng(4)
+    texts = [bytes(x).decode() for x in rng.integers(97, 123, (1000, 8000)).astype(np.uint8)]
+    mark = np.zeros(20, substrings._MARK)
+    mark["pos"], mark["open"] = np.arange(20) * 390, 1
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array(texts), pa.array([[mark.tobytes()]] * 1000, pa.list_(pa.binary()))], names=["doc_id", "text", "marks"])
+    sent = []
+    assert traced_peak(lambda: sent.extend(substrings._context_pass(5, 100, 32)(iter([batch])))) < 60
+    assert sum(len(x.as_py()) for b in sent for x in b.column(1)) == 8 * 20_000
+    pdf = repeat_context_rows(20_000)[0]
+    assert traced_peak(lambda: substrings._refine_shard(100, 32)(pdf)) < 60
+
+
+def test_hot_strings_take_little_memory():
+    """A batch of which every anchor is hot: copies leave as ranges and not as one record a string."""
+    rng = np.random.default_rng(6)
+    passage = bytes(rng.integers(97, 123, 1200).astype(np.uint8)).decode()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array([passage] * 1000)], names=["doc_id", "text"])
+    counted = next(substrings._count_pass(100, 32)(iter([batch])))
+    hot = np.sort(counted.column(0).to_numpy().view(np.uint64))
+    sent = []
+    assert traced_peak(lambda: sent.extend(substrings._anchor_pass(5, 100, 32, hot)(iter([batch])))) < 320
+    raw = {k: b"".join(x for b in sent for x, s in zip(b.column(1).to_pylist(), b.column(0).to_pylist()) if (s < 0) == k) for k in (True, False)}
+    gone, own = (np.frombuffer(raw[k], substrings._ANCHOR) for k in (True, False))
+    assert len(gone) + len(own) < 100_000
+    marks = substrings._marks(gone, 0)
+    for doc in (1, 500, 999):
+        assert substrings.covered(marks[gone["doc"] == doc], 1200, 100).all()
+
+
+def test_refined_buckets_equal_brute_force():
+    pdf, ctx, doc, place = repeat_context_rows(600)
+    out = substrings._refine_shard(100, 32)(pdf)
+    got = set()
+    for d, raw in zip(out["doc_id"], out["marks"], strict=True):
+        for m in np.frombuffer(raw, substrings._MARK):
+            got |= {(d, int(m["pos"]), back) for back in range(m["lo"], m["hi"] + 1)}
+    want, seen = set(), set()
+    for i in range(600):  # in the order of documents and places
+        for j in range(69):
+            s = (j, ctx[i, j : j + 100].tobytes())
+            if s in seen:
+                want.add((int(doc[i]), int(place[i, 0]), 68 - j))
+            seen.add(s)
+    assert got == want and want
+
+
 # ---------------------------------------------------------------- components and skew
 
 
